@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_arrow_batches
+from .scratch import ready_for_python
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -125,7 +125,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids
     of the ids and of the decoded bytes. Special tokens are ordinary text.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    ready_for_python(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

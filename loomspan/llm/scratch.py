@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows an Arrow batch may hold on its way to Python: with texts of some kB, a few MB.
 ARROW_ROWS = 1000
 
@@ -27,8 +29,9 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def small_arrow_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, as a text may be long."""
+def ready_for_python(spark: SparkSession) -> None:
+    """Ship the package, and bound the rows of an Arrow batch, as a text may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

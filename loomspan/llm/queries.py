@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_bpe, q_langid, q_linededup, q_quality, q_simhash
+from . import q_bpe, q_langid, q_linededup, q_mixing, q_quality, q_simhash, q_urlfilter
 
-MODULES = (q_bpe, q_langid, q_linededup, q_quality, q_simhash)
+MODULES = (q_bpe, q_langid, q_linededup, q_mixing, q_quality, q_simhash, q_urlfilter)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -34,6 +34,8 @@ from .scratch import ready_for_python
 
 TRAIN_ROWS = 1_500
 MODEL_GRAMS = 200_000
+#: The most frequent so many labels are learned.
+MODEL_LANGS = 1_000
 SWITCH_PENALTY = 6.0
 #: A single word moves the balance between two languages by no more than this.
 WORD_LIMIT = 4.0
@@ -156,9 +158,9 @@ def fit(docs: DataFrame, *, train_rows: int = TRAIN_ROWS, model_grams: int = MOD
     spark = docs.sparkSession
     ready_for_python(spark)
     known = docs.where("text is not null and lang is not null")
-    share = known.groupBy("lang").count().select(F.col("lang").alias("__lang"), (F.lit(float(train_rows)) / F.col("count")).alias("__share"))
+    share = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MODEL_LANGS).select(F.col("lang").alias("__lang"), (F.lit(float(train_rows)) / F.col("count")).alias("__share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) / F.lit(1e6)
-    sample = known.withColumn("__draw", draw).join(share, F.col("lang") == F.col("__lang")).where("__draw < __share").select("lang", "text")
+    sample = known.withColumn("__draw", draw).join(F.broadcast(share), F.col("lang") == F.col("__lang")).where("__draw < __share").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -220,6 +220,7 @@ def _remaining_pairs(rows: DataFrame, all_pairs: bool) -> DataFrame:
 
 def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (doc, n, s1, s2) of all rows, the sets that may link, and their signatures."""
+    docs = docs.select("doc_id", "text")
     base = scratch.keep(base_rows(docs, size), "base")
     members = scratch.keep(base.select("doc", "n", "s1", "s2"), "members")
     entries = base.where("doc is not null").agg(F.sum(F.octet_length("prefix")) / 8).head()[0] or 0

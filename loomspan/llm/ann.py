@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, ready_for_python
+from .shingles import tidy
 
 FIT_ROWS = 4_000
 FIT_QUERIES = 300
@@ -143,7 +144,7 @@ def _pack(size: int):
 
 def _blocks(rows: DataFrame, n: int, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
     """Packed blocks numbered from 0, and how many."""
-    dealt = rows.repartition(max(1, -(-n // BLOCK_ROWS)), "vec_id").mapInArrow(_pack(BLOCK_ROWS), "ids binary, vectors binary")
+    dealt = rows.repartition(max(1, -(-n // BLOCK_ROWS)), "vec_id").mapInArrow(tidy(_pack(BLOCK_ROWS)), "ids binary, vectors binary")
     kept = scratch.keep(dealt.withColumn("key", F.xxhash64("ids")), name)
     numbered = kept.select("key", (F.row_number().over(Window.orderBy("key")) - 1).alias(f"{name}_no"))  # one row a block
     numbered = scratch.keep(numbered, f"{name}-numbers")
@@ -180,6 +181,6 @@ def nearest(table: DataFrame, queries: Column, *, k: int = 20) -> DataFrame:
                 found = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array([x for g in got for x in g[2]], pa.float64())], ["query_id", "vec_id", "score"])
 
-    best = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
+    best = met.mapInArrow(tidy(search), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ready_for_python
+from .shingles import tidy
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -133,7 +134,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids
         for b in batches:
             yield _rows(b.column(0).to_pylist(), [digest_row(c, c.encode(t)) for t in b.column(1).to_pylist()], with_ids)
 
-    short = rows.where(F.length("text") <= chunk_chars).mapInArrow(whole, SCHEMA)
+    short = rows.where(F.length("text") <= chunk_chars).mapInArrow(tidy(whole), SCHEMA)
 
     pieces = (
         rows.where(F.length("text") > chunk_chars)
@@ -161,5 +162,5 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids
         made = digest_row(c, stitch(c, chunks))
         return pa.Table.from_batches([_rows([rows[0]["doc_id"]] * copies, [made] * copies, with_ids)])
 
-    long = pieces.mapInArrow(cuts, cut_schema).groupBy("doc_id", "key").applyInArrow(join, SCHEMA)
+    long = pieces.mapInArrow(tidy(cuts), cut_schema).groupBy("doc_id", "key").applyInArrow(join, SCHEMA)
     return short.unionByName(long)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ready_for_python
+from .shingles import tidy
 
 TRAIN_ROWS = 1_500
 MODEL_GRAMS = 200_000
@@ -175,7 +176,7 @@ def fit(docs: DataFrame, *, train_rows: int = TRAIN_ROWS, model_grams: int = MOD
                         out[lang, g] += k
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(count), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kept = counts.orderBy(F.col("n").desc(), "gram", "lang").limit(model_grams).collect()
     langs = sorted({r["lang"] for r in kept})
     at = {x: i for i, x in enumerate(langs)}
@@ -232,7 +233,7 @@ def predict(docs: DataFrame, model: Model, *carry: Column, penalty: float = SWIT
 
     names = [*rows.columns[:-1], "lang_pred", "score"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(label, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(label), f"{kinds}, lang_pred string, score double")
 
 
 def spans(docs: DataFrame, model: Model, *, penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -249,4 +250,4 @@ def spans(docs: DataFrame, model: Model, *, penalty: float = SWITCH_PENALTY) ->
                 out += [(doc, i, int(p), int(q - p), m.langs[y[p]]) for i, (p, q) in enumerate(zip(edges, edges[1:]))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "span", "first_word", "n_words", "lang"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(label, "doc_id bigint, span int, first_word int, n_words int, lang string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(label), "doc_id bigint, span int, first_word int, n_words int, lang string")

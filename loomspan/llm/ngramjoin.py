@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, ready_for_python
-from .shingles import mix, packed, shingle_sets, unpacked
+from .shingles import mix, packed, shingle_sets, tidy
 from .tokencounts import shared_counts, shared_tokens
 
 SIZE = 5
@@ -86,7 +86,7 @@ def base_rows(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), packed(prefix)], ["doc", "n", "s1", "s2", "prefix"])
 
     ready_for_python(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(run, "doc bigint, n bigint, s1 bigint, s2 bigint, prefix binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(tidy(run), "doc bigint, n bigint, s1 bigint, s2 bigint, prefix binary")
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -97,7 +97,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
             sets = list(shingle_sets(b.column(1), size))
             yield pa.RecordBatch.from_arrays([b.column(0), packed(sets), pa.array([len(x) for x in sets], pa.int64())], ["doc", "tokens", "n"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(run, "doc bigint, tokens binary, n bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(tidy(run), "doc bigint, tokens binary, n bigint")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -112,9 +112,9 @@ def ordered(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc", "n", "own", "tokens", "counts")}
-            for doc, n, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                t = np.concatenate([np.frombuffer(p["tokens"], "<u8") for p in parts])
-                c = np.concatenate([np.frombuffer(p["counts"], np.uint8) for p in parts])
+            for doc, n, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                t, first = np.unique(np.frombuffer(t.as_buffer(), "<u8"), return_index=True)  # a row that stands twice sent its tokens twice
+                c = np.frombuffer(c.as_buffer(), np.uint8)[first]
                 own = max(0, n - len(t))
                 if own > n - needed(n):
                     continue
@@ -123,7 +123,7 @@ def ordered(rows: DataFrame) -> DataFrame:
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["doc"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["own"], pa.int64()), packed(out["tokens"]), packed(out["counts"])], list(out))
 
-    return rows.select("doc", "n", "parts").mapInArrow(run, "doc bigint, n bigint, own bigint, tokens binary, counts binary")
+    return rows.select("doc", "n", "tokens", "counts").mapInArrow(tidy(run), "doc bigint, n bigint, own bigint, tokens binary, counts binary")
 
 
 def signatures_of(n: int, own: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def signatures(sets: DataFrame) -> DataFrame:
             flat = np.concatenate(made) if made else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(pa.array(np.repeat(x, times)) for x in (docs, n, own))], ["sig", "doc", "n", "own"])
 
-    return sets.select("doc", "n", "own", "tokens", "counts").mapInArrow(run, "sig bigint, doc bigint, n bigint, own bigint")
+    return sets.select("doc", "n", "own", "tokens", "counts").mapInArrow(tidy(run), "sig bigint, doc bigint, n bigint, own bigint")
 
 
 def _possible(a: str, b: str):
@@ -189,7 +189,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
@@ -233,9 +233,9 @@ def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame
     scratch.drop("base")
     sets = scratch.keep(full_sets(with_ids(docs, active.select("doc")), size), "sets")
     entries = active.agg(F.sum("entries")).head()[0] or 0
-    told = shared_tokens(sets.dropDuplicates(["doc", "tokens"]).select("doc", "tokens"), int(entries), FREQUENT)
+    told = scratch.keep(shared_tokens(sets.select("doc", "tokens"), int(entries), FREQUENT), "told")
     alive = scratch.keep(ordered(told.join(active.select("doc", "n"), "doc")), "alive")
-    scratch.drop("sets")
+    scratch.drop("sets", "told")
     rows = scratch.keep(signatures(alive), "signatures")
     return members, alive, rows
 

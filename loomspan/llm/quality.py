@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import ready_for_python
+from .shingles import tidy
 
 TRAIN_DOCS = 4_000
 TRAIN_LINES = 400
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) ->
             take = [i for i in range(b.num_rows) if counts[i] <= TRAIN_LINES]
             yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py() for i in take], pa.int32()), pa.array([x[at[i] : at[i + 1]].astype("<f4").tobytes() for i in take], pa.binary())], ["q", "x"])
 
-    got = rows.mapInArrow(features, "q int, x binary").collect()
+    got = rows.mapInArrow(tidy(features), "q int, x binary").collect()
     got.sort(key=lambda r: (r["q"], r["x"]))
     lines = [np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES)) for r in got]
     if not lines:
@@ -217,7 +218,7 @@ def score(docs: DataFrame, model: Model, *carry: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"{kinds}, score double, predicted int")
 
 
 def line_marginals(docs: DataFrame, model: Model) -> DataFrame:
@@ -230,7 +231,7 @@ def line_marginals(docs: DataFrame, model: Model) -> DataFrame:
             good = forward_backward(with_neighbours(x, counts) @ model.weights, model.step, counts)[0] if len(model.weights) else np.full(len(x), model.prior)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.split(good, np.cumsum(counts)[:-1]) if len(counts) else [], pa.list_(pa.float64()))], ["doc_id", "good"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, good array<double>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, good array<double>")
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
@@ -242,4 +243,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array(model.score(b.column(at).to_pylist()) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

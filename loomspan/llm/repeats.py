@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, ready_for_python
-from .shingles import blocks, packed, run_hashes, unpacked, word_hashes
+from .shingles import blocks, packed, run_hashes, tidy, word_hashes
 from .tokencounts import shared_places
 
 MIN_WORDS = 50
@@ -79,9 +79,8 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         tokens, places = [], []
-        for (_, windows, lowest, _), parts in zip(_texts(b.column(2)), b.column(3).to_pylist()):
-            seeds = np.concatenate([np.frombuffer(p, "<i4") for p in parts])
-            over = np.flatnonzero(np.isin(lowest, seeds))
+        for (_, windows, lowest, _), seeds in zip(_texts(b.column(2)), b.column(3)):
+            over = np.flatnonzero(np.isin(lowest, np.frombuffer(seeds.as_buffer(), "<i4")))
             tokens.append(windows[over])
             places.append(over.astype("<i4"))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed(tokens), packed(places)], ["doc", "doc_id", "tokens", "places"])
@@ -90,8 +89,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         docs, first, last = [], [], []
-        for doc, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            at = np.unique(np.concatenate([np.frombuffer(p, "<i4") for p in parts]))
+        for doc, places in zip(b.column(0).to_pylist(), b.column(1)):
+            at = np.unique(np.frombuffer(places.as_buffer(), "<i4"))
             cut = np.flatnonzero(np.diff(at) > MIN_WORDS)  # windows that touch or overlap join
             first.append(at[np.concatenate([[0], cut + 1])])
             last.append(at[np.concatenate([cut, [len(at) - 1]])] + MIN_WORDS)
@@ -105,13 +104,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ready_for_python(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "repeats")
     keyed = docs.where("text is not null").select(F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    seeds = scratch.keep(keyed.select("doc", "text").mapInArrow(_seeds, "doc bigint, tokens binary, places binary").where(F.octet_length("tokens") > 0), "seeds")
+    seeds = scratch.keep(keyed.select("doc", "text").mapInArrow(tidy(_seeds), "doc bigint, tokens binary, places binary").where(F.octet_length("tokens") > 0), "seeds")
     entries = int(seeds.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0) // 8
     seeded = scratch.keep(shared_places(seeds, entries), "seeded")
     scratch.drop("seeds")
-    over = keyed.join(seeded.hint("merge"), "doc").select("doc", "doc_id", "text", "parts")
-    windows = scratch.keep(over.mapInArrow(_windows, "doc bigint, doc_id bigint, tokens binary, places binary"), "windows")
+    over = keyed.join(seeded.hint("merge"), "doc").select("doc", "doc_id", "text", "places")
+    windows = scratch.keep(over.mapInArrow(tidy(_windows), "doc bigint, doc_id bigint, tokens binary, places binary"), "windows")
     scratch.drop("seeded")
     entries = int(windows.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0) // 8
-    held = shared_places(windows.select("doc", "tokens", "places").dropDuplicates(["doc"]), entries)
-    return windows.select("doc", "doc_id").join(held, "doc").select("doc_id", "parts").mapInArrow(_passages, "doc_id bigint, start_word int, end_word int")
+    held = shared_places(windows.select("doc", "tokens", "places"), entries)
+    return windows.select("doc", "doc_id").join(held, "doc").select("doc_id", "places").mapInArrow(tidy(_passages), "doc_id bigint, start_word int, end_word int")

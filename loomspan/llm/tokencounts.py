@@ -15,13 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .scratch import ready_for_python
-from .shingles import packed, unpacked
+from .shingles import tidy, unpacked
 
-#: Entries of a bucket, about; a task holds some 50 bytes for each.
-BUCKET_ENTRIES = 1_000_000
+#: Entries of a bucket, about; a task holds some 100 bytes for each.
+BUCKET_ENTRIES = 250_000
 ENTRIES, TOLD, FLAGS = 0, 1, 2
 _SENT = "bucket int, kind int, tokens binary, docs binary, places binary"
 
@@ -60,13 +59,30 @@ def _send(cap: int, buckets: int, places: bool):
     return run
 
 
-def _count(cap: int, places: bool, finish):
-    """Yield ``finish(tokens, docs, places, counts)`` for entries whose token has two holders or more."""
+def _reply(docs: np.ndarray, values: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Entries packed by bucket of documents, so that a document makes no row of its own in every task."""
+    to = docs % buckets
+    order = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[order], np.arange(buckets + 1))
+    rows = []
+    for i in np.flatnonzero(np.diff(edges)):
+        part = order[edges[i] : edges[i + 1]]
+        blobs = [_blob(v[part]) for v in values]
+        rows.append((int(i), _blob(docs[part]), blobs[0], blobs[1] if len(blobs) > 1 else b""))
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "docs", "one", "two"])
+
+
+_REPLY = "bucket int, docs binary, one binary, two binary"
+
+
+def _count(cap: int, places: bool, buckets: int, finish):
+    """Reply with ``finish(tokens, docs, places, counts)``, documents and values, for entries whose token has two holders or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {ENTRIES: [], TOLD: [], FLAGS: []}
+        got: dict[int, list] = {ENTRIES: [], FLAGS: []}
         for b in batches:
-            for kind in got:
+            for kind in (ENTRIES, TOLD, FLAGS):
                 mine = b.filter(pa.compute.equal(b.column(1), kind)) if b.num_rows else b
                 if not mine.num_rows:
                     continue
@@ -74,7 +90,7 @@ def _count(cap: int, places: bool, finish):
                 d = unpacked(mine.column(3), "<i8")[0]
                 p = unpacked(mine.column(4), "<i4")[0] if places else np.zeros(len(d), np.int32)
                 if kind == TOLD:
-                    yield finish(t, d, p, np.full(len(t), cap, np.int64))
+                    yield from _reply(*finish(t, d, p, np.full(len(t), cap, np.int64)), buckets)
                 else:
                     got[kind].append((t, d, p))
         if not got[ENTRIES]:
@@ -90,17 +106,46 @@ def _count(cap: int, places: bool, finish):
         counts = np.bincount(group, fresh, len(starts)).astype(np.int64)
         counts[np.isin(tokens[starts], flags, assume_unique=True)] = cap
         counts = np.minimum(counts, cap)[group]
+        del order, fresh, group
         keep = counts >= 2
-        yield finish(tokens[keep], docs[keep], at[keep], counts[keep])
+        yield from _reply(*finish(tokens[keep], docs[keep], at[keep], counts[keep]), buckets)
 
     return run
 
 
-def _exchange(rows: DataFrame, entries: int, cap: int, places: bool) -> DataFrame:
+def _gather(kinds: tuple[str, ...], build):
+    """``build(documents, first entries, values)`` over the sorted entries of a bucket of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, values = [], [[] for _ in kinds]
+        for b in batches:
+            docs.append(unpacked(b.column(1), "<i8")[0])
+            for i, kind in enumerate(kinds):
+                values[i].append(unpacked(b.column(2 + i), kind)[0])
+        if not sum(map(len, docs)):
+            return
+        all_docs = np.concatenate(docs)
+        order = np.argsort(all_docs, kind="stable")
+        all_docs = all_docs[order]
+        starts = np.flatnonzero(np.concatenate([[True], all_docs[1:] != all_docs[:-1]]))
+        yield build(all_docs[starts], starts, *(np.concatenate(v)[order] for v in values))
+
+    return run
+
+
+def _told(rows: DataFrame, entries: int, cap: int, places: bool, finish, kinds: tuple[str, ...], build, schema: str) -> DataFrame:
     spark = rows.sparkSession
     ready_for_python(spark)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
-    return rows.mapInArrow(_send(cap, buckets, places), _SENT).repartition(buckets, "bucket")
+    sent = rows.mapInArrow(tidy(_send(cap, buckets, places)), _SENT).repartition(buckets, "bucket")
+    replied = sent.mapInArrow(tidy(_count(cap, places, buckets, finish)), _REPLY).repartition(buckets, "bucket")
+    return replied.mapInArrow(tidy(_gather(kinds, build)), schema)
+
+
+def _cut(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary column: the values from each start to the next."""
+    ends = (np.append(starts, len(values)) * values.dtype.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
 
 
 def shared_counts(rows: DataFrame, entries: int) -> DataFrame:
@@ -110,48 +155,35 @@ def shared_counts(rows: DataFrame, entries: int) -> DataFrame:
     ``entries``: the number of tokens in all.
     """
 
-    def finish(tokens, docs, at, counts) -> pa.RecordBatch:
+    def finish(tokens, docs, at, counts):
         d, n = np.unique(docs, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64())], ["doc", "n"])
-
-    part = _exchange(rows, entries, 2, False).mapInArrow(_count(2, False, finish), "doc bigint, n bigint")
-    return part.groupBy("doc").agg(F.sum("n").alias("n_shared"))
+        return d, (n.astype("<i8"),)
 
+    def build(docs, starts, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.add.reduceat(n, starts), pa.int64())], ["doc", "n_shared"])
 
-def _packed_by_doc(docs: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-    """Documents, and for each the packed values of its entries (``docs`` sorted)."""
-    starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    cuts = np.append(starts, len(docs))
-    columns = []
-    for v in values:
-        ends = pa.py_buffer((cuts * v.dtype.itemsize).astype(np.int64).tobytes())
-        columns.append(pa.Array.from_buffers(pa.large_binary(), len(starts), [None, ends, pa.py_buffer(v.tobytes())]).cast(pa.binary()))
-    return [pa.array(docs[starts], pa.int64()), *columns]
+    return _told(rows, entries, 2, False, finish, ("<i8",), build, "doc bigint, n_shared bigint")
 
 
 def shared_tokens(rows: DataFrame, entries: int, cap: int) -> DataFrame:
-    """doc, parts: arrays of (tokens, counts) with the tokens that other documents hold too.
+    """doc, tokens, counts: the packed tokens that other documents hold too; counts are bytes and stop at ``cap``.
 
-    ``rows`` as for ``shared_counts``. Counts are bytes and stop at ``cap``.
+    ``rows`` as for ``shared_counts``.
     """
 
-    def finish(tokens, docs, at, counts) -> pa.RecordBatch:
-        order = np.argsort(docs, kind="stable")
-        return pa.RecordBatch.from_arrays(_packed_by_doc(docs[order], tokens[order], counts[order].astype(np.uint8)), ["doc", "tokens", "counts"])
+    def build(docs, starts, tokens, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), _cut(tokens, starts), _cut(counts, starts)], ["doc", "tokens", "counts"])
 
-    part = _exchange(rows, entries, cap, False).mapInArrow(_count(cap, False, finish), "doc bigint, tokens binary, counts binary")
-    return part.groupBy("doc").agg(F.collect_list(F.struct("tokens", "counts")).alias("parts"))
+    return _told(rows, entries, cap, False, lambda tokens, docs, at, counts: (docs, (tokens, counts.astype(np.uint8))), ("<u8", "u1"), build, "doc bigint, tokens binary, counts binary")
 
 
 def shared_places(rows: DataFrame, entries: int) -> DataFrame:
-    """doc, parts: arrays of packed 32-bit places whose tokens other documents hold too.
+    """doc, places: packed 32-bit places whose tokens other documents hold too.
 
     ``rows``: doc, tokens, places (packed alike; a token may stand at several places of a document).
     """
 
-    def finish(tokens, docs, at, counts) -> pa.RecordBatch:
-        order = np.argsort(docs, kind="stable")
-        return pa.RecordBatch.from_arrays(_packed_by_doc(docs[order], at[order].astype("<i4")), ["doc", "places"])
+    def build(docs, starts, places) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), _cut(places, starts)], ["doc", "places"])
 
-    part = _exchange(rows, entries, 2, True).mapInArrow(_count(2, True, finish), "doc bigint, places binary")
-    return part.groupBy("doc").agg(F.collect_list("places").alias("parts"))
+    return _told(rows, entries, 2, True, lambda tokens, docs, at, counts: (docs, (at.astype("<i4"),)), ("<i4",), build, "doc bigint, places binary")

@@ -134,8 +134,7 @@ def test_shared_tokens_with_hot_tokens(spark):
     assert counts == {i: sum(held[x] > 1 for x in t) for i, t in rows}
     told = {}
     for r in tokencounts.shared_tokens(df, 5000, 9).collect():
-        for p in r.parts:
-            told.setdefault(r.doc, {}).update(zip(np.frombuffer(p["tokens"], "<u8").tolist(), p["counts"]))
+        told[r.doc] = dict(zip(np.frombuffer(r.tokens, "<u8").tolist(), r.counts))
     assert told == {i: {x: min(9, held[x]) for x in t if held[x] > 1} for i, t in rows}
 
 

@@ -15,9 +15,9 @@ equal sets form a class, and only one of a class takes part.
    beyond the first of each frequent class, and all rare ones, outnumber those
    that a similar set may lack; similar sets then share a signature.
 3. For components, not all pairs of a signature are tried: its members are
-   compared with one pivot each, linked groups are contracted, and pairs of
-   different groups that are left are all verified. Pairs are verified on
-   their whole sets.
+   compared with one pivot each, linked groups are contracted, and what is
+   left of different groups is all compared: one by one under signatures with
+   few members, in packs under those with many. Sets are compared whole.
 
 Defined results: without words or text the set is empty and links with
 nothing; with fewer than ``size`` words the whole sequence is the one token;
@@ -52,6 +52,8 @@ FREQUENT = 32
 EXTRA = 0.1
 #: Rounds of comparing with pivots before all remaining pairs.
 PIVOT_ROUNDS = 2
+#: Signatures with more members than this are compared in packs of about PACK sets.
+FEW, PACK = 16, 256
 #: Lists of ids of up to this length are broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _BAND = math.log(1.26)
@@ -100,10 +102,14 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(tidy(run), "doc bigint, tokens binary, n bigint")
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it is short."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is in ``ids`` (doc), which is a stored table."""
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id").cast("bigint") == F.col("doc"), "left_semi")
+    return docs.join(small(ids), F.col("doc_id").cast("bigint") == F.col("doc"), "left_semi")
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -189,7 +195,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
@@ -202,20 +208,75 @@ def _pivot_pairs(rows: DataFrame) -> DataFrame:
     return counted.groupBy(F.col("doc").alias("a")).agg(F.max(F.struct("times", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def _remaining_pairs(rows: DataFrame, all_pairs: bool) -> DataFrame:
-    """a, b: members of one signature in different groups; without ``all_pairs`` members of a signature's main group are not paired with each other."""
-    if all_pairs:
-        left = rows.select("sig", *(F.col(c).alias(f"{c}a") for c in ("doc", "n", "own")))
-        right = rows.select("sig", *(F.col(c).alias(f"{c}b") for c in ("doc", "n", "own")))
-        met = left.join(right, "sig").where("doca < docb")
-    else:
-        sizes = rows.groupBy("sig", "group").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("sig").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("sig", F.col("top.group").alias("main"))
-        mixed = rows.join(main, "sig")
-        left = mixed.where("group <> main").select("sig", *(F.col(c).alias(f"{c}a") for c in ("doc", "n", "own", "group")))
-        right = mixed.select("sig", "main", *(F.col(c).alias(f"{c}b") for c in ("doc", "n", "own", "group")))
-        met = left.join(right, "sig").where("groupa <> groupb and (groupb = main or doca < docb)")
-    return met.where(_possible("a", "b")).select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct()
+def _met(left: DataFrame, right: DataFrame, wanted) -> DataFrame:
+    """a, b: rows of one signature for which ``wanted`` holds and whose sizes allow it."""
+    met = left.join(right, "sig").where(wanted).where(_possible("a", "b"))
+    return met.select(F.least("doca", "docb").alias("a"), F.greatest("doca", "docb").alias("b")).distinct()
+
+
+def _side(rows: DataFrame, side: str, *keep: str) -> DataFrame:
+    return rows.select("sig", *keep, *(F.col(c).alias(f"{c}{side}") for c in ("doc", "n", "own", "group") if c in rows.columns))
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """a, b: all members of one signature."""
+    return _met(_side(rows, "a"), _side(rows, "b"), F.col("doca") < F.col("docb"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of signatures with more than one group, with the main (largest) group and the number of members."""
+    sizes = rows.groupBy("sig", "group").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("sig").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"), F.sum("k").alias("members")).where("groups > 1")
+    return rows.join(main.select("sig", F.col("top.group").alias("main"), "members"), "sig")
+
+
+def _few_pairs(mixed: DataFrame) -> DataFrame:
+    """a, b: members of different groups under signatures with few members; those of the main group aren't paired with each other."""
+    few = mixed.where(F.col("members") <= FEW)
+    return _met(_side(few.where(F.col("group") != F.col("main")), "a"), _side(few, "b", "main"), F.expr("groupa <> groupb and (groupb = main or doca < docb)"))
+
+
+def _packs(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """g and packs of about ``size`` rows (doc, n, tokens) each."""
+    counts = rows.groupBy("g").agg(F.count("*").alias("__k"))
+    slot = F.pmod(F.xxhash64("doc"), F.ceil(F.col("__k") / size))
+    return rows.join(counts, "g").groupBy("g", slot.alias("slot")).agg(F.collect_list(F.struct("doc", "n", "tokens")).alias(name)).drop("slot")
+
+
+def _many_links(mixed: DataFrame, sets: DataFrame, group: DataFrame | None) -> DataFrame:
+    """a, b: links that signatures with many members may hold.
+
+    Those outside of a signature's main group are compared with the main group
+    and with each other, in packs: no row is made for a pair, and a pack's
+    tokens are indexed once.
+    """
+    outside = mixed.where(F.col("members") > FEW).where(F.col("group") != F.col("main")).select(F.col("main").alias("g"), "doc").distinct()
+    facts = sets.select("doc", "n", "tokens")
+    label = facts.withColumn("g", F.col("doc")) if group is None else facts.join(small(group), F.col("doc") == F.col("node"), "left").select("doc", "n", "tokens", F.coalesce("component", "doc").alias("g"))
+    asking = outside.join(facts, "doc").select("g", "doc", "n", "tokens")
+    inside = label.join(outside.select("g").distinct(), "g").select("g", "doc", "n", "tokens")
+    pairs = _packs(asking, PACK // 4, "asks").join(_packs(inside.unionByName(asking), PACK, "holds"), "g").select("asks", "holds")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for asks, holds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = [np.frombuffer(x["tokens"], "<u8") for x in holds]
+                flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(holds)), [len(x) for x in tokens])
+                order = np.argsort(flat, kind="stable")
+                flat, owner = flat[order], owner[order]
+                sizes, ids = np.array([x["n"] for x in holds]), [x["doc"] for x in holds]
+                for x in asks:
+                    mine = np.frombuffer(x["tokens"], "<u8")
+                    low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                    runs = high - low
+                    at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+                    common = np.bincount(owner[at], minlength=len(holds))
+                    near = common * DEN >= (sizes + x["n"] - common) * NUM
+                    out += [(x["doc"], ids[i]) for i in np.flatnonzero(near) if ids[i] != x["doc"]]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+
+    return pairs.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -246,15 +307,27 @@ def link_components(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
     members, sets, rows = _candidates(docs, scratch, size)
     edges, group = None, None
     for i in range(PIVOT_ROUNDS + 1):
-        grouped = rows.withColumn("group", F.col("doc")) if group is None else rows.join(group, F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", "own", F.coalesce("component", "doc").alias("group"))
+        if group is None:
+            grouped = rows.withColumn("group", F.col("doc"))
+        else:
+            grouped = rows.join(small(group), F.col("doc") == F.col("node"), "left").select("sig", "doc", "n", "own", F.coalesce("component", "doc").alias("group"))
         grouped = scratch.keep(grouped, f"grouped{i}")
-        pairs = scratch.keep(_pivot_pairs(grouped) if i < PIVOT_ROUNDS else _remaining_pairs(grouped, False), f"pairs{i}")
-        found = scratch.keep(verify(pairs, sets), f"edges{i}")
-        edges = found if edges is None else edges.unionByName(found)
-        group = scratch.keep(components(edges, scratch, f"round{i}"), f"components{i}")
+        last = i == PIVOT_ROUNDS
+        if last:
+            grouped = scratch.keep(_mixed(grouped), "mixed")
+        pairs = scratch.keep(_few_pairs(grouped) if last else _pivot_pairs(grouped), f"pairs{i}")
+        found = verify(pairs, sets)
+        if last:
+            found = found.unionByName(_many_links(grouped, sets, group))
+        found = scratch.keep(found, f"edges{i}")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            group = scratch.keep(components(edges, scratch, f"round{i}"), f"components{i}")
         scratch.drop(f"grouped{i}", f"pairs{i}")
+    if group is None:
+        group = rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
     classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("first"))
-    named = classes.join(group, F.col("first") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "first").alias("component"))
+    named = classes.join(small(group), F.col("first") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "first").alias("component"))
     linked = members.join(named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return linked.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -264,7 +337,7 @@ def similar_classes(docs: DataFrame, *, size: int = SIZE) -> tuple[DataFrame, Da
     """All links: (a, b) between the smallest doc_ids of classes, and doc_id with its class_id and number of linked classes."""
     scratch = Scratch(docs.sparkSession, "ngram-links")
     members, sets, rows = _candidates(docs, scratch, size)
-    links = scratch.keep(verify(_remaining_pairs(rows, True), sets), "links")
+    links = scratch.keep(verify(_all_pairs(rows), sets), "links")
     classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class_id"))
     degrees = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     named = members.where("doc is not null").join(classes, ["n", "s1", "s2"], "left").withColumn("class_id", F.coalesce("class_id", "doc"))

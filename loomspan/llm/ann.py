@@ -73,12 +73,12 @@ def learn(x: np.ndarray, k: int) -> Model:
         r = (u @ v).T
     model = Model(mean, wide @ r, bits)
     codes = model.codes(x)
-    n = min(FIT_QUERIES, len(x))
+    asks = rng.permutation(len(x))[:FIT_QUERIES]  # a spread of the sample, however it is ordered
     if len(x) > k + 1:
-        far = x[:n] @ x.T
-        far[np.arange(n), np.arange(n)] = -np.inf
+        far = x[asks] @ x.T
+        far[np.arange(len(asks)), asks] = -np.inf
         best = np.argpartition(-far, k, axis=1)[:, :k]
-        apart = _BITS_SET[codes[:n, None, :], codes[best]].sum(2, dtype=np.int64)
+        apart = _BITS_SET[codes[asks, None, :], codes[best]].sum(2, dtype=np.int64)
         model.radius = int(np.quantile(apart, RECALL, method="higher"))
     return model
 
@@ -165,7 +165,7 @@ def nearest(table: DataFrame, queries: Column, *, k: int = 20) -> DataFrame:
     if not n:
         return spark.createDataFrame([], schema)
     draw = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1_000_000)) / F.lit(1e6)
-    sample = [r["embedding"] for r in good.where(draw < F.lit(FIT_ROWS / n)).orderBy("vec_id").select("embedding").limit(2 * FIT_ROWS).collect()]
+    sample = [r["embedding"] for r in good.where(draw < F.lit(FIT_ROWS / n)).orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").select("embedding").limit(2 * FIT_ROWS).collect()]
     model = learn(np.array(sample or [r["embedding"] for r in good.limit(10).collect()]), k)
     index, index_blocks = _blocks(good.select("vec_id", "embedding"), n, scratch, "index")
     asking, query_blocks = _blocks(good.where("asks").select("vec_id", "embedding"), asked, scratch, "asking")

@@ -162,6 +162,26 @@ def test_nearest(spark):
     assert len(few) == 4 and ann.nearest(table.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_nearest_where_ids_follow_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FIT_ROWS", 1500)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    for a in range(0, 1200, 300):  # the lowest ids are near copies
+        x[a : a + 300] = x[a] + rng.normal(scale=1e-4, size=(300, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.learn(x[:3000], 20).radius > 0
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(1200, 6000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 240
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline
 

@@ -109,7 +109,7 @@ def e29(spark, sf_dir):
 SELECT doc_id, strlen(t) >= 15 AND NOT regexp_matches(t, '^(https?://|/|\{|\[)') AND contains(t, ' ') AND length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) / strlen(t) >= 0.6 AS is_content
 FROM (SELECT doc_id, trim(left(text, 120)) AS t FROM documents) WHERE t <> ''""")
 def e34(spark, sf_dir):
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.trim(F.left("text", F.lit(120))).alias("t")).where("t <> ''")
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("t")).where("t <> ''")
     return rows.select("doc_id", text.is_content_text(F.col("t")).alias("is_content"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ FRONTIER_FACTOR = 10
 
 @dataclass(frozen=True)
 class CrawlConfig:
-    max_pages: int = 100
-    max_depth: int = 3
+    #: None: the store ends the crawl.
+    max_pages: int | None = 100
+    max_depth: int | None = 3
     scope: str = "domain"
     allow: tuple[str, ...] = ()
     block: tuple[str, ...] = ()
@@ -124,7 +126,8 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
 
     Each level joins the frontier with the store; robots, scope, cycles and
     budgets filter what its links add. Levels are in order of depth, then of
-    the order of discovery, so reruns give the same pages. Returns url, depth,
+    the order of discovery, so reruns give the same pages. Without limits the
+    crawl ends where no level adds URLs. Returns url, depth,
     seq, title, n_links and error (blocked by robots, not found, duplicate
     content, or null); ``max_pages`` counts pages without error.
     """
@@ -132,19 +135,20 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
     files = Store(spark, "crawl")
     pages = store.select(urls.normalize(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
     start = seeds.select(urls.normalize(F.col("url")).alias("url")).where("url is not null").distinct()
-    frontier = files.keep(start.withColumns({"depth": F.lit(0), "seed": F.col("url"), "seq": F.row_number().over(Window.orderBy("url"))}), "frontier0")
+    frontier = files.keep(files.placed(start, "start", "url").select("url", F.lit(0).alias("depth"), F.col("url").alias("seed"), (F.col("place") + 1).alias("seq")), "frontier0")
     rules = robots_rules(robots, config.agent) if robots is not None else None
     visited, results, good, next_seq = frontier.select("url"), [], 0, frontier.count() + 1
-    for depth in range(config.max_depth + 1):
-        room = config.max_pages - good
-        if room <= 0:
+    for depth in count() if config.max_depth is None else range(config.max_depth + 1):
+        room = None if config.max_pages is None else config.max_pages - good
+        if room is not None and room <= 0:
             break
         level = robots_allowed(frontier, rules) if rules is not None else frontier.withColumn("allowed", F.lit(True))
         fetched = level.join(pages, "url", "left")
         body = F.row_number().over(Window.partitionBy(F.sha2("html", 256)).orderBy("seq"))
         error = F.when(~F.col("allowed"), "blocked by robots").when(F.col("html").isNull(), "not found").when(body > 1, "duplicate content")
         done = files.keep(fetched.withColumn("error", error).withColumn("title", meta.title(F.col("html"))), f"level{depth}")
-        kept = files.keep(done.where("error is null").orderBy("seq").limit(room).select("url", "seed", "seq", "html", "title"), f"kept{depth}")
+        fetched_well = done.where("error is null")
+        kept = files.keep((fetched_well if room is None else fetched_well.orderBy("seq").limit(room)).select("url", "seed", "seq", "html", "title"), f"kept{depth}")
         found = links(kept).join(kept.select("url", "seed", F.col("seq").alias("from_seq")), "url")
         counts = found.groupBy("url").agg(F.count("*").alias("n_links"))
         fine = done.join(kept.select("url").distinct(), "url", "left_semi")
@@ -159,8 +163,9 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
             numbered = wanted.withColumn("seq", F.row_number().over(Window.orderBy("from_seq", "pos"))).withColumn("path", F.try_parse_url("url", F.lit("PATH")))
             wanted = within_budget(numbered, config.budgets).where("allowed").select("url", "seed", "from_seq", "pos")
         fresh = unseen(first_seen(wanted, F.col("url"), F.col("from_seq"), F.col("pos")), visited)
-        capped = fresh.orderBy("from_seq", "pos").limit(config.max_pages * FRONTIER_FACTOR)
-        frontier = files.keep(capped.select("url", "seed", F.lit(depth + 1).alias("depth"), (F.row_number().over(Window.orderBy("from_seq", "pos")) + (next_seq - 1)).cast("int").alias("seq")), f"frontier{depth + 1}")
+        capped = fresh if config.max_pages is None else fresh.orderBy("from_seq", "pos").limit(config.max_pages * FRONTIER_FACTOR)
+        ranked = files.placed(capped.select("url", "seed", "from_seq", "pos"), f"fresh{depth + 1}", "from_seq", "pos")
+        frontier = files.keep(ranked.select("url", "seed", F.lit(depth + 1).alias("depth"), (F.col("place") + next_seq).alias("seq")), f"frontier{depth + 1}")
         n = frontier.count()
         if not n:
             break

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -27,3 +28,13 @@ class Store:
         where = f"{self.base}/{name}"
         frame.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(frame.schema).parquet(where)
+
+    def placed(self, frame: DataFrame, name: str, *order: Column | str) -> DataFrame:
+        """``frame`` and place, from 0, in a total order: sorted by range, each part's offset is the sizes of those before it."""
+        rows = self.keep(frame.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), name)
+        part = F.shiftright("__at", 33)
+        sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
+        before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row a part
+        offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__offset"))
+        place = F.col("__offset") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+        return rows.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn("place", place).drop("__part", "__at", "__offset")

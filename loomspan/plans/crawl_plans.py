@@ -69,10 +69,15 @@ def c10(spark, sf_dir):
     return _robots(spark).select(C.crawl_delay(F.col("body")).alias("delay"), F.explode(C.robots_sitemaps(F.col("body"))).alias("sitemap"))
 
 
+#: Entries of a sitemap file, and files of an index, at most.
+SITEMAP_ENTRIES = 500
+
+
 def _sitemaps(spark, sf_dir):
-    pages = load(spark, sf_dir, "pages").where("page_id < 50")
+    """Files of all pages, by ranges of page_id."""
+    pages = load(spark, sf_dir, "pages")
     entry = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<lastmod>2024-01-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
-    return pages.groupBy((F.col("page_id") % 3).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(entry)), ""), F.lit("</urlset>")).alias("body")).select(F.concat(F.lit("https://s.example/"), F.col("k"), F.lit(".xml")).alias("url"), "body")
+    return pages.groupBy(F.floor(F.col("page_id") / SITEMAP_ENTRIES).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(entry)), ""), F.lit("</urlset>")).alias("body")).select(F.concat(F.lit("https://s.example/"), F.col("k"), F.lit(".xml")).alias("url"), "body")
 
 
 @query("c13_c14_sitemaps", "SELECT url AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END AS lastmod FROM pages WHERE page_id < 50 AND (page_id % 2 = 1 OR page_id % 28 + 1 >= 15)")
@@ -82,17 +87,20 @@ def c13(spark, sf_dir):
 
 @query("c15_discover", "SELECT url AS loc FROM pages WHERE page_id < 50")
 def c15(spark, sf_dir):
-    index = F.concat(*(F.lit(f"<sitemap><loc>https://s.example/{k}.xml</loc></sitemap>") for k in range(3)))
-    top = spark.range(1).select(F.lit("https://s.example/sitemap.xml").alias("url"), F.concat(F.lit("<sitemapindex>"), index, F.lit("</sitemapindex>")).alias("body"))
+    maps = _sitemaps(spark, sf_dir)
+    number = F.regexp_extract("url", r"(-?[0-9]+)\.xml$", 1).cast("bigint")
+    entry = lambda url: F.concat(F.lit("<sitemap><loc>"), url, F.lit("</loc></sitemap>"))
+    body = lambda url: F.concat(F.lit("<sitemapindex>"), F.array_join(F.sort_array(F.collect_list(entry(url))), ""), F.lit("</sitemapindex>")).alias("body")
+    indexes = maps.groupBy(F.floor(number / SITEMAP_ENTRIES).alias("k")).agg(body(F.col("url"))).select(F.concat(F.lit("https://s.example/index"), F.col("k"), F.lit(".xml")).alias("url"), "body")
+    top = indexes.groupBy().agg(body(F.col("url"))).select(F.lit("https://s.example/sitemap.xml").alias("url"), "body")  # an entry for each 250,000 pages
     robots = spark.range(1).select(F.lit("s.example").alias("host"), F.lit("User-agent: *").alias("body"))
-    return C.discover_sitemaps(spark, robots, _sitemaps(spark, sf_dir).unionByName(top)).select("loc")
+    return C.discover_sitemaps(spark, robots, maps.unionByName(indexes).unionByName(top)).select("loc")
 
 
 @query("c16_c17_crawl")
 def c17(spark, sf_dir):
     store = load(spark, sf_dir, "pages").select("url", "html")
-    seeds = load(spark, sf_dir, "pages").where("page_id % 10 = 0").select("url")
-    return C.crawl(spark, seeds, store, config=C.CrawlConfig(max_pages=60, max_depth=1))
+    return C.crawl(spark, store.select("url"), store, config=C.CrawlConfig(max_pages=None, max_depth=None))
 
 
 @query("r01_fusion", """

@@ -2,10 +2,13 @@
 
 import duckdb
 
-from loomspan.plans import catalog
+from loomspan.operators import crawl
+from loomspan.plans import catalog, crawl_plans
 
 from .conftest import SMALL
 
+LARGER = "/root/testdata/sf0.01"
+
 
 def write(spark, folder, name, rows, schema):
     spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
@@ -29,3 +32,21 @@ def test_content_text_judges_whole_texts(spark, tmp_path):
     whole = r"""SELECT doc_id, strlen(t) >= 15 AND NOT regexp_matches(t, '^(https?://|/|\{|\[)') AND contains(t, ' ') AND length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) / strlen(t) >= 0.6
 FROM (SELECT doc_id, trim(text) AS t FROM documents) WHERE t <> ''"""
     assert in_spark(spark, "e34_content_text", SMALL) == in_sql(SMALL, "documents", whole)
+
+
+def test_sitemaps_hold_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(crawl_plans, "SITEMAP_ENTRIES", 6)  # indexes of indexes
+    every = "SELECT url AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END AS lastmod, page_id FROM pages"
+    assert len(in_sql(LARGER, "pages", every)) > 50
+    assert in_spark(spark, "c13_c14_sitemaps", LARGER) == in_sql(LARGER, "pages", f"SELECT loc, lastmod FROM ({every}) WHERE page_id % 2 = 1 OR page_id % 28 + 1 >= 15")
+    assert in_spark(spark, "c15_discover", LARGER) == in_sql(LARGER, "pages", f"SELECT loc FROM ({every})")
+
+
+def test_the_store_ends_the_crawl(spark, tmp_path):
+    pages = [(i, f"https://s.x/p{i}", f"<title>{i}</title><a href='/p{i + 1}'>next</a>") for i in range(130)]
+    rows = catalog.QUERIES["c16_c17_crawl"](spark, write(spark, tmp_path, "pages", pages, "page_id long, url string, html string")).collect()
+    assert sorted(r.url for r in rows if r.error is None) == sorted(p[1] for p in pages)
+    assert [(r.url, r.depth, r.error) for r in rows if r.error] == [("https://s.x/p130", 1, "not found")]
+    store = spark.createDataFrame(pages[:6], "page_id long, url string, html string").select("url", "html")
+    deep = crawl.crawl(spark, store.where("url like '%p0'").select("url"), store, config=crawl.CrawlConfig(max_pages=None, max_depth=None)).collect()
+    assert [(r.url, r.depth, r.seq, r.error) for r in sorted(deep, key=lambda r: r.seq)] == [(f"https://s.x/p{i}", i, i + 1, None if i < 6 else "not found") for i in range(7)]

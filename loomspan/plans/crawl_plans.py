@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import crawl as C
 from ..operators import fusion, keyed
+from ..operators.storage import Store
 from ..sources.tables import load
 from .page_plans import HOST
 
@@ -109,11 +110,10 @@ t AS (SELECT * FROM l WHERE rank < 40)
 SELECT 'u' || vec_id::VARCHAR AS url, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM t GROUP BY vec_id""")
 def r01(spark, sf_dir):
     emb = load(spark, sf_dir, "embeddings")
-    lists = None
+    files, lists = Store(spark, "fusion"), None
     for i in range(3):
-        top = emb.select("vec_id", F.col("embedding")[i].alias("x")).orderBy(F.col("x").desc(), "vec_id").limit(40)
-        placed = top.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("x"), "vec_id"))).alias("a")).select(F.posexplode("a").alias("rank", "e"))
-        one = placed.select(F.lit(i).alias("list"), "rank", F.concat(F.lit("u"), F.col("e.vec_id")).alias("url"), F.lit("t").alias("title"), F.lit(f"engine{i}").alias("engine"))
+        ranked = files.placed(emb.select("vec_id", F.col("embedding")[i].alias("x")), f"list{i}", F.col("x").desc(), F.col("vec_id"))
+        one = ranked.select(F.lit(i).alias("list"), F.col("place").alias("rank"), F.concat(F.lit("u"), F.col("vec_id")).alias("url"), F.lit("t").alias("title"), F.lit(f"engine{i}").alias("engine"))
         lists = one if lists is None else lists.unionByName(one)
     return fusion.fuse(lists).select("url", "score")
 

@@ -50,3 +50,11 @@ def test_the_store_ends_the_crawl(spark, tmp_path):
     store = spark.createDataFrame(pages[:6], "page_id long, url string, html string").select("url", "html")
     deep = crawl.crawl(spark, store.where("url like '%p0'").select("url"), store, config=crawl.CrawlConfig(max_pages=None, max_depth=None)).collect()
     assert [(r.url, r.depth, r.seq, r.error) for r in sorted(deep, key=lambda r: r.seq)] == [(f"https://s.x/p{i}", i, i + 1, None if i < 6 else "not found") for i in range(7)]
+
+
+def test_fusion_ranks_whole_lists(spark):
+    lists = " UNION ALL ".join(f"SELECT vec_id, row_number() OVER (ORDER BY embedding[{i}] DESC, vec_id) - 1 AS rank FROM embeddings" for i in (1, 2, 3))
+    want = dict(in_sql(LARGER, "embeddings", f"SELECT 'u' || vec_id::VARCHAR, sum(1.0::DOUBLE / (60 + rank)) FROM ({lists}) GROUP BY vec_id"))
+    got = dict(in_spark(spark, "r01_fusion", LARGER))
+    assert len(got) > 120 and got.keys() == want.keys()
+    assert all(abs(got[u] - want[u]) < 2e-12 for u in want)

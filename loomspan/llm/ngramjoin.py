@@ -2,7 +2,8 @@
 
 A document is the set of its distinct runs of ``size`` words; two link when
 the Jaccard similarity of their sets reaches the threshold. Documents with
-equal sets form a class, and only one of a class takes part.
+equal sets form a class, and only one of a class takes part. A class is named
+by 64 bits of its set's hash, its key, until components get their doc_ids.
 
 1. Under any fixed order of tokens, similar sets share at least m of the first
    (n - ceil(t n)) + m tokens of the one whose prefix ends first. In hash
@@ -91,15 +92,29 @@ def base_rows(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(tidy(run), "doc bigint, n bigint, s1 bigint, s2 bigint, prefix binary")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc, n, tokens of rows whose doc_id is in ``doc_id``."""
+def text_classes(docs: DataFrame, size: int) -> DataFrame:
+    """doc, text, n, s1, s2 as in ``base_rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column(1), size))
-            yield pa.RecordBatch.from_arrays([b.column(0), packed(sets), pa.array([len(x) for x in sets], pa.int64())], ["doc", "tokens", "n"])
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc", "text", "n", "s1", "s2"])
+
+    ready_for_python(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(tidy(run), "doc bigint, text string, n bigint, s1 bigint, s2 bigint")
+
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), "text").mapInArrow(tidy(run), "doc bigint, tokens binary, n bigint")
+def full_sets(docs: DataFrame, size: int) -> DataFrame:
+    """doc (the key of the row's class), tokens, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(shingle_sets(b.column(0), size))
+            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8")[::2]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), packed(sets), pa.array([len(x) for x in sets], pa.int64())], ["doc", "tokens", "n"])
+
+    return docs.select("text").mapInArrow(tidy(run), "doc bigint, tokens binary, n bigint")
 
 
 def small(table: DataFrame) -> DataFrame:
@@ -280,30 +295,29 @@ def _many_links(mixed: DataFrame, sets: DataFrame, group: DataFrame | None) -> D
 
 
 def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (doc, n, s1, s2) of all rows, the sets that may link, and their signatures."""
+    """Members (doc, n, s1, s2) of all rows, the sets that may link, and their signatures; the doc of the latter two is a class's key, s1."""
     docs = docs.select("doc_id", "text")
     base = scratch.keep(base_rows(docs, size), "base")
     members = scratch.keep(base.select("doc", "n", "s1", "s2"), "members")
     entries = base.where("doc is not null").agg(F.sum(F.octet_length("prefix")) / 8).head()[0] or 0
-    shared = shared_counts(base.where("doc is not null and n > 0").select("doc", F.col("prefix").alias("tokens")), int(entries))
+    shared = shared_counts(base.where("doc is not null and n > 0").select(F.col("s1").alias("doc"), F.col("prefix").alias("tokens")), int(entries))
     classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("doc"))
     # A similar set may be smaller by the threshold, and its margin is what counts.
     least = F.greatest(F.lit(1), F.floor(F.lit(EXTRA) * F.ceil(F.col("n") * NUM / DEN)).cast("bigint"))
-    active = classes.join(shared, "doc").where(F.col("n_shared") >= least)
-    active = scratch.keep(active.groupBy("doc").agg(F.max("n").alias("n"), F.sum("n").alias("entries")), "active")
+    active = classes.join(shared.withColumnRenamed("doc", "s1"), "s1").where(F.col("n_shared") >= least)
+    active = scratch.keep(active.select("s1", "n", "doc"), "active")
     scratch.drop("base")
     sets = scratch.keep(full_sets(with_ids(docs, active.select("doc")), size), "sets")
-    entries = active.agg(F.sum("entries")).head()[0] or 0
+    entries = sets.agg(F.sum("n")).head()[0] or 0
     told = scratch.keep(shared_tokens(sets.select("doc", "tokens"), int(entries), FREQUENT), "told")
-    alive = scratch.keep(ordered(told.join(active.select("doc", "n"), "doc")), "alive")
+    alive = scratch.keep(ordered(told.join(active.select(F.col("s1").alias("doc"), "n"), "doc")), "alive")
     scratch.drop("sets", "told")
     rows = scratch.keep(signatures(alive), "signatures")
     return members, alive, rows
 
 
-def link_components(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    scratch = Scratch(docs.sparkSession, "ngram-join")
+def _linked(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """doc, n, s1, s2, component of every row of ``docs`` (doc_id, text)."""
     members, sets, rows = _candidates(docs, scratch, size)
     edges, group = None, None
     for i in range(PIVOT_ROUNDS + 1):
@@ -327,10 +341,19 @@ def link_components(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
     if group is None:
         group = rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
     classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("first"))
-    named = classes.join(small(group), F.col("first") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "first").alias("component"))
+    # The smallest doc_id of a component's classes names it.
+    names = group.join(classes, F.col("node") == F.col("s1")).groupBy("component").agg(F.min("first").alias("name"))
+    group = scratch.keep(group.join(small(scratch.keep(names, "names")), "component").select("node", "name"), "named")
+    named = classes.join(small(group), F.col("s1") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("name", "first").alias("component"))
     linked = members.join(named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
-    return linked.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return linked.select("doc", "n", "s1", "s2", component.alias("component"))
+
+
+def link_components(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    linked = _linked(docs, Scratch(docs.sparkSession, "ngram-join"), size)
+    return linked.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def similar_classes(docs: DataFrame, *, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -338,20 +361,33 @@ def similar_classes(docs: DataFrame, *, size: int = SIZE) -> tuple[DataFrame, Da
     scratch = Scratch(docs.sparkSession, "ngram-links")
     members, sets, rows = _candidates(docs, scratch, size)
     links = scratch.keep(verify(_all_pairs(rows), sets), "links")
-    classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class_id"))
-    degrees = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    named = members.where("doc is not null").join(classes, ["n", "s1", "s2"], "left").withColumn("class_id", F.coalesce("class_id", "doc"))
-    return links, named.join(degrees, "class_id", "left").select(F.col("doc").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = scratch.keep(members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class_id")), "classes")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("s1")).groupBy("s1").agg(F.count("*").alias("n_links"))
+    counted = classes.join(degrees, "s1", "left")
+    named = members.where("doc is not null").join(counted, ["n", "s1", "s2"], "left").withColumn("class_id", F.coalesce("class_id", "doc"))
+    first = {x: classes.select(F.col("s1").alias(x), F.col("class_id").alias(f"first_{x}")) for x in "ab"}
+    pairs = links.join(first["a"], "a").join(first["b"], "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return pairs, named.select(F.col("doc").alias("doc_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
     """The rows of ``docs``, columns as they are, that have their component's smallest doc_id; of rows with equal doc_id and text, one."""
     scratch = Scratch(docs.sparkSession, "ngram-keep")
-    found = scratch.keep(link_components(docs.select("doc_id", "text"), size=size), "components")
-    chosen = scratch.keep(found.where("component_id is null or doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")), "chosen")
-    single = docs.join(chosen.where("__rows = 1 and __kept is not null"), F.col("doc_id").cast("bigint") == F.col("__kept"), "left_semi")
-    repeated = chosen.where("__rows > 1 or __kept is null")
+    kept = F.col("component").isNull() | (F.col("doc") == F.col("component"))
+    found = scratch.keep(_linked(docs.select("doc_id", "text"), scratch, size).withColumn("kept", kept), "found")
+    chosen = scratch.keep(found.groupBy(F.col("doc").alias("__doc")).agg(F.count("*").alias("__rows"), F.count_if("kept").alias("__kept")).where("__kept > 0"), "chosen")
+    doc = F.col("doc_id").cast("bigint")
+    single = docs.join(chosen.where("__rows = 1 and __doc is not null"), doc == F.col("__doc"), "left_semi")
+    repeated = chosen.where("__rows > 1 or __doc is null")
     if repeated.isEmpty():
         return single
-    again = docs.join(repeated, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__kept")), "left_semi")
-    return single.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    again = docs.join(repeated.where("__rows = __kept"), doc.eqNullSafe(F.col("__doc")), "left_semi").dropDuplicates(["doc_id", "text"])
+    out = single.unionByName(again)
+    mixed = chosen.where("__kept < __rows")
+    if mixed.isEmpty():
+        return out
+    # Some texts of a doc_id stay, others are copies of another document's.
+    some = docs.join(mixed, doc == F.col("__doc"), "left_semi").dropDuplicates(["doc_id", "text"])
+    wanted = found.where("kept").join(mixed, F.col("doc") == F.col("__doc"), "left_semi").select("doc", "n", "s1", "s2").distinct()
+    texts = text_classes(some, size).join(wanted, ["doc", "n", "s1", "s2"], "left_semi").select(F.col("doc").alias("__doc"), F.col("text").alias("__text"))
+    return out.unionByName(some.join(texts, (doc == F.col("__doc")) & F.col("text").eqNullSafe(F.col("__text")), "left_semi"))

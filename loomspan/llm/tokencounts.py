@@ -41,6 +41,9 @@ def _send(cap: int, buckets: int, places: bool):
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
             fresh = np.concatenate([[True], (docs[1:] != docs[:-1]) | (group[1:] != group[:-1])]) if len(tokens) else np.zeros(0, bool)
             holders = np.bincount(group, fresh, len(starts)).astype(np.int64)
+            if not places:  # rows that stand for one document send an entry once
+                tokens, docs, at, group = tokens[fresh], docs[fresh], at[fresh], group[fresh]
+                starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else starts
             hot = holders >= cap
             told = hot[group] if len(group) else np.zeros(0, bool)
             out: list[tuple] = []

@@ -38,6 +38,15 @@ def brute(rows):
     return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)), links, sets
 
 
+def by_row(rows):
+    """The component of each row, in the order of ``rows``."""
+    sets, least = [shingle_set(t) for _, t in rows], [d for d, _ in rows]
+    near = [[j for j, b in enumerate(sets) if a and b and 100 * len(a & b) >= 80 * len(a | b)] for a in sets]
+    while (lower := [min([least[i], *(least[j] for j in js)]) for i, js in enumerate(near)]) != least:
+        least = lower
+    return least
+
+
 def corpus(seed, n_base=12, copies=14):
     rng = random.Random(seed)
     word = lambda: rng.choice("abcdefgh") + rng.choice("aeiou") + rng.choice("xyzw")
@@ -111,6 +120,32 @@ def test_keep_one(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "7", "8", "9", "None"]
 
 
+def overlapping(seed):
+    """Rows of two sources whose ids overlap, and a long text without partner under the id of a short one near another document."""
+    rng = random.Random(seed)
+    rows = [(d % 40, t) for d, t in corpus(seed)]
+    long, short = " ".join(f"long{i}" for i in range(104)), [f"w{i}" for i in range(14)]
+    rows += [(1005, long), (1005, " ".join(short)), (1003, " ".join(short[:-1]))]
+    return rng.sample(rows, len(rows))
+
+
+def test_rows_that_repeat_an_id_are_judged_one_by_one(spark):
+    rows = overlapping(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, links, sets = brute(rows)
+    assert (1005, 10, 1003) in want and (1005, 100, 1005) in want
+    assert sorted(tuple(r) for r in ngramjoin.link_components(docs).collect()) == want
+    found, _ = ngramjoin.similar_classes(docs)
+    first = {}
+    for (d, _), s in zip(rows, sets):
+        first[s] = min(first.get(s, d), d)
+    classes = {frozenset((sets[i], sets[j])) for i, j in links}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(sorted(first[s] for s in pair)) for pair in classes)
+    component = {(d, s): c for d, s, c in ((rows[i][0], sets[i], c) for i, c in enumerate(by_row(rows)))}
+    kept = {(d, t) for (d, t), s in zip(rows, sets) if not s or component[d, s] == d}
+    assert sorted(((r.doc_id, r.text) for r in ngramjoin.keep_one(docs).collect()), key=str) == sorted(kept, key=str)
+
+
 def test_empty_table(spark):
     assert ngramjoin.link_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -125,7 +125,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
     All texts advance together, longest first, so that each step is one array
     operation over the texts that still have words.
     """
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     order = np.argsort(-lengths, kind="stable")
     first, n = starts[order], lengths[order]
     order = None
@@ -143,7 +143,7 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, penalty
         best = prev.argmax(1)
         jump = prev[np.arange(k), best] - penalty
         stay = prev >= jump[:, None]
-        back.append(np.where(stay, np.arange(prev.shape[1], dtype=np.int8), best[:, None].astype(np.int8)))
+        back.append(np.where(stay, np.arange(prev.shape[1], dtype=np.int16), best[:, None].astype(np.int16)))
         state[:k] = np.where(stay, prev, jump[:, None]) + scores[first[:k] + t]
     label = state.argmax(1)
     for t in range(steps - 1, -1, -1):

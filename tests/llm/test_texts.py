@@ -47,6 +47,19 @@ def test_viterbi_is_brute_force():
         assert abs(best - (sum(scores[s + i, p] for i, p in enumerate(path)) - 2.0 * (np.diff(path) != 0).sum())) < 1e-9
 
 
+def test_more_languages_than_a_byte_counts(spark):
+    labels = langid.viterbi(np.eye(200)[[0, 199, 150, 128]] * 9, np.array([0]), np.array([4]), 1.0)
+    assert labels.tolist() == [0, 199, 150, 128]
+    rng = random.Random(3)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(12)] for i in range(140)}
+    rows = [(i, " ".join(w), lang) for i, (lang, w) in enumerate(words.items())]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = langid.fit(table)
+    assert len(many.langs) == 140
+    assert {r.doc_id: r.lang_pred for r in langid.predict(table, many).collect()} == {i: lang for i, _, lang in rows}
+    assert {r.doc_id: r.lang for r in langid.spans(table, many).collect()} == {i: lang for i, _, lang in rows}
+
+
 def test_no_training_rows(spark):
     empty = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     got = langid.predict(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), empty).collect()

@@ -1,4 +1,4 @@
-"""Line deduplication, URL filters, mixing, nearest neighbours and the pipeline on small tables."""
+"""Line deduplication, URL filters, mixing and the pipeline on small tables."""
 
 import hashlib
 import random
@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import ann, linededup, mixing, urlfilter
+from loomspan.llm import linededup, mixing, urlfilter
 from loomspan.llm.q_urlfilter import RULES
 from loomspan.llm.scratch import Scratch
 
@@ -138,50 +138,6 @@ def test_schedule_inverts_its_integral(spark):
     assert all(abs(r.p - r.t) < 2e-3 for r in got)
 
 
-def test_nearest(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(700, 24)).astype(np.float32)
-    x[100:140] = x[100]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(900, None), (920, [0.0] * 24), (940, [float("nan")] * 24), (960, [1.0] * 5), (980, [None] * 24)]
-    table = spark.createDataFrame([(*r, 3) for r in rows + bad], "vec_id long, embedding array<float>, rank int")
-    got = {}
-    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-    assert set(got) == set(range(0, 700, 20))
-    wide, hits = x.astype(np.float64), 0
-    for q, found in got.items():
-        scores = wide @ wide[q]
-        scores[q] = -np.inf
-        want = np.lexsort((np.arange(700), -np.round(scores, 12)))[:20].tolist()
-        assert sorted(found) == list(range(1, 21)) and all(abs(s - wide[i] @ wide[q]) < 1e-12 for i, s in found.values())
-        hits += len({i for i, _ in found.values()} & set(want))
-    assert hits >= 0.9 * 20 * len(got)
-    assert [found[1][0] for q, found in got.items() if q == 120] == [100]
-    few = ann.nearest(table.where("vec_id < 5"), F.col("vec_id") == 0).collect()
-    assert len(few) == 4 and ann.nearest(table.limit(0), F.col("vec_id") == 0).collect() == []
-
-
-def test_nearest_where_ids_follow_clusters(spark, monkeypatch):
-    monkeypatch.setattr(ann, "FIT_ROWS", 1500)
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(6000, 32))
-    for a in range(0, 1200, 300):  # the lowest ids are near copies
-        x[a : a + 300] = x[a] + rng.normal(scale=1e-4, size=(300, 32))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    assert ann.learn(x[:3000], 20).radius > 0
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {}
-    for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    hits = 0
-    for q in range(1200, 6000, 20):
-        scores = x @ x[q]
-        scores[q] = -np.inf
-        hits += len(got[q] & set(np.argsort(-scores)[:20].tolist()))
-    assert hits >= 0.9 * 20 * 240
-
-
 def test_pipeline_keeps_columns_and_clean_documents(spark):
     import corpus_pipeline
 

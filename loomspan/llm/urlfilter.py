@@ -59,9 +59,9 @@ def _literal(text: Column) -> Column:
 
 
 def compile_rules(rules: DataFrame) -> DataFrame:
-    """rule (its text), verdict, regex over ``host path``, pattern, length and tokens."""
+    """rule (its text), verdict, regex over ``host#path`` (neither holds a ``#``), pattern, length and tokens."""
     path = F.coalesce("path", F.lit(""))
-    regex = F.concat(F.lit("^(?s:(?:[^ ]*\\.)?)"), _literal(F.col("host")), F.lit(" "), _literal(path))
+    regex = F.concat(F.lit("^(?:[^#]*\\.)?"), _literal(F.col("host")), F.lit("#"), _literal(path))
     return rules.select(
         F.concat("host", path).alias("rule"), "verdict", regex.alias("regex"), "pattern", (F.length("host") + F.length(path)).alias("size"), _tokens(F.col("host"), path, False).alias("tokens")
     ).where("verdict is not null and rule is not null")
@@ -89,7 +89,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = DEFAULT) -> Data
     tokens = urls.where("host <> ''").select("url", "host", "path", F.explode(_tokens(F.col("host"), F.col("path"), True)).alias("token"))
     index = index_rules(compiled, tokens.select("token"))
     candidates = tokens.join(F.broadcast(index) if _small(rules) else index, "token")
-    fits = F.rlike(F.concat("host", F.lit(" "), "path"), F.col("regex")) & (F.col("pattern").isNull() | F.rlike(F.col("url"), F.col("pattern")))
+    fits = F.rlike(F.concat("host", F.lit("#"), "path"), F.col("regex")) & (F.col("pattern").isNull() | F.rlike(F.col("url"), F.col("pattern")))
     best = candidates.where(fits).groupBy("url").agg(F.max(F.struct("size", "rule", "verdict")).alias("best"))
     verdicts = urls.join(best, "url", "left").select(F.col("url").alias("__url"), F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("best.rule").alias("__rule"), F.coalesce("best.verdict", F.lit(default)).alias("__verdict"))
     mine = pages.select(*(F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")))

@@ -71,8 +71,10 @@ def brute_url(url):
     return (host, path, *(max(fits)[1:] if fits else (None, "allow")))
 
 
-def test_url_rules_are_brute_force(spark):
-    hosts = ["example.com", "www.example.com", "WWW.Example.COM", "a.www.example.com", "notexample.com", "example.net", "x.net", "com", "net", "example.com:80", "u@example.com", "é.com", ""]
+@pytest.mark.parametrize("broadcast_rules", [urlfilter.BROADCAST_RULES, 0])
+def test_url_rules_are_brute_force(spark, monkeypatch, broadcast_rules):
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", broadcast_rules)
+    hosts = ["example.com", "www.example.com", "WWW.Example.COM", "a.www.example.com", "notexample.com", "example.net", "x.net", "com", "net", "example.com:80", "u@example.com", "é.com", "", "a b.com", "www.exa mple.example.com", "a\tb.net", "a\nb.example.com", "x .com ", "a b"]
     tails = ["", "/", "/en", "/en/", "/en/x?y=/es/", "/es/#a", "/fr/a", "?q=/en/", "#/en/", "/en/\nx"]
     urls = [f"{s}://{h}{t}" for s in ("http", "x") for h in hosts for t in tails] + [None, "", "no scheme", "://", "a://b://c/en/"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls + urls[:5])], "page_id long, url string, host string")

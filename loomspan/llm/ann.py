@@ -306,13 +306,13 @@ def candidate_pairs(classes: DataFrame, model: Model, dims: int, k: int, scratch
     """q, c: what the queries among ``classes`` (c, embedding, asks, members) find in the index, wide enough for k neighbours where there are that many."""
     n = classes.count()
     width = best_width(n, model.radii[0])
-    dealt = classes.repartition(max(1, -(-n // POSTINGS)), "c")
-    postings = scratch.keep(_entries(dealt, model, dims, width, None, POSTINGS), "postings")
+    postings = scratch.keep(_entries(classes.coalesce(max(1, -(-n // POSTINGS))), model, dims, width, None, POSTINGS), "postings")
     asking, found = classes.where("asks"), None
     for i, wider in enumerate((0.0, *WIDER)):
         radii = tuple(r + math.ceil((bits - r) * wider) for r, bits in zip(model.radii, LEVELS))
         reach = thresholds(radii[0], INDEX_BITS // width)
-        pairs = scratch.keep(_search(_entries(asking, model, dims, width, reach, PROBES), postings, width, reach, radii), f"pairs{i}")
+        few = asking.coalesce(max(1, -(-asking.count() // PROBES)))
+        pairs = scratch.keep(_search(_entries(few, model, dims, width, reach, PROBES), postings, width, reach, radii), f"pairs{i}")
         if radii == LEVELS:
             lacking = asking.limit(0)
         else:

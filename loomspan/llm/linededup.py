@@ -1,10 +1,13 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-The index is a set of runs: bucketed, sorted tables of line hashes. A batch of
-documents drops the lines whose hashes are in a run (merge anti-join over
-co-located buckets), and those that a smaller doc_id of the batch holds; then
-the hashes new to the index become a run of level 0. ``FANOUT`` runs of a
-level are merged into one of the next, so that a batch meets only a few runs.
+The index is a set of runs: tables of line hashes, bucketed and sorted by both
+hashes. A batch of documents drops the lines whose hashes are in a run, and
+those that a smaller doc_id of the batch holds; then the hashes new to the
+index become a run of level 0. The batch's distinct hashes are shuffled once,
+into the runs' buckets; meeting the runs is then a merge of sorted buckets,
+without a shuffle or sort of any run. ``FANOUT`` runs of a level are compacted
+into one of the next, bucket by bucket, also without a shuffle, so that a
+batch meets only a few runs.
 
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with
 A-Z in lower case; keys below ``MIN_CHARS`` code points are never dropped. Two
@@ -12,17 +15,25 @@ A-Z in lower case; keys below ``MIN_CHARS`` code points are never dropped. Two
 
 Batches taken in ascending order of doc_id give the result of one pass over
 all of them: a key found in two documents or more stays only in the smallest
-doc_id that holds it (all its lines there stay).
+doc_id that holds it (all its lines there stay). Their number grows with the
+logarithm of the input and is always large enough to compact.
+
+A line that more than one in ``HOT_SHARE`` of a batch's lines equal is hot:
+there are at most ``HOT_SHARE`` such keys, so they are broadcast to where the
+lines are; all others meet their lines in a shuffle.
 
 Defined results: a null or empty text is one empty line, which stays; rows
 that repeat a doc_id are parts of one document, so they never make a line
 repeated; rows with a null doc_id keep their lines and aren't indexed; an
-empty table gives no rows; ties cannot occur, as doc_ids order the holders.
+empty table gives no rows; ties cannot occur, as doc_ids order the holders;
+extra columns are kept (``deduplicate_lines``) or ignored.
 """
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from math import log2
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +41,12 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 MIN_CHARS = 10
-FANOUT = 4
-BATCHES = 3
+FANOUT = 3
+#: Batches of an input of up to ``SMALL`` documents; each doubling beyond that adds one.
+BATCHES, SMALL = 5, 50_000_000
+HOT_SHARE = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -61,79 +75,126 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Lets plans rely on the order within buckets, which have one file each here."""
+    before = spark.conf.get(_ORDERED)
+    spark.conf.set(_ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_ORDERED, before)
+
+
 class LineIndex:
-    """Levelled runs of the line hashes of all documents added so far."""
+    """Levelled runs of the line hashes of all documents added so far.
+
+    A run is the part ``not old`` of a table (h1, h2, first, last, lines, old).
+    """
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
-        self.made = 0
+        self.made: list[str] = []
 
     def _write(self, keys: DataFrame) -> str:
-        table = f"{self.name}_{self.made}"
-        self.made += 1
-        keys.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").saveAsTable(table)
+        """``keys`` as a run; its rows lie in its buckets already."""
+        table = f"{self.name}_{len(self.made)}"
+        self.made.append(table)
+        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(table)
         return table
 
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"drop table if exists {table}")
+        self.made = [t if t != table else "" for t in self.made]
+
+    def compacted(self, runs: list[str]) -> DataFrame:
+        """The rows of some runs, whose keys differ, still in their buckets."""
+        rows = self.spark.table(runs[0]).where("not old")
+        for r in runs[1:]:
+            rows = rows.unionByName(self.spark.table(r).where("not old"))
+        return rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("lines").alias("lines"), F.lit(False).alias("old"))
+
     def _push(self, table: str, level: int = 0) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(table)
         if len(self.levels[level]) >= FANOUT:
             runs, self.levels[level] = self.levels[level], []
-            merged = self.spark.table(runs[0])
-            for r in runs[1:]:
-                merged = merged.unionByName(self.spark.table(r))
-            self._push(self._write(merged), level + 1)
+            self._push(self._write(self.compacted(runs)), level + 1)
             for r in runs:
-                self.spark.sql(f"drop table {r}")
+                self._drop(r)
 
     def runs(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
-    def add(self, lines: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-        """Dropped lines (doc_id, h1, h2) of a batch, whose keys then belong to the index.
+    def holders(self, lines: DataFrame) -> DataFrame:
+        """The keys of ``lines`` with their smallest and largest doc_id, number of lines, and whether a run holds them."""
+        if self.buckets != int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            partly = lines.groupBy("h1", "h2", F.spark_partition_id().alias("__at")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("lines"))
+            keys = partly.repartition(self.buckets, "h1", "h2").groupBy("h1", "h2").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("lines").alias("lines"))
+        else:
+            keys = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("lines"))
+        runs = self.runs()
+        for i, run in enumerate(runs):
+            seen = self.spark.table(run).where("not old").select("h1", "h2", F.lit(True).alias(f"seen{i}"))
+            keys = keys.join(seen.hint("merge"), ["h1", "h2"], "left")
+        old = F.coalesce(*(F.col(f"seen{i}") for i in range(len(runs))), F.lit(False))
+        return keys.select("h1", "h2", "first", "last", "lines", old.alias("old"))
+
+    def add(self, lines: DataFrame, scratch: Scratch, name: str, *, last: bool = False) -> DataFrame:
+        """Dropped lines (doc_id, h1, h2) of a batch, whose keys then belong to the index, unless it is the ``last`` batch.
 
         ``lines`` has doc_id, h1, h2; rows may repeat.
         """
-        holders = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        for i, run in enumerate(self.runs()):
-            seen = self.spark.table(run).withColumn("seen", F.lit(True))
-            holders = holders.join(seen.withColumnRenamed("seen", f"seen{i}"), ["h1", "h2"], "left")
-        marks = [F.col(c) for c in holders.columns if c.startswith("seen")]
-        old = F.coalesce(*marks, F.lit(False)) if marks else F.lit(False)
-        holders = scratch.keep(holders.select("h1", "h2", "first", "last", old.alias("old")), f"{name}-holders")
-        # Keys with several holders, or known before; a very common line is one row here and meets its holders in a join that AQE can split.
-        repeated = holders.where("old or first < last")
-        dropped = lines.join(repeated, ["h1", "h2"]).where("old or doc_id > first").select("doc_id", "h1", "h2").distinct()
-        dropped = scratch.keep(dropped, f"{name}-dropped")
-        self._push(self._write(holders.where("not old").select("h1", "h2")))
-        scratch.drop(f"{name}-holders")
+        with sorted_buckets(self.spark):
+            table = self._write(self.holders(lines))
+            held = self.spark.table(table)
+            n = held.agg(F.sum("lines")).head()[0] or 0
+            # Keys with several holders, or known before.
+            repeated = held.where("old or first < last").select("h1", "h2", "first", "old", (F.col("lines") > n / HOT_SHARE).alias("hot"))
+            hot = scratch.keep(repeated.where("hot").drop("hot"), f"{name}-hot")  # at most HOT_SHARE rows
+            later = "old or doc_id > first"
+            often = lines.join(F.broadcast(hot), ["h1", "h2"]).where(later).select("doc_id", "h1", "h2").distinct()
+            others = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
+            seldom = others.join(repeated.where("not hot"), ["h1", "h2"]).where(later).select("doc_id", "h1", "h2").distinct()
+            dropped = scratch.keep(often.unionByName(seldom), f"{name}-dropped")
+            if last:
+                self._drop(table)
+            else:
+                self._push(table)
         return dropped
 
     def close(self) -> None:
-        for t in self.runs():
-            self.spark.sql(f"drop table if exists {t}")
+        for t in self.made:
+            if t:
+                self._drop(t)
         self.levels = []
 
 
-def dropped_lines(docs: DataFrame, scratch: Scratch, *, batches: int = BATCHES) -> DataFrame:
+def batches_for(n: int) -> int:
+    """Batches for n documents."""
+    return BATCHES + max(0, int(log2(max(n, 1) / SMALL)) + 1 if n > SMALL else 0)
+
+
+def dropped_lines(docs: DataFrame, scratch: Scratch, *, batches: int | None = None) -> DataFrame:
     """doc_id, h1, h2 of the lines that go, found in batches of ascending doc_id."""
     spark = docs.sparkSession
-    lines = scratch.keep(line_hashes(docs), "lines")
-    edges = lines.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    index, parts, low = LineIndex(spark), [], None
-    for i, high in enumerate([*edges, None]):
-        part = lines
-        if low is not None:
-            part = part.where(F.col("doc_id") > low)
-        if high is not None:
-            part = part.where(F.col("doc_id") <= int(high))
-            low = int(high)
-        parts.append(index.add(part, scratch, f"batch{i}"))
-    index.close()
+    ids = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    batches = batches or batches_for(ids.count())
+    edges = sorted({min(int(x), (1 << 63) - 1) for x in ids.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    batch = F.lit(0)
+    for x in edges:
+        batch = batch + (F.col("doc_id") > F.lit(x)).cast("int")
+    lines = scratch.keep(line_hashes(docs).withColumn("batch", batch), "lines", by="batch")
+    index, parts = LineIndex(spark), []
+    try:
+        for i in range(len(edges) + 1):
+            parts.append(index.add(lines.where(F.col("batch") == i).drop("batch"), scratch, f"batch{i}", last=i == len(edges)))
+    finally:
+        index.close()
     scratch.drop("lines")
     out = parts[0]
     for p in parts[1:]:
@@ -141,7 +202,7 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, *, batches: int = BATCHES)
     return out
 
 
-def _with_drops(docs: DataFrame, *, batches: int) -> DataFrame:
+def _with_drops(docs: DataFrame, *, batches: int | None) -> DataFrame:
     """``docs`` with ``__drops``: the hashes of the lines that go (null: none)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     hashes = F.array_sort(F.collect_set(F.struct("h1", "h2")))  # bounded by the lines of a document
@@ -156,7 +217,7 @@ def _kept_lines() -> Column:
     return F.filter(F.split("text", "\n"), lambda line: ~gone(line))
 
 
-def deduplicate_lines(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, *, batches: int | None = None) -> DataFrame:
     """The rows of ``docs``, columns as they are, with repeated lines gone from ``text``.
 
     A column ``n_chars``, if there, is the length of the new text. A text whose
@@ -169,7 +230,7 @@ def deduplicate_lines(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
     return out.select(*(F.col("__new").alias("text") if c == "text" else F.length(F.coalesce("__new", F.lit(""))).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names))
 
 
-def dedup_report(docs: DataFrame, *, batches: int = BATCHES) -> DataFrame:
+def dedup_report(docs: DataFrame, *, batches: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of what is kept of each row."""
     whole = F.coalesce(F.col("text"), F.lit(""))
     n_lines = (F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("bigint")

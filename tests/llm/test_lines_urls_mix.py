@@ -1,8 +1,10 @@
 """Line deduplication, URL filters, mixing and the pipeline on small tables."""
 
 import hashlib
+import io
 import random
 import re
+from contextlib import redirect_stdout
 
 import numpy as np
 import pytest
@@ -36,7 +38,7 @@ def line_rows():
     rng = random.Random(5)
     pool = ["a repeated line", "A Repeated LINE ", "\tÄ repeated line", "ä repeated line", "short", "", "x" * 3000, "İstanbul is a line", "a line of its own", "10 chars!!", "9 chars!!"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for i in range(40)]
-    return rows + [(90, None), (91, ""), (92, "\n\n"), (None, "a repeated line"), (5, "a repeated line\nonly here it stands"), (5, "a repeated line\nonly here it stands")]
+    return rows + [(90, None), (91, ""), (92, "\n\n"), (None, "a repeated line"), (5, "a repeated line\nonly here it stands"), (5, "a repeated line\nonly here it stands"), ((1 << 53) + 1, "a far line here\nshort"), ((1 << 53) + 2, "a far line here"), ((1 << 63) - 1, "a far line here"), (-(1 << 63), "ä repeated line\nx")]
 
 
 @pytest.mark.parametrize("batches", [1, 3, 6])
@@ -50,14 +52,46 @@ def test_line_dedup_is_brute_force(spark, batches):
     assert [g[2] for g in got] == [w[3] for w in sorted(((d, n - k if n > k else 1, 0, h) for d, n, k, h in brute_lines(rows)), key=lambda x: str((x[0], x[1], x[3])))]
 
 
+def plan_of(frame):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        frame.explain()
+    return out.getvalue()
+
+
 def test_line_index_takes_batches_in_any_number(spark):
-    docs = spark.createDataFrame([(i, f"line number {i % 7} here\nline number {i} alone") for i in range(60)], "doc_id long, text string")
-    index, scratch, dropped = linededup.LineIndex(spark, 4), Scratch(spark, "test"), 0
-    for k in range(6):
+    docs = spark.createDataFrame([(i, f"line number {i % 7} here\nline number {i} alone") for i in range(100)], "doc_id long, text string")
+    index, scratch, dropped = linededup.LineIndex(spark), Scratch(spark, "test"), 0
+    for k in range(10):
         dropped += index.add(linededup.line_hashes(docs.where(f"doc_id div 10 = {k}")), scratch, f"b{k}").count()
-    assert len(index.runs()) <= linededup.FANOUT + 1
+    # ten runs of level 0 were compacted three times, and their results once
+    assert [len(x) for x in index.levels] == [1, 0, 1]
+    with linededup.sorted_buckets(spark):
+        plan = plan_of(index.holders(linededup.line_hashes(docs)))
+        # the batch is shuffled and sorted; runs are merged as they lie
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and plan.count("Bucketed: true") == 2
+        assert "Exchange" not in plan_of(index.compacted(index.runs()))
     index.close()
-    assert dropped == sum(r[2] for r in brute_lines([(i, f"line number {i % 7} here\nline number {i} alone") for i in range(60)]))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
+    assert dropped == sum(r[2] for r in brute_lines([(i, f"line number {i % 7} here\nline number {i} alone") for i in range(100)]))
+
+
+def test_failed_batches_leave_no_tables(spark, monkeypatch):
+    monkeypatch.setattr(linededup.LineIndex, "_push", lambda *a: 1 / 0)
+    docs = spark.createDataFrame([(i, f"line number {i % 7} here") for i in range(30)], "doc_id long, text string")
+    with pytest.raises(ZeroDivisionError):
+        linededup.dropped_lines(docs, Scratch(spark, "test"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
+
+
+def test_hot_lines(spark):
+    rows = [(i, "the hot line of all\n" + (f"pair {i // 2} of lines" if i % 5 else "the hot line of all")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in linededup.dedup_report(docs).collect()), key=str) == brute_lines(rows)
+
+
+def test_batches_grow_with_the_input():
+    assert linededup.batches_for(0) == linededup.BATCHES > linededup.FANOUT and linededup.batches_for(10**12) > linededup.batches_for(10**9) > linededup.BATCHES
 
 
 def test_no_lines(spark):

@@ -7,9 +7,16 @@ sum is positive. All of it is column expressions: one shift and mask takes two
 bits of a hash at once into the halves of a long, so that 32 sums hold the 64
 votes.
 
-For search within radius r a fingerprint is cut into r + 1 blocks: two
-fingerprints within r bits agree on at least one block, so a table keyed by
-each block (the permutation that brings it to the front) finds all of them.
+For search within radius r a fingerprint is cut into b > r blocks: two
+fingerprints within r bits agree on at least b - r of them, so the tables
+keyed by each choice of b - r blocks (the permutations that bring them to the
+front) find all. b grows with the logarithm of the number of fingerprints, so
+that a key has more bits than it takes to number them.
+
+The document after another one is found on ids and hashes alone, in ranges of
+``RANGE_ROWS`` rows; texts are shuffled once by their own key, and the part of
+a text that the document before needs once more. No task gets more of the
+texts than any other, however ids are spread.
 
 Defined results: a null text counts as empty, and an empty text has the
 fingerprint of no votes (zeros); equal texts have equal fingerprints; rows
@@ -22,17 +29,26 @@ before all others.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 BITS = 64
 #: Two bits of a hash, 32 apart, in the halves of a long; sums hold weights up to 2^31 for a text.
 _PAIR = 0x1_0000_0001
-#: Ranges of doc_id that are sorted apart from each other.
-RANGES = 256
+#: Rows (ids and hashes) of a range in which next documents are found.
+RANGE_ROWS = 2_000_000
 RADIUS = 3
-_NULL_ID = -(1 << 63)
+#: Bits by which a key is longer than the number of fingerprints needs.
+SPARE_BITS = 4
+#: Fingerprints in one packed row of a block table.
+PACK = 2_048
+#: A document: whether its doc_id is there, the doc_id, two hashes of its text.
+KEY = ["z", "k", "t1", "t2"]
 
 
 def vote_sums(term_hash: Column, weight: Column) -> list[Column]:
@@ -72,29 +88,25 @@ def likeness(a: Column, b: Column) -> Column:
     return (F.lit(BITS) - F.bit_count(a.bitwiseXOR(b))) / F.lit(float(BITS))
 
 
-def with_next(docs: DataFrame, *, ranges: int = RANGES) -> DataFrame:
-    """Every row's text and ``next_text``, the text of the next row by ascending doc_id.
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    id_ = F.col("doc_id").cast("bigint")
+    return docs.select(id_.isNotNull().alias("z"), F.coalesce(id_, F.lit(0)).alias("k"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
 
-    Columns: part, pos (tell rows apart), copy, k (doc_id, the least long for
-    null), text, next_text. The ids' quantiles cut the table into ranges. A
-    range's first document is also sent to the range before, with copy = 1, so
-    that every row finds its next one in its own range; the very first is sent
-    to the last range.
-    """
-    k = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID))
-    rows = docs.select(k.alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    low = rows.agg(F.min("k")).head()[0]
-    cuts = rows.select(F.col("k").cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.0005) if low is not None else []
-    # A cut is an id rounded to a double; only an id that is there can be a range's first.
-    present = rows.where(F.col("k").isin([int(x) for x in set(cuts)]) & (F.col("k") > F.lit(low))).select("k").distinct().collect() if cuts else []
-    starts = sorted(r["k"] for r in present)
-    part = F.size(F.filter(F.array(*(F.lit(x) for x in starts)), lambda x: x <= F.col("k"))) if starts else F.lit(0)
-    here = F.struct(F.col("p").alias("part"), F.lit(0).alias("copy"))
-    before = F.struct(F.when(F.col("p") == 0, F.lit(len(starts))).otherwise(F.col("p") - 1).alias("part"), F.lit(1).alias("copy"))
-    first = F.col("k").isin([low, *starts]) if low is not None else F.lit(False)
-    spread = rows.withColumn("p", part).withColumn("s", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here)))).select("k", "text", "s.part", "s.copy", F.xxhash64("text").alias("tie"), F.xxhash64(F.lit(1), "text").alias("tie2"))
-    order = Window.partitionBy("part").orderBy("copy", "k", "tie", "tie2")
-    return spread.withColumn("next_text", F.lead("text").over(order)).withColumn("pos", F.row_number().over(order)).select("part", "pos", "copy", "k", "text", "next_text")
+
+def with_previous(keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """``keys`` (KEY and other columns, one row for each) with ``prev``, the row before in the order of KEY as a struct; before the first is the last."""
+    n = keys.count()
+    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    # Written, so that the ranges stay what they are when tasks are run again.
+    ranged = scratch.keep(keys.repartitionByRange(parts, *KEY).withColumn("part", F.spark_partition_id()), "ranges")
+    whole = F.struct(*KEY, *(c for c in keys.columns if c not in KEY))
+    ends = ranged.groupBy("part").agg(F.max(whole).alias("end"))  # one row for each range
+    order = Window.orderBy("part")
+    before = F.coalesce(F.lag("end").over(order), F.last("end").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    carried = ends.select("part", before.alias("carried"))
+    prev = F.lag(whole).over(Window.partitionBy("part").orderBy(*KEY))
+    return ranged.withColumn("prev", prev).join(F.broadcast(carried), "part").withColumn("prev", F.coalesce("prev", "carried")).drop("part", "carried")
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -103,33 +115,94 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(after, F.lit(1), half))
 
 
-def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of texts and of their edited texts, and how alike each is to its edit's and to the next one's."""
-    pair = with_next(docs.select("doc_id", "text")).withColumn("edit", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
-    versions = F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edit").alias("text")))
-    tagged = pair.select("part", "pos", F.explode(versions).alias("t")).select("part", "pos", "t.which", "t.text")
-    both = fingerprints(tagged, ["part", "pos", "which"]).groupBy("part", "pos").agg(*(F.max(F.when(F.col("which") == i, F.col("bits"))).alias(f"bits{i}") for i in (0, 1)))
-    prints = both.withColumn("next_bits", F.lead("bits0").over(Window.partitionBy("part").orderBy("pos")))
-    # The same columns as above are read from the exchange, so that it is used twice and texts are shuffled once.
-    base = pair.select("part", "pos", "copy", "k", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"))
-    return (
-        base.where("copy = 0")
-        .join(prints, ["part", "pos"])
-        .select(
-            F.nullif(F.col("k"), F.lit(_NULL_ID)).alias("doc_id"), "n_chars", "edited_sha256", as_hex(F.col("bits0")).alias("fingerprint"), as_hex(F.col("bits1")).alias("edited_fingerprint"),
-            likeness(F.col("bits0"), F.col("bits1")).alias("near_edited"), likeness(F.col("bits0"), F.col("next_bits")).alias("near_next"),
-        )
+def _prints(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """A row for each distinct document (KEY): copies, prev, n_chars, sha1 and sha2, bits0, bits1 and bits2.
+
+    Versions: 0 the text, 1 edited with the next document's, 2 with its own
+    (where rows repeat, all but the last are followed by the same text).
+    """
+    rows = _keyed(docs)
+    keys = rows.select(*KEY, F.length("text").alias("n")).groupBy(*KEY).agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    linked = scratch.keep(with_previous(scratch.keep(keys, "keys"), scratch), "linked")
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy("k"))
+    texts = rows.withColumn("place", first).where("place = 1").drop("place").join(linked.hint("merge"), KEY)
+    heads = texts.select(*(F.col(f"prev.{c}").alias(c) for c in KEY), F.substring("text", F.lit(1), F.floor(F.col("prev.n") / 2).cast("int")).alias("head"))
+    pair = texts.join(heads.hint("merge"), KEY)
+    edit = lambda after: edited(F.col("text"), after)
+    made = [F.col("text"), edit(F.col("head")), F.when(F.col("copies") > 1, edit(F.col("text")))]
+    versions = F.filter(F.array(*(F.struct(F.lit(i).alias("which"), x.alias("text")) for i, x in enumerate(made))), lambda v: v["text"].isNotNull())
+    votes = fingerprints(pair.select(*KEY, F.explode(versions).alias("v")).select(*KEY, "v.which", "v.text"), [*KEY, "which"])
+    bits = votes.groupBy(*KEY).agg(*(F.max(F.when(F.col("which") == i, F.col("bits"))).alias(f"bits{i}") for i in range(3)))
+    facts = pair.select(*KEY, "copies", "prev", F.col("n").cast("bigint").alias("n_chars"), F.sha2(made[1], 256).alias("sha1"), F.when(F.col("copies") > 1, F.sha2(made[2], 256)).alias("sha2"))
+    return scratch.keep(facts.join(bits.hint("merge"), KEY), "prints")
+
+
+def fingerprint_report(docs: DataFrame, searched: Column | None = None, *, radius: int = RADIUS) -> DataFrame:
+    """Fingerprints of texts and of their edited texts, and how alike each is to its edit's and to the next one's.
+
+    Where ``searched`` (of doc_id) holds, ``n_near`` is the number of other
+    rows whose fingerprint is within ``radius``; elsewhere it is null.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = _prints(docs.select("doc_id", "text"), scratch)
+    after = prints.select(*(F.col(f"prev.{c}").alias(c) for c in KEY), F.col("bits0").alias("next_bits"))
+    both = prints.join(after.hint("merge"), KEY).withColumn("doc_id", F.when(F.col("z"), F.col("k")))
+    near = F.lit(None).cast("bigint")
+    if searched is not None:
+        every = prints.groupBy(F.col("bits0").alias("bits")).agg(F.sum("copies").alias("rows"))
+        asked = both.where(searched).select(F.col("bits0").alias("bits")).distinct()
+        counts = near_counts(asked, every, scratch, radius=radius)
+        both = both.join(counts.withColumnRenamed("bits", "bits0"), "bits0", "left")
+        near = F.when(F.coalesce(searched, F.lit(False)), F.col("n_near") - 1)
+    # A row of the next document, and a row of itself for each copy before the last.
+    last = F.struct(F.col("sha1").alias("sha"), F.col("bits1").alias("edit"), F.col("next_bits").alias("after"))
+    same = F.struct(F.col("sha2").alias("sha"), F.col("bits2").alias("edit"), F.col("bits0").alias("after"))
+    rows = both.withColumn("near", near).select("*", F.explode(F.concat(F.array(last), F.array_repeat(same, (F.col("copies") - 1).cast("int")))).alias("r"))
+    return rows.select(
+        "doc_id", "n_chars", F.col("r.sha").alias("edited_sha256"), as_hex(F.col("bits0")).alias("fingerprint"), as_hex(F.col("r.edit")).alias("edited_fingerprint"),
+        likeness(F.col("bits0"), F.col("r.edit")).alias("near_edited"), likeness(F.col("bits0"), F.col("r.after")).alias("near_next"), F.col("near").alias("n_near"),
     )
 
 
-def block_keys(bits: Column, radius: int) -> Column:
-    """radius + 1 keys (block number, block) of a fingerprint."""
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    blocks = []
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        mask = (1 << (b - a)) - 1
-        blocks.append(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(bits, a).bitwiseAND(F.lit(mask if mask < 1 << 63 else -1)).alias("key")))
-    return F.array(*blocks)
+def block_masks(n: int, radius: int) -> list[int]:
+    """Masks of the tables for n fingerprints: each keeps b - radius of b blocks."""
+    bits = log2(max(n, 2)) + SPARE_BITS
+    b = next((b for b in range(radius + 1, radius + 5) if BITS * (b - radius) // b >= bits), radius + 5)
+    edges = [BITS * i // b for i in range(b + 1)]
+    blocks = [(1 << z) - (1 << a) for a, z in zip(edges, edges[1:])]
+    signed = [sum(chosen) for chosen in combinations(blocks, b - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in signed]
+
+
+def block_keys(bits: Column, masks: list[int]) -> Column:
+    """A key (table number, masked bits) of a fingerprint for each mask."""
+    return F.array(*(F.struct(F.lit(i).alias("table"), bits.bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
+
+
+def _first_shared(apart: Column, table: Column, masks: list[int]) -> Column:
+    """Whether ``table`` is the first one whose key two fingerprints, ``apart`` in some bits, share."""
+    earlier = [(table > i) & (apart.bitwiseAND(F.lit(m)) == 0) for i, m in enumerate(masks[:-1])]
+    return ~reduce(lambda a, b: a | b, earlier, F.lit(False))
+
+
+def near_counts(asked: DataFrame, every: DataFrame, scratch: Scratch, *, radius: int = RADIUS) -> DataFrame:
+    """bits and n_near, the sum of ``rows`` within ``radius``, of distinct fingerprints ``asked`` (bits) among ``every`` (bits, rows).
+
+    Keys that are not asked for leave the tables first. What a key holds is
+    packed, and a query counts in packs: no row is made for a pair.
+    """
+    every = scratch.keep(every, "every")
+    masks = block_masks(every.count(), radius)
+    mine = scratch.keep(asked.select(F.col("bits").alias("q"), F.inline(block_keys(F.col("bits"), masks))), "asked")
+    held = every.select("bits", "rows", F.inline(block_keys(F.col("bits"), masks))).join(mine.select("table", "key").distinct(), ["table", "key"], "left_semi")
+    held = scratch.keep(held, "tables")
+    slots = held.groupBy("table", "key").agg(F.ceil(F.count("*") / PACK).alias("slots"))
+    slot = F.pmod(F.xxhash64("bits"), F.col("slots"))
+    packs = held.join(slots, ["table", "key"]).groupBy("table", "key", slot.alias("slot")).agg(F.collect_list(F.struct("bits", "rows")).alias("pack"))
+    apart = lambda x: x["bits"].bitwiseXOR(F.col("q"))
+    near = F.filter("pack", lambda x: (F.bit_count(apart(x)) <= radius) & _first_shared(apart(x), F.col("table"), masks))
+    counted = mine.join(packs, ["table", "key"]).select("q", F.aggregate(near, F.lit(0).cast("bigint"), lambda a, x: a + x["rows"]).alias("n"))
+    return counted.groupBy(F.col("q").alias("bits")).agg(F.sum("n").alias("n_near"))
 
 
 def near_fingerprints(queries: DataFrame, table: DataFrame, *, radius: int = RADIUS) -> DataFrame:
@@ -137,13 +210,14 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, *, radius: int = RAD
 
     Both have id and bits. Equal fingerprints are collapsed before the blocks
     are joined, so that a group of copies meets a query once, and expanded
-    after; a pair is reported by the first block the two share.
+    after; a pair is reported by the first table whose key the two share.
     """
     mine = queries.select(F.col("bits").alias("q")).distinct()
     theirs = table.select(F.col("bits").alias("t")).distinct()
-    left = mine.select("q", F.inline(block_keys(F.col("q"), radius)))
-    right = theirs.select("t", F.inline(block_keys(F.col("t"), radius)))
-    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("t")))
-    met = left.join(right, ["block", "key"]).where(distance <= radius).groupBy("q", "t").agg(F.first(distance).alias("distance"))
+    masks = block_masks(theirs.count(), radius)
+    left = mine.select("q", F.inline(block_keys(F.col("q"), masks)))
+    right = theirs.select("t", F.inline(block_keys(F.col("t"), masks)))
+    apart = F.col("q").bitwiseXOR(F.col("t"))
+    met = left.join(right, ["table", "key"]).where((F.bit_count(apart) <= radius) & _first_shared(apart, F.col("table"), masks)).select("q", "t", F.bit_count(apart).alias("distance"))
     ids = met.join(queries.select(F.col("id").alias("query_id"), F.col("bits").alias("q")), "q").join(table.select("id", F.col("bits").alias("t")), "t")
     return ids.select("query_id", "id", "distance")

@@ -4,35 +4,43 @@ A source has a weight schedule: knots (time, weight) over the training run,
 time from 0 to 1, straight between them. Its demand is the integral of the
 schedule, scaled so that the sources' demands at time 1 are their targets:
 shares of the total by mean weight, none above ``repeats`` times what the
-source holds; what is cut off is shared again by weight.
+source holds; what is cut off is shared again by weight until none is above.
 
-A source's documents stand in a fixed random order (MD5 of the doc_id), round
-after round. The words before a document are its offset; the inverse of the
-source's demand turns an offset into a position in training. Documents whose
-offset lies before the target are taken, the last one in part. Range-sorting
-by position gives the training order.
+A source's documents stand in a fixed random order (MD5 of doc_id and text),
+round after round. The words before a document are its offset; the inverse of
+the source's cumulative demand turns an offset into a position in training.
+Words that have a position are taken; demand never reaches those behind the
+target, which have none. Rows are range-sorted by position.
 
 Offsets are prefix sums in two levels: within slices of a source's order, and
 over the slices, so that a source that holds most rows is spread over many
-tasks.
+tasks; the number of slices follows from the number of rows. Rows alike in
+doc_id, text and source are one row there, with their number.
+
+Sources are one row each; only their schedules are made in one task.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
-source of its own, last in order; rows that repeat a doc_id stand one after
-the other, the smaller text first; a source without words takes nothing; an
-empty table gives no rows; extra columns are ignored (``mix_documents``: kept).
+source of its own, last in order; null doc_ids are told apart by their texts;
+rows that repeat doc_id, text and source stand one after the other; a source
+without words takes nothing; an empty table gives no rows; extra columns are
+ignored (``mix_documents``: kept).
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 REPEATS = 3
-#: Hexadecimal digits of the order's hash that name a slice: 256 slices of each source.
-SLICE_DIGITS = 2
+#: Rows of a slice, about.
+SLICE_ROWS = 1_000_000
 WEIGHTS = (1, 2, 3)
+#: Weights start that share below (in turn: above) their mean and end as far on the other side.
+SLOPE = 0.5
 
 
 def word_count(text: Column) -> Column:
@@ -41,40 +49,41 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(ended, F.lit(r"[^\x20\x09-\x0D][\x20\x09-\x0D]")).cast("bigint")
 
 
-def cycle_schedules(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """``sources`` (source, source_size) with constant schedules: weights in turn by code point, null last."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (turn + 1).cast("int"))
-    return sources.withColumn("schedule", F.array(*(F.struct(F.lit(t).alias("t"), weight.alias("w")) for t in (0.0, 1.0))))
+def cycle_schedules(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, slope: float = SLOPE) -> DataFrame:
+    """``sources`` (source, source_size) with schedules: mean weights in turn by code point, null last; every other one rises, the others fall."""
+    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    lean = F.when(place % 2 == 0, F.lit(float(slope))).otherwise(F.lit(-float(slope)))
+    return sources.withColumn("schedule", F.array(F.struct(F.lit(0.0).alias("t"), (weight * (1 - lean)).alias("w")), F.struct(F.lit(1.0).alias("t"), (weight * (1 + lean)).alias("w"))))
 
 
-def targets(sources: DataFrame, *, repeats: int = REPEATS) -> DataFrame:
+def targets(sources: DataFrame, scratch: Scratch, *, repeats: int = REPEATS) -> DataFrame:
     """``sources`` (source, source_size, schedule) with weight (the schedule's integral) and target.
 
-    In ascending order of cap over weight the capped sources come first: one
-    is capped while its share by weight of what the earlier ones left exceeds
-    its cap. What the capped ones leave, the others share by weight.
+    The free sources share what the capped ones leave; those above their cap
+    are capped; and so on until none is above.
     """
     knot = lambda i: F.element_at("schedule", i)
     areas = F.transform(F.sequence(F.lit(1), F.size("schedule") - 1), lambda i: (knot(i + 1)["t"] - knot(i)["t"]) * (knot(i + 1)["w"] + knot(i)["w"]) / 2)
     known = sources.withColumn("weight", F.aggregate(areas, F.lit(0.0), lambda a, x: a + x)).withColumn("cap", F.col("source_size") * F.lit(repeats))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("weight") <= 0, F.try_divide("cap", "weight"), F.col("source").asc_nulls_last())  # one row a source
-    every = Window.partitionBy(F.lit(1))
-    ranked = (
-        known.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("before", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("after", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("place", F.row_number().over(order))
-        .withColumn("capped", (F.col("total") - F.col("before")) * F.col("weight") > F.col("cap") * F.col("after"))
-    )
-    rest = F.min(F.when(~F.col("capped"), F.struct("place", "before", "after"))).over(every)
-    shared = F.coalesce(F.try_divide((F.col("total") - F.col("rest.before")) * F.col("weight"), F.col("rest.after")), F.lit(0.0))
-    return ranked.withColumn("rest", rest).withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(shared)).select("source", "source_size", "schedule", "weight", "target")
+    known = scratch.keep(known, "weights")
+    total = known.agg(F.sum("source_size")).head()[0] or 0
+    level = capped_size = None  # the words left and the weight that shares them
+    while True:
+        over = F.lit(False) if level is None else F.lit(float(level[0])) * F.col("weight") > F.col("cap") * F.lit(level[1])
+        capped, weight = known.agg(F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0)), F.sum(F.when(~over, F.col("weight")))).head()
+        if capped == capped_size:
+            break
+        capped_size, level = capped, (total - capped, float(weight or 0.0))
+        if not weight:
+            break
+    goal = F.coalesce(F.try_divide(F.lit(float(level[0])) * F.col("weight"), F.lit(level[1])), F.lit(0.0))
+    above = F.lit(float(level[0])) * F.col("weight") > F.col("cap") * F.lit(level[1])
+    return known.select("source", "source_size", "schedule", "weight", F.when(above, F.col("cap").cast("double")).otherwise(goal).alias("target"))
 
 
 def position(offset: Column, target: Column, weight: Column, schedule: Column) -> Column:
-    """Time at which a source's demand reaches ``offset``: the inverse of its integrated schedule."""
+    """Time at which a source's demand reaches ``offset``: the inverse of its integrated schedule; null where it never does."""
     need = F.coalesce(F.try_divide(offset, target), F.lit(0.0)) * weight
     start = F.struct(F.lit(0.0).alias("done"), F.lit(1.0).alias("t"), F.lit(False).alias("found"))
 
@@ -89,34 +98,59 @@ def position(offset: Column, target: Column, weight: Column, schedule: Column) -
         here = ~acc["found"] & (area > 0) & (need <= acc["done"] + area)
         return F.struct((acc["done"] + area).alias("done"), F.when(here, a["t"] + s).otherwise(acc["t"]).alias("t"), (acc["found"] | here).alias("found"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(schedule) - 1), start, step)["t"]
+    at = F.aggregate(F.sequence(F.lit(1), F.size(schedule) - 1), start, step)["t"]
+    return F.when(offset <= target, at)
+
+
+def draw(docs: DataFrame) -> Column:
+    """The place of a document in its source's order."""
+    return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("bigint").cast("string"), F.lit("")), F.lit("\n"), F.coalesce(docs["text"], F.lit(""))))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """source, draw, doc_id, size and copies: rows of ``docs`` alike in all of them are one."""
+    rows = docs.select(F.col("source").cast("string").alias("source"), draw(docs).alias("draw"), F.col("doc_id").cast("bigint").alias("doc_id"), word_count(F.col("text")).alias("size"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
 
 
 def place(sized: DataFrame, schedules=cycle_schedules, *, repeats: int = REPEATS) -> DataFrame:
-    """``sized`` (doc_id, source, size) with source_size, target, weight, schedule and offset, the words of the source that stand before."""
+    """``sized`` with source_size, target, weight, schedule and offset, the words of the source that stand before the first copy."""
     scratch = Scratch(sized.sparkSession, "mixing")
-    draw = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = scratch.keep(sized.withColumn("draw", draw).withColumn("slice", F.left("draw", F.lit(SLICE_DIGITS))), "sizes")
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    known = scratch.keep(targets(schedules(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))), repeats=repeats), "sources")
+    rows = scratch.keep(sized, "sizes")
+    digits = max(1, ceil(log(max(rows.count(), 1) / SLICE_ROWS, 16)))
+    rows = rows.withColumn("slice", F.left("draw", F.lit(digits))).withColumn("words", F.col("size") * F.col("copies"))
+    slices = scratch.keep(rows.groupBy("source", "slice").agg(F.sum("words").alias("slice_size")), "slices")
+    known = scratch.keep(targets(schedules(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))), scratch, repeats=repeats), "sources")
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select(F.col("source").alias("s"), F.col("slice").alias("l"), F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)).alias("start"))  # a few hundred rows a source
+    starts = slices.select(F.col("source").alias("s"), F.col("slice").alias("l"), F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)).alias("start"))  # a row for a million
     within = Window.partitionBy("source", "slice").orderBy("draw", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = rows.withColumn("ahead", F.coalesce(F.sum("words").over(within), F.lit(0)))
     both = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("l"))).join(known.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t")))
-    return both.select("doc_id", "source", "size", "source_size", "target", "weight", "schedule", (F.col("start") + F.col("ahead")).alias("offset"))
+    return both.select("doc_id", "source", "draw", "size", "copies", "source_size", "target", "weight", "schedule", (F.col("start") + F.col("ahead")).alias("offset"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+def _rounds(offset: Column, repeats: int) -> Column:
+    """Of each round the document's offset, its position, and the words of it that have one."""
+    size, target = F.col("size"), F.col("target")
+    goal = F.round(target)  # whole words
+
+    def one(r: Column) -> Column:
+        start = offset + r * F.col("source_size")
+        inverse = lambda x: position(x, goal, F.col("weight"), F.col("schedule"))
+        words = F.when(inverse(start + size).isNotNull(), size).when(inverse(start).isNotNull(), goal.cast("bigint") - start).otherwise(F.lit(0))
+        return F.struct(start.alias("start"), position(start, target, F.col("weight"), F.col("schedule")).alias("position"), words.cast("bigint").alias("words"))
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint")), one)
 
 
 def plan(docs: DataFrame, schedules=cycle_schedules, *, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words) and position (of the first round) of every row of ``docs`` (doc_id, source, text)."""
+    """doc_id, source, size, source_size, target, taken (words) and position (of the first round; null: not taken) of every row of ``docs`` (doc_id, source, text), range-sorted by position."""
     placed = place(_sized(docs), schedules, repeats=repeats)
-    goal, zero = F.round("target").cast("bigint"), F.lit(0).cast("bigint")
-    taken = F.aggregate(F.sequence(F.lit(0), F.lit(repeats - 1)), zero, lambda a, r: a + F.greatest(zero, F.least(F.col("size"), goal - F.col("offset") - r * F.col("source_size"))))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), position(F.col("offset"), F.col("target"), F.col("weight"), F.col("schedule")).alias("position"))
+    copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))
+    rows = placed.withColumn("copy", copy).withColumn("rounds", _rounds(F.col("offset") + F.col("copy") * F.col("size"), repeats))
+    taken = F.aggregate("rounds", F.lit(0).cast("bigint"), lambda a, r: a + r["words"])
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.element_at("rounds", 1)["position"].alias("position"))
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mix_documents(docs: DataFrame, schedules=cycle_schedules, *, repeats: int = REPEATS) -> DataFrame:
@@ -125,15 +159,17 @@ def mix_documents(docs: DataFrame, schedules=cycle_schedules, *, repeats: int =
     Documents stay whole: a round of a document is in the mix if half of it
     lies before the target. ``docs`` needs doc_id, source and text.
     """
-    key = ["__id", "__source", "__size"]
-    sized = _sized(docs)
-    rounds = F.filter(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: (F.col("size") > 0) & (F.col("offset") + r * F.col("source_size") + F.col("size") / 2 < F.col("target")))
-    times = F.transform(rounds, lambda r: position(F.col("offset") + r * F.col("source_size"), F.col("target"), F.col("weight"), F.col("schedule")))
-    missing = F.lit(-(1 << 63)), F.lit("\x00null")
-    placed = place(sized, schedules, repeats=repeats).select(F.coalesce("doc_id", missing[0]).alias("__id"), F.coalesce("source", missing[1]).alias("__source"), F.col("size").alias("__size"), F.col("offset").alias("__offset"), times.alias("__times"))
-    # Rows alike in id, source and size are told apart by their order; there is one for each of them on the other side.
-    mine = placed.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__offset", "__times"))).alias("__places")).where(F.exists("__places", lambda x: F.size(x["__times"]) > 0))
-    keyed = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), missing[0]).alias("__id"), F.coalesce(F.col("source").cast("string"), missing[1]).alias("__source"), word_count(F.col("text")).alias("__size"), F.xxhash64("text").alias("__tie"))
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy("__tie"))
-    joined = keyed.join(mine, key).withColumn("__turn", turn).withColumn("__at", F.explode(F.element_at("__places", F.col("__turn"))["__times"]))
-    return joined.repartitionByRange("__at").sortWithinPartitions("__at", "__id").select(*docs.columns)
+    missing = F.lit("\x00null")
+    placed = place(_sized(docs), schedules, repeats=repeats).where("size > 0")
+    offset = lambda copy: F.col("offset") + copy * F.col("size")
+    times = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1),
+        lambda copy: F.transform(F.filter(_rounds(offset(copy), repeats), lambda r: r["start"] + F.col("size") / 2 < F.col("target")), lambda r: r["position"]),
+    )
+    mine = placed.select(F.col("draw").alias("__draw"), F.coalesce("source", missing).alias("__source"), F.col("copies").alias("__copies"), times.alias("__times")).where(F.exists("__times", lambda x: F.size(x) > 0))
+    keyed = docs.select("*", draw(docs).alias("__draw"), F.coalesce(F.col("source").cast("string"), missing).alias("__source"))
+    joined = keyed.join(mine, ["__draw", "__source"])
+    # Rows alike in doc_id, text and source are told apart by their turn.
+    turn = F.row_number().over(Window.partitionBy("__draw", "__source").orderBy("__draw"))
+    timed = joined.withColumn("__turn", turn).withColumn("__at", F.explode(F.element_at("__times", F.col("__turn"))))
+    return timed.repartitionByRange("__at").sortWithinPartitions("__at", "__draw").select(*docs.columns)

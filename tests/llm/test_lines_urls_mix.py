@@ -142,16 +142,20 @@ def test_targets_are_water_filling(spark, seed):
     order = sorted((s for s in sizes if s), key=str) + [None]
     want = brute_targets({s: n for s, n in sizes.items()}, {s: i % 3 + 1.0 for i, s in enumerate(order)})
     rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
-    got = {r.source: r.target for r in mixing.targets(mixing.cycle_schedules(rows)).collect()}
+    got = {r.source: r.target for r in mixing.targets(mixing.cycle_schedules(rows), Scratch(spark, "test")).collect()}
     assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in sizes)
 
 
-def test_mix(spark):
+def test_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 20)
     rng = random.Random(2)
-    rows = [(i, rng.choice(["a", "b", "c", None, "a", "a"]), "w " * rng.randrange(40), 1) for i in range(400)] + [(500, "b", None, 1), (501, "b", "", 1), (7, "a", "same words", 2), (7, "a", "same words", 2)]
+    rows = [(i, rng.choice(["a", "b", "c", None, "a", "a"]), "w " * rng.randrange(40), 1) for i in range(400)] + [(500, "b", None, 1), (501, "b", "", 1), (7, "a", "same words", 2), (7, "a", "same words", 2), (600, "b", "very long text " * 20000, 1)]
+    rows += [(None, "c", f"no id {i}", 1) for i in range(60)] + [(8, "c", f"one id {i}", 1) for i in range(60)] + [(9, "a", "x y z", 3)] * 40
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size int")
     got = mixing.plan(docs).collect()
-    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size and 0 <= r.position <= 1 for r in got)
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size and (r.position is None or 0 <= r.position <= 1) for r in got)
+    assert all((r.position is not None) >= (r.taken > 0) for r in got)
+    assert [r.position for r in got if r.position is not None] == sorted(r.position for r in got if r.position is not None)
     for s in ("a", "b", "c", None):
         mine = [r for r in got if r.source == s]
         assert sum(r.taken for r in mine) == round(mine[0].target)
@@ -160,8 +164,19 @@ def test_mix(spark):
     assert mixed.columns == docs.columns
     words = {s: sum(len((r.text or "").split()) for r in mixed.where(F.col("source").eqNullSafe(s)).collect()) for s in ("a", "b", "c", None)}
     target = {r.source: r.target for r in got}
-    assert all(abs(words[s] - target[s]) <= 40 for s in words)
-    assert mixing.plan(docs.limit(0)).collect() == []
+    assert all(abs(words[s] - target[s]) <= (60_000 if s == "b" else 40) for s in words)
+    assert mixing.plan(docs.limit(0)).collect() == [] and mixing.mix_documents(docs.limit(0)).collect() == []
+
+
+def test_positions_follow_the_schedules(spark):
+    """Words up to time t are the source's demand until then: rising sources come late, falling ones early."""
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (1 + i % 3)) for i in range(3000)], "doc_id long, source string, text string")
+    got = mixing.plan(docs).collect()
+    for s, lean in (("a", 0.5), ("b", -0.5)):
+        mine = [r for r in got if r.source == s and r.position is not None]
+        for t in (0.25, 0.5, 0.75):
+            before = sum(r.size for r in mine if r.position < t)
+            assert abs(before - min(mine[0].source_size, mine[0].target * ((1 - lean) * t + lean * t * t))) < 10
 
 
 def test_schedule_inverts_its_integral(spark):

@@ -18,7 +18,8 @@ SCRIPT_STATE_MARKS = ("window.__", "self.__", "__NEXT_DATA__", "__next_f", "__PR
 #: Fixed thresholds, in characters of visible text, bytes of markup, and shares.
 LEAST_TEXT, LARGE_MARKUP, LEAST_SHARE = 200, 10_000, 0.03
 GATE_SOURCE, GATE_SHARE = 500, 0.10
-ZERO_WIDTH = "​‌‍‎‏⁠⁡⁢⁣⁤﻿­"
+#: Invisible characters that are dropped.
+ZERO_WIDTH = "​‌‍‎‏﻿­⁠⁢⁣⁤͏"
 
 
 def content_format(name: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta, urls
 from ..session import ship
+from .payloads import inflate
 from .storage import Store
 
 #: Times what a crawl may fetch that its frontier may hold.
@@ -182,7 +183,13 @@ def crawl_summary(result: DataFrame) -> DataFrame:
 
 
 def parse_sitemaps(bodies: DataFrame) -> DataFrame:
-    """Entries of sitemap texts (url, body): url, kind (page or index), loc, lastmod, priority, changefreq. Entries without loc are left out."""
+    """Entries of sitemaps (url, body): url, kind (page or index), loc, lastmod, priority, changefreq. Entries without loc are left out.
+
+    A body is text, or bytes that may be packed; files that unpack to more
+    than the cap, or are broken, have no entries.
+    """
+    if bodies.schema["body"].dataType.simpleString() == "binary":
+        bodies = inflate(bodies)
     body = F.col("body")
     index = F.contains(F.lower(body), F.lit("<sitemapindex"))
     entries = F.regexp_extract_all(body, F.lit(r"(?is)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))
@@ -220,8 +227,34 @@ def discover_sitemaps(spark: SparkSession, robots: DataFrame, store: DataFrame,
     return out
 
 
-def save_pages(pages: DataFrame, path: str) -> None:
-    """Crawled pages as one JSON line each, by domain; names are of the host and a hash of the URL."""
-    domain = F.regexp_replace(F.coalesce(urls.host(F.col("url")), F.lit("unknown")), r"[^a-z0-9.-]", "_")
-    name = F.concat(domain, F.lit("_"), F.left(F.sha2("url", 256), F.lit(16)), F.lit(".html"))
-    pages.withColumns({"domain": domain, "file": name}).write.mode("overwrite").partitionBy("domain").json(path)
+def domain_name(url: Column) -> Column:
+    """The host of a URL as part of a file's name; unknown where it has none."""
+    return F.regexp_replace(F.coalesce(urls.host(url), F.lit("unknown")), r"[^\p{L}\p{N}.-]", "_")
+
+
+def file_name(url: Column) -> Column:
+    """The file of a page: its host and 16 digits of a hash of its URL."""
+    return F.concat(domain_name(url), F.lit("_"), F.left(F.sha2(url, 256), F.lit(16)), F.lit(".html"))
+
+
+def save_html(pages: DataFrame, path: str) -> None:
+    """Markup of pages (url, html) as text, in a folder for each domain and in it one for each file's name."""
+    rows = pages.where("html is not null").select(domain_name(F.col("url")).alias("domain"), file_name(F.col("url")).alias("file"), F.col("html").alias("value"))
+    rows.write.mode("overwrite").option("lineSep", "\n").partitionBy("domain", "file").text(path)
+
+
+def page_files(pages: DataFrame, *order: str) -> DataFrame:
+    """``pages`` (url, status, markdown) with text and file, ``page_0000.md`` and on in the given order; those without text have none.
+
+    Places come from a range sort and counts of its partitions.
+    """
+    full = F.octet_length("markdown") > 0
+    placed = Store(pages.sparkSession, "pages").placed(pages.where(full), "files", *(F.col(c) for c in order))
+    return placed.withColumn("file", F.format_string("page_%04d.md", F.col("place"))).drop("place")
+
+
+def save_markdown(pages: DataFrame, path: str, *order: str) -> None:
+    """Pages (url, status, markdown) as text below ``pages/file=<name>``, and ``index``: JSON lines of url, file and status."""
+    files = page_files(pages, *order)
+    files.select("file", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file").text(f"{path}/pages")
+    files.select("url", "file", "status").write.mode("overwrite").json(f"{path}/index")

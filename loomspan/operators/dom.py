@@ -301,6 +301,11 @@ def markdown(n: Node, base: str = "") -> str:
     return "\n\n".join(out)
 
 
+def to_markdown(html: str, base: str = "") -> str:
+    """The whole of a piece of markup as Markdown, boilerplate included."""
+    return markdown(parse(html), base)
+
+
 def join_url(base: str, href: str) -> str:
     """``href`` against ``base``; as it is where they don't join."""
     try:
@@ -433,6 +438,20 @@ def readable(text: str) -> bool:
     return sum(c.isalpha() or c.isspace() for c in t) / len(t) >= 0.6
 
 
+def readable_strings(value, depth: int = 20) -> list[str]:
+    """Readable strings of a JSON value, each once."""
+    if isinstance(value, str):
+        return [value.strip()] if readable(value) else []
+    if depth == 0 or not isinstance(value, list | dict):
+        return []
+    return list(dict.fromkeys(t for x in (value.values() if isinstance(value, dict) else value) for t in readable_strings(x, depth - 1)))
+
+
+def state_text(doc: Node) -> list[str]:
+    """Readable strings of the state that scripts assign."""
+    return list(dict.fromkeys(t for _, state in script_state(doc) for t in readable_strings(json.loads(state))))
+
+
 def flight_text(doc: Node) -> list[str]:
     """Readable strings of streamed component payloads: parts are joined, each line parsed after its first bar."""
     parts = []
@@ -443,17 +462,10 @@ def flight_text(doc: Node) -> list[str]:
             except (ValueError, IndexError):
                 continue
     out: list[str] = []
-
-    def walk(v, left: int) -> None:
-        if left and isinstance(v, list | dict):
-            for x in v.values() if isinstance(v, dict) else v:
-                walk(x, left - 1)
-        elif isinstance(v, str) and readable(v):
-            out.append(v.strip())
-
     for line in "".join(p for p in parts if isinstance(p, str)).split("\n"):
+        payload = re.split(r"[|:]", line, maxsplit=1)
         try:
-            walk(json.loads(re.split(r"[|:]", line, maxsplit=1)[1]) if re.search(r"[|:]", line) else None, 20)
+            out += readable_strings(json.loads(payload[1])) if len(payload) > 1 else []
         except ValueError:
             continue
     return list(dict.fromkeys(out))
@@ -483,7 +495,7 @@ def extract(html: str, url: str = "", fmt: str = "text") -> dict:
         content = squeeze(chosen.visible()) or squeeze(body.visible())
     if fmt != "html":
         extra = data_island(doc, content)
-        flight = [t for t in flight_text(doc) if t not in content]
+        flight = [t for t in dict.fromkeys([*state_text(doc), *flight_text(doc)]) if t not in content]
         if flight:
             extra = "\n\n".join(x for x in (extra, "## Additional Content\n\n" + "\n\n".join(flight)) if x)
         content = "\n\n".join(x for x in (content, extra) if x)
@@ -513,6 +525,7 @@ def form_data(form: dict) -> str:
     return urlencode([(x["name"], x["value"]) for x in form["fields"] if x["name"] and not x["disabled"]])
 
 
+#: Ends and parts of addresses of images that are no content.
 SKIP_ENDS = (".svg", ".ico", ".gif", ".bmp", ".cur")
 SKIP_PARTS = ("logo", "icon", "sprite", "avatar", "badge", "button", "pixel", "tracking", "spacer", "blank", "placeholder", "loading", "spinner", "favicon", "emoji", "1x1", "beacon", "analytics", "advert", "captcha")
 
@@ -636,27 +649,42 @@ def progressive(doc: Node) -> dict:
     return {"manifest": manifest, "service_worker": worker, "installable": manifest and worker}
 
 
-def endpoints(html: str, doc: Node) -> list[tuple[str, str]]:
-    """(method, url) of calls in scripts, sockets, GraphQL, forms and public descriptions, each URL once."""
-    found: dict[str, str] = {}
-    for pattern, method in ((r"""\bfetch\(\s*["'`]([^"'`]+)""", "GET"), (r"""new WebSocket\(\s*["'`]([^"'`]+)""", "WS")):
-        for u in re.findall(pattern, html):
-            found.setdefault(u, method)
-    for verb, u in re.findall(r"""\baxios\.(get|post|put|patch|delete)\(\s*["'`]([^"'`]+)""", html):
-        found.setdefault(u, verb.upper())
-    if re.search(r"/graphql\b", html):
-        found.setdefault("/graphql", "POST")
-    for f in forms(doc):
-        if f["action"]:
-            found.setdefault(f["action"], f["method"])
-    for u in re.findall(r"""["']([^"'\s]*(?:openapi|swagger)[^"'\s]*\.(?:json|ya?ml)|/\.well-known/[^"'\s]+)["']""", html):
-        found.setdefault(u, "DOC")
-    return [(m, u) for u, m in found.items()]
+#: Relations of links to descriptions of interfaces, parts of such addresses, and well-known places.
+API_RELS = ("api", "service", "service-desc", "describedby")
+API_PARTS = re.compile(r"swagger|openapi|api-doc|redoc|rapidoc", re.I)
+WELL_KNOWN = re.compile(r"/\.well-known/(?:openid-configuration|oauth-authorization-server|ai-plugin\.json|mcp\.json|host-meta)")
+_CALL = re.compile(r"""(?:(fetch)|axios\.(\w+))\s*\(\s*['"]([^'"]+)['"]""")
+_SOCKET = re.compile(r"""new\s+WebSocket\s*\(\s*['"]([^'"]+)['"]""")
+
+
+def inline_scripts(doc: Node) -> list[str]:
+    return [s.text for s in doc.find("script") if "src" not in s.attrs]
 
 
-def tools(doc: Node) -> list[dict]:
-    """Tools that forms declare for agents."""
-    return [{"name": f.get("toolname"), "description": f.get("tooldescription"), "fields": [x.get("name") for x in f.find("input", "select", "textarea") if x.get("name")]} for f in doc.find("form") if f.get("toolname")]
+def interfaces(doc: Node, html: str) -> dict:
+    """Calls in inline scripts (each URL once), sockets, forms' targets, frameworks' data, tools for agents, and public descriptions."""
+    scripts = inline_scripts(doc)
+    calls: dict[str, str] = {}
+    for script in scripts:
+        fetched = [(m[3], "GET") for m in _CALL.finditer(script) if m[1]]
+        for url, verb in [*fetched, *((m[3], m[2].upper()) for m in _CALL.finditer(script) if not m[1])]:
+            calls.setdefault(url, verb if verb in ("POST", "PUT", "DELETE", "PATCH") else "GET")
+    sockets = [u for script in scripts for u in _SOCKET.findall(script)]
+    described = [x.get("href") for x in doc.find("link") if "href" in x.attrs and x.get("rel").lower() in API_RELS]
+    documents = [a.get("href") for a in doc.find("a") if API_PARTS.search(a.get("href"))]
+    files = [d for d in documents if d.endswith((".json", ".yaml", ".yml"))]
+    hints = {"openapi_config_detected": re.search(r"swaggerui|swagger-ui|openapi", html, re.I), "graphql_playground": re.search(r"graphql-playground|graphiql|GraphiQL", html)}
+    return {
+        "endpoints": [(verb, url) for url, verb in calls.items()], "graphql": any("/graphql" in x or "__schema" in x for x in scripts), "sockets": [u for i, u in enumerate(sockets) if not i or u != sockets[i - 1]],
+        "next": any(x.get("id") == "__NEXT_DATA__" for x in doc.find("script")), "nuxt": "__NUXT__" in html, "forms": [f.get("action") for f in doc.find("form") if f.get("action") not in ("", "#")],
+        "public": {"links": sorted({*described, *documents}), "openapi": files[-1] if files else None, "well_known": sorted(set(WELL_KNOWN.findall(html))), "hints": sorted(k for k, v in hints.items() if v)},
+    }
+
+
+def tools(doc: Node) -> dict:
+    """Tools that forms declare for agents, and whether scripts register any."""
+    declared = [{"name": f.get("toolname"), "description": f.get("tooldescription"), "fields": [x.get("name") for x in f.find("input", "select", "textarea") if x.get("name")]} for f in doc.find("form") if f.get("toolname")]
+    return {"declared": declared, "registered": any("navigator.modelContext" in x or "modelContext.registerTool" in x for x in inline_scripts(doc))}
 
 
 def links(doc: Node, base: str) -> dict:
@@ -676,3 +704,81 @@ def links(doc: Node, base: str) -> dict:
         else:
             inside += 1
     return {"internal": inside, "external": away, "domains": sorted(hosts), "words": len(next(iter(doc.find("body")), doc).visible().split())}
+
+
+OG = ("title", "description", "image", "type", "url", "site_name")
+TWITTER = ("card", "title", "description", "image", "site")
+LONG_DATA = 2048
+
+
+def _ld_type(value) -> str:
+    """The type of linked data, or of the first item of its graph."""
+    if not isinstance(value, dict):
+        return ""
+    graph = value.get("@graph")
+    own, first = value.get("@type"), graph[0] if isinstance(graph, list) and graph else None
+    inner = first.get("@type") if isinstance(first, dict) else None
+    return own if isinstance(own, str) else inner if isinstance(inner, str) else ""
+
+
+def seo(doc: Node) -> dict:
+    """What a page tells search engines and networks: the first meta or link of a name counts; long linked data is cut."""
+    metas: dict[tuple[str, str], str] = {}
+    rels: dict[str, str] = {}
+    languages, data = [], []
+    for n in doc.find("meta", "link", "script"):
+        if n.tag == "meta":
+            for kind in ("property", "name"):
+                if n.get(kind):
+                    metas.setdefault((kind, n.get(kind)), n.get("content"))
+        elif n.tag == "link":
+            if "href" in n.attrs:
+                rels.setdefault(n.get("rel"), n.get("href"))
+                if n.get("rel") == "alternate" and "hreflang" in n.attrs:
+                    languages.append((n.get("hreflang"), n.get("href")))
+        elif n.get("type") == "application/ld+json":
+            try:
+                kind = _ld_type(json.loads(n.text))
+            except ValueError:
+                kind = ""
+            raw = n.text
+            if size(raw) > LONG_DATA:
+                end = len(raw.encode()[: LONG_DATA + 1].decode(errors="ignore"))
+                raw = f"{raw[:end]}... ({size(raw[end:])} bytes truncated)"
+            data.append({"type": kind, "raw": raw})
+    return {
+        "og": {k: metas.get(("property", f"og:{k}"), "") for k in OG}, "twitter": {k: metas.get(("name", f"twitter:{k}"), "") for k in TWITTER}, "canonical": rels.get("canonical"), "hreflang": languages,
+        "robots": metas.get(("name", "robots"), ""), "description": metas.get(("name", "description"), ""), "keywords": metas.get(("name", "keywords"), ""), "favicon": rels.get("icon", rels.get("shortcut icon")), "json_ld": data,
+    }
+
+
+#: Formats of images that are told apart, and parts of addresses that tell networks and platforms.
+IMAGE_FORMATS = ("jpg", "jpeg", "png", "webp", "avif", "svg", "gif")
+IMAGE_NETWORKS = {"res.cloudinary.com": "Cloudinary", ".cloudinary.com": "Cloudinary", ".imgix.net": "imgix", "imagedelivery.net": "Cloudflare Images", "images.cloudflare.com": "Cloudflare Images", ".akamaized.net": "Akamai", ".akamai.net": "Akamai"}
+VIDEO_PLATFORMS = {"youtube.com": "YouTube", "youtu.be": "YouTube", "vimeo.com": "Vimeo"}
+AUDIO_PLATFORMS = {"spotify.com": "Spotify", "soundcloud.com": "SoundCloud"}
+
+
+def _named(table: dict[str, str], address: str, other: str | None) -> str | None:
+    return next((name for part, name in table.items() if part in address.lower()), other)
+
+
+def media_report(doc: Node) -> dict:
+    """Counts of a page's images by format, the networks that serve them, and the platforms of videos and audio."""
+    images = doc.find("img")
+    formats: dict[str, int] = {}
+    for i in images:
+        if "src" in i.attrs:
+            end = i.get("src").split("?")[0].rsplit(".", 1)[-1].lower()
+            kind = end if end in IMAGE_FORMATS else "other"
+            formats[kind] = formats.get(kind, 0) + 1
+    served = {_named(IMAGE_NETWORKS, n.get("src"), None) for n in doc.find("img", "source") if "src" in n.attrs}
+
+    def platforms(tag: str, table: dict[str, str]) -> list[str]:
+        own = [next((x.get("src") for x in (n, *n.find("source")) if "src" in x.attrs), None) for n in doc.find(tag)]
+        return [_named(table, u, "Other") for u in own if u is not None]
+
+    return {
+        "images": len(images), "formats": dict(sorted(formats.items())), "srcset": sum("srcset" in i.attrs for i in images), "pictures": len(doc.find("picture")), "networks": sorted(x for x in served if x),
+        "videos": platforms("video", VIDEO_PLATFORMS), "audio": platforms("audio", AUDIO_PLATFORMS),
+    }

@@ -83,3 +83,43 @@ def cache_reads(events: DataFrame, ttl: float, *, key: str = "key", ts: str = "t
     past = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
     written = F.last(F.when(F.col(kind) == "write", F.col(ts)), ignorenulls=True).over(past)
     return events.withColumn("hit", F.when(F.col(kind) == "read", F.coalesce((F.col(ts) - written) < ttl, F.lit(False))))
+
+
+def live_until_evicted(events: DataFrame, ttl: float, capacity: int, *, key: str = "key", ts: str = "ts", kind: str = "kind", seq: str = "seq") -> DataFrame:
+    """``cache_reads`` of a cache that holds ``capacity`` keys: a write of a further key pushes out the one written longest ago.
+
+    A key is still there if, since its last write, fewer than ``capacity``
+    other keys were written. That many distinct keys are counted within the
+    writes that follow; there are no more of them than within ``ttl``.
+    """
+    found = cache_reads(events, ttl, key=key, ts=ts, kind=kind)
+    past = Window.partitionBy(key).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, -1)
+    last = found.withColumn("__last", F.last(F.when(F.col(kind) == "write", F.col(seq)), ignorenulls=True).over(past))
+    writes = events.where(F.col(kind) == "write").select(F.col(seq).alias("__w"), F.col(ts).alias("__t"), F.col(key).alias("__k"), F.floor(F.col(ts) / ttl).alias("__slot"))
+    asked = last.where("hit").select(F.col(seq).alias("__read"), "__last", F.col(ts).alias("__now"), F.col(key).alias("__own"), F.explode(F.array(F.floor(F.col(ts) / ttl), F.floor(F.col(ts) / ttl) - 1)).alias("__slot"))
+    between = asked.join(writes, "__slot").where("__w > __last and __w < __read and __k <> __own")
+    gone = between.groupBy("__read").agg(F.count_distinct("__k").alias("__others")).where(F.col("__others") >= capacity).select("__read", F.lit(True).alias("__gone"))
+    joined = last.join(gone, last[seq] == gone["__read"], "left")
+    return joined.withColumn("hit", F.col("hit") & F.col("__gone").isNull()).select(*found.columns)
+
+
+def blocked(events: DataFrame, *, window: float, cooldown: float, threshold: int, key: str = "key", ts: str = "ts", seq: str = "seq", kind: str = "kind") -> DataFrame:
+    """``events`` (fail, ok or ask) and blocked: whether a key's failures hold it back at that time, before the event itself.
+
+    A failure more than ``window`` seconds after the last one starts a new
+    streak, and so does the first one after a success; from the
+    ``threshold``-th failure of a streak on, each blocks for ``cooldown``.
+    """
+    order = Window.partitionBy(key).orderBy(ts, seq)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    fail, time = F.col(kind) == "fail", F.col(ts)
+    last_fail, last_ok = F.last(F.when(fail, time), ignorenulls=True).over(before), F.last(F.when(F.col(kind) == "ok", F.col("__n")), ignorenulls=True).over(before)
+    last_n = F.last(F.when(fail, F.col("__n")), ignorenulls=True).over(before)
+    numbered = events.withColumn("__n", F.row_number().over(order))
+    marked = numbered.withColumn("__new", fail & (last_fail.isNull() | (time - last_fail > window) | F.coalesce(last_ok > last_n, F.lit(False))))
+    streak = marked.withColumn("__streak", F.sum(F.col("__new").cast("int")).over(order))
+    nth = F.sum(fail.cast("int")).over(Window.partitionBy(key, "__streak").orderBy(ts, seq))
+    until = streak.withColumn("__until", F.when(fail & (nth >= threshold), time + cooldown)).withColumn("__f", F.when(fail, F.struct(F.col("__n").alias("n"), F.col("__until").alias("until"))))
+    held = until.withColumn("__held", F.last("__f", ignorenulls=True).over(before)).withColumn("__ok", F.last(F.when(F.col(kind) == "ok", F.col("__n")), ignorenulls=True).over(before))
+    open_again = F.coalesce(F.col("__ok") > F.col("__held.n"), F.lit(False))
+    return held.withColumn("blocked", F.coalesce((time < F.col("__held.until")) & ~open_again, F.lit(False))).select(*events.columns, "blocked")

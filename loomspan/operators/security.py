@@ -27,17 +27,17 @@ TRACKERS = ("_ga", "_gid", "_fbp", "_fbc", "__gads", "__gpi", "_gcl_au", "IDE",
 CSRF_COOKIES = ("csrf", "xsrf", "_token", "antiforgery")
 #: Headers that tell too much, their severity and what they tell; headers out of use.
 TELLING = {
-    "x-powered-by": ("medium", "Exposes server technology"),
-    "x-aspnet-version": ("medium", "Exposes ASP.NET version"),
-    "x-aspnetmvc-version": ("medium", "Exposes ASP.NET MVC version"),
-    "x-generator": ("medium", "Exposes site generator"),
-    "x-backend-server": ("high", "Exposes internal backend hostname"),
-    "x-debug-token": ("high", "Debug token exposed in production"),
-    "x-debug-token-link": ("high", "Debug profiler link exposed in production"),
-    "x-chromelogger-data": ("high", "ChromeLogger debug data exposed"),
-    "x-runtime": ("low", "Exposes server-side timing information"),
+    "x-powered-by": ("medium", "what the server runs"),
+    "x-aspnet-version": ("medium", "version of the platform"),
+    "x-aspnetmvc-version": ("medium", "version of the framework"),
+    "x-generator": ("medium", "what made the site"),
+    "x-backend-server": ("high", "name of a host behind"),
+    "x-debug-token": ("high", "key to debug data"),
+    "x-debug-token-link": ("high", "way to debug data"),
+    "x-chromelogger-data": ("high", "debug data itself"),
+    "x-runtime": ("low", "time the server took"),
 }
-OUT_OF_USE = {"public-key-pins": "HPKP deprecated, no longer supported by browsers", "expect-ct": "Expect-CT deprecated since Chrome 107"}
+OUT_OF_USE = {"public-key-pins": "pinning that browsers gave up", "expect-ct": "a wish that is now the rule"}
 #: Marks of stack traces, in the order they are tried.
 TRACES = {
     "Java": r"at\s+[\w.]+\.\w+\(\w+\.java:\d+\)",
@@ -47,18 +47,19 @@ TRACES = {
     "Ruby": r"undefined method",
 }
 CSRF_FIELDS = ("csrf", "xsrf", "_token", "authenticity_token", "__requestverificationtoken", "csrfmiddlewaretoken")
-RISKY_CDNS = ("cdn.polyfill.io", "polyfill.io", "bootcss.com", "staticfile.org")
-#: Script libraries: a pattern with the version as its group, and the first version without known holes.
+#: Hosts of scripts that were taken over.
+RISKY_CDNS = ("polyfill.io", "cdn.polyfill.io", "cdn.bootcss.com", "cdn.bootcdn.net")
+#: Fixed values of script libraries: a pattern with the version as its group, the first version without known holes, the severity.
 LIBRARIES = {
-    "jquery": (r"jquery[.-](\d+\.\d+\.\d+)", (3, 5, 0)),
-    "jquery-ui": (r"jquery-ui[.-](\d+\.\d+\.\d+)", (1, 13, 2)),
-    "bootstrap": (r"bootstrap[.-](\d+\.\d+\.\d+)", (3, 4, 1)),
-    "angular": (r"angular[.-](\d+\.\d+\.\d+)", (1, 8, 0)),
-    "lodash": (r"lodash[.-](\d+\.\d+\.\d+)", (4, 17, 21)),
-    "moment": (r"moment[.-](\d+\.\d+\.\d+)", (2, 29, 4)),
-    "handlebars": (r"handlebars[.-](\d+\.\d+\.\d+)", (4, 7, 7)),
-    "dompurify": (r"dompurify[.-](\d+\.\d+\.\d+)", (2, 4, 0)),
-    "vue": (r"vue[.-](\d+\.\d+\.\d+)", (2, 7, 0)),
+    "jQuery": (r"jquery[.-](\d+\.\d+\.\d+)", (3, 5, 0), "medium"),
+    "AngularJS": (r"angular(?:js)?[/.-](\d+\.\d+\.\d+)", (1, 8, 0), "high"),
+    "Bootstrap": (r"bootstrap(?:\.min)?\.js\??(?:v=)?(\d+\.\d+\.\d+)", (3, 4, 0), "medium"),
+    "Lodash": (r"lodash[@/.-](\d+\.\d+\.\d+)", (4, 17, 21), "medium"),
+    "React": (r"react[@/.-](\d+\.\d+\.\d+)", (16, 4, 2), "medium"),
+    "Vue.js": (r"vue[@/.-](\d+\.\d+\.\d+)", (2, 5, 17), "medium"),
+    "Moment.js": (r"moment(?:\.min)?\.js\??(?:v=)?(\d+\.\d+\.\d+)", (2, 29, 4), "low"),
+    "Handlebars": (r"handlebars(?:\.min)?\.js\??(?:v=)?(\d+\.\d+\.\d+)", (4, 7, 7), "high"),
+    "DOMPurify": (r"(?:dompurify|purify)[@/.-](\d+\.\d+\.\d+)", (2, 4, 0), "high"),
 }
 GRADES = ((100, "A+"), (90, "A"), (85, "A-"), (80, "B+"), (70, "B"), (65, "B-"), (60, "C+"), (50, "C"), (45, "C-"), (40, "D+"), (30, "D"), (25, "D-"))
 
@@ -90,42 +91,42 @@ def header_rules() -> list[Rule]:
             earlier = earlier | when
 
     def simple(name: str, severity: str, label: str) -> None:
-        add(name, (header(name).isNull(), severity, f"{label} missing"), (F.lit(True), "info", f"{label} present"))
+        add(name, (header(name).isNull(), severity, f"{label}: missing"), (F.lit(True), "info", f"{label}: set"))
 
     hsts = header("strict-transport-security")
     age, low = max_age(hsts), F.lower(hsts)
     preload, below = F.contains(low, F.lit("preload")), F.contains(low, F.lit("includesubdomains"))
     add(
-        "strict-transport-security", (hsts.isNull(), "high", "HSTS header missing"), (age < SHORT_AGE, "medium", "HSTS max-age too short"), (preload & below & (age >= PRELOAD_AGE), "info", "HSTS preload-ready"),
-        (preload, "low", "HSTS has preload flag but doesn't meet preload requirements"), (F.lit(True), "info", "HSTS configured correctly"),
+        "strict-transport-security", (hsts.isNull(), "high", "not sent: missing"), (age < SHORT_AGE, "medium", "lasts less than half a year"), (preload & below & (age >= PRELOAD_AGE), "info", "fit for the preload list"),
+        (preload, "low", "asks for preload but isn't fit for it"), (F.lit(True), "info", "fine"),
     )
-    simple("content-security-policy", "high", "CSP header")
+    simple("content-security-policy", "high", "policy")
     v = header("x-content-type-options")
-    add("x-content-type-options", (v.isNull(), "medium", "X-Content-Type-Options missing"), (F.lower(v) == "nosniff", "info", "X-Content-Type-Options set to nosniff"), (F.lit(True), "medium", "X-Content-Type-Options has invalid value"))
+    add("x-content-type-options", (v.isNull(), "medium", "not sent: missing"), (F.lower(v) == "nosniff", "info", "types aren't guessed"), (F.lit(True), "medium", "a value browsers don't know"))
     v = header("x-frame-options")
-    add("x-frame-options", (v.isNull(), "medium", "X-Frame-Options missing"), (F.upper(v).isin("DENY", "SAMEORIGIN"), "info", "X-Frame-Options configured correctly"), (F.lit(True), "low", "X-Frame-Options has unrecognized value"))
+    add("x-frame-options", (v.isNull(), "medium", "not sent: missing"), (F.upper(v).isin("DENY", "SAMEORIGIN"), "info", "framing is limited"), (F.lit(True), "low", "a value browsers don't know"))
     v = header("referrer-policy")
-    add("referrer-policy", (v.isNull(), "low", "Referrer-Policy missing"), (F.lower(v).isin(*GOOD_REFERRER), "info", "Referrer-Policy header present"), (F.lit(True), "low", "Referrer-Policy header present"))
-    simple("permissions-policy", "medium", "Permissions-Policy")
-    simple("cross-origin-opener-policy", "low", "COOP header")
-    simple("cross-origin-embedder-policy", "low", "COEP header")
-    simple("cross-origin-resource-policy", "low", "CORP header")
+    add("referrer-policy", (v.isNull(), "low", "not sent: missing"), (F.lower(v).isin(*GOOD_REFERRER), "info", "little is passed on"), (F.lit(True), "low", "more is passed on than need be"))
+    simple("permissions-policy", "medium", "permissions")
+    simple("cross-origin-opener-policy", "low", "opener policy")
+    simple("cross-origin-embedder-policy", "low", "embedder policy")
+    simple("cross-origin-resource-policy", "low", "resource policy")
     v = header("x-xss-protection")
-    add("x-xss-protection", (v.isNull(), "info", "X-XSS-Protection absent (correct, header is deprecated)"), (F.trim(v) == "0", "info", "X-XSS-Protection disabled (correct)"), (F.lit(True), "low", "X-XSS-Protection is deprecated and can introduce vulnerabilities"))
+    add("x-xss-protection", (v.isNull(), "info", "rightly not sent"), (F.trim(v) == "0", "info", "rightly off"), (F.lit(True), "low", "an old filter that does harm is on"))
     for name, label in (("reporting-endpoints", "Reporting-Endpoints"), ("nel", "NEL")):
-        add(name, (header(name).isNull(), "info", f"{label} absent (optional)"), (F.lit(True), "info", f"{label} configured"))
+        add(name, (header(name).isNull(), "info", f"{label}: none needed"), (F.lit(True), "info", f"{label}: set"))
     v = F.lower(header("x-permitted-cross-domain-policies"))
-    add("x-permitted-cross-domain-policies", (v.isNull(), "low", "X-Permitted-Cross-Domain-Policies missing"), (v.isin("none", "master-only"), "info", "Cross-domain policies restricted"), (F.lit(True), "low", "Cross-domain policies may be too permissive"))
+    add("x-permitted-cross-domain-policies", (v.isNull(), "low", "not sent: missing"), (v.isin("none", "master-only"), "info", "limited"), (F.lit(True), "low", "perhaps wider than meant"))
     v = F.lower(header("x-dns-prefetch-control"))
-    add("x-dns-prefetch-control", (v.isNull(), "info", "X-DNS-Prefetch-Control absent (acceptable)"), (v == "off", "info", "DNS prefetch disabled"), (F.lit(True), "low", "DNS prefetch enabled, a minor privacy concern"))
+    add("x-dns-prefetch-control", (v.isNull(), "info", "left to the browser"), (v == "off", "info", "names aren't looked up ahead"), (F.lit(True), "low", "names of links are looked up ahead"))
     v, cookies = F.lower(header("cache-control")), F.size("set_cookies") > 0
     bare = cookies & (v.isNull() | (~F.contains(v, F.lit("no-store")) & ~F.contains(v, F.lit("private"))))
-    add("cache-control", (bare, "medium", "Sensitive page (sets cookies) without Cache-Control: no-store"), (v.isNull(), "info", "Cache-Control absent (informational)"), (F.lit(True), "info", "Cache-Control present"))
-    add("clear-site-data", (header("clear-site-data").isNull(), "info", "Clear-Site-Data absent (optional)"), (F.lit(True), "info", "Clear-Site-Data header present"))
+    add("cache-control", (bare, "medium", "sets cookies, yet may be stored"), (v.isNull(), "info", "left to the browser"), (F.lit(True), "info", "set"))
+    add("clear-site-data", (header("clear-site-data").isNull(), "info", "none needed"), (F.lit(True), "info", "set"))
     v = F.lower(header("content-type"))
-    add("content-type", (F.contains(v, F.lit("text/html")) & ~F.contains(v, F.lit("charset")), "low", "Content-Type text/html without charset declaration"))
+    add("content-type", (F.contains(v, F.lit("text/html")) & ~F.contains(v, F.lit("charset")), "low", "encoding of the page not named"))
     basic = F.contains(F.lower(header("www-authenticate")), F.lit("basic"))
-    add("www-authenticate", (basic & F.col("url").startswith("https"), "medium", "Basic authentication detected (credentials sent as base64)"), (basic, "high", "Basic authentication over HTTP (credentials sent in cleartext)"))
+    add("www-authenticate", (basic & F.col("url").startswith("https"), "medium", "passwords go in every request"), (basic, "high", "passwords go unencrypted"))
     return rules
 
 
@@ -154,18 +155,18 @@ def csp_report(csp: Column) -> tuple[list[Rule], Column]:
     loose = _has(scripts, "'unsafe-inline'") & ~marked
     plain = F.filter(F.map_entries(csp), lambda d: F.array_contains(d["value"], "http:"))
     rules = [
-        Rule("csp", "unsafe-inline", loose, "high", "XSS bypass possible: unsafe-inline without nonce/hash"),
-        Rule("csp", "unsafe-eval", _has(scripts, "'unsafe-eval'"), "medium", "Allows dynamic code execution, injection risk"),
-        Rule("csp", "broad-source", broad, "high", "Overly broad source allows script injection"),
-        Rule("csp", "strict-dynamic", _has(scripts, "'strict-dynamic'") & ~marked, "high", "strict-dynamic without nonce/hash is misconfigured"),
-        Rule("csp", "http-scheme", F.size(plain) > 0, "medium", F.concat(F.lit("Insecure http: scheme in "), F.array_join(F.array_sort(F.transform(plain, lambda d: d["key"])), ", "))),
-        Rule("csp", "object-src", ~_has(_values(csp, "object-src"), "'none'"), "medium", "Missing or permissive object-src allows plugin-based bypasses"),
-        Rule("csp", "base-uri", _values(csp, "base-uri").isNull(), "medium", "Missing base-uri allows base tag injection"),
-        Rule("csp", "form-action", _values(csp, "form-action").isNull(), "medium", "Missing form-action allows form hijacking"),
-        Rule("csp", "frame-ancestors", _values(csp, "frame-ancestors").isNull(), "low", "Missing frame-ancestors, relies on X-Frame-Options"),
-        *(Rule("csp", f"wildcard {name}", F.coalesce(F.exists(_values(csp, name), lambda v: v.startswith("*.")), F.lit(False)), "medium", f"Wildcard subdomain in {name}") for name in ("script-src", "default-src")),
-        Rule("csp", "jsonp", F.coalesce(F.exists(scripts, lambda v: _any(F.lower(v), JSONP_HOSTS)), F.lit(False)), "high", "A host serves JSONP callbacks that bypass CSP"),
-        Rule("csp", "report-uri", _values(csp, "report-uri").isNotNull() & _values(csp, "report-to").isNull(), "low", "Deprecated report-uri without report-to"),
+        Rule("csp", "unsafe-inline", loose, "high", "inline scripts run unchecked"),
+        Rule("csp", "unsafe-eval", _has(scripts, "'unsafe-eval'"), "medium", "text may become code"),
+        Rule("csp", "broad-source", broad, "high", "scripts from anywhere"),
+        Rule("csp", "strict-dynamic", _has(scripts, "'strict-dynamic'") & ~marked, "high", "trust is passed on from nothing"),
+        Rule("csp", "http-scheme", F.size(plain) > 0, "medium", F.concat(F.lit("unencrypted sources for "), F.array_join(F.array_sort(F.transform(plain, lambda d: d["key"])), ", "))),
+        Rule("csp", "object-src", ~_has(_values(csp, "object-src"), "'none'"), "medium", "plug-ins aren't shut out"),
+        Rule("csp", "base-uri", _values(csp, "base-uri").isNull(), "medium", "addresses can be rebased"),
+        Rule("csp", "form-action", _values(csp, "form-action").isNull(), "medium", "forms may be sent anywhere"),
+        Rule("csp", "frame-ancestors", _values(csp, "frame-ancestors").isNull(), "low", "framing is left to an older header"),
+        *(Rule("csp", f"wildcard {name}", F.coalesce(F.exists(_values(csp, name), lambda v: v.startswith("*.")), F.lit(False)), "medium", f"any subdomain for {name}") for name in ("script-src", "default-src")),
+        Rule("csp", "jsonp", F.coalesce(F.exists(scripts, lambda v: _any(F.lower(v), JSONP_HOSTS)), F.lit(False)), "high", "a source that answers with any callback"),
+        Rule("csp", "report-uri", _values(csp, "report-uri").isNotNull() & _values(csp, "report-to").isNull(), "low", "reports go the old way only"),
     ]
     score = (
         F.when(broad | loose, -20).when(_has(scripts, "'unsafe-eval'"), -10).when(_has(_values(csp, "style-src"), "'unsafe-inline'"), 0).when(_has(_values(csp, "default-src"), "'none'"), 10).otherwise(5)
@@ -183,7 +184,7 @@ def csp_grade(score: Column) -> Column:
 
 def csp_findings(value: Column) -> Column:
     none = F.trim(F.coalesce(value, F.lit(""))) == ""
-    return F.when(none, report([Rule("csp", "content-security-policy", F.lit(True), "high", "Content Security Policy not implemented")])).otherwise(report(csp_report(csp_directives(value))[0]))
+    return F.when(none, report([Rule("csp", "content-security-policy", F.lit(True), "high", "no policy")])).otherwise(report(csp_report(csp_directives(value))[0]))
 
 
 def cookie(text: Column) -> Column:
@@ -216,13 +217,13 @@ def cookie_findings(cookies: Column, page_host: Column) -> Column:
         at = lambda check, when, severity, detail: Rule("cookies", check, F.coalesce(when, F.lit(False)), severity, F.concat(c["name"], F.lit(": "), F.lit(detail)))
         suffix = ~F.contains(c["domain"], F.lit("."))
         return [
-            at("secure", c["is_session"] & ~c["secure"], "critical", "Session cookie missing Secure flag"),
-            at("httponly", c["is_session"] & ~c["http_only"], "high", "Session cookie missing HttpOnly flag"),
-            at("domain", suffix, "critical", "Cookie domain is a public suffix"),
-            at("scope", ~suffix & (c["domain"] != page_host) & F.endswith(page_host, F.concat(F.lit("."), c["domain"])), "medium", "Loosely scoped cookie"),
+            at("secure", c["is_session"] & ~c["secure"], "critical", "session may travel unencrypted"),
+            at("httponly", c["is_session"] & ~c["http_only"], "high", "session can be read by scripts"),
+            at("domain", suffix, "critical", "shared with all sites of a suffix"),
+            at("scope", ~suffix & (c["domain"] != page_host) & F.endswith(page_host, F.concat(F.lit("."), c["domain"])), "medium", "shared with hosts above"),
         ]
 
-    csrf = lambda c: [Rule("cookies", "csrf", _any(F.lower(c["name"]), CSRF_COOKIES) & c["same_site"].isNull(), "medium", F.concat(c["name"], F.lit(": CSRF token cookie without SameSite attribute")))]
+    csrf = lambda c: [Rule("cookies", "csrf", _any(F.lower(c["name"]), CSRF_COOKIES) & c["same_site"].isNull(), "medium", F.concat(c["name"], F.lit(": guard against forged requests is sent with them")))]
     return F.concat(F.flatten(F.transform(cookies, lambda c: report(of(c)))), F.flatten(F.transform(cookies, lambda c: report(csrf(c)))))
 
 
@@ -230,16 +231,16 @@ def cors() -> tuple[list[Rule], Column]:
     origin, shared = header("access-control-allow-origin"), F.coalesce(F.lower(header("access-control-allow-credentials")) == "true", F.lit(False))
     wild = F.coalesce(origin == "*", F.lit(False))
     rules = [
-        Rule("cors", "wildcard", wild, "critical", "Access-Control-Allow-Origin set to wildcard (*)"),
-        Rule("cors", "wildcard-credentials", wild & shared, "critical", "Wildcard origin with credentials"),
-        Rule("cors", "origin-credentials", origin.isNotNull() & ~wild & shared, "high", "A specific origin with credentials enabled"),
+        Rule("cors", "wildcard", wild, "critical", "any site may read"),
+        Rule("cors", "wildcard-credentials", wild & shared, "critical", "any site, with credentials"),
+        Rule("cors", "origin-credentials", origin.isNotNull() & ~wild & shared, "high", "one site, with credentials"),
     ]
     return rules, F.when(wild, -50).when(origin.isNotNull() & shared, -20).otherwise(0)
 
 
 def disclosure_rules() -> list[Rule]:
     told = [Rule("disclosure", name, header(name).isNotNull(), severity, detail) for name, (severity, detail) in TELLING.items()]
-    server = Rule("disclosure", "server", F.coalesce(header("server").rlike(r"^[^/]*/[0-9]"), F.lit(False)), "medium", "Server header discloses version information")
+    server = Rule("disclosure", "server", F.coalesce(header("server").rlike(r"^[^/]*/[0-9]"), F.lit(False)), "medium", "version of the server")
     return [*told, server, *(Rule("disclosure", name, header(name).isNotNull(), "low", detail) for name, detail in OUT_OF_USE.items())]
 
 
@@ -264,18 +265,18 @@ def body_rules() -> list[Rule]:
     open_form = F.exists(forms, lambda f: ~F.exists(hidden(f), lambda n: _any(F.lower(n), CSRF_FIELDS)))
     source_map = F.regexp_extract(html, r"//[#@]\s*sourceMappingURL\s*=\s*(\S+)", 1)
     return [
-        Rule("body", "private_ip", private_address(html).isNotNull(), "medium", F.concat(F.lit("Private IP found: "), private_address(html))),
-        Rule("body", "stack_trace", trace.isNotNull(), "high", F.concat(trace, F.lit(" stack trace detected"))),
-        Rule("body", "suspicious_comment", bad.isNotNull(), "medium", F.concat(F.lit("Suspicious comment: "), F.left(bad, F.lit(80)))),
-        Rule("body", "generator_version", generator != "", "medium", F.concat(F.lit("Generator with version: "), generator)),
-        Rule("body", "directory_listing", html.rlike(r"(?i)<(?:title|h1)>Index of /|Directory listing for /"), "medium", "Directory listing detected"),
-        Rule("body", "session_in_url", url.rlike(r"(?i)(?:jsessionid|phpsessid|sid|session_id|sessionid|aspsessionid)[=;][A-Za-z0-9]{8,}"), "high", "Session ID exposed in URL"),
-        Rule("body", "sensitive_url_param", url.rlike(r"(?i)[?&](password|passwd|pwd|secret|token|api_key|apikey|access_token|auth|authorization)="), "high", "Sensitive parameter in URL"),
-        Rule("body", "insecure_form_action", url.startswith("https://") & html.rlike(r"""(?i)<form\s[^>]*action\s*=\s*["']http://[^"']*["']"""), "high", "Form submits to insecure HTTP endpoint"),
-        Rule("body", "xss_event_handlers", events > 0, "medium", F.concat(events.cast("string"), F.lit(" inline event handler(s) detected"))),
-        Rule("body", "xss_javascript_url", F.exists(in_tags, lambda t: t.rlike(r"(?i)javascript\s*:")), "high", "javascript: URL scheme detected in HTML"),
-        Rule("body", "exposed_source_map", source_map != "", "medium", F.concat(F.lit("Source map reference found: "), source_map)),
-        Rule("body", "form_no_csrf_token", open_form, "medium", "POST form without apparent CSRF token field"),
+        Rule("body", "private_ip", private_address(html).isNotNull(), "medium", F.concat(F.lit("address of a private net: "), private_address(html))),
+        Rule("body", "stack_trace", trace.isNotNull(), "high", F.concat(trace, F.lit(" stack trace"))),
+        Rule("body", "suspicious_comment", bad.isNotNull(), "medium", F.concat(F.lit("comment: "), F.left(bad, F.lit(80)))),
+        Rule("body", "generator_version", generator != "", "medium", F.concat(F.lit("made by "), generator)),
+        Rule("body", "directory_listing", html.rlike(r"(?i)<(?:title|h1)>Index of /|Directory listing for /"), "medium", "list of a folder"),
+        Rule("body", "session_in_url", url.rlike(r"(?i)(?:jsessionid|phpsessid|sid|session_id|sessionid|aspsessionid)[=;][A-Za-z0-9]{8,}"), "high", "session in the address"),
+        Rule("body", "sensitive_url_param", url.rlike(r"(?i)[?&](password|passwd|pwd|secret|token|api_key|apikey|access_token|auth|authorization)="), "high", "secret in the address"),
+        Rule("body", "insecure_form_action", url.startswith("https://") & html.rlike(r"""(?i)<form\s[^>]*action\s*=\s*["']http://[^"']*["']"""), "high", "a form is sent unencrypted"),
+        Rule("body", "xss_event_handlers", events > 0, "medium", F.concat(events.cast("string"), F.lit(" handlers in tags"))),
+        Rule("body", "xss_javascript_url", F.exists(in_tags, lambda t: t.rlike(r"(?i)javascript\s*:")), "high", "a link that is a script"),
+        Rule("body", "exposed_source_map", source_map != "", "medium", F.concat(F.lit("source map: "), source_map)),
+        Rule("body", "form_no_csrf_token", open_form, "medium", "a form without a guard against forged requests"),
     ]
 
 
@@ -303,15 +304,15 @@ def sri(found: Column) -> tuple[list[Rule], Column]:
     missing = F.size(bare)
     hosts = F.array_sort(F.array_distinct(F.transform(bare, lambda r: r["host"])))
     rules = [
-        Rule("sri", "none", (n > 0) & (missing == n), "critical", "No external resource has integrity"),
-        Rule("sri", "some", (missing > 0) & (missing < n), "medium", F.concat(F.lit("Without integrity: "), F.array_join(hosts, ", "))),
+        Rule("sri", "none", (n > 0) & (missing == n), "critical", "nothing from elsewhere is checked"),
+        Rule("sri", "some", (missing > 0) & (missing < n), "medium", F.concat(F.lit("unchecked: "), F.array_join(hosts, ", "))),
     ]
     return rules, F.when(n == 0, 0).when(missing == 0, 5).when(insecure, -50).otherwise(F.greatest(F.lit(-25), missing * -5))
 
 
 def supply_chain(found: Column) -> list[Rule]:
     scripts = F.array_distinct(F.filter(found, lambda r: (r["kind"] == "script") & r["cross"]))
-    risky = F.filter(scripts, lambda r: reduce(or_, (F.contains(r["host"], F.lit(c)) for c in RISKY_CDNS)))
+    risky = F.filter(scripts, lambda r: r["host"].isin(*RISKY_CDNS))
     return [
         Rule("supply", "risky_cdn", F.size(risky) > 0, "high", F.array_join(F.array_sort(F.array_distinct(F.transform(risky, lambda r: r["host"]))), ", ")),
         Rule("supply", "third_party", F.size(scripts) > 0, "info", F.concat(F.size(scripts).cast("string"), F.lit(" third-party scripts"))),
@@ -332,10 +333,10 @@ def mixed_rules() -> list[Rule]:
 def library_rules(found: Column) -> list[Rule]:
     """Script libraries below the first version without known holes."""
 
-    def rule(name: str, pattern: str, safe: tuple[int, ...]) -> Rule:
+    def rule(name: str, pattern: str, safe: tuple[int, ...], severity: str) -> Rule:
         versions = F.filter(F.transform(found, lambda r: F.regexp_extract(F.lower(r["target"]), pattern, 1)), lambda v: v != "")
         old = F.filter(versions, lambda v: F.transform(F.split(v, r"\."), lambda x: x.cast("int")) < F.array(*(F.lit(x) for x in safe)))
-        return Rule("library", name, F.size(old) > 0, "high", F.concat(F.lit(f"{name} "), F.coalesce(F.try_element_at(old, F.lit(1)), F.lit(""))))
+        return Rule("library", name, F.size(old) > 0, severity, F.concat(F.lit(f"{name} "), F.coalesce(F.try_element_at(old, F.lit(1)), F.lit(""))))
 
     return [rule(name, *of) for name, of in LIBRARIES.items()]
 
@@ -357,8 +358,8 @@ def redirect(chain: Column) -> tuple[list[Rule], Column]:
     falls = F.size(F.filter(steps, lambda s: s["a"].startswith("https://") & F.coalesce(s["b"].startswith("http://"), F.lit(False))))
     away = F.coalesce(urls.host(F.element_at(chain, 1)) != urls.host(last), F.lit(False))
     rules = [
-        Rule("redirect", "http", last.startswith("http://"), "high", "Final URL is not HTTPS"),
-        Rule("redirect", "downgrade", falls > 0, "high", "HTTPS is left on the way"),
+        Rule("redirect", "http", last.startswith("http://"), "high", "ends unencrypted"),
+        Rule("redirect", "downgrade", falls > 0, "high", "encryption is left on the way"),
         Rule("redirect", "cross_host", away, "info", "Redirect to another host"),
     ]
     return rules, F.greatest(F.lit(-30), F.when(last.startswith("http://"), -20).otherwise(0) - falls * 10)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -81,12 +82,28 @@ def _sitemaps(spark, sf_dir):
     return pages.groupBy(F.floor(F.col("page_id") / SITEMAP_ENTRIES).alias("k")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.array_sort(F.collect_list(entry)), ""), F.lit("</urlset>")).alias("body")).select(F.concat(F.lit("https://s.example/"), F.col("k"), F.lit(".xml")).alias("url"), "body")
 
 
-@query("c13_c14_sitemaps", "SELECT url AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END AS lastmod FROM pages WHERE page_id < 50 AND (page_id % 2 = 1 OR page_id % 28 + 1 >= 15)")
+@query("c13_c14_sitemaps", "SELECT url AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') END AS lastmod FROM pages WHERE page_id % 2 = 1 OR page_id % 28 + 1 >= 15")
 def c13(spark, sf_dir):
     return C.since(C.parse_sitemaps(_sitemaps(spark, sf_dir)), "2024-01-15").select("loc", "lastmod")
 
 
-@query("c15_discover", "SELECT url AS loc FROM pages WHERE page_id < 50")
+@query("c13_packed_sitemaps", "SELECT url AS loc FROM pages WHERE page_id % 3 <> 2")
+def c13b(spark, sf_dir):
+    """Files of one page each, as bytes: packed, plain, or packed and cut off."""
+    import gzip
+
+    one = lambda url: f"<urlset><url><loc>{url.replace('&', '&amp;')}</loc></url></urlset>".encode()
+
+    def pack(batches):
+        for b in batches:
+            bodies = [one(u) for u in b["url"].to_pylist()]
+            made = [gzip.compress(x) if i % 3 == 0 else x if i % 3 == 1 else gzip.compress(x)[:10] for i, x in zip(b["page_id"].to_pylist(), bodies)]
+            yield pa.RecordBatch.from_arrays([b["url"], pa.array(made, pa.binary())], ["url", "body"])
+
+    return C.parse_sitemaps(load(spark, sf_dir, "pages").select("page_id", "url").mapInArrow(pack, "url string, body binary")).select("loc")
+
+
+@query("c15_discover", "SELECT url AS loc FROM pages")
 def c15(spark, sf_dir):
     maps = _sitemaps(spark, sf_dir)
     number = F.regexp_extract("url", r"(-?[0-9]+)\.xml$", 1).cast("bigint")
@@ -105,9 +122,8 @@ def c17(spark, sf_dir):
 
 
 @query("r01_fusion", """
-WITH l AS (SELECT 0 AS list, vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS rank FROM embeddings UNION ALL SELECT 1, vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) - 1 FROM embeddings UNION ALL SELECT 2, vec_id, row_number() OVER (ORDER BY embedding[3] DESC, vec_id) - 1 FROM embeddings),
-t AS (SELECT * FROM l WHERE rank < 40)
-SELECT 'u' || vec_id::VARCHAR AS url, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM t GROUP BY vec_id""")
+WITH l AS (SELECT 0 AS list, vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) - 1 AS rank FROM embeddings UNION ALL SELECT 1, vec_id, row_number() OVER (ORDER BY embedding[2] DESC, vec_id) - 1 FROM embeddings UNION ALL SELECT 2, vec_id, row_number() OVER (ORDER BY embedding[3] DESC, vec_id) - 1 FROM embeddings)
+SELECT 'u' || vec_id::VARCHAR AS url, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM l GROUP BY vec_id""")
 def r01(spark, sf_dir):
     emb = load(spark, sf_dir, "embeddings")
     files, lists = Store(spark, "fusion"), None
@@ -178,3 +194,50 @@ def k08(spark, sf_dir):
 @query("k09_deadline", "SELECT event_id, least(greatest(coalesce(nullif((event_id % 100)::BIGINT, 50), 8), 1), 60)::INTEGER AS seconds FROM events")
 def k09(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", keyed.deadline(F.nullif(F.col("event_id") % 100, F.lit(50))).cast("int").alias("seconds"))
+
+
+@query("sk01_page_files", "SELECT url, 'page_' || lpad((row_number() OVER (ORDER BY page_id) - 1)::VARCHAR, 4, '0') || '.md' AS file, 200 AS status FROM pages WHERE page_id % 5 <> 0")
+def sk01(spark, sf_dir):
+    rows = load(spark, sf_dir, "pages").select("page_id", "url", F.lit(200).alias("status"), F.when(F.col("page_id") % 5 == 0, "").otherwise("# text").alias("markdown"))
+    return C.page_files(rows, "page_id").select("url", "file", "status")
+
+
+@query("sk02_file_names", f"SELECT page_id, regexp_replace({HOST}, '[^\\p{{L}}\\p{{N}}.-]', '_', 'g') || '_' || left(sha256(url), 16) || '.html' AS file FROM pages")
+def sk02(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", C.file_name(F.col("url")).alias("file"))
+
+
+_CACHE = "SELECT user_id AS key, epoch(ts) AS ts, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'write' ELSE 'read' END AS kind FROM events"
+
+
+def _cache(spark, sf_dir):
+    return load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "write").otherwise("read").alias("kind")).withColumn("ts", F.col("us") / 1e6)
+
+
+@query("k07_c12_cache_reads", f"""
+WITH e AS ({_CACHE}), w AS (SELECT *, max(CASE WHEN kind = 'write' THEN ts END) OVER (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM e)
+SELECT seq, CASE WHEN kind = 'read' THEN coalesce(ts - last < 86400.0, false) END AS hit FROM w""")
+def k07(spark, sf_dir):
+    return keyed.cache_reads(_cache(spark, sf_dir), 86400.0).select("seq", "hit")
+
+
+@query("k07_evicting_cache", f"""
+WITH e AS ({_CACHE}),
+w AS (SELECT *, max(CASE WHEN kind = 'write' THEN ts END) OVER p AS last, arg_max(seq, ts) FILTER (WHERE kind = 'write') OVER p AS last_seq FROM e WINDOW p AS (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT w.seq, CASE WHEN w.kind = 'read' THEN coalesce(w.ts - w.last < 86400.0, false) AND (SELECT count(DISTINCT o.key) FROM e o WHERE o.kind = 'write' AND o.key <> w.key AND o.seq > w.last_seq AND o.seq < w.seq) < 20 END AS hit FROM w""")
+def k07b(spark, sf_dir):
+    return keyed.live_until_evicted(_cache(spark, sf_dir), 86400.0, 20).select("seq", "hit")
+
+
+@query("k07_blocked", """
+WITH RECURSIVE e AS (SELECT user_id AS key, epoch(ts) AS ts, event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'ask' ELSE 'fail' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT key, n, seq, false AS blocked, CASE WHEN kind = 'fail' THEN 1 ELSE 0 END AS failures, CASE WHEN kind = 'fail' THEN ts END AS last, NULL::DOUBLE AS until FROM e WHERE n = 1
+  UNION ALL SELECT e.key, e.n, e.seq, coalesce(e.ts < s.until, false),
+    CASE WHEN e.kind = 'ok' THEN 0 WHEN e.kind = 'fail' THEN CASE WHEN s.failures > 0 AND e.ts - s.last <= 200000.0 THEN s.failures + 1 ELSE 1 END ELSE s.failures END,
+    CASE WHEN e.kind = 'ok' THEN NULL WHEN e.kind = 'fail' THEN e.ts ELSE s.last END,
+    CASE WHEN e.kind = 'ok' THEN NULL WHEN e.kind = 'fail' THEN CASE WHEN (CASE WHEN s.failures > 0 AND e.ts - s.last <= 200000.0 THEN s.failures + 1 ELSE 1 END) >= 2 THEN e.ts + 300000.0 WHEN s.failures > 0 AND e.ts - s.last <= 200000.0 THEN s.until END ELSE s.until END
+  FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
+SELECT seq, blocked FROM s""")
+def k07c(spark, sf_dir):
+    events = _cache(spark, sf_dir).withColumn("kind", F.when(F.col("seq") % 5 == 0, "ok").when(F.col("seq") % 5 == 1, "ask").otherwise("fail"))
+    return keyed.blocked(events, window=200000.0, cooldown=300000.0, threshold=2).select("seq", "blocked")

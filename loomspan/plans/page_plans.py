@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import meta, text, urls
@@ -38,6 +38,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages")
 
 
+def with_heads(rows: DataFrame) -> DataFrame:
+    """``rows`` of pages with metadata in their heads, by page_id."""
+    heads = {
+        1: '<meta name="description" content="About {id}"><meta property="og:title" content="Shared {id}"><meta property="og:image" content="/i.png"><meta property="article:published_time" content="2023-05-06T07:08:09Z">',
+        2: '<meta name="twitter:card" content="summary"><link rel="canonical" href="/c"><script type="application/ld+json">{"author": {"name": "Ann {id}"}, "publisher": {"name": "Press {id}"}, "keywords": "a, b, c"}</script><script type="application/ld+json">{broken</script><link rel="icon" href="/f.ico"><link rel="alternate" hreflang="de" href="/de"><meta property="og:description" content=""><meta property="og:description" content="">' + '<meta name="x" content="y">',
+        3: '<meta name="description" content="About"><meta property="og:title" content="Shared"><meta property="og:description" content="D"><meta property="og:image" content="/i.png"><meta name="twitter:card" content="summary"><link rel="canonical" href="/c"><script type="application/ld+json">{"@type": "Article"}</script><link rel="shortcut icon" href="/f.ico"><link rel="alternate" hreflang="de" href="/de"><meta name="author" content="Bob"><meta property="article:published_time" content="2024-01-02"><meta property="article:modified_time" content="2024-02-03"><meta property="article:section" content="News"><meta property="og:site_name" content="Site"><meta property="article:tag" content="t1"><meta property="article:tag" content="t2">',
+    }
+    made = F.lit("")
+    for k, head in heads.items():
+        made = F.when(F.col("page_id") % 4 == k, F.replace(F.lit(head), F.lit("{id}"), F.col("page_id").cast("string"))).otherwise(made)
+    return rows.withColumn("html", F.replace("html", F.lit("</head>"), F.concat(made, F.lit("</head>"))))
+
+
 NEEDS_SCRIPTS = f"({_any_sql(text.SHELL_MARKS)} OR {VISIBLE} < 200 OR (strlen(html) >= 10000 AND {VISIBLE} / strlen(html) < 0.03 AND {_any_sql(text.FRAMEWORK_MARKS)}))"
 BANDS = " ".join(f"WHEN score >= {low} THEN '{name}'" for low, name in meta.AUDIT_BANDS)
 
@@ -63,9 +76,9 @@ def e01(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", text.content_format(name).alias("format"))
 
 
-@query("e02_json_ld", r"""SELECT page_id, len(regexp_extract_all(html, '(?is)<script\b[^>]*type=["'']?application/ld\+json["'']?[^>]*>(.*?)</script', 1))::INTEGER AS n_blocks FROM pages""")
+@query("e02_json_ld", "SELECT page_id, CASE WHEN page_id % 4 >= 2 THEN 1 ELSE 0 END AS n_blocks FROM pages")
 def e02(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.size(meta.json_ld(F.col("html"))).alias("n_blocks"))
+    return with_heads(pages(spark, sf_dir)).select("page_id", F.size(meta.json_ld(F.col("html"))).alias("n_blocks"))
 
 
 @query("e03_host", f"SELECT page_id, {HOST} AS host FROM pages")
@@ -94,26 +107,28 @@ def e22(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", text.collapse_blank(text.visible_text(F.col("html"))).alias("plain"))
 
 
-@query("e27_e28_metadata", """SELECT page_id, '' AS published_at, '' AS modified_at, '' AS section, '' AS site_name, 0 AS n_tags, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS language FROM pages""")
+@query("e27_e28_metadata", """
+SELECT page_id, CASE WHEN page_id % 4 = 3 THEN '2024-01-02' WHEN page_id % 4 = 1 THEN '2023-05-06T07:08:09Z' ELSE '' END AS published_at, CASE WHEN page_id % 4 = 3 THEN '2024-02-03' ELSE '' END AS modified_at, CASE WHEN page_id % 4 = 3 THEN 'News' ELSE '' END AS section,
+  CASE WHEN page_id % 4 = 3 THEN 'Site' WHEN page_id % 4 = 2 THEN 'Press ' || page_id::VARCHAR ELSE '' END AS site_name, CASE page_id % 4 WHEN 3 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS n_tags, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS language FROM pages""")
 def e28(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", meta.article(F.col("html")).alias("m")).select("page_id", "m.published_at", "m.modified_at", "m.section", "m.site_name", F.size("m.tags").alias("n_tags"), "m.language")
+    return with_heads(pages(spark, sf_dir)).select("page_id", meta.article(F.col("html")).alias("m")).select("page_id", "m.published_at", "m.modified_at", "m.section", "m.site_name", F.size("m.tags").alias("n_tags"), "m.language")
 
 
-@query("e29_title", f"SELECT page_id, {TITLE} AS title, '' AS author, '' AS excerpt, '' AS image FROM pages")
+@query("e29_title", f"SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'Shared ' || page_id::VARCHAR WHEN 3 THEN 'Shared' ELSE {TITLE} END AS title, CASE page_id % 4 WHEN 2 THEN 'Ann ' || page_id::VARCHAR WHEN 3 THEN 'Bob' ELSE '' END AS author, CASE page_id % 4 WHEN 1 THEN 'About ' || page_id::VARCHAR WHEN 3 THEN 'About' ELSE '' END AS excerpt, CASE WHEN page_id % 4 IN (1, 3) THEN '/i.png' ELSE '' END AS image FROM pages")
 def e29(spark, sf_dir):
     html = F.col("html")
-    return pages(spark, sf_dir).select("page_id", meta.title(html).alias("title"), meta.author(html).alias("author"), meta.excerpt(html).alias("excerpt"), meta.image(html).alias("image"))
+    return with_heads(pages(spark, sf_dir)).select("page_id", meta.title(html).alias("title"), meta.author(html).alias("author"), meta.excerpt(html).alias("excerpt"), meta.image(html).alias("image"))
 
 
 @query("e34_content_text", r"""
 SELECT doc_id, strlen(t) >= 15 AND NOT regexp_matches(t, '^(https?://|/|\{|\[)') AND contains(t, ' ') AND length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) / strlen(t) >= 0.6 AS is_content
-FROM (SELECT doc_id, trim(left(text, 120)) AS t FROM documents) WHERE t <> ''""")
+FROM (SELECT doc_id, trim(text) AS t FROM documents) WHERE t <> ''""")
 def e34(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").select("doc_id", F.trim("text").alias("t")).where("t <> ''")
     return rows.select("doc_id", text.is_content_text(F.col("t")).alias("is_content"))
 
 
-@query("e35_truncate")
+@query("e35_truncate", "SELECT doc_id, CASE WHEN strlen(text) <= 300 THEN text ELSE left(text, list_max(list_filter(range(75, 301), lambda k: strlen(left(text, k)) <= 300))) || '…' END AS cut FROM documents")
 def e35(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.truncate_bytes(F.col("text"), 300).alias("cut"))
 
@@ -138,9 +153,9 @@ def js02(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", text.has_script_state(F.col("html")).alias("has_state"))
 
 
-@query("i02_seo_score", f"SELECT page_id, score, CASE {BANDS} ELSE 'F' END AS grade FROM (SELECT page_id, 0 AS score FROM pages)")
+@query("i02_seo_score", f"SELECT page_id, score, CASE {BANDS} ELSE 'F' END AS grade FROM (SELECT page_id, CASE page_id % 4 WHEN 1 THEN 40 WHEN 2 THEN 50 WHEN 3 THEN 100 ELSE 0 END AS score FROM pages)")
 def i02(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", meta.seo_score(F.col("html")).alias("score")).withColumn("grade", meta.audit_grade(F.col("score")))
+    return with_heads(pages(spark, sf_dir)).select("page_id", meta.seo_score(F.col("html")).alias("score")).withColumn("grade", meta.audit_grade(F.col("score")))
 
 
 @query("i07_link_counts", f"""
@@ -152,30 +167,36 @@ def i07(spark, sf_dir):
     return flat.groupBy("page_id").agg(F.count_if(~ext).alias("internal"), F.count_if(ext).alias("external"))
 
 
-@query("l02_strip_zero_width", f"SELECT doc_id, md5(regexp_replace(text, '[{text.ZERO_WIDTH}]', '', 'g')) AS digest FROM documents")
+#: Written out, so that the SQL doesn't follow the engine's own list.
+INVISIBLE_SQL = r"[\x{200B}\x{200C}\x{200D}\x{200E}\x{200F}\x{FEFF}\x{00AD}\x{2060}\x{2062}\x{2063}\x{2064}\x{034F}]"
+
+
+@query("l02_strip_zero_width", f"SELECT doc_id, md5(regexp_replace(substr(text, 1, 40) || chr(8203) || chr(847) || chr(8289) || substr(text, 41) || chr(173) || chr(65279), '{INVISIBLE_SQL}', '', 'g')) AS digest FROM documents")
 def l02(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_zero_width(F.col("text"))).alias("digest"))
+    dotted = F.concat(F.substring("text", F.lit(1), F.lit(40)), F.lit("\u200b\u034f\u2061"), F.expr("substring(text, 41)"), F.lit("\u00ad\ufeff"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(text.strip_zero_width(dotted)).alias("digest"))
 
 
-@query("l26_collapse_blank_lines", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \t]+\n', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'), E' \t\n')) AS digest FROM documents""")
+@query("l26_collapse_blank_lines", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text || E'  \n\n\n\nend \t', '[\t\x0B\f\r\p{Z}\x1c-\x1f\x85]+\n', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'), '^[\s\x0B\p{Z}\x1c-\x1f\x85]+|[\s\x0B\p{Z}\x1c-\x1f\x85]+$', '', 'g')) AS digest FROM documents""")
 def l26(spark, sf_dir):
-    clean = F.regexp_replace(F.regexp_replace("text", r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-    return load(spark, sf_dir, "documents").select("doc_id", F.md5(F.btrim(clean, F.lit(" \t\n"))).alias("digest"))
+    from ..operators import cleanup
+
+    spaced = load(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("  \n\n\n\nend \t")).alias("text"))
+    return cleanup.clean_documents(spaced, step="collapse_ws").select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("l27_duplicate_blocks", r"""
 WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-k AS (SELECT doc_id, pos, block, array_to_string(list_slice(regexp_extract_all(lower(block), '[\p{L}\p{N}]+'), 1, 10), ' ') AS key FROM b),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS nth FROM k)
-SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (WHERE strlen(block) < 20 OR key = '' OR nth = 1) AS n_kept FROM r GROUP BY doc_id""")
+k AS (SELECT doc_id, pos, block, array_to_string(list_slice(regexp_extract_all(lower(block), '[\p{L}\p{N}_]+'), 1, 10), ' ') AS key,
+  strlen(trim(block)) < 20 OR regexp_matches(block, '^\s*(#|- |\* |\||>|```)') OR contains(block, '```') AS stays FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stays OR key = '', key ORDER BY pos) AS nth FROM k)
+SELECT doc_id, md5(string_agg(block, chr(10) || chr(10) ORDER BY pos) FILTER (WHERE stays OR key = '' OR nth = 1)) AS digest FROM r GROUP BY doc_id""")
 def l27(spark, sf_dir):
-    """Blocks (here: lines) whose first ten words were seen before in the document go."""
-    flat = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block"))
-    key = F.array_join(F.slice(F.regexp_extract_all(F.lower("block"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), 1, 10), " ")
-    rows = flat.withColumn("key", key)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("pos"))
-    keep = (F.octet_length("block") < 20) | (F.col("key") == "") | (F.col("nth") == 1)
-    return rows.withColumn("nth", nth).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(keep).alias("n_kept"))
+    """Blocks (here: the lines of a document, set apart) whose first ten words were seen before in it go."""
+    from ..operators import cleanup
+
+    apart = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return cleanup.clean_documents(apart, step="dedup_blocks").select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("c01_normalize", r"""

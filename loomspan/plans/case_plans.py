@@ -79,7 +79,7 @@ register(
 
 
 def _page(body: str, head: str = "<title>Page {id}</title>") -> str:
-    return f"<!DOCTYPE html><html lang='en'><head>{head}</head><body>{body}</body></html>"
+    return f"<!DOCTYPE html><html lang=\"en\"><head>{head}</head><body>{body}</body></html>"
 
 
 def _extract(fmt: str) -> Callable[[str], str]:
@@ -169,7 +169,7 @@ LINE_STEPS: dict[str, list[tuple[str, str]]] = {
     "strip_invisible": [("a​b͏c⁢{id}⁡", "abc{id}⁡")],
     "strip_leaked_js": [("text {id} self.__next_f.push(1)\nself.__x\nkept", "text {id}\nkept"), ("```\nself.__x {id}\n```", "```\nself.__x {id}\n```")],
     "strip_a11y_chrome": [("Docs {id} (opens in a new tab)", "Docs {id}")],
-    "collapse_spaced": [("S t a r t N o w {id}", "Start Now {id}"), ("I a m {id}", "I a m {id}")],
+    "collapse_spaced": [("S t a r t N o w page{id}", "Start Now page{id}"), ("I a m page{id}", "I a m page{id}")],
     "linked_images": [("[![alt {id}](/i.png)](/t)", "[alt {id}](/t)\n")],
     "collapse_logos": [("![A{id}](/a.png)\n\n![B](/b.png)\ntext", "A{id}, B\ntext"), ("![short](/a.png)\ntext {id}", "text {id}")],
     "strip_images": [("see ![pic {id}](/p.png) here", "see pic {id} here"), ("x ![a](/1) ![b {id}](/2)", "x\na, b {id}")],
@@ -213,6 +213,10 @@ register(
 _HEAD = '<title>T {id}</title><meta name="description" content="About {id}"><meta name="author" content="Ann"><meta property="article:published_time" content="2024-01-02"><meta property="og:site_name" content="Site"><script type="application/ld+json">{"@type":"Article","articleBody":"long","name":"N {id}"}</script><script type="application/ld+json">{"@type":"WebSite","name":"W"}</script>'
 
 
+#: A phrase that follows itself stands once.
+ONCE = "Plain words of story {id} go on here."
+
+
 def _llm(rows: DataFrame) -> DataFrame:
     read = pages.read_pages(rows.withColumn("url", F.concat(F.lit("https://site.example/"), "page_id")), "llm", info=())
     return read.withColumnRenamed("content", "got")
@@ -221,8 +225,8 @@ def _llm(rows: DataFrame) -> DataFrame:
 register(
     "l32_l35_model_text_cases",
     [
-        (_page(f"<article><p>{STORY}<a href='/d{{id}}'>Docs {{id}}</a></p></article>", _HEAD), "> URL: https://site.example/{id}\n> Title: T {id}\n> Description: About {id}\n> Author: Ann\n> Published: 2024-01-02\n> Site: Site\n> Language: \x1f\n\n".replace("> Language: \x1f\n", "") + f"{STORY}Docs {{id}}\n\n## Links\n\n- [Docs {{id}}](https://site.example/d{{id}})\n\n## Structured Data\n\n```json\n[{{\"@type\": \"Article\", \"name\": \"N {{id}}\"}}]\n```"),
-        (_page(f"<article><p>{STORY}</p></article>"), f"> URL: https://site.example/{{id}}\n> Title: Page {{id}}\n\n{STORY.strip()}"),
+        (_page(f"<article><p>{STORY}<a href='/d{{id}}'>Docs {{id}}</a></p></article>", _HEAD), "> URL: https://site.example/{id}\n> Title: T {id}\n> Description: About {id}\n> Author: Ann\n> Published: 2024-01-02\n> Site: Site\n> Language: en\n\n" + f"{ONCE} Docs {{id}}\n\n## Links\n\n- [Docs {{id}}](https://site.example/d{{id}})\n\n## Structured Data\n\n```json\n[{{\"@type\": \"Article\", \"name\": \"N {{id}}\"}}]\n```"),
+        (_page(f"<article><p>{STORY}</p></article>"), f"> URL: https://site.example/{{id}}\n> Title: Page {{id}}\n> Language: en\n\n{ONCE}"),
     ],
     _llm,
 )

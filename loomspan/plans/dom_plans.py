@@ -36,7 +36,7 @@ def e10(spark, sf_dir):
 ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 PLAIN = r"replace(replace({}, '&quot;', chr(34)), '&amp;', '&')"
 SPACED = r"trim(regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g'))"
-TITLE = SPACED.format(PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))
+TITLE = "trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1))"
 
 
 @query("e25_read_text", f"SELECT page_id, {SPACED.format(PLAIN.format(f"regexp_replace({ARTICLE}, '<[^>]*>', '', 'g')"))} AS content FROM pages")

@@ -6,18 +6,28 @@ hash. The choice depends on the window's words alone, so a passage that two
 documents share puts suffixes at the same places of it in both. Kept suffixes
 are sorted by the hash of their first ``KEY_WORDS`` words, which makes
 suffixes that begin alike neighbours, and neighbours of different documents
-are a seed. A seed is extended to both sides: of the windows that lie over it,
-to its left and right, those whose words occur in another document too are
-found by comparing neighbours in the order of the whole window's hash. Windows
-that touch join to one passage.
+are a seed.
+
+A seed is extended to both sides. In a plain suffix array that means comparing
+words with the neighbour in order; but the neighbour that goes on longest to
+the right need not be the one that agrees to the left, and a passage shared
+with another one would be lost. So of the windows that lie over a seed, to its
+left and right, those whose words occur in another document are found in the
+order of the whole window's hash: all extents with all partners, exactly.
+Windows that touch join to one passage.
 
 So a word is in a passage exactly if it lies in ``MIN_WORDS`` words in a row
 that another document holds too (A-Z taken as a-z).
 
+Every passage names partners: documents that hold its windows too, and where.
+Over all passages the partners join all documents that share a window, though
+not every pair of them is named.
+
 Defined results: a null text and one below ``MIN_WORDS`` words have no
 passages; a passage that repeats only within one document is none; rows that
-repeat both doc_id and text are one document, each with its rows; an empty
-table gives no rows; extra columns are ignored.
+repeat both doc_id and text are one document, each with its rows; rows of one
+doc_id with different texts are documents of their own; an empty table gives
+no rows; extra columns are ignored; a null doc_id is kept.
 """
 
 from __future__ import annotations
@@ -87,30 +97,50 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each part of a passage that runs along with one partner."""
     for b in batches:
-        docs, first, last = [], [], []
-        for doc, places in zip(b.column(0).to_pylist(), b.column(1)):
-            at = np.unique(np.frombuffer(places.as_buffer(), "<i4"))
-            cut = np.flatnonzero(np.diff(at) > MIN_WORDS)  # windows that touch or overlap join
-            first.append(at[np.concatenate([[0], cut + 1])])
-            last.append(at[np.concatenate([cut, [len(at) - 1]])] + MIN_WORDS)
-            docs += [doc] * len(first[-1])
-        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int32), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), join(first), join(last)], ["doc_id", "start_word", "end_word"])
+        out: dict[str, list] = {k: [] for k in ("doc", "doc_id", "start_word", "end_word", "at_word", "partner", "partner_start")}
+        for doc, doc_id, *packs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *(b.column(i) for i in (2, 3, 4))):
+            at, other, where = (np.frombuffer(x.as_buffer(), t) for x, t in zip(packs, ("<i4", "<i8", "<i4")))
+            cut = np.diff(at) > MIN_WORDS  # windows that touch or overlap join
+            first = np.concatenate([[0], np.flatnonzero(cut) + 1])
+            last = np.concatenate([np.flatnonzero(cut), [len(at) - 1]])
+            turn = np.concatenate([[True], cut | (np.diff(other) != 0) | (np.diff(where) != np.diff(at))])
+            part = np.flatnonzero(turn)
+            of = np.searchsorted(first, part, side="right") - 1
+            for k, v in (("start_word", at[first[of]]), ("end_word", at[last[of]] + MIN_WORDS), ("at_word", at[part]), ("partner", other[part]), ("partner_start", where[part])):
+                out[k].append(v)
+            out["doc"] += [doc] * len(part)
+            out["doc_id"] += [doc_id] * len(part)
+        join = lambda k, t: pa.array(np.concatenate(out[k]) if out[k] else np.zeros(0, np.int32), t)
+        made = [pa.array(out["doc"], pa.int64()), pa.array(out["doc_id"], pa.int64()), *(join(k, pa.int64() if k == "partner" else pa.int32()) for k in ("start_word", "end_word", "at_word", "partner", "partner_start"))]
+        yield pa.RecordBatch.from_arrays(made, list(out))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, end_word (from 0, the end not included) of every repeated passage of ``docs`` (doc_id, text)."""
+    """doc_id, start_word, end_word (from 0, the end not included) and partners of every repeated passage of ``docs`` (doc_id, text).
+
+    ``partners``: at_word, partner_id, partner_start, in order: from at_word of
+    the document on, the words are those from partner_start of the partner.
+    """
     ready_for_python(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "repeats")
     keyed = docs.where("text is not null").select(F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("doc"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     seeds = scratch.keep(keyed.select("doc", "text").mapInArrow(tidy(_seeds), "doc bigint, tokens binary, places binary").where(F.octet_length("tokens") > 0), "seeds")
     entries = int(seeds.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0) // 8
-    seeded = scratch.keep(shared_places(seeds, entries), "seeded")
+    seeded = scratch.keep(shared_places(seeds, entries).select("doc", "places"), "seeded")
     scratch.drop("seeds")
     over = keyed.join(seeded.hint("merge"), "doc").select("doc", "doc_id", "text", "places")
     windows = scratch.keep(over.mapInArrow(tidy(_windows), "doc bigint, doc_id bigint, tokens binary, places binary"), "windows")
     scratch.drop("seeded")
     entries = int(windows.agg(F.sum(F.octet_length("tokens"))).head()[0] or 0) // 8
     held = shared_places(windows.select("doc", "tokens", "places"), entries)
-    return windows.select("doc", "doc_id").join(held, "doc").select("doc_id", "places").mapInArrow(tidy(_passages), "doc_id bigint, start_word int, end_word int")
+    schema = "doc bigint, doc_id bigint, start_word int, end_word int, at_word int, partner bigint, partner_start int"
+    # Of rows that repeat doc_id and text each has its passages.
+    rows = windows.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    parts = scratch.keep(rows.join(held, "doc").select("doc", "doc_id", "places", "partners", "partner_places").mapInArrow(tidy(_passages), schema), "parts")
+    names = rows.select(F.col("doc").alias("partner"), F.col("doc_id").alias("partner_id"))
+    partner = F.struct("at_word", "partner_id", "partner_start")
+    passages = parts.join(names, "partner").groupBy("doc", "doc_id", "start_word", "end_word").agg(F.array_sort(F.collect_list(partner)).alias("partners"))
+    copies = passages.join(rows.select("doc", "rows"), "doc").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    return copies.select("doc_id", "start_word", "end_word", "partners")

@@ -1,16 +1,20 @@
 """In how many documents a token occurs, told back to the documents, without a row for each occurrence.
 
-Each Arrow batch of documents sorts its tokens and packs (token, document)
-entries by token bucket into a few binary rows; a bucket's task sorts what it
-got and finds the counts. A token that a batch alone holds ``cap`` times is
-known to be frequent there: the batch's documents are told at once, and one
-flag in place of its entries goes to the bucket. So a token that a third of
-all documents hold sends at most ``cap`` entries for each batch.
+Batches of documents sort their tokens and pack (token, document) entries by
+token bucket into a few binary rows; a bucket's entries are sorted and
+neighbours compared. A token that a batch alone holds ``cap`` times is known
+to be frequent there: the batch's documents are told at once, and one flag in
+place of its entries goes to the bucket. So a token that a third of all
+documents hold sends at most ``cap`` entries for each batch.
+
+A bucket has about ``BUCKET_ENTRIES`` entries; a task gets several, in order,
+and holds one at a time. Tasks grow with the square root of the buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,8 @@ from .shingles import tidy, unpacked
 
 #: Entries of a bucket, about; a task holds some 100 bytes for each.
 BUCKET_ENTRIES = 250_000
+#: Entries that are sorted and sent at once: about as many for each row as there are times more than buckets.
+SEND_ENTRIES = 2_000_000
 ENTRIES, TOLD, FLAGS = 0, 1, 2
 _SENT = "bucket int, kind int, tokens binary, docs binary, places binary"
 
@@ -29,35 +35,56 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _joined(batches: Iterator[pa.RecordBatch], bytes_each: int) -> Iterator[pa.Table]:
+    """Batches gathered up to so many bytes of tokens."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.column(1).nbytes
+        if n >= bytes_each:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
 def _send(cap: int, buckets: int, places: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _joined(batches, 8 * min(SEND_ENTRIES, 64 * buckets)):
             tokens, sizes = unpacked(b.column(1))
-            docs = np.repeat(np.asarray(b.column(0)), sizes)
+            docs = np.repeat(np.asarray(b.column(0).combine_chunks()), sizes)
             at = unpacked(b.column(2), "<i4")[0] if places else np.zeros(len(tokens), np.int32)
-            order = np.lexsort((docs, tokens))
+            order = np.lexsort((at, docs, tokens) if places else (docs, tokens))
             tokens, docs, at = tokens[order], docs[order], at[order]
-            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, np.int64)
+            starts = _starts(tokens)
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
             fresh = np.concatenate([[True], (docs[1:] != docs[:-1]) | (group[1:] != group[:-1])]) if len(tokens) else np.zeros(0, bool)
             holders = np.bincount(group, fresh, len(starts)).astype(np.int64)
             if not places:  # rows that stand for one document send an entry once
                 tokens, docs, at, group = tokens[fresh], docs[fresh], at[fresh], group[fresh]
-                starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else starts
+                starts = _starts(tokens)
             hot = holders >= cap
             told = hot[group] if len(group) else np.zeros(0, bool)
             out: list[tuple] = []
             if told.any():
                 out.append((int(tokens[0] % np.uint64(buckets)), TOLD, _blob(tokens[told]), _blob(docs[told]), _blob(at[told])))
-            for kind, t, d, p in ((ENTRIES, tokens[~told], docs[~told], at[~told]), (FLAGS, tokens[starts[hot]], None, None)):
+            first = starts[hot]
+            # In place of what was told goes a flag, or the first holder, which stands for the others.
+            instead = (ENTRIES, tokens[first], docs[first], at[first]) if places else (FLAGS, tokens[first], None, None)
+            for kind, t, d, p in ((ENTRIES, tokens[~told], docs[~told], at[~told]), instead):
                 bucket = (t % np.uint64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                for i in np.flatnonzero(np.diff(edges)):
-                    part = by[edges[i] : edges[i + 1]]
-                    out.append((int(i), kind, _blob(t[part]), _blob(d[part]) if d is not None else b"", _blob(p[part]) if places and p is not None else b""))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "tokens", "docs", "places"])
+                edges = np.append(_starts(bucket[by]), len(by))
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                    part = by[i:j]
+                    out.append((int(bucket[part[0]]), kind, _blob(t[part]), _blob(d[part]) if d is not None else b"", _blob(p[part]) if places and p is not None else b""))
+            for i in range(0, len(out), 4096):
+                columns = list(zip(*out[i : i + 4096]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "tokens", "docs", "places"])
 
     return run
 
@@ -66,52 +93,75 @@ def _reply(docs: np.ndarray, values: tuple[np.ndarray, ...], buckets: int) -> It
     """Entries packed by bucket of documents, so that a document makes no row of its own in every task."""
     to = docs % buckets
     order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(buckets + 1))
+    edges = np.append(_starts(to[order]), len(order))
     rows = []
-    for i in np.flatnonzero(np.diff(edges)):
-        part = order[edges[i] : edges[i + 1]]
-        blobs = [_blob(v[part]) for v in values]
-        rows.append((int(i), _blob(docs[part]), blobs[0], blobs[1] if len(blobs) > 1 else b""))
-    columns = list(zip(*rows)) if rows else [[]] * 4
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "docs", "one", "two"])
-
-
-_REPLY = "bucket int, docs binary, one binary, two binary"
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        part = order[i:j]
+        rows.append((int(to[part[0]]), _blob(docs[part]), *(_blob(v[part]) for v in values), *[b""] * (3 - len(values))))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "docs", "one", "two", "three"])
+
+
+_REPLY = "bucket int, docs binary, one binary, two binary, three binary"
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """All rows of one bucket after the other; rows come in the order of buckets."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        numbers = np.asarray(b.column(0))
+        edges = np.append(_starts(numbers), len(numbers))
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if held and numbers[i] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = numbers[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def partners(tokens: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Of entries sorted by token and document, each one's partner: the token's first entry, or for its document the first one of the next document."""
+    starts = _starts(tokens)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
+    own = docs == docs[starts][group]
+    other = starts + np.bincount(group, own, len(starts)).astype(np.int64)
+    return np.where(own, np.minimum(other[group], len(tokens) - 1), starts[group])
 
 
 def _count(cap: int, places: bool, buckets: int, finish):
     """Reply with ``finish(tokens, docs, places, counts)``, documents and values, for entries whose token has two holders or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {ENTRIES: [], FLAGS: []}
-        for b in batches:
+        for b in _by_bucket(batches):
+            kinds = np.asarray(b.column(1))
+            got: dict[int, tuple] = {}
             for kind in (ENTRIES, TOLD, FLAGS):
-                mine = b.filter(pa.compute.equal(b.column(1), kind)) if b.num_rows else b
-                if not mine.num_rows:
-                    continue
-                t = unpacked(mine.column(2))[0]
-                d = unpacked(mine.column(3), "<i8")[0]
-                p = unpacked(mine.column(4), "<i4")[0] if places else np.zeros(len(d), np.int32)
-                if kind == TOLD:
-                    yield from _reply(*finish(t, d, p, np.full(len(t), cap, np.int64)), buckets)
-                else:
-                    got[kind].append((t, d, p))
-        if not got[ENTRIES]:
-            return
-        tokens, docs, at = (np.concatenate([x[i] for x in got[ENTRIES]]) for i in range(3))
-        flags = np.unique(np.concatenate([x[0] for x in got[FLAGS]])) if got[FLAGS] else np.zeros(0, np.uint64)
-        got.clear()
-        order = np.lexsort((docs, tokens))
-        tokens, docs, at = tokens[order], docs[order], at[order]
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
-        fresh = np.concatenate([[True], (docs[1:] != docs[:-1]) | (group[1:] != group[:-1])])
-        counts = np.bincount(group, fresh, len(starts)).astype(np.int64)
-        counts[np.isin(tokens[starts], flags, assume_unique=True)] = cap
-        counts = np.minimum(counts, cap)[group]
-        del order, fresh, group
-        keep = counts >= 2
-        yield from _reply(*finish(tokens[keep], docs[keep], at[keep], counts[keep]), buckets)
+                mine = b.filter(pa.array(kinds == kind))
+                t, d = unpacked(mine.column(2))[0], unpacked(mine.column(3), "<i8")[0]
+                got[kind] = t, d, unpacked(mine.column(4), "<i4")[0] if places else np.zeros(len(d), np.int32)
+            t, d, p = got[TOLD]
+            if len(t):
+                order = np.lexsort((p, d, t))  # several batches' tokens
+                yield from _reply(*finish(t[order], d[order], p[order], np.full(len(t), cap, np.int64)), buckets)
+            tokens, docs, at = got[ENTRIES]
+            if not len(tokens):
+                continue
+            flags = np.unique(got[FLAGS][0])
+            order = np.lexsort((at, docs, tokens))
+            tokens, docs, at = tokens[order], docs[order], at[order]
+            starts = _starts(tokens)
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
+            fresh = np.concatenate([[True], (docs[1:] != docs[:-1]) | (group[1:] != group[:-1])])
+            counts = np.bincount(group, fresh, len(starts)).astype(np.int64)
+            counts[np.isin(tokens[starts], flags, assume_unique=True)] = cap
+            counts = np.minimum(counts, cap)[group]
+            keep = counts >= 2
+            yield from _reply(*finish(tokens[keep], docs[keep], at[keep], counts[keep]), buckets)
 
     return run
 
@@ -120,28 +170,29 @@ def _gather(kinds: tuple[str, ...], build):
     """``build(documents, first entries, values)`` over the sorted entries of a bucket of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, values = [], [[] for _ in kinds]
-        for b in batches:
-            docs.append(unpacked(b.column(1), "<i8")[0])
-            for i, kind in enumerate(kinds):
-                values[i].append(unpacked(b.column(2 + i), kind)[0])
-        if not sum(map(len, docs)):
-            return
-        all_docs = np.concatenate(docs)
-        order = np.argsort(all_docs, kind="stable")
-        all_docs = all_docs[order]
-        starts = np.flatnonzero(np.concatenate([[True], all_docs[1:] != all_docs[:-1]]))
-        yield build(all_docs[starts], starts, *(np.concatenate(v)[order] for v in values))
+        for b in _by_bucket(batches):
+            docs = unpacked(b.column(1), "<i8")[0]
+            order = np.argsort(docs, kind="stable")
+            docs = docs[order]
+            starts = _starts(docs)
+            yield build(docs[starts], starts, *(unpacked(b.column(2 + i), kind)[0][order] for i, kind in enumerate(kinds)))
 
     return run
 
 
+def tasks_for(buckets: int, least: int) -> int:
+    """Tasks for so many buckets: one each while they are few, then fewer."""
+    return max(least, min(buckets, ceil(8 * sqrt(buckets))))
+
+
 def _told(rows: DataFrame, entries: int, cap: int, places: bool, finish, kinds: tuple[str, ...], build, schema: str) -> DataFrame:
     spark = rows.sparkSession
     ready_for_python(spark)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ENTRIES))
-    sent = rows.mapInArrow(tidy(_send(cap, buckets, places)), _SENT).repartition(buckets, "bucket")
-    replied = sent.mapInArrow(tidy(_count(cap, places, buckets, finish)), _REPLY).repartition(buckets, "bucket")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, -(-entries // BUCKET_ENTRIES))
+    tasks = tasks_for(buckets, least)
+    sent = rows.mapInArrow(tidy(_send(cap, buckets, places)), _SENT).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    replied = sent.mapInArrow(tidy(_count(cap, places, buckets, finish)), _REPLY).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return replied.mapInArrow(tidy(_gather(kinds, build)), schema)
 
 
@@ -181,12 +232,24 @@ def shared_tokens(rows: DataFrame, entries: int, cap: int) -> DataFrame:
 
 
 def shared_places(rows: DataFrame, entries: int) -> DataFrame:
-    """doc, places: packed 32-bit places whose tokens other documents hold too.
+    """doc, places, partners, partner_places: packed 32-bit places whose tokens other documents hold too, and of each one other document (64 bits) and its place.
 
-    ``rows``: doc, tokens, places (packed alike; a token may stand at several places of a document).
+    ``rows``: doc, tokens, places (packed alike; a token may stand at several
+    places of a document). All holders of a token are joined by partners: each
+    has the first holder its bucket or batch knows, and the first ones of
+    batches have that of the bucket.
     """
 
-    def build(docs, starts, places) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), _cut(places, starts)], ["doc", "places"])
-
-    return _told(rows, entries, 2, True, lambda tokens, docs, at, counts: (docs, (at.astype("<i4"),)), ("<i4",), build, "doc bigint, places binary")
+    def finish(tokens, docs, at, counts):
+        other = partners(tokens, docs)
+        return docs, (at.astype("<i4"), docs[other], at[other].astype("<i4"))
+
+    def build(docs, starts, places, others, other_places) -> pa.RecordBatch:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(places))))
+        order = np.lexsort((other_places, others, places, group))
+        group, places, others, other_places = group[order], places[order], others[order], other_places[order]
+        keep = np.concatenate([[True], (places[1:] != places[:-1]) | (group[1:] != group[:-1])]) if len(places) else np.zeros(0, bool)
+        starts = np.searchsorted(group[keep], np.arange(len(docs)))
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(_cut(v[keep], starts) for v in (places, others, other_places))], ["doc", "places", "partners", "partner_places"])
+
+    return _told(rows, entries, 2, True, finish, ("<i4", "<i8", "<i4"), build, "doc bigint, places binary, partners binary, partner_places binary")

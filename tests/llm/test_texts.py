@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from loomspan.llm import langid, quality, repeats
+from loomspan.llm import langid, quality, repeats, tokencounts
 
 EN, DE, FR = "the quick brown fox jumps over the lazy dog and then runs into the forest with other animals", "der schnelle braune fuchs springt über den faulen hund und läuft dann mit anderen tieren in den wald", "le renard brun rapide saute par dessus le chien paresseux puis court dans la forêt avec des animaux"
 RU = "быстрая коричневая лиса прыгает через ленивую собаку и бежит в лес"
@@ -209,8 +209,55 @@ def test_repeated_passages_are_brute_force(spark):
         rows.append((i, " ".join(t) + rng.choice(["", "\n"])))
     rows += [(50, rows[10][1]), (50, rows[10][1]), (60, " ".join(make(90) * 2).upper())]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, places int")
-    got = sorted((tuple(r) for r in repeats.repeated_passages(docs).collect()), key=str)
-    assert got == brute_passages(rows)
+    found = repeats.repeated_passages(docs).collect()
+    assert sorted((tuple(r)[:3] for r in found), key=str) == brute_passages(rows)
+    words = {}
+    for d, t in rows:
+        words.setdefault(d, []).append((t or "").lower().split())
+    near, links = {}, {}
+    for r in found:
+        assert r.partners[0].at_word == r.start_word
+        for a, b in zip(r.partners, [*(p.at_word for p in r.partners[1:]), None]):
+            end = min(b, r.end_word) if b is not None else a.at_word + 50
+            end = max(end, a.at_word + 50)
+            mine, theirs = words[r.doc_id], words[a.partner_id]
+            assert any(x[a.at_word : end][:50] == y[a.partner_start : a.partner_start + 50] for x in mine for y in theirs)
+            links.setdefault(r.doc_id, set()).add(a.partner_id)
+            links.setdefault(a.partner_id, set()).add(r.doc_id)
+    grams = {}
+    for d, texts in words.items():
+        for w in texts:
+            for i in range(len(w) - 49):
+                grams.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    for held in grams.values():
+        for d in held:
+            near.setdefault(d, set()).update(held)
+    reach = lambda graph, d: next(s for s in [{d}] for _ in range(60) if not s.update(*(graph.get(x, ()) for x in list(s))) and _ == 59)
+    assert {d: reach(links, d) for d in links} == {d: reach(near, d) for d in links}
+
+
+def test_partners_where_many_hold_a_passage(spark, monkeypatch):
+    monkeypatch.setattr(tokencounts, "BUCKET_ENTRIES", 50)
+    monkeypatch.setattr("loomspan.llm.scratch.ARROW_ROWS", 7)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, f"own{i} " * (i % 3) + passage + f" tail{i}") for i in range(90)] + [(500, " ".join(f"x{i}" for i in range(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = repeats.repeated_passages(docs).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word) for r in found) == [(i, i % 3, i % 3 + 80) for i in range(90)]
+    graph = {}
+    for r in found:
+        for p in r.partners:
+            assert p.partner_id != r.doc_id and p.partner_start == p.at_word - r.doc_id % 3 + p.partner_id % 3
+            graph.setdefault(r.doc_id, set()).add(p.partner_id)
+            graph.setdefault(p.partner_id, set()).add(r.doc_id)
+    seen = {0}
+    for _ in range(90):
+        seen |= {y for x in seen for y in graph[x]}
+    assert len(seen) == 90
+
+
+def test_tasks_grow_slower_than_buckets():
+    assert tokencounts.tasks_for(40, 8) == 40 and tokencounts.tasks_for(10**6, 200) == 8000 and tokencounts.tasks_for(2, 200) == 200
 
 
 def test_no_passages(spark):

@@ -15,6 +15,10 @@ by 64 bits of its set's hash, its key, until components get their doc_ids.
    pairs, rare ones by themselves. The prefix is extended until the tokens
    beyond the first of each frequent class, and all rare ones, outnumber those
    that a similar set may lack; similar sets then share a signature.
+   Sets that share a rare token meet under it; so under a signature of
+   frequent tokens rare ones count as unshared, and a set leaves it that could
+   not be similar to any other of its sets. Pages of one template with other
+   words of their own leave before sets are compared.
 3. For components, not all pairs of a signature are tried: its members are
    compared with one pivot each, linked groups are contracted, and what is
    left of different groups is all compared: one by one under signatures with
@@ -57,6 +61,8 @@ PIVOT_ROUNDS = 2
 FEW, PACK = 16, 256
 #: Lists of ids of up to this length are broadcast (16 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A class of equal sets with more than one in so many rows is hot.
+HOT_SHARE = 1_000
 _BAND = math.log(1.26)
 
 
@@ -147,8 +153,8 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "n", "tokens", "counts").mapInArrow(tidy(run), "doc bigint, n bigint, own bigint, tokens binary, counts binary")
 
 
-def signatures_of(n: int, own: int, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Signatures of a set of n tokens, ``own`` of them unshared, the others in order."""
+def signatures_of(n: int, own: int, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of n tokens, ``own`` of them unshared, the others in order; and the tokens that count as unshared under each."""
     lacking = n - needed(n)  # tokens that a similar set may lack, at most
     rare = int(np.searchsorted(counts, FREQUENT))
     singles = tokens[: min(rare, lacking + 1 - own)]
@@ -171,7 +177,9 @@ def signatures_of(n: int, own: int, tokens: np.ndarray, counts: np.ndarray) -> n
                     i, j = np.triu_indices(b - a, 1)
                     x, y = np.minimum(prefix[a:b][i], prefix[a:b][j]), np.maximum(prefix[a:b][i], prefix[a:b][j])
                     out.append(mix(mix(x + salt) ^ y))
-    return np.unique(np.concatenate(out))
+    pairs = np.unique(np.concatenate([out[0][:0], *out[1:]]))
+    # A set with pairs has all its rare tokens as signatures: sets that share one meet there.
+    return np.concatenate([out[0], pairs]), np.concatenate([np.full(len(out[0]), own), np.full(len(pairs), own + rare)])
 
 
 def signatures(sets: DataFrame) -> DataFrame:
@@ -184,9 +192,10 @@ def signatures(sets: DataFrame) -> DataFrame:
                 signatures_of(int(k), int(u), np.frombuffer(t.as_py(), "<u8"), np.frombuffer(c.as_py(), np.uint8))
                 for k, u, t, c in zip(n, own, b.column(3), b.column(4))
             ]
-            times = [len(x) for x in made]
-            flat = np.concatenate(made) if made else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(pa.array(np.repeat(x, times)) for x in (docs, n, own))], ["sig", "doc", "n", "own"])
+            times = [len(x) for x, _ in made]
+            flat = np.concatenate([x for x, _ in made]) if made else np.zeros(0, np.uint64)
+            apart = np.concatenate([x for _, x in made]) if made else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(pa.array(np.repeat(x, times)) for x in (docs, n)), pa.array(apart.astype(np.int64))], ["sig", "doc", "n", "own"])
 
     return sets.select("doc", "n", "own", "tokens", "counts").mapInArrow(tidy(run), "sig bigint, doc bigint, n bigint, own bigint")
 
@@ -233,6 +242,15 @@ def _side(rows: DataFrame, side: str, *keep: str) -> DataFrame:
     return rows.select("sig", *keep, *(F.col(c).alias(f"{c}{side}") for c in ("doc", "n", "own", "group") if c in rows.columns))
 
 
+def hopeful(rows: DataFrame) -> DataFrame:
+    """Rows (sig, doc, n, own) without those that can't be similar to any set of their signature.
+
+    Two sets share at most na - owna tokens and have at least na + ownb in all.
+    """
+    least = rows.groupBy("sig").agg(F.min("own").alias("__least"), F.count("*").alias("__members")).where("__members > 1").drop("__members")
+    return rows.join(least, "sig").where((F.col("n") - F.col("own")) * DEN >= (F.col("n") + F.col("__least")) * NUM).drop("__least")
+
+
 def _all_pairs(rows: DataFrame) -> DataFrame:
     """a, b: all members of one signature."""
     return _met(_side(rows, "a"), _side(rows, "b"), F.col("doca") < F.col("docb"))
@@ -312,10 +330,22 @@ def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame
     told = scratch.keep(shared_tokens(sets.select("doc", "tokens"), int(entries), FREQUENT), "told")
     alive = scratch.keep(ordered(told.join(active.select(F.col("s1").alias("doc"), "n"), "doc")), "alive")
     scratch.drop("sets", "told")
-    rows = scratch.keep(signatures(alive), "signatures")
+    every = scratch.keep(signatures(alive), "every-signature")
+    rows = scratch.keep(hopeful(every), "signatures")
+    scratch.drop("every-signature")
     return members, alive, rows
 
 
+def _with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members`` with their class's component. Classes of more than one in ``HOT_SHARE`` members, at most that many, are broadcast; others are joined by a shuffle."""
+    key = ["n", "s1", "s2"]
+    total = classes.agg(F.sum("rows")).head()[0] or 0
+    hot, seldom = F.broadcast(classes.where(F.col("rows") > total / HOT_SHARE).drop("rows")), classes.where(F.col("rows") <= total / HOT_SHARE).drop("rows")
+    often = members.join(hot, key)
+    others = members.join(hot.select(*key), key, "left_anti").join(seldom, key, "left")
+    return often.unionByName(others)
+
+
 def _linked(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     """doc, n, s1, s2, component of every row of ``docs`` (doc_id, text)."""
     members, sets, rows = _candidates(docs, scratch, size)
@@ -340,12 +370,12 @@ def _linked(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
         scratch.drop(f"grouped{i}", f"pairs{i}")
     if group is None:
         group = rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
-    classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("first"))
+    classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("first"), F.count("*").alias("rows"))
     # The smallest doc_id of a component's classes names it.
     names = group.join(classes, F.col("node") == F.col("s1")).groupBy("component").agg(F.min("first").alias("name"))
     group = scratch.keep(group.join(small(scratch.keep(names, "names")), "component").select("node", "name"), "named")
-    named = classes.join(small(group), F.col("s1") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("name", "first").alias("component"))
-    linked = members.join(named, ["n", "s1", "s2"], "left")
+    named = classes.join(small(group), F.col("s1") == F.col("node"), "left").select("n", "s1", "s2", "rows", F.coalesce("name", "first").alias("component"))
+    linked = _with_classes(members, scratch.keep(named, "named-classes"))
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc"))
     return linked.select("doc", "n", "s1", "s2", component.alias("component"))
 

@@ -108,7 +108,7 @@ def test_signatures_meet_for_every_similar_pair(monkeypatch):
         for s in (a, b):
             c = np.array([freq[t] for t in s.tolist()], np.uint8)
             o = np.lexsort((s, c))
-            sig.append(ngramjoin.signatures_of(len(s), 0, s[o], c[o]))
+            sig.append(ngramjoin.signatures_of(len(s), 0, s[o], c[o])[0])
         assert len(np.intersect1d(*sig))
 
 
@@ -180,3 +180,38 @@ def test_components(spark):
     found = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c")
     got = {r.node: r.component for r in found.collect()}
     assert got == {**{i: 20 for i in range(20, 61)}, **{i: -4 for i in [-4, *range(100, 140)]}, 3: 3, 7: 3, 9: 3}
+
+
+def template_pages(n, share, seed=3):
+    """Pages of one template of 100 words with words of their own, none of them similar to another."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(100)]
+    own = round(100 * share)
+    return [(i, " ".join(template[:50] + [f"w{rng.randrange(10**9)}" for _ in range(own)] + template[50:])) for i in range(n)]
+
+
+def test_template_pages_that_do_not_link(spark, monkeypatch):
+    """Work stays in proportion: no set is compared with all others."""
+    pages = template_pages(5000, 0.16) + [(9000, " ".join(f"z{i}" for i in range(30))), (9001, " ".join(f"z{i}" for i in range(31)))]
+    docs = spark.createDataFrame(pages, "doc_id long, text string")
+    compared = []
+    verify, many = ngramjoin.verify, ngramjoin._many_links
+    monkeypatch.setattr(ngramjoin, "verify", lambda pairs, sets: compared.append(pairs.count()) or verify(pairs, sets))
+    monkeypatch.setattr(ngramjoin, "_many_links", lambda mixed, sets, group: compared.append(mixed.where(f"members > {ngramjoin.FEW}").count()) or many(mixed, sets, group))
+    got = {r.doc_id: r.component_id for r in ngramjoin.link_components(docs).collect()}
+    assert got == {i: i for i, _ in pages if i != 9001} | {9001: 9000}
+    assert sum(compared) <= 5000
+
+
+def test_rows_of_hot_classes(spark):
+    rows = [(i, "one text that very many rows hold here") for i in range(3000)] + [(5000 + i, f"text {i} of its own kind stands here {i}") for i in range(50)] + [(None, "one text that very many rows hold here"), (7000, None)]
+    got = {(r.doc_id, r.component_id) for r in ngramjoin.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 0) for i in range(3000)} | {(5000 + i, 5000 + i) for i in range(50)} | {(None, None), (7000, 7000)}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-9_000])), (3, " ".join(long[:40_000])), (4, "short text")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: c for d, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[1][0] == 119_996

@@ -159,11 +159,6 @@ register(
 )
 
 
-def _step(name: str) -> Callable[[DataFrame], DataFrame]:
-    return by_kernel(lambda t: cleanup.STEPS[name](t))
-
-
-_LONG = "word{id} and "
 LINE_STEPS: dict[str, list[tuple[str, str]]] = {
     "decode_entities": [("a &amp; b &#65;&#x42; &nbsp;{id} &bogus; &mdash;", "a & b AB  {id} &bogus; —")],
     "strip_invisible": [("a​b͏c⁢{id}⁡", "abc{id}⁡")],
@@ -204,7 +199,7 @@ LINE_STEPS: dict[str, list[tuple[str, str]]] = {
     "merge_stats": [("99.9% up\n\nof all {id} hosts", "99.9% up of all {id} hosts")],
 }
 _flat = [(step, text, want) for step, rows in LINE_STEPS.items() for text, want in rows]
-register("l01_l31_step_cases", [(f"{step}\x1f{text}", want) for step, text, want in _flat], by_kernel(lambda t: cleanup.STEPS[t.partition("\x1f")[0]](t.partition("\x1f")[2])))
+register("l01_l31_step_cases", [(f"{step}\x1f{text}", want) for step, text, want in _flat], by_kernel(lambda t: cleanup.apply(t.partition("\x1f")[0], t.partition("\x1f")[2])))
 register(
     "l33_label_cases",
     [("**Docs {id}**", "Docs {id}"), ("Go {id} Go {id}", "Go {id}"), ("a " * 50 + "{id}", ("a " * 40).strip() + "..."), ("Open (opens in new tab)", "Open")],

@@ -135,6 +135,8 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
     ship(spark)
     files = Store(spark, "crawl")
     pages = store.select(urls.normalize(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
+    if config.max_depth != 0:
+        pages = files.keep(pages, "store")  # once, not for each level
     start = seeds.select(urls.normalize(F.col("url")).alias("url")).where("url is not null").distinct()
     frontier = files.keep(files.placed(start, "start", "url").select("url", F.lit(0).alias("depth"), F.col("url").alias("seed"), (F.col("place") + 1).alias("seq")), "frontier0")
     rules = robots_rules(robots, config.agent) if robots is not None else None
@@ -161,7 +163,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
         wanted = found.select(target.alias("url"), "seed", "from_seq", "pos").where("url is not null").where(urls.host(F.col("url")).isNotNull() & F.col("url").rlike("^https?:"))
         wanted = wanted.where(urls.in_scope(F.col("url"), F.col("seed"), config.scope, config.allow, config.block) & ~urls.is_cycle(F.col("url")))
         if config.budgets:
-            numbered = wanted.withColumn("seq", F.row_number().over(Window.orderBy("from_seq", "pos"))).withColumn("path", F.try_parse_url("url", F.lit("PATH")))
+            numbered = files.placed(wanted, f"wanted{depth}", "from_seq", "pos").withColumnRenamed("place", "seq").withColumn("path", F.try_parse_url("url", F.lit("PATH")))
             wanted = within_budget(numbered, config.budgets).where("allowed").select("url", "seed", "from_seq", "pos")
         fresh = unseen(first_seen(wanted, F.col("url"), F.col("from_seq"), F.col("pos")), visited)
         capped = fresh if config.max_pages is None else fresh.orderBy("from_seq", "pos").limit(config.max_pages * FRONTIER_FACTOR)

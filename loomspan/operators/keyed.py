@@ -50,6 +50,35 @@ def health(attempts: DataFrame, *, key: str = "user_id", ok: str = "ok", order:
     return attempts.withColumns({"failures": failures, "total": total}).withColumn("deactivates", ~F.col(ok) & (F.col("total") >= least) & (F.col("failures") > F.col("total") * threshold))
 
 
+def health_with_cooldown(attempts: DataFrame, cooldown: float, *, key: str = "user_id", ok: str = "ok", ts: str = "ts", seq: str = "event_id", least: int = 3, threshold: float = 0.5) -> DataFrame:
+    """``attempts``' key and seq, whether the key was active (its counts start anew when ``cooldown`` seconds have gone since it was put out of use), and whether the attempt deactivates it.
+
+    Attempts of a key that is out of use count for nothing. The fold over a
+    key's attempts carries its counts and the time it was put out of use.
+    """
+    schema = f"{key} {attempts.schema[key].dataType.simpleString()}, {seq} bigint, active boolean, deactivates boolean"
+
+    def fold(table):
+        import pyarrow as pa
+
+        rows = table.sort_by([(ts, "ascending"), (seq, "ascending")])
+        failures = total = 0
+        since, active, off = None, [], []
+        for t, good in zip(rows.column(ts).to_pylist(), rows.column(ok).to_pylist()):
+            if since is not None and t - since >= cooldown:
+                failures, total, since = 0, 0, None
+            active.append(since is None)
+            if since is None:
+                total += 1
+                failures += not good
+                if not good and total >= least and failures > total * threshold:
+                    since = t
+            off.append(active[-1] and since is not None)
+        return pa.table({key: rows.column(key), seq: rows.column(seq), "active": pa.array(active, pa.bool_()), "deactivates": pa.array(off, pa.bool_())})
+
+    return attempts.select(key, F.col(ts).cast("double").alias(ts), F.col(seq).cast("bigint").alias(seq), ok).groupBy(key).applyInArrow(fold, schema)
+
+
 def backoff(attempt: Column, *, base: float = 0.5, cap: float = 10.0, jitter: Column | None = None) -> Column:
     """Seconds before an attempt (from 0), doubling up to the cap; ``jitter`` from -1 to 1 moves it by up to 30 %."""
     wait = F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(cap))

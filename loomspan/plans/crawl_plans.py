@@ -135,9 +135,11 @@ def r01(spark, sf_dir):
 
 
 @query("r03_merge", f"""
-SELECT url AS page_url, regexp_replace({HOST}, '^www\\.', '') AS domain, false AS is_stock FROM pages""")
+SELECT CASE page_id % 7 WHEN 0 THEN 'https://www.shutterstock.com/' || page_id::VARCHAR WHEN 1 THEN 'https://stock.adobe.com/' || page_id::VARCHAR ELSE url END AS page_url,
+  CASE page_id % 7 WHEN 0 THEN 'shutterstock.com' WHEN 1 THEN 'stock.adobe.com' ELSE regexp_replace({HOST}, '^www\\.', '') END AS domain, page_id % 7 < 2 AS is_stock FROM pages""")
 def r03(spark, sf_dir):
-    rows = load(spark, sf_dir, "pages").select(F.col("url").alias("page_url"), F.col("page_id").alias("pos"))
+    sold = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("https://www.shutterstock.com/"), "page_id")).when(F.col("page_id") % 7 == 1, F.concat(F.lit("https://stock.adobe.com/"), "page_id"))
+    rows = load(spark, sf_dir, "pages").select(F.coalesce(sold, F.col("url")).alias("page_url"), F.col("page_id").alias("pos"))
     both = rows.withColumn("engine_no", F.lit(0)).unionByName(rows.withColumn("engine_no", F.lit(1)))
     return fusion.merge_matches(both).select("page_url", "domain", "is_stock")
 
@@ -173,6 +175,22 @@ def k03(spark, sf_dir):
     return keyed.health(attempts).select("event_id", "deactivates")
 
 
+@query("k03_cooldown", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, value > 50 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+z AS (SELECT user_id, event_id, n, t, ok, true AS active, 1 AS total, CASE WHEN ok THEN 0 ELSE 1 END AS failures, NULL::DOUBLE AS since FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, t, ok, active, total, failures, CASE WHEN active AND NOT ok AND total >= 3 AND failures > total * 0.5 THEN t ELSE since END FROM (
+    SELECT user_id, event_id, n, t, ok, since IS NULL AS active, CASE WHEN since IS NULL THEN total + 1 ELSE total END AS total, CASE WHEN since IS NULL AND NOT ok THEN failures + 1 ELSE failures END AS failures, since FROM (
+      SELECT e.user_id, e.event_id, e.n, e.t, e.ok, CASE WHEN e.t - z.since >= 100000.0 THEN 0 ELSE z.total END AS total, CASE WHEN e.t - z.since >= 100000.0 THEN 0 ELSE z.failures END AS failures, CASE WHEN e.t - z.since >= 100000.0 THEN NULL ELSE z.since END AS since
+      FROM z JOIN e ON e.user_id = z.user_id AND e.n = z.n + 1)))
+SELECT event_id, active, active AND since IS NOT NULL AS deactivates FROM z""")
+def k03b(spark, sf_dir):
+    from ..session import ship
+
+    ship(spark)
+    attempts = load(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), (F.col("value") > 50).alias("ok"))
+    return keyed.health_with_cooldown(attempts, 100000.0).select("event_id", "active", "deactivates")
+
+
 @query("k04_backoff", "SELECT event_id, least(0.5 * power(2.0, event_id % 8), 10.0)::DOUBLE AS wait FROM events")
 def k04(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", keyed.backoff(F.col("event_id") % 8).alias("wait"))

@@ -63,9 +63,10 @@ def e12(spark, sf_dir):
     return pages.read_pages(rows(spark, sf_dir), "html", info=()).select("page_id", F.md5("content").alias("digest"), "length")
 
 
-@query("e38_i07_links", """SELECT page_id, len(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\shref="([^"]*)"', 1))::INTEGER AS internal, 0 AS external FROM pages""")
+@query("e38_i07_links", """SELECT page_id, len(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\shref="([^"]*)"', 1))::INTEGER AS internal, (page_id % 3)::INTEGER AS external FROM pages""")
 def i07(spark, sf_dir):
-    return pages.page_links(rows(spark, sf_dir)).select("page_id", "internal", "external")
+    away = F.concat("html", F.repeat(F.lit('<a href="https://away.example.org/x">x</a>'), (F.col("page_id") % 3).cast("int")))
+    return pages.page_links(rows(spark, sf_dir).withColumn("html", away)).select("page_id", "internal", "external")
 
 
 @query("e39_forms", "SELECT page_id, 0 AS pos, '' AS action, '' AS method FROM pages WHERE contains(html, '<form')")

@@ -159,10 +159,11 @@ def i02(spark, sf_dir):
 
 
 @query("i07_link_counts", f"""
-SELECT page_id, count(*) FILTER (WHERE NOT ext) AS internal, count(*) FILTER (WHERE ext) AS external
+SELECT page_id, count(*) FILTER (WHERE NOT ext) AS internal, count(*) FILTER (WHERE ext) + page_id % 3 AS external
 FROM (SELECT page_id, regexp_matches(h, '^(https?:)?//') AND NOT contains(h, {HOST}) AS ext FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\shref="([^"]*)"', 1)) AS h FROM pages)) GROUP BY page_id""")
 def i07(spark, sf_dir):
-    flat = pages(spark, sf_dir).select("page_id", "url", F.explode(text.tag_attribute(F.col("html"), "a", "href")).alias("h"))
+    away = F.concat("html", F.repeat(F.lit('<a href="https://away.example.org/x">x</a>'), (F.col("page_id") % 3).cast("int")))
+    flat = pages(spark, sf_dir).withColumn("html", away).select("page_id", "url", F.explode(text.tag_attribute(F.col("html"), "a", "href")).alias("h"))
     ext = flat.h.rlike("^(https?:)?//") & ~F.contains("h", urls.host(F.col("url")))
     return flat.groupBy("page_id").agg(F.count_if(~ext).alias("internal"), F.count_if(ext).alias("external"))
 

@@ -5,9 +5,11 @@ features and those of the lines before and after it; a 2 x 2 matrix scores the
 step from one line to the next. Forward-backward gives each line's probability
 of being good, and their mean weighted by length is the score of the document.
 
-Fitting takes a sample of the labelled rows, about ``TRAIN_DOCS`` documents
-chosen by a hash and among them those of at most ``TRAIN_LINES`` lines; all
-lines of a document carry its label. Everything else is done on every row.
+Fitting takes a sample of the labelled rows: about ``train_docs`` documents
+chosen by a hash, of each at most ``doc_lines`` lines in a row (from a place
+that a hash of the text chooses), and of these documents, in the hash's order,
+as many as have ``train_lines`` lines together. All lines of a document carry
+its label. Everything else is done on every row.
 
 Defined results: a null or empty text is one empty line and gets a score like
 any other; rows that repeat a doc_id each give their row; with no labels, or
@@ -26,14 +28,16 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import ready_for_python
+from .scratch import Scratch, ready_for_python
 from .shingles import tidy
 
+#: Bounds of the sample (parameters of ``fit``): documents, lines in all, lines of one document.
 TRAIN_DOCS = 4_000
-TRAIN_LINES = 400
+TRAIN_LINES = 200_000
+DOC_LINES = 400
 STEPS = 250
 RIDGE = 1e-3
 
@@ -155,11 +159,13 @@ class Model:
         x, size, counts = line_features(texts)
         if not len(self.weights):
             return np.full(len(texts), self.prior)
-        good, _, _ = forward_backward(with_neighbours(x, counts) @ self.weights, self.step, counts)
+        # einsum sums each row alike, wherever it stands in a batch; a matrix product need not.
+        good, _, _ = forward_backward(np.einsum("ij,j->i", with_neighbours(x, counts), self.weights), self.step, counts)
         if not len(good):
             return np.zeros(0)
         at = np.cumsum(counts) - counts
-        return np.clip(np.add.reduceat(good * size, at) / np.add.reduceat(size, at), 0.0, 1.0)
+        # Vector units may differ in the last bit with a line's place in a batch; equal texts have equal scores.
+        return np.round(np.clip(np.add.reduceat(good * size, at) / np.add.reduceat(size, at), 0.0, 1.0), 12)
 
 
 def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Model:
@@ -182,23 +188,28 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Model:
     return Model(theta[:-4], theta[-4:].reshape(2, 2), float(prior))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES, doc_lines: int = DOC_LINES) -> Model:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, quality)."""
     ready_for_python(docs.sparkSession)
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
     n = known.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) / F.lit(1e6)
-    sample = known.where(draw < F.lit(train_docs / max(n, 1))).select(F.col("doc_id").alias("__doc"), "q")
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__doc")).select("q", "text")  # about train_docs rows
+    key = F.xxhash64("doc_id", F.lit(8))
+    draw = F.pmod(key, F.lit(1_000_000)) / F.lit(1e6)
+    sample = known.where(draw < F.lit(train_docs / max(n, 1))).select(F.col("doc_id").alias("__doc"), "q", key.alias("key"))
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("__doc")).select("q", "key", F.xxhash64("text").alias("tie"), "text")  # about train_docs rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, _, counts = line_features(b.column(1).to_pylist())
-            at = np.concatenate([[0], np.cumsum(counts)])
-            take = [i for i in range(b.num_rows) if counts[i] <= TRAIN_LINES]
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py() for i in take], pa.int32()), pa.array([x[at[i] : at[i + 1]].astype("<f4").tobytes() for i in take], pa.binary())], ["q", "x"])
-
-    got = rows.mapInArrow(tidy(features), "q int, x binary").collect()
+            x, _, counts = line_features(b.column(3).to_pylist())
+            first = np.cumsum(counts) - counts
+            taken = np.minimum(counts, doc_lines)
+            first += (np.asarray(b.column(2)) & 0x7FFFFFFF) % (counts - taken + 1)
+            packed = [x[i : i + k].astype("<f4").tobytes() for i, k in zip(first.tolist(), taken.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(taken, pa.int64()), pa.array(packed, pa.binary())], ["q", "key", "tie", "lines", "x"])
+
+    made = Scratch(docs.sparkSession, "quality").keep(rows.mapInArrow(tidy(features), "q int, key bigint, tie bigint, lines bigint, x binary"), "features")
+    so_far = F.sum("lines").over(Window.orderBy("key", "tie", "q").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # about train_docs rows
+    got = made.withColumn("so_far", so_far).where(F.col("so_far") <= train_lines).select("q", "x").collect()
     got.sort(key=lambda r: (r["q"], r["x"]))
     lines = [np.frombuffer(r["x"], "<f4").reshape(-1, len(FEATURES)) for r in got]
     if not lines:

@@ -171,6 +171,28 @@ def test_quality_learns_and_keeps(spark):
     assert quality.keep_good(docs.where("1 = 0"), m).collect() == []
 
 
+def test_quality_of_long_and_repeated_texts(spark):
+    """Long documents are learned from in part; equal texts have equal scores; the whole score is brute force."""
+    good, bad = "A plain sentence of some words stands here.", "#### @@@@ |||| $$$$ %%%% &&&&"
+    rows = [(i, "\n".join([(good, bad)[i % 2]] * (900 + i))) for i in range(12)] + [(50 + i, "\n".join([good, bad, good][: 1 + i % 3])) for i in range(9)]
+    docs = spark.createDataFrame(rows + rows[:4], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(12)], "doc_id long, quality int")
+    m = quality.fit(docs, labels, doc_lines=50, train_lines=700)
+    got = {}
+    for r in quality.score(docs, m).collect():
+        got.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(s) == 1 for s in got.values()) and len(got) == 21
+    assert all((s > 0.5) == (i % 2 == 0) for i in range(12) for s in got[i])
+    for i, text in rows[12:]:
+        x, size, counts = quality.line_features([text])
+        unary = quality.with_neighbours(x, counts) @ m.weights
+        paths = list(np.ndindex(*[2] * len(size)))
+        w = np.array([np.exp(sum(unary[k] * p for k, p in enumerate(path)) + sum(m.step[a, b] for a, b in zip(path, path[1:]))) for path in paths])
+        share = sum(w[j] / w.sum() * sum(s * p for s, p in zip(size, path)) for j, path in enumerate(paths)) / size.sum()
+        assert abs(share - next(iter(got[i]))) < 1e-9
+    assert quality.score(docs.limit(0), m).collect() == []
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     m = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))

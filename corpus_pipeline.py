@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last keep the columns of documents. ``run`` writes what a stage returns into
 the shared folder and reads it back as the next one's docs.
+
+Defined results: a null or empty text is scored as one empty line; where it
+stays it links with nothing and, without words, the mix never takes it. Rows
+with a null doc_id are scored, keep their lines, link with nothing and are
+mixed like any other; a null source is a source of its own. Of rows that
+repeat doc_id and text one stays; rows of one doc_id with different texts are
+judged one by one. Very long texts go through all stages whole. Extra columns,
+also those with names that operators use, are kept up to the last stage. An
+empty table gives no rows.
 """
 
 from __future__ import annotations

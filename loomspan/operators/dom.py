@@ -314,6 +314,20 @@ def join_url(base: str, href: str) -> str:
         return href
 
 
+def taglines(heading: Node) -> list[str]:
+    """Short paragraphs that stand before a heading, in the same element."""
+    before = heading.parent.children[: heading.parent.children.index(heading)]
+    texts = [squeeze(c.text) for c in before if not isinstance(c, str) and c.tag == "p"]
+    return [t for t in texts if t and size(t) <= 80 and not t.startswith("/")]
+
+
+def labels_beside(heading: Node) -> list[str]:
+    """Labels of the links in the nearest of two elements around a heading that holds two or more; empty words and very long ones are left out."""
+    around = next((n for n in list(heading.up())[:2] if len(n.find("a")) >= 2), None)
+    texts = [squeeze(a.text) for a in (around.find("a") if around else []) if a.get("href")]
+    return [t for t in texts if 1 < size(t) < 60 and t.lower() not in ("here", "link", "click", "more")]
+
+
 def recover(doc: Node, md: str, h1: str, noise: dict[int, bool]) -> str:
     """Puts back what the choice of a node loses: the title, a lead, announcements, the footer's links and map."""
     heads = [h for h in doc.find("h1") if squeeze(h.text).startswith(h1)] if h1 else []
@@ -340,6 +354,13 @@ def recover(doc: Node, md: str, h1: str, noise: dict[int, bool]) -> str:
                 at = md.rfind("\n\n", 0, md.index(anchor))
                 at = 0 if at < 0 else at + 2
                 md = f"{md[:at]}## {text}\n\n{md[at:]}"
+    for h in doc.find("h2"):
+        text = squeeze(h.text)
+        if text and text in md and h.parent is not None:
+            for lead in taglines(h):
+                if lead not in md.replace("*", ""):
+                    at = md.rfind("\n", 0, md.index(text)) + 1
+                    md = f"{md[:at]}*{lead}*\n\n{md[at:]}"
     for f in doc.find("footer"):
         for h in f.find("h2"):
             links = [a for a in f.find("a") if any(k in a.get("href") for k in ("docs.", "/docs", "app.", "/app", "api."))]
@@ -348,7 +369,7 @@ def recover(doc: Node, md: str, h1: str, noise: dict[int, bool]) -> str:
                 md += f"\n\n## {text}\n\n" + "\n".join(f"* [{squeeze(a.text)}]({a.get('href')})" for a in links)
         groups = []
         for h in f.find("h2", "h3", "h4", "h5"):
-            labels = [squeeze(a.text) for a in (h.parent.find("a") if h.parent else []) if squeeze(a.text)]
+            labels = labels_beside(h)
             if 2 <= len(labels) <= 20:
                 groups.append(f"**{squeeze(h.text)}**: {', '.join(labels)}")
         if len(groups) >= 3:
@@ -382,12 +403,14 @@ def island_chunks(value, depth: int = 15, most: int = 1000) -> list[str]:
                     out.append(f"{'#' * int(kind[-1])} {text}" if re.fullmatch(r"heading-[1-6]", kind) else f"> {text}" if kind == "blockquote" else text)
                 return
             pick = lambda *names: next((v[k].strip() for k in names if isinstance(v.get(k), str) and v[k].strip()), "")
-            head, body = pick("heading", "title", "headline", "name"), pick("body", "description", "text", "content", "subtitle")
+            head, body = pick("heading", "title", "headline", "name"), pick("body", "description", "text", "content", "subtitle", "subheading", "eyebrow", "children")
             quote, who = pick("quote", "testimonial"), pick("author", "attribution", "name")
             if quote and content_words(quote):
                 out.append(f"> {quote}\n> — {who}" if who else f"> {quote}")
             elif body and content_words(body):
                 out.append(f"## {head}\n\n{body}" if head and not re.fullmatch(r"[A-Za-z0-9_.-]*", head.replace(" ", "_", 0)) else body)
+            elif head and not body and content_words(head):
+                out.append(f"## {head}")
             for x in v.values():
                 if isinstance(x, dict | list):
                     walk(x, left - 1)

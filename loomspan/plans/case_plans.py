@@ -124,7 +124,8 @@ register(
         (_page(f"<article><table><tr><th>a<th>b</tr><tr><td>{{id}}<td>2</tr></table><hr><p>{STORY}</p><ol><li>x</li></ol></article>"), f"| a | b |\n| --- | --- |\n| {{id}} | 2 |\n\n---\n\n{STORY.strip()}\n\n1. x"),
         (_page(f"<div role='region' aria-label='Announcement bar'>Sale {{id}}</div><article><p>{STORY}</p></article>"), f"> **Sale {{id}}**\n\n{STORY.strip()}"),
         (_page(f"<article><p>{STORY}</p></article><footer><h2>Get started {{id}}</h2><a href='https://docs.site.example/'>Docs</a><a href='/about'>About</a></footer>"), f"{STORY.strip()}\n\n## Get started {{id}}\n\n* [Docs](https://docs.site.example/)"),
-        (_page(f"<article><p>{STORY}</p></article><footer>" + "".join(f"<div><h4>G{i}</h4><a>p{i}</a><a>q{i}</a></div>" for i in range(3)) + "</footer>"), f"{STORY.strip()}\n\n**G0**: p0, q0\n**G1**: p1, q1\n**G2**: p2, q2"),
+        (_page(f"<article><p>{STORY}</p></article><footer>" + "".join(f"<div><h4>G{i}</h4><ul><li><a href='/p'>Page {i}</a><li><a href='/q'>Quote {i}</a><li><a href='/m'>more</a></ul></div>" for i in range(3)) + "</footer>"), f"{STORY.strip()}\n\n**G0**: Page 0, Quote 0\n**G1**: Page 1, Quote 1\n**G2**: Page 2, Quote 2"),
+        (_page(f"<article><section><p>New in {{id}}</p><h2>Faster parts</h2><p>{STORY}</p></section></article>").replace("<p>New in {id}</p>", "<p class='ad'>New in {id}</p>"), f"*New in {{id}}*\n\n## Faster parts\n\n{STORY.strip()}"),
     ],
     by_kernel(_extract("markdown")),
 )
@@ -148,6 +149,7 @@ register(
         (_page(_ISLAND + '<script type="application/json">{"q": {"quote": "It works well for us, they said {id}.", "author": "Ann Bell"}, "pad": "................"}</script>'), _SHOWN + "\n\n> It works well for us, they said {id}.\n> — Ann Bell"),
         (_page(_ISLAND + '<script>window.__STATE = {"a": ["Some readable words of state {id}", "https://no.example/x", "' + "z" * 80 + '"]};</script>'), _SHOWN + "\n\n## Additional Content\n\nSome readable words of state {id}"),
         (_page(_ISLAND + """<script>self.__next_f.push([1,"1:[\\"$\\",\\"p\\",null,{\\"children\\":\\"Streamed readable words {id} here\\"}]\\n"])</script>"""), _SHOWN + "\n\n## Additional Content\n\nStreamed readable words {id} here"),
+        (_page(_ISLAND + '<script type="application/json">{"a": {"headline": "A headline of some words {id}"}, "b": {"eyebrow": "An eyebrow of some words {id}"}}</script>'), _SHOWN + "\n\n## A headline of some words {id}\n\nAn eyebrow of some words {id}"),
         (_page("<article>" + STORY * 8 + "</article>" + '<script type="application/json">{"hero": {"heading": "Big {id} news", "body": "A body of some readable words for {id}."}}</script>'), (STORY * 8).strip()),
     ],
     by_kernel(_extract("text")),

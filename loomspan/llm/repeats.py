@@ -45,6 +45,7 @@ from .tokencounts import shared_places
 
 MIN_WORDS = 50
 KEY_WORDS = 20
+HOT_SHARE = 1_000
 
 
 def minimisers(keys: np.ndarray, width: int) -> np.ndarray:
@@ -141,6 +142,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     parts = scratch.keep(rows.join(held, "doc").select("doc", "doc_id", "places", "partners", "partner_places").mapInArrow(tidy(_passages), schema), "parts")
     names = rows.select(F.col("doc").alias("partner"), F.col("doc_id").alias("partner_id"))
     partner = F.struct("at_word", "partner_id", "partner_start")
-    passages = parts.join(names, "partner").groupBy("doc", "doc_id", "start_word", "end_word").agg(F.array_sort(F.collect_list(partner)).alias("partners"))
+    # Partners that more than one in HOT_SHARE parts name are at most that many; others are joined by a shuffle.
+    named = scratch.keep(parts.groupBy("partner").agg(F.count("*").alias("times")).join(names, "partner"), "named")
+    total = named.agg(F.sum("times")).head()[0] or 0
+    often = F.broadcast(named.where(F.col("times") > total / HOT_SHARE).drop("times"))
+    seldom = parts.join(often.select("partner"), "partner", "left_anti").join(named.where(F.col("times") <= total / HOT_SHARE).drop("times"), "partner")
+    passages = parts.join(often, "partner").unionByName(seldom).groupBy("doc", "doc_id", "start_word", "end_word").agg(F.array_sort(F.collect_list(partner)).alias("partners"))
     copies = passages.join(rows.select("doc", "rows"), "doc").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
     return copies.select("doc_id", "start_word", "end_word", "partners")

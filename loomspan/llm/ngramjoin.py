@@ -35,6 +35,7 @@ a component; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,20 +248,25 @@ def hopeful(rows: DataFrame) -> DataFrame:
 
     Two sets share at most na - owna tokens and have at least na + ownb in all.
     """
-    least = rows.groupBy("sig").agg(F.min("own").alias("__least"), F.count("*").alias("__members")).where("__members > 1").drop("__members")
-    return rows.join(least, "sig").where((F.col("n") - F.col("own")) * DEN >= (F.col("n") + F.col("__least")) * NUM).drop("__least")
+    least = rows.groupBy("sig").agg(F.min("own").alias("least"), F.count("*").alias("__members")).where("__members > 1").drop("__members")
+    return rows.join(least, "sig").where(_hope()).drop("least")
+
+
+def _hope():
+    return (F.col("n") - F.col("own")) * DEN >= (F.col("n") + F.col("least")) * NUM
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
     """a, b: all members of one signature."""
+    rows = hopeful(rows)
     return _met(_side(rows, "a"), _side(rows, "b"), F.col("doca") < F.col("docb"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows of signatures with more than one group, with the main (largest) group and the number of members."""
-    sizes = rows.groupBy("sig", "group").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("sig").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"), F.sum("k").alias("members")).where("groups > 1")
-    return rows.join(main.select("sig", F.col("top.group").alias("main"), "members"), "sig")
+    """Hopeful rows of signatures with more than one group, with the main (largest) group and the number of members."""
+    sizes = rows.groupBy("sig", "group").agg(F.count("*").alias("k"), F.min("own").alias("own"))
+    main = sizes.groupBy("sig").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"), F.sum("k").alias("members"), F.min("own").alias("least")).where("groups > 1")
+    return rows.join(main.select("sig", F.col("top.group").alias("main"), "members", "least"), "sig").where(_hope()).drop("least")
 
 
 def _few_pairs(mixed: DataFrame) -> DataFrame:
@@ -312,8 +318,16 @@ def _many_links(mixed: DataFrame, sets: DataFrame, group: DataFrame | None) -> D
     return pairs.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (doc, n, s1, s2) of all rows, the sets that may link, and their signatures; the doc of the latter two is a class's key, s1."""
+def _bucketed(sets: DataFrame) -> str:
+    """The name of a table of ``sets`` bucketed by doc: shuffled once, and not again by the joins of each round."""
+    spark = sets.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"ngram_sets_{uuid.uuid4().hex}"
+    sets.repartition(n, "doc").write.bucketBy(n, "doc").sortBy("doc").saveAsTable(name)
+    return name
+
+
+def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame, str, DataFrame]:
+    """Members (doc, n, s1, s2) of all rows, the table of sets that may link (for the caller to drop), and their signatures; the doc of the latter two is a class's key, s1."""
     docs = docs.select("doc_id", "text")
     base = scratch.keep(base_rows(docs, size), "base")
     members = scratch.keep(base.select("doc", "n", "s1", "s2"), "members")
@@ -328,11 +342,9 @@ def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame
     sets = scratch.keep(full_sets(with_ids(docs, active.select("doc")), size), "sets")
     entries = sets.agg(F.sum("n")).head()[0] or 0
     told = scratch.keep(shared_tokens(sets.select("doc", "tokens"), int(entries), FREQUENT), "told")
-    alive = scratch.keep(ordered(told.join(active.select(F.col("s1").alias("doc"), "n"), "doc")), "alive")
+    alive = _bucketed(ordered(told.join(active.select(F.col("s1").alias("doc"), "n"), "doc")))
     scratch.drop("sets", "told")
-    every = scratch.keep(signatures(alive), "every-signature")
-    rows = scratch.keep(hopeful(every), "signatures")
-    scratch.drop("every-signature")
+    rows = scratch.keep(signatures(docs.sparkSession.table(alive)), "signatures")
     return members, alive, rows
 
 
@@ -346,9 +358,8 @@ def _with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
     return often.unionByName(others)
 
 
-def _linked(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """doc, n, s1, s2, component of every row of ``docs`` (doc_id, text)."""
-    members, sets, rows = _candidates(docs, scratch, size)
+def _components(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """node, component of all ``sets`` that link; None where none do."""
     edges, group = None, None
     for i in range(PIVOT_ROUNDS + 1):
         if group is None:
@@ -368,6 +379,16 @@ def _linked(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
             edges = found if edges is None else edges.unionByName(found)
             group = scratch.keep(components(edges, scratch, f"round{i}"), f"components{i}")
         scratch.drop(f"grouped{i}", f"pairs{i}")
+    return group
+
+
+def _linked(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """doc, n, s1, s2, component of every row of ``docs`` (doc_id, text)."""
+    members, table, rows = _candidates(docs, scratch, size)
+    try:
+        group = _components(rows, docs.sparkSession.table(table), scratch)
+    finally:
+        docs.sparkSession.sql(f"drop table if exists {table}")
     if group is None:
         group = rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
     classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("first"), F.count("*").alias("rows"))
@@ -389,8 +410,11 @@ def link_components(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
 def similar_classes(docs: DataFrame, *, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """All links: (a, b) between the smallest doc_ids of classes, and doc_id with its class_id and number of linked classes."""
     scratch = Scratch(docs.sparkSession, "ngram-links")
-    members, sets, rows = _candidates(docs, scratch, size)
-    links = scratch.keep(verify(_all_pairs(rows), sets), "links")
+    members, table, rows = _candidates(docs, scratch, size)
+    try:
+        links = scratch.keep(verify(_all_pairs(rows), docs.sparkSession.table(table)), "links")
+    finally:
+        docs.sparkSession.sql(f"drop table if exists {table}")
     classes = scratch.keep(members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class_id")), "classes")
     degrees = links.select(F.explode(F.array("a", "b")).alias("s1")).groupBy("s1").agg(F.count("*").alias("n_links"))
     counted = classes.join(degrees, "s1", "left")

@@ -193,6 +193,20 @@ def test_quality_of_long_and_repeated_texts(spark):
     assert quality.score(docs.limit(0), m).collect() == []
 
 
+def test_quality_scores_do_not_depend_on_the_batch():
+    """A text alone, first, last and after every other text has one score, to the last bit."""
+    texts = ["", None, "x\nA line.", "A line.\nother words here", "A line.", "\n\n", "#### |||| @@@@\n#### |||| @@@@", "word " * 3000, "Ein Satz.\n" * 40, "A line.\nA line.\nA line."]
+    draw = np.random.default_rng(3)
+    m = quality.Model(draw.normal(size=3 * len(quality.FEATURES)) / 3, draw.normal(size=(2, 2)), 0.5)
+    alone = [m.score([t])[0] for t in texts]
+    assert quality.line_features(["x\nA line.", "A line.\nA line."])[0][:, quality.FEATURES.index("same_as_before")].tolist() == [0, 0, 0, 1]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert m.score([a, b]).tolist() == [alone[i], alone[j]]
+        assert m.score([a, *texts])[0] == alone[i] and m.score([*texts, a])[-1] == alone[i]
+        assert np.array_equal(m.score(texts[i:] + texts[:i]), alone[i:] + alone[:i])
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     m = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))

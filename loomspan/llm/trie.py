@@ -161,6 +161,10 @@ def _suffix_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *lists, *sums], [*names, "leaves", "saved", "all_leaves", "all_saved"])
 
 
+def _raised(sums: DataFrame, column: str, by: Column) -> DataFrame:
+    return sums.withColumns({column: F.transform(column, lambda v: v + by), f"all_{column}": F.col(f"all_{column}") + by})
+
+
 TURN = "struct<depth: bigint, conv_id: bigint, parent: bigint, n_convs: bigint, n_children: bigint, leaves: bigint, saved: bigint>"
 HEAD = "struct<node: bigint, depth: bigint>"
 PART = f"head {HEAD}, seg bigint, first boolean, above {HEAD}, turns array<{TURN}>"
@@ -182,8 +186,7 @@ def _summed(paths: DataFrame, top: int, deep: bool, scratch: Scratch) -> DataFra
             rest = sums.select("head", "seg", *(F.coalesce(F.sum(f"all_{c}").over(later), F.lit(0)).alias(f"rest_{c}") for c in ("leaves", "saved")))
             sums = sums.join(rest.where("rest_leaves > 0").hint("merge"), ["head", "seg"], "left")
             for c in ("leaves", "saved"):
-                rest_c = F.coalesce(f"rest_{c}", F.lit(0))
-                sums = sums.withColumns({c: F.transform(c, lambda v, r=rest_c: v + r), f"all_{c}": F.col(f"all_{c}") + rest_c})
+                sums = _raised(sums, c, F.coalesce(f"rest_{c}", F.lit(0)))
         sums = scratch.keep(sums.select("head", "seg", "first", "above", "turns", "leaves", "saved", "all_leaves", "all_saved"), f"sums{level}")
         done.append(sums.select("turns", "leaves", "saved"))
         if level:

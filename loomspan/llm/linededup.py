@@ -31,7 +31,6 @@ extra columns are kept (``deduplicate_lines``) or ignored.
 
 from __future__ import annotations
 
-import uuid
 from contextlib import contextmanager
 from math import log2
 
@@ -63,15 +62,16 @@ def key_hashes(key: Column) -> Column:
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2: the distinct keys of each row that are long enough."""
+    """doc_id, of (hash of the text), line (its place from 0), h1, h2: the keys of each row that are long enough."""
     key = F.col("__key")
     return (
         docs.where("doc_id is not null and text is not null")
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode(F.split("text", "\n")).alias("__line"))
-        .select("doc_id", line_key(F.col("__line")).alias("__key"))
+        .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("of"), F.split("text", "\n").alias("__lines"))  # once for a text, not for a line
+        .select("doc_id", "of", F.posexplode("__lines").alias("line", "__line"))
+        .select("doc_id", "of", "line", line_key(F.col("__line")).alias("__key"))
         .where(F.length(key) >= MIN_CHARS)
-        .select("doc_id", key_hashes(key).alias("h"))
-        .select("doc_id", "h.h1", "h.h2")
+        .select("doc_id", "of", "line", key_hashes(key).alias("h"))
+        .select("doc_id", "of", "line", "h.h1", "h.h2")
     )
 
 
@@ -92,23 +92,21 @@ class LineIndex:
     A run is the part ``not old`` of a table (h1, h2, first, last, lines, old).
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"line_runs_{uuid.uuid4().hex}"
+    def __init__(self, scratch: Scratch, buckets: int | None = None):
+        self.spark, self.scratch = scratch.spark, scratch
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.made: list[str] = []
 
     def _write(self, keys: DataFrame) -> str:
         """``keys`` as a run; its rows lie in its buckets already."""
-        table = f"{self.name}_{len(self.made)}"
+        table = self.scratch.bucketed(keys, "line_runs", self.buckets, "h1", "h2")
         self.made.append(table)
-        keys.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(table)
         return table
 
     def _drop(self, table: str) -> None:
-        self.spark.sql(f"drop table if exists {table}")
-        self.made = [t if t != table else "" for t in self.made]
+        self.scratch.drop_table(table)
+        self.made.remove(table)
 
     def compacted(self, runs: list[str]) -> DataFrame:
         """The rows of some runs, whose keys differ, still in their buckets."""
@@ -144,11 +142,12 @@ class LineIndex:
         old = F.coalesce(*(F.col(f"seen{i}") for i in range(len(runs))), F.lit(False))
         return keys.select("h1", "h2", "first", "last", "lines", old.alias("old"))
 
-    def add(self, lines: DataFrame, scratch: Scratch, name: str, *, last: bool = False) -> DataFrame:
-        """Dropped lines (doc_id, h1, h2) of a batch, whose keys then belong to the index, unless it is the ``last`` batch.
+    def add(self, lines: DataFrame, name: str, *, last: bool = False) -> DataFrame:
+        """Dropped lines (doc_id, of, line) of a batch, whose keys then belong to the index, unless it is the ``last`` batch.
 
-        ``lines`` has doc_id, h1, h2; rows may repeat.
+        ``lines`` is as from ``line_hashes``; rows may repeat.
         """
+        scratch, place = self.scratch, ["doc_id", "of", "line"]
         with sorted_buckets(self.spark):
             table = self._write(self.holders(lines))
             held = self.spark.table(table)
@@ -157,9 +156,9 @@ class LineIndex:
             repeated = held.where("old or first < last").select("h1", "h2", "first", "old", (F.col("lines") > n / HOT_SHARE).alias("hot"))
             hot = scratch.keep(repeated.where("hot").drop("hot"), f"{name}-hot")  # at most HOT_SHARE rows
             later = "old or doc_id > first"
-            often = lines.join(F.broadcast(hot), ["h1", "h2"]).where(later).select("doc_id", "h1", "h2").distinct()
+            often = lines.join(F.broadcast(hot), ["h1", "h2"]).where(later).select(*place)
             others = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
-            seldom = others.join(repeated.where("not hot"), ["h1", "h2"]).where(later).select("doc_id", "h1", "h2").distinct()
+            seldom = others.join(repeated.where("not hot"), ["h1", "h2"]).where(later).select(*place)
             dropped = scratch.keep(often.unionByName(seldom), f"{name}-dropped")
             if last:
                 self._drop(table)
@@ -168,9 +167,8 @@ class LineIndex:
         return dropped
 
     def close(self) -> None:
-        for t in self.made:
-            if t:
-                self._drop(t)
+        for t in [*self.made]:
+            self._drop(t)
         self.levels = []
 
 
@@ -180,8 +178,7 @@ def batches_for(n: int) -> int:
 
 
 def dropped_lines(docs: DataFrame, scratch: Scratch, *, batches: int | None = None) -> DataFrame:
-    """doc_id, h1, h2 of the lines that go, found in batches of ascending doc_id."""
-    spark = docs.sparkSession
+    """doc_id, of, line of the lines that go, found in batches of ascending doc_id."""
     ids = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"))
     batches = batches or batches_for(ids.count())
     edges = sorted({min(int(x), (1 << 63) - 1) for x in ids.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
@@ -189,10 +186,10 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, *, batches: int | None = No
     for x in edges:
         batch = batch + (F.col("doc_id") > F.lit(x)).cast("int")
     lines = scratch.keep(line_hashes(docs).withColumn("batch", batch), "lines", by="batch")
-    index, parts = LineIndex(spark), []
+    index, parts = LineIndex(scratch, scratch.buckets("lines")), []
     try:
         for i in range(len(edges) + 1):
-            parts.append(index.add(lines.where(F.col("batch") == i).drop("batch"), scratch, f"batch{i}", last=i == len(edges)))
+            parts.append(index.add(lines.where(F.col("batch") == i).drop("batch"), f"batch{i}", last=i == len(edges)))
     finally:
         index.close()
     scratch.drop("lines")
@@ -203,18 +200,23 @@ def dropped_lines(docs: DataFrame, scratch: Scratch, *, batches: int | None = No
 
 
 def _with_drops(docs: DataFrame, *, batches: int | None) -> DataFrame:
-    """``docs`` with ``__drops``: the hashes of the lines that go (null: none)."""
+    """``docs`` with ``__drops``: the places of the lines that go, ascending (null: none)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    hashes = F.array_sort(F.collect_set(F.struct("h1", "h2")))  # bounded by the lines of a document
-    drops = dropped_lines(docs, scratch, batches=batches).groupBy(F.col("doc_id").alias("__drop_id")).agg(hashes.alias("__drops"))
+    places = F.array_sort(F.collect_set("line"))  # bounded by the lines of a document
+    drops = dropped_lines(docs, scratch, batches=batches).groupBy(F.col("doc_id").alias("__drop_id"), F.col("of").alias("__drop_of")).agg(places.alias("__drops"))
     drops = scratch.keep(drops, "drops")
     # Both sides grow with the input, so the texts move once, at every size.
-    return docs.join(drops.hint("merge"), F.col("doc_id").cast("bigint") == F.col("__drop_id"), "left").drop("__drop_id")
+    return docs.join(drops.hint("merge"), (F.col("doc_id").cast("bigint") == F.col("__drop_id")) & (F.xxhash64("text") == F.col("__drop_of")), "left").drop("__drop_id", "__drop_of")
 
 
 def _kept_lines() -> Column:
-    gone = lambda line: (F.length(line_key(line)) >= MIN_CHARS) & F.array_contains(F.col("__drops"), key_hashes(line_key(line)))
-    return F.filter(F.split("text", "\n"), lambda line: ~gone(line))
+    """The lines that stay; array_except hashes whole numbers, so this is linear in the lines, however many go."""
+    text = F.array(F.struct(F.split("text", "\n").alias("lines"), F.col("__drops").alias("gone")))  # bound once
+
+    def staying(t: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(t["lines"]) - 1), t["gone"]), lambda p: t["lines"][p])
+
+    return F.transform(text, staying)[0]
 
 
 def deduplicate_lines(docs: DataFrame, *, batches: int | None = None) -> DataFrame:

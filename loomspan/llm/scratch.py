@@ -16,6 +16,9 @@ from ..session import ship
 #: Rows an Arrow batch may hold on its way to Python: with texts of some kB, a few MB.
 ARROW_ROWS = 1000
 
+#: Compressed bytes that a bucket of a table may have, about.
+BUCKET_BYTES = 128 << 20
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the session names; a temporary one only where Spark runs in this process."""
@@ -61,6 +64,21 @@ class Scratch:
         (out.partitionBy(by) if by else out).parquet(where)
         return self.spark.read.schema(frame.schema).parquet(where)
 
+    def bucketed(self, frame: DataFrame, name: str, buckets: int, *by: str) -> str:
+        """The name of a table of ``frame``, bucketed and sorted by columns; its files are in this folder."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        frame.write.option("path", f"{self.base}/{table}").bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+        return table
+
+    def buckets(self, name: str) -> int:
+        """Buckets for the rows of a kept table: as many as shuffles have partitions, more where these would be large."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.bytes(name) // BUCKET_BYTES)
+
+    def drop_table(self, table: str) -> None:
+        self.spark.sql(f"drop table if exists {table}")
+        path = self._path(f"{self.base}/{table}")
+        self._fs(path).delete(path, True)
+
     def bytes(self, name: str) -> int:
         path = self._path(f"{self.base}/{name}")
         return self._fs(path).getContentSummary(path).getLength()

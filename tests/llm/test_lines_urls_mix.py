@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 from contextlib import redirect_stdout
 
 import numpy as np
@@ -61,9 +62,10 @@ def plan_of(frame):
 
 def test_line_index_takes_batches_in_any_number(spark):
     docs = spark.createDataFrame([(i, f"line number {i % 7} here\nline number {i} alone") for i in range(100)], "doc_id long, text string")
-    index, scratch, dropped = linededup.LineIndex(spark), Scratch(spark, "test"), 0
+    scratch, dropped = Scratch(spark, "test"), 0
+    index = linededup.LineIndex(scratch)
     for k in range(10):
-        dropped += index.add(linededup.line_hashes(docs.where(f"doc_id div 10 = {k}")), scratch, f"b{k}").count()
+        dropped += index.add(linededup.line_hashes(docs.where(f"doc_id div 10 = {k}")), f"b{k}").count()
     # ten runs of level 0 were compacted three times, and their results once
     assert [len(x) for x in index.levels] == [1, 0, 1]
     with linededup.sorted_buckets(spark):
@@ -71,6 +73,7 @@ def test_line_index_takes_batches_in_any_number(spark):
         # the batch is shuffled and sorted; runs are merged as they lie
         assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and plan.count("Bucketed: true") == 2
         assert "Exchange" not in plan_of(index.compacted(index.runs()))
+    assert all(spark.sql(f"describe formatted {t}").where("col_name = 'Location'").head().data_type.removeprefix("file:").startswith(scratch.base.removeprefix("file:")) for t in index.runs())
     index.close()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
     assert dropped == sum(r[2] for r in brute_lines([(i, f"line number {i % 7} here\nline number {i} alone") for i in range(100)]))
@@ -187,3 +190,14 @@ def test_schedule_inverts_its_integral(spark):
     schedule = F.array(*(F.struct(F.lit(a).alias("t"), F.lit(b).alias("w")) for a, b in knots))
     got = rows.select("t", mixing.position(F.col("x"), F.lit(100.0), F.lit(float(0.125 + 0.75)), schedule).alias("p")).collect()
     assert all(abs(r.p - r.t) < 2e-3 for r in got)
+
+
+def test_line_dedup_of_many_lines_in_a_document(spark):
+    """Two documents of 200,000 lines, of which the second loses all but some; time grows with the lines only."""
+    n = 200_000
+    lines = [f"a long line number {i}" for i in range(n)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(x if i % 1000 else f"own {x}" for i, x in enumerate(lines)))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.dedup_report(docs, batches=2).collect()}
+    kept = hashlib.sha256("\n".join(f"own {x}" for x in lines[::1000]).encode()).hexdigest()
+    assert got[2] == (n, n - n // 1000, kept) and got[1][:2] == (n, 0) and time.time() - began < 90

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-MOST_STEPS = 40
-
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -41,8 +39,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     step = 0
     while not _settled(now):
         step += 1
-        if step > MOST_STEPS:
-            raise RuntimeError("components did not settle")
         now = scratch.keep(_small(_large(now)), f"{name}-{step}")
         if step > 1:
             scratch.drop(f"{name}-{step - 1}")

@@ -35,7 +35,6 @@ a component; extra columns are ignored.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -318,14 +317,6 @@ def _many_links(mixed: DataFrame, sets: DataFrame, group: DataFrame | None) -> D
     return pairs.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def _bucketed(sets: DataFrame) -> str:
-    """The name of a table of ``sets`` bucketed by doc: shuffled once, and not again by the joins of each round."""
-    spark = sets.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"ngram_sets_{uuid.uuid4().hex}"
-    sets.repartition(n, "doc").write.bucketBy(n, "doc").sortBy("doc").saveAsTable(name)
-    return name
-
-
 def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame, str, DataFrame]:
     """Members (doc, n, s1, s2) of all rows, the table of sets that may link (for the caller to drop), and their signatures; the doc of the latter two is a class's key, s1."""
     docs = docs.select("doc_id", "text")
@@ -342,9 +333,15 @@ def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame
     sets = scratch.keep(full_sets(with_ids(docs, active.select("doc")), size), "sets")
     entries = sets.agg(F.sum("n")).head()[0] or 0
     told = scratch.keep(shared_tokens(sets.select("doc", "tokens"), int(entries), FREQUENT), "told")
-    alive = _bucketed(ordered(told.join(active.select(F.col("s1").alias("doc"), "n"), "doc")))
+    # Shuffled once, and not again by the joins of each round.
+    n = scratch.buckets("told")
+    alive = scratch.bucketed(ordered(told.join(active.select(F.col("s1").alias("doc"), "n"), "doc")).repartition(n, "doc"), "ngram_sets", n, "doc")
     scratch.drop("sets", "told")
-    rows = scratch.keep(signatures(docs.sparkSession.table(alive)), "signatures")
+    try:
+        rows = scratch.keep(signatures(docs.sparkSession.table(alive)), "signatures")
+    except BaseException:
+        scratch.drop_table(alive)
+        raise
     return members, alive, rows
 
 
@@ -388,7 +385,7 @@ def _linked(docs: DataFrame, scratch: Scratch, size: int) -> DataFrame:
     try:
         group = _components(rows, docs.sparkSession.table(table), scratch)
     finally:
-        docs.sparkSession.sql(f"drop table if exists {table}")
+        scratch.drop_table(table)
     if group is None:
         group = rows.select(F.col("doc").alias("node"), F.col("doc").alias("component")).limit(0)
     classes = members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("first"), F.count("*").alias("rows"))
@@ -414,7 +411,7 @@ def similar_classes(docs: DataFrame, *, size: int = SIZE) -> tuple[DataFrame, Da
     try:
         links = scratch.keep(verify(_all_pairs(rows), docs.sparkSession.table(table)), "links")
     finally:
-        docs.sparkSession.sql(f"drop table if exists {table}")
+        scratch.drop_table(table)
     classes = scratch.keep(members.where("doc is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc").alias("class_id")), "classes")
     degrees = links.select(F.explode(F.array("a", "b")).alias("s1")).groupBy("s1").agg(F.count("*").alias("n_links"))
     counted = classes.join(degrees, "s1", "left")

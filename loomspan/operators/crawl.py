@@ -130,7 +130,8 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
     the order of discovery, so reruns give the same pages. Without limits the
     crawl ends where no level adds URLs. Returns url, depth,
     seq, title, n_links and error (blocked by robots, not found, duplicate
-    content, or null); ``max_pages`` counts pages without error.
+    content, or null); ``max_pages`` counts pages without error. A body counts
+    as seen once a page that robots allow had it, on whatever level.
     """
     ship(spark)
     files = Store(spark, "crawl")
@@ -140,16 +141,26 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
     start = seeds.select(urls.normalize(F.col("url")).alias("url")).where("url is not null").distinct()
     frontier = files.keep(files.placed(start, "start", "url").select("url", F.lit(0).alias("depth"), F.col("url").alias("seed"), (F.col("place") + 1).alias("seq")), "frontier0")
     rules = robots_rules(robots, config.agent) if robots is not None else None
-    visited, results, good, next_seq = frontier.select("url"), [], 0, frontier.count() + 1
+    visited, bodies, results, good, next_seq = frontier.select("url"), None, [], 0, frontier.count() + 1
     for depth in count() if config.max_depth is None else range(config.max_depth + 1):
         room = None if config.max_pages is None else config.max_pages - good
         if room is not None and room <= 0:
             break
         level = robots_allowed(frontier, rules) if rules is not None else frontier.withColumn("allowed", F.lit(True))
         fetched = level.join(pages, "url", "left")
-        body = F.row_number().over(Window.partitionBy(F.sha2("html", 256)).orderBy("seq"))
-        error = F.when(~F.col("allowed"), "blocked by robots").when(F.col("html").isNull(), "not found").when(body > 1, "duplicate content")
-        done = files.keep(fetched.withColumn("error", error).withColumn("title", meta.title(F.col("html"))), f"level{depth}")
+        lost = F.when(~F.col("allowed"), "blocked by robots").when(F.col("html").isNull(), "not found")
+        fetched = files.keep(fetched.withColumn("lost", lost).withColumn("__body", F.when(lost.isNull(), F.sha2("html", 256))), f"fetched{depth}")
+        # Of the pages that were fetched, the first of the crawl to have a body keeps it.
+        here = fetched.where("lost is null")
+        firsts = here.groupBy("__body").agg(F.min("seq").alias("__first"))
+        if bodies is not None:
+            firsts = firsts.join(bodies.withColumn("__old", F.lit(True)), "__body", "left").withColumn("__first", F.when(F.col("__old").isNull(), F.col("__first"))).drop("__old")
+        firsts = files.keep(firsts, f"bodies{depth}")
+        found_new = firsts.where("__first is not null").select("__body")
+        bodies = found_new if bodies is None else bodies.unionByName(found_new)
+        judged = here.join(firsts, "__body").withColumn("error", F.when(F.col("__first").isNull() | (F.col("seq") > F.col("__first")), "duplicate content")).drop("__first")
+        done = judged.unionByName(fetched.where("lost is not null").withColumn("error", F.col("lost"))).drop("lost", "__body").withColumn("title", F.when(F.col("error").isNull(), meta.title(F.col("html"))))
+        done = files.keep(done, f"level{depth}")
         fetched_well = done.where("error is null")
         kept = files.keep((fetched_well if room is None else fetched_well.orderBy("seq").limit(room)).select("url", "seed", "seq", "html", "title"), f"kept{depth}")
         found = links(kept).join(kept.select("url", "seed", F.col("seq").alias("from_seq")), "url")

@@ -15,6 +15,10 @@ from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urlencode, urljoin, urlsplit
 
+from . import script
+
+#: Elements within one another that are kept so; what lies deeper becomes a sibling, as readers go down recursively.
+DEEPEST = 150
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -39,10 +43,17 @@ GATE_SOURCE, GATE_SHARE = 500, 0.10
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "_text")
+    __slots__ = ("tag", "attrs", "parent", "children", "_text", "_tags")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self._text = tag, attrs, parent, [], None
+        self.tag, self.attrs, self.parent, self.children, self._text, self._tags = tag, attrs, parent, [], None, None
+
+    def index(self) -> Node:
+        """Files the elements below by tag, for ``find``; the tree must not change after that."""
+        self._tags = {}
+        for i, n in enumerate(self.walk()):
+            self._tags.setdefault(n.tag, []).append((i, n))
+        return self
 
     @property
     def text(self) -> str:
@@ -68,7 +79,10 @@ class Node:
             n = n.parent
 
     def find(self, *tags: str) -> list[Node]:
-        return [n for n in self.walk() if n.tag in tags]
+        if self._tags is None:
+            return [n for n in self.walk() if n.tag in tags]
+        lists = [self._tags.get(t, ()) for t in tags]
+        return [n for _, n in (lists[0] if len(lists) == 1 else sorted(x for y in lists for x in y))]
 
     def visible(self) -> str:
         """Text without that of scripts and styles."""
@@ -97,7 +111,7 @@ class _Builder(HTMLParser):
                 break
         node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < 400:
+        if tag not in VOID and len(self.open) < DEEPEST:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -112,12 +126,18 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known kind
+            return self.parse_bogus_comment(i)
+
 
 def parse(html: str) -> Node:
     b = _Builder()
     b.feed(html)
     b.close()
-    return b.root
+    return b.root.index()
 
 
 def size(text: str) -> int:
@@ -239,7 +259,7 @@ def markdown(n: Node, base: str = "") -> str:
             elif c.tag == "br":
                 parts.append("\n")
             elif c.tag == "img":
-                parts.append(f"![{squeeze(c.get('alt'))}]({urljoin(base, c.get('src'))})" if c.get("src") else "")
+                parts.append(f"![{squeeze(c.get('alt'))}]({join_url(base, c.get('src'))})" if c.get("src") else "")
             elif c.tag == "a" and c.get("href"):
                 label = inline(c).strip()
                 parts.append(f"[{label}]({join_url(base, c.get('href'))})" if label else "")
@@ -314,6 +334,14 @@ def join_url(base: str, href: str) -> str:
         return href
 
 
+def host_of(url: str) -> str:
+    """The host in lower case; empty where there is none or the URL is malformed."""
+    try:
+        return (urlsplit(url).hostname or "").lower()
+    except ValueError:
+        return ""
+
+
 def taglines(heading: Node) -> list[str]:
     """Short paragraphs that stand before a heading, in the same element."""
     before = heading.parent.children[: heading.parent.children.index(heading)]
@@ -434,62 +462,81 @@ def data_island(doc: Node, existing: str, most_words: int = 500) -> str:
         if s.get("type").lower() == "application/json" and size(s.text) >= 50:
             try:
                 chunks += island_chunks(json.loads(s.text))
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
     return "\n\n".join(c for c in dict.fromkeys(chunks) if squeeze(c) not in squeeze(existing))
 
 
+def state_scripts(doc: Node) -> list[str]:
+    """Inline scripts that can set state: no modules, no data."""
+    return [x.text for x in doc.find("script") if "src" not in x.attrs and x.get("type").lower() != "module" and "json" not in x.get("type").lower()]
+
+
 def script_state(doc: Node) -> list[tuple[str, str]]:
-    """JSON that inline scripts assign to ``window.__name``, found without running them (over 100 characters)."""
-    out = []
-    for s in doc.find("script"):
-        for m in re.finditer(r"(?:window|self)\.(__\w+)\s*=\s*(?=[{\[])", s.text):
-            try:
-                value, _ = json.JSONDecoder().raw_decode(s.text, m.end())
-            except ValueError:
-                continue
-            text = json.dumps(value, ensure_ascii=False)
-            if len(text) > 100:
-                out.append((m[1], text))
-    return out
+    """Name and JSON of what inline scripts leave under global names with two underscores first, evaluated without running them."""
+    return script.state(state_scripts(doc))
 
 
-def readable(text: str) -> bool:
+#: Beginnings, parts and ends of texts that are no prose.
+NO_PROSE_STARTS = ("http://", "https://", "//", "/", "./", "../")
+NO_PROSE_PARTS = ("1fr", "grid-", "max-content", "divider-v-", "divider-h-", '"')
+NO_PROSE_ENDS = (".js", ".css", ".png", ".jpg", ".svg", ".woff2")
+MEASURES = ("px", "em", "rem", "%")
+LEAST_PROSE, LONG_WORD = 16, 50
+_TAG = re.compile(r"<[^>]*>")
+_LAYOUT_WORD = re.compile(r"\.|[a-z0-9-]{0,20}")
+
+
+def readable(text: str) -> str | None:
+    """A text of scripts as prose, without tags; None for addresses, paths, rules and names of styles, measures, code and data."""
     t = text.strip()
-    if not 20 <= len(t) <= 5000 or " " not in t or re.match(r"https?:|/|[{\[<.#]", t) or re.search(r"\.(?:js|css|png|svg|jpe?g|webp|woff2?)$", t):
-        return False
-    return sum(c.isalpha() or c.isspace() for c in t) / len(t) >= 0.6
+    words = t.split()
+    if size(t) < LEAST_PROSE or " " not in t or t.startswith(NO_PROSE_STARTS) or t.endswith(NO_PROSE_ENDS) or any(p in t for p in NO_PROSE_PARTS):
+        return None
+    if "{" in t and "}" in t and (":" in t or ";" in t):
+        return None
+    if sum("-" in w and any("0" <= c <= "9" for c in w) for w in words) >= 2:
+        return None
+    if not any(c.isupper() for c in t) and all(_LAYOUT_WORD.fullmatch(w) for w in words):
+        return None
+    if all(w == "0" or w.endswith(MEASURES) for w in words):
+        return None
+    clean = _TAG.sub("", t).strip()
+    if size(clean) < LEAST_PROSE or sum(c.isalpha() or c.isspace() for c in t) < 0.6 * size(t):
+        return None
+    return clean
 
 
 def readable_strings(value, depth: int = 20) -> list[str]:
     """Readable strings of a JSON value, each once."""
     if isinstance(value, str):
-        return [value.strip()] if readable(value) else []
+        found = readable(value)
+        return [found] if found else []
     if depth == 0 or not isinstance(value, list | dict):
         return []
     return list(dict.fromkeys(t for x in (value.values() if isinstance(value, dict) else value) for t in readable_strings(x, depth - 1)))
 
 
-def state_text(doc: Node) -> list[str]:
-    """Readable strings of the state that scripts assign."""
-    return list(dict.fromkeys(t for _, state in script_state(doc) for t in readable_strings(json.loads(state))))
+def state_text(found: list[tuple[str, str]]) -> list[str]:
+    """Readable strings of the state that scripts leave, but for streamed components."""
+    return list(dict.fromkeys(t for name, state in found if name != "__next_f" for t in readable_strings(json.loads(state))))
 
 
-def flight_text(doc: Node) -> list[str]:
+def flight_text(doc: Node, found: list[tuple[str, str]]) -> list[str]:
     """Readable strings of streamed component payloads: parts are joined, each line parsed after its first bar."""
-    parts = []
-    for s in doc.find("script"):
+    parts = [x[1] for name, state in found if name == "__next_f" for x in json.loads(state) if isinstance(x, list) and len(x) > 1 and x[0] == 1]
+    for s in doc.find("script") if not parts else []:
         for m in re.finditer(r"self\.__next_f\.push\((\[1,.*?\])\)", s.text, re.S):
             try:
                 parts.append(json.loads(m[1])[1])
-            except (ValueError, IndexError):
+            except (ValueError, IndexError, RecursionError):
                 continue
     out: list[str] = []
     for line in "".join(p for p in parts if isinstance(p, str)).split("\n"):
         payload = re.split(r"[|:]", line, maxsplit=1)
         try:
             out += readable_strings(json.loads(payload[1])) if len(payload) > 1 else []
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     return list(dict.fromkeys(out))
 
@@ -518,7 +565,8 @@ def extract(html: str, url: str = "", fmt: str = "text") -> dict:
         content = squeeze(chosen.visible()) or squeeze(body.visible())
     if fmt != "html":
         extra = data_island(doc, content)
-        flight = [t for t in dict.fromkeys([*state_text(doc), *flight_text(doc)]) if t not in content]
+        found = script_state(doc)
+        flight = [t for t in dict.fromkeys([*state_text(found), *flight_text(doc, found)]) if t not in content]
         if flight:
             extra = "\n\n".join(x for x in (extra, "## Additional Content\n\n" + "\n\n".join(flight)) if x)
         content = "\n\n".join(x for x in (content, extra) if x)
@@ -594,7 +642,7 @@ def media(doc: Node, base: str) -> list[dict]:
         if s.get("type").lower() == "application/ld+json":
             try:
                 todo = [json.loads(s.text)]
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             while todo:
                 x = todo.pop(0)
@@ -712,15 +760,12 @@ def tools(doc: Node) -> dict:
 
 def links(doc: Node, base: str) -> dict:
     """Links within and away from a page's site, and where they lead away to."""
-    own = (urlsplit(base).hostname or "").lower()
+    own = host_of(base)
     inside, away, hosts = 0, 0, set()
     for a in doc.find("a"):
         if not a.get("href"):
             continue
-        try:
-            name = (urlsplit(join_url(base, a.get("href"))).hostname or "").lower()
-        except ValueError:
-            name = ""
+        name = host_of(join_url(base, a.get("href")))
         if name and own and name != own and not name.endswith("." + own):
             away += 1
             hosts.add(name)
@@ -762,11 +807,11 @@ def seo(doc: Node) -> dict:
         elif n.get("type") == "application/ld+json":
             try:
                 kind = _ld_type(json.loads(n.text))
-            except ValueError:
+            except (ValueError, RecursionError):
                 kind = ""
             raw = n.text
             if size(raw) > LONG_DATA:
-                end = len(raw.encode()[: LONG_DATA + 1].decode(errors="ignore"))
+                end = len(raw.encode("utf-8", "surrogatepass")[: LONG_DATA + 1].decode(errors="ignore"))
                 raw = f"{raw[:end]}... ({size(raw[end:])} bytes truncated)"
             data.append({"type": kind, "raw": raw})
     return {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import Store
+
 IDEMPOTENT = ("GET", "HEAD", "OPTIONS", "PUT", "DELETE", "TRACE")
 RETRYABLE = (429, 500, 502, 503, 504)
 
@@ -43,6 +45,46 @@ def delay_rule(name: Column, rules: list[tuple[str, int]]) -> Column:
     return out
 
 
+#: Requests in a block of the schedule.
+BLOCK = 65_536
+
+
+def schedule(requests: DataFrame, *, key: str = "domain", ts: str = "ts", seq: str = "seq", delay: str = "delay", until: str = "until", block: int = BLOCK) -> DataFrame:
+    """``requests`` with ``start``: when each may begin, in order of time, ``delay`` seconds after the one before of its key, and not before any ``until`` that its key has been told by then.
+
+    start = max(due, start before + delay) is a running maximum of
+    due - place * delay, plus place * delay, so it needs no fold: requests are
+    placed by a range sort, and maxima are taken in blocks of places with what
+    earlier blocks reached carried in. A hot key is many tasks. Each key has
+    one delay. A row with an ``until`` is a request that was refused: it is
+    scheduled like any other, and its ``until`` holds for those after it.
+
+    Defined results: null delays are 0; rows with a null key or time have a
+    null start; ties are ordered by ``seq``.
+    """
+    files = Store(requests.sparkSession, "schedule")
+    told = F.col(until).cast("double") if until in requests.columns else F.lit(None).cast("double")
+    rows = requests.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    rows = files.placed(rows.withColumns({"__t": F.col(ts).cast("double"), "__until": told, "__delay": F.coalesce(F.col(delay).cast("double"), F.lit(0.0))}), "requests", key, "__t", seq)
+    rows = rows.withColumn("__block", F.floor(F.col("place") / block))
+    here = Window.partitionBy(key, "__block").orderBy("place")
+    earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block of a key
+
+    def running(frame: DataFrame, value: Column, upto: int, name: str) -> DataFrame:
+        """``frame`` with the maximum of ``value`` over its key's rows so far (``upto`` 0: with its own; -1: without)."""
+        kept = files.keep(frame.withColumn("__v", value), name)
+        carried = kept.groupBy(key, "__block").agg(F.max("__v").alias("__m")).select(key, "__block", F.max("__m").over(earlier).alias("__before"))
+        joined = kept.join(carried.where("__before is not null").hint("merge"), [key, "__block"], "left")
+        return joined.withColumn(name, F.greatest(F.max("__v").over(here.rowsBetween(Window.unboundedPreceding, upto)), F.col("__before"))).drop("__v", "__before")
+
+    rows = running(rows, F.col("__until"), -1, "__held")
+    due = F.greatest(F.col("__t"), F.col("__held"))
+    rows = running(rows, due - F.col("place") * F.col("__delay"), 0, "__reached")
+    found = rows.withColumn("start", F.col("__reached") + F.col("place") * F.col("__delay")).select(*requests.columns, "start")
+    rest = requests.where(F.col(key).isNull() | F.col(ts).isNull()).withColumn("start", F.lit(None).cast("double"))
+    return found.unionByName(rest)
+
+
 def health(attempts: DataFrame, *, key: str = "user_id", ok: str = "ok", order: str = "event_id", least: int = 3, threshold: float = 0.5) -> DataFrame:
     """``attempts`` and deactivates: a failure at which a key has ``least`` attempts or more and fails above the threshold (no cooldown in between)."""
     past = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from ..functions import meta, text
 from ..functions.findings import Rule, rank, report
 from ..session import ship
-from . import cleanup, dom
+from . import cleanup, css, dom, sanitize, script
 
 #: Rows of an Arrow batch, at most: pages may be large.
 ARROW_ROWS = 500
@@ -27,6 +27,22 @@ def _ready(frame: DataFrame) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+def _clean(value):
+    """The value with a question mark for halves of characters, which scripts and references may hold but columns can't."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "replace").decode()
+    if isinstance(value, dict):
+        return {k: _clean(v) for k, v in value.items()}
+    return [_clean(v) for v in value] if isinstance(value, list | tuple) else value
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        return pa.array([_clean(v) for v in values], kind)
+
+
 def _bulk(pages: DataFrame, columns: list[str], schema: str, fields: list[tuple[str, pa.DataType]], make) -> DataFrame:
     """``make(row)`` gives the output rows of an input row, as tuples."""
     _ready(pages)
@@ -34,7 +50,7 @@ def _bulk(pages: DataFrame, columns: list[str], schema: str, fields: list[tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [out for row in b.to_pylist() for out in make(row)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
+            yield pa.RecordBatch.from_arrays([_column([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
     return pages.select(*columns).mapInArrow(run, schema)
 
@@ -48,7 +64,7 @@ def _beside(frame: DataFrame, needs: list[str], drop: list[str], fields: list[tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [make(r) for r in b.select(needs).to_pylist()]
-            made = [pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(fields)]
+            made = [_column([r[i] for r in rows], t) for i, (_, _, t) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), *made], [*(f.name for f in kept), *(n for n, _, _ in fields)])
 
     schema = StructType([*kept, *(StructField(n, _parse_datatype_string(k)) for n, k, _ in fields)])
@@ -99,6 +115,49 @@ def read_pages(pages: DataFrame, fmt: str = "text", *, max_bytes: int | None = N
     return read.withColumn("content", text.truncate_bytes(F.col("content"), max_bytes) if max_bytes else F.col("content")).withColumn("length", F.octet_length("content"))
 
 
+def select(pages: DataFrame, selector: str, *attributes: str) -> DataFrame:
+    """The elements of pages (page_id, html) that a CSS selector matches, in document order: page_id, pos, tag, text, html, and ``attributes`` (null where an element lacks one)."""
+    wanted = css.compiled(selector)
+
+    def make(row):
+        for i, n in enumerate(css.Page(dom.parse(row["html"] or "")).select(wanted)):
+            yield row["page_id"], i, n.tag, dom.squeeze(n.text), n.html(), *(n.attrs.get(a.lower()) for a in attributes)
+
+    kinds = "page_id bigint, pos int, tag string, text string, html string" + "".join(f", `{a}` string" for a in attributes)
+    fields = [("page_id", _LONG), ("pos", _INT), ("tag", _TEXT), ("text", _TEXT), ("html", _TEXT), *((a, _TEXT) for a in attributes)]
+    return _bulk(pages, ["page_id", "html"], kinds, fields, make)
+
+
+def select_beside(pages: DataFrame, **selectors: str) -> DataFrame:
+    """``pages`` with an array of texts for each selector, or of an attribute's values where it ends in ``@name``; each page is parsed once."""
+    wanted = {k: (css.compiled(x.rpartition("@")[0] if "@" in x else x), x.rpartition("@")[2].lower() if "@" in x else "") for k, x in selectors.items()}
+
+    def make(row):
+        page = css.Page(dom.parse(row["html"] or ""))
+        return tuple([n.get(a) if a else dom.squeeze(n.text) for n in page.select(x) if not a or a in n.attrs] for x, a in wanted.values())
+
+    return _beside(pages, ["html"], [], [(k, "array<string>", _TEXTS) for k in wanted], make)
+
+
+def markup_risks(doc: dom.Node) -> tuple[list[str], dict]:
+    """Calls of inline scripts that can run or inject code, and what a sanitizer takes from the page."""
+    handlers, urls = sanitize.lost(doc)
+    return [c for x in dom.inline_scripts(doc) for c in script.calls(x)], {"handlers": handlers, "script_urls": urls}
+
+
+_RISKS = [("script_calls", "array<string>", _TEXTS), ("xss", "struct<handlers: int, script_urls: int>", pa.struct([("handlers", _INT), ("script_urls", _INT)]))]
+_NO_RISKS = ([], {"handlers": 0, "script_urls": 0})
+
+
+def with_markup_risks(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``script_calls`` (names of ``script.CALLS``) and ``xss`` (event handlers and script addresses that a sanitizer takes away).
+
+    Only pages whose markup has a mark of either are parsed.
+    """
+    rows = pages.withColumn("__risky", F.when(F.col("html").rlike(script.HINT) | F.col("html").rlike(sanitize.HINT), F.col("html")))
+    return _beside(rows, ["__risky"], ["__risky"], _RISKS, lambda row: markup_risks(dom.parse(row["__risky"])) if row["__risky"] else _NO_RISKS)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     def make(row):
         r = dom.links(dom.parse(row["html"] or ""), row["url"] or "")
@@ -251,10 +310,10 @@ def audit(responses: DataFrame) -> DataFrame:
         a, p, s = dom.accessibility(doc), dom.performance(doc, dict(row["headers"] or {})), dom.seo(doc)
         p["hints"] = p["preload"] or p["preconnect"] or p["prefetch"]
         found = {"description": s["description"], "og_title": s["og"]["title"], "og_image": s["og"]["image"], "canonical": s["canonical"], "linked_data": len(s["json_ld"]), "favicon": s["favicon"], "card": s["twitter"]["card"], "robots": s["robots"]}
-        return {k: a[k] for k in _A11Y}, {k: p[k] for k in _PERF}, found
+        return {k: a[k] for k in _A11Y}, {k: p[k] for k in _PERF}, found, *markup_risks(doc)
 
     struct = lambda of: (f"struct<{','.join(f'{k}:{_kind(t)}' for k, t in of.items())}>", pa.struct(list(of.items())))
-    fields = [(name, *struct(of)) for name, of in (("access", _A11Y), ("speed", _PERF), ("seo", _SEO))]
+    fields = [*((name, *struct(of)) for name, of in (("access", _A11Y), ("speed", _PERF), ("seo", _SEO))), *_RISKS]
     parsed = _beside(responses, ["html", "headers"], [], fields, make)
     points = {"seo_points": meta.seo_score(F.col("html")), "accessibility": F.col("access.score"), "performance": F.col("speed.score")}
     scanned = security.scan(parsed.withColumns(points))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..functions.findings import Rule, histogram, penalty, report
 from ..functions.text import visible_text
+from .script import CALLS
 
 #: Fixed thresholds of max-age, in seconds: short, and needed for the preload list.
 SHORT_AGE, PRELOAD_AGE = 15_768_000, 31_536_000
@@ -253,13 +254,13 @@ def private_address(text: Column) -> Column:
 
 
 def body_rules() -> list[Rule]:
+    """Findings in markup; needs ``xss``, from ``pages.with_markup_risks``."""
     html, url = F.col("html"), F.col("url")
     trace = F.coalesce(*(F.when(html.rlike(p), F.lit(name)) for name, p in TRACES.items()))
     comments = F.regexp_extract_all(html, F.lit(r"<!--([\s\S]*?)-->"), F.lit(1))
     bad = F.try_element_at(F.filter(comments, lambda c: c.rlike(r"(?i)\b(TODO|FIXME|HACK|BUG|XXX)\b|(password|secret|api_key|token)\s*=")), F.lit(1))
     generator = F.regexp_extract(html, r"""(?i)<meta\s+name\s*=\s*["']generator["']\s+content\s*=\s*["']([^"']*\d[^"']*)["']""", 1)
-    in_tags = F.regexp_extract_all(html, F.lit(r"<[A-Za-z][^>]*>"), F.lit(0))
-    events = F.aggregate(in_tags, F.lit(0), lambda a, t: a + F.regexp_count(t, F.lit(r"""(?i)\bon\w+\s*=\s*["']""")))
+    events, script_urls = F.col("xss.handlers"), F.col("xss.script_urls")
     forms = F.regexp_extract_all(html, F.lit(r"""(?i)<form\b[^>]*method\s*=\s*["']?post["']?[^>]*>([\s\S]*?)</form>"""), F.lit(1))
     hidden = lambda f: F.regexp_extract_all(f, F.lit(r"""(?i)<input\b[^>]*type\s*=\s*["']?hidden["']?[^>]*name\s*=\s*["']([^"']+)["']"""), F.lit(1))
     open_form = F.exists(forms, lambda f: ~F.exists(hidden(f), lambda n: _any(F.lower(n), CSRF_FIELDS)))
@@ -274,7 +275,7 @@ def body_rules() -> list[Rule]:
         Rule("body", "sensitive_url_param", url.rlike(r"(?i)[?&](password|passwd|pwd|secret|token|api_key|apikey|access_token|auth|authorization)="), "high", "secret in the address"),
         Rule("body", "insecure_form_action", url.startswith("https://") & html.rlike(r"""(?i)<form\s[^>]*action\s*=\s*["']http://[^"']*["']"""), "high", "a form is sent unencrypted"),
         Rule("body", "xss_event_handlers", events > 0, "medium", F.concat(events.cast("string"), F.lit(" handlers in tags"))),
-        Rule("body", "xss_javascript_url", F.exists(in_tags, lambda t: t.rlike(r"(?i)javascript\s*:")), "high", "a link that is a script"),
+        Rule("body", "xss_javascript_url", script_urls > 0, "high", "a link that is a script"),
         Rule("body", "exposed_source_map", source_map != "", "medium", F.concat(F.lit("source map: "), source_map)),
         Rule("body", "form_no_csrf_token", open_form, "medium", "a form without a guard against forged requests"),
     ]
@@ -341,14 +342,9 @@ def library_rules(found: Column) -> list[Rule]:
     return [rule(name, *of) for name, of in LIBRARIES.items()]
 
 
-def dangerous_rules() -> list[Rule]:
-    """Calls in inline scripts, found by pattern (strings and comments are not told apart)."""
-    inline = F.array_join(F.regexp_extract_all(F.col("html"), F.lit(r"(?is)<script\b(?![^>]*\ssrc\s*=)[^>]*>(.*?)</script"), F.lit(1)), "\n")
-    calls = {
-        "eval": (r"(?<![\w.$])eval\s*\(", "high"), "Function": (r"\bnew\s+Function\s*\(", "high"), "document.write": (r"\bdocument\.write(?:ln)?\s*\(", "medium"),
-        "string timer": (r"""\bset(?:Timeout|Interval)\s*\(\s*["'`]""", "medium"), "innerHTML": (r"\.(?:inner|outer)HTML\s*\+?=(?!=)", "medium"),
-    }
-    return [Rule("script", name, inline.rlike(p), severity, f"{name} in an inline script") for name, (p, severity) in calls.items()]
+def dangerous_rules(found: Column) -> list[Rule]:
+    """Calls of inline scripts (``script_calls``, from ``pages.with_markup_risks``): a finding for each kind."""
+    return [Rule("script", name, F.array_contains(found, name), severity, f"{name} in an inline script") for name, severity in CALLS.items()]
 
 
 def redirect(chain: Column) -> tuple[list[Rule], Column]:
@@ -409,7 +405,10 @@ def scan(responses: DataFrame) -> DataFrame:
     """
     chain = F.col("chain") if "chain" in responses.columns else F.array("url")
     cookies = F.transform("set_cookies", cookie)
-    rows = responses.withColumns({"__resources": resources(), "__cookies": cookies})
+    from .pages import with_markup_risks
+
+    rows = responses if "script_calls" in responses.columns else with_markup_risks(responses)
+    rows = rows.withColumns({"__resources": resources(), "__cookies": cookies})
     found = F.col("__resources")
     cors_rules, cors_points = cors()
     sri_rules, sri_points = sri(found)
@@ -418,7 +417,7 @@ def scan(responses: DataFrame) -> DataFrame:
         "header_findings": report(header_rules()), "csp_findings": csp_findings(header("content-security-policy")), "csp_points": csp_score(header("content-security-policy")),
         "cookie_findings": cookie_findings(F.col("__cookies"), urls.host(F.col("url"))), "cookie_points": cookie_score(F.col("__cookies")), "cors_findings": report(cors_rules), "cors_points": cors_points,
         "sri_findings": report(sri_rules), "sri_points": sri_points, "supply_findings": report(supply_chain(found)), "mixed_findings": report(mixed_rules()), "disclosure_findings": report(disclosure_rules()),
-        "body_findings": report(body_rules()), "library_findings": report(library_rules(found)), "script_findings": report(dangerous_rules()), "redirect_findings": report(redirect_rules), "redirect_points": redirect_points,
+        "body_findings": report(body_rules()), "library_findings": report(library_rules(found)), "script_findings": report(dangerous_rules(F.col("script_calls"))), "redirect_findings": report(redirect_rules), "redirect_points": redirect_points,
     })
     kinds = ("header", "csp", "cookie", "cors", "sri", "supply", "mixed", "disclosure", "body", "library", "script", "redirect")
     modifiers = {
@@ -426,7 +425,7 @@ def scan(responses: DataFrame) -> DataFrame:
         "library": penalty(F.col("library_findings"), -25), "script": penalty(F.col("script_findings"), -30), "redirect": F.col("redirect_points"),
     }
     rows = rows.withColumn("score", score_pools(F.col("header_findings"), F.col("csp_points"), modifiers)).withColumn("findings", F.concat(*(F.col(f"{k}_findings") for k in kinds)))
-    return rows.withColumns({"grade": grade(F.col("score")), "csp_grade": csp_grade(F.col("csp_points")), "counts": histogram(F.col("findings"))}).drop("__resources", "__cookies")
+    return rows.withColumns({"grade": grade(F.col("score")), "csp_grade": csp_grade(F.col("csp_points")), "counts": histogram(F.col("findings"))}).drop("__resources", "__cookies", "script_calls", "xss")
 
 
 def challenge_kind(html: Column) -> Column:
@@ -450,30 +449,6 @@ def response_quality(html: Column) -> Column:
     return F.when(F.col("status").isin(401, 403, 429, 503), F.concat(F.lit("status_"), F.col("status").cast("string"))).when(empty, "empty_page")
 
 
-def match_protection(responses: DataFrame, rules: DataFrame) -> DataFrame:
-    """Products that protect a page, from a table of rules: name, category, signal (header, cookie, html, url), pattern, boost.
-
-    Each signal class of a product adds its boost once; confidence stops at 100. Returns page_id, name, category, confidence.
-    """
-    text = {
-        "header": F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"), "cookie": F.array_join("set_cookies", "\n"), "html": F.col("html"), "url": F.col("url"),
-    }
-    signals = responses.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("signal"), v.alias("text")) for k, v in text.items()))).alias("s")).select("page_id", "s.signal", "s.text")
-    hits = signals.join(F.broadcast(rules), "signal").where(F.rlike(F.col("text"), F.col("pattern")))  # the rules are a fixed table
-    once = hits.groupBy("page_id", "name", "category", "signal").agg(F.max("boost").alias("boost"))
-    return once.groupBy("page_id", "name", "category").agg(F.least(F.lit(100), F.sum("boost")).cast("int").alias("confidence"))
-
-
-#: Our own rules for products whose marks are public knowledge.
-PROTECTION_RULES = [
-    ("Cloudflare", "waf", "header", r"(?im)^server: cloudflare", 60), ("Cloudflare", "waf", "cookie", r"(?m)^__cf_bm=|^cf_clearance=", 40), ("Cloudflare", "waf", "html", r"challenge-platform|_cf_chl_opt", 40),
-    ("Akamai", "waf", "header", r"(?im)^(server: akamai|x-akamai-)", 60), ("Akamai", "bot", "cookie", r"(?m)^(_abck|bm_sz)=", 60), ("DataDome", "bot", "cookie", r"(?m)^datadome=", 70), ("DataDome", "bot", "html", r"js\.datadome\.co", 50),
-    ("reCAPTCHA", "captcha", "html", r"google\.com/recaptcha|g-recaptcha", 80), ("hCaptcha", "captcha", "html", r"hcaptcha\.com", 80), ("Turnstile", "captcha", "html", r"challenges\.cloudflare\.com/turnstile", 80),
-    ("Imperva", "waf", "cookie", r"(?m)^(incap_ses_|visid_incap_)", 70), ("AWS WAF", "waf", "cookie", r"(?m)^aws-waf-token=", 70), ("nginx", "server", "header", r"(?im)^server: nginx", 30),
-]
-RULE_SCHEMA = "name string, category string, signal string, pattern string, boost int"
-
-
 def top_findings(scanned: DataFrame, n: int = 10) -> DataFrame:
     """The n worst findings of each page, in the order they were made within a severity."""
     flat = scanned.select("page_id", F.posexplode("findings").alias("pos", "f")).select("page_id", "pos", "f.*")
@@ -483,4 +458,4 @@ def top_findings(scanned: DataFrame, n: int = 10) -> DataFrame:
     return flat.withColumn("place", place).where(F.col("place") <= n)
 
 
-__all__ = ["visible_text", "scan", "top_findings", "match_protection"]
+__all__ = ["visible_text", "scan", "top_findings"]

@@ -157,7 +157,7 @@ register(
 register(
     "js04_readable_cases",
     [("Readable words number {id} here", "true"), ("https://x.example/{id} and more text", "false"), ("short {id}", "false"), ("{{{{{{{{ }}}}}}} ;;;; {id} ((()))", "false"), ("file name of a thing {id}.css", "false")],
-    by_kernel(lambda t: str(dom.readable(t)).lower()),
+    by_kernel(lambda t: str(dom.readable(t) is not None).lower()),
 )
 
 
@@ -306,7 +306,7 @@ def _found(rules) -> Callable[[DataFrame], DataFrame]:
     """Checks and severities that hold of a page at https://site.example/."""
 
     def run(rows: DataFrame) -> DataFrame:
-        frame = rows.withColumns({"url": F.lit("https://site.example/p?sid=1"), "r": security.resources()})
+        frame = pages.with_markup_risks(rows).withColumns({"url": F.lit("https://site.example/p?sid=1"), "r": security.resources()})
         found = security.report(rules())
         return frame.select("page_id", "case_no", F.array_join(F.transform(found, lambda f: F.concat(f["check"], F.lit(" "), f["severity"])), ", ").alias("got"))
 
@@ -341,8 +341,8 @@ register(
 )
 register(
     "s17_call_cases",
-    [("<script>eval(a{id}); document.write(b)</script>", "eval high, document.write medium"), ("<script>setTimeout('x{id}()', 1); e.innerHTML = y</script>", "string timer medium, innerHTML medium"), ('<script src="/eval{id}.js"></script><p>eval(1)</p>', "")],
-    _found(security.dangerous_rules),
+    [("<script>eval(a{id}); document.write(b)</script>", "eval high, document.write medium"), ("<script>setTimeout('x{id}()', 1); e.innerHTML = y</script>", "setTimeout-string medium, innerHTML medium"), ('<script src="/eval{id}.js"></script><p>eval(1)</p>', "")],
+    _found(lambda: security.dangerous_rules(F.col("script_calls"))),
 )
 
 

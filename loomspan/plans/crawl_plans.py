@@ -66,9 +66,16 @@ def c09(spark, sf_dir):
     return C.robots_allowed(pages, C.robots_rules(hosts.crossJoin(F.broadcast(_robots(spark))), "loomspan")).select("page_id", "allowed")
 
 
-@query("c10_c11_robots_lines", "SELECT 2.5::DOUBLE AS delay, 'https://s.example/map.xml' AS sitemap")
+@query("c10_c11_robots_lines", f"""
+SELECT DISTINCT {HOST} AS host, CASE WHEN strlen({HOST}) % 3 = 0 THEN NULL ELSE strlen({HOST}) / 2.0 END::DOUBLE AS delay, 'https://' || {HOST} || '/map' || k::VARCHAR || '.xml' AS sitemap FROM pages, (VALUES (1), (2)) AS t(k) WHERE k <= 1 + strlen({HOST}) % 2""")
 def c10(spark, sf_dir):
-    return _robots(spark).select(C.crawl_delay(F.col("body")).alias("delay"), F.explode(C.robots_sitemaps(F.col("body"))).alias("sitemap"))
+    """A robots file for each host of the pages: a delay where its name's length isn't a multiple of three, one or two maps."""
+    hosts = load(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host")).distinct()
+    n = F.octet_length("host")
+    delay = F.when(n % 3 != 0, F.concat(F.lit("Crawl-Delay: "), (n / 2).cast("string"), F.lit("\n"))).otherwise("")
+    maps = F.when(n % 2 == 1, F.concat(F.lit("sitemap:https://"), "host", F.lit("/map2.xml\n"))).otherwise("")
+    body = F.concat(F.lit("User-agent: *\nDisallow: /x\n"), delay, F.lit("Sitemap: https://"), "host", F.lit("/map1.xml\n"), maps)
+    return hosts.withColumn("body", body).select("host", C.crawl_delay(F.col("body")).alias("delay"), F.explode(C.robots_sitemaps(F.col("body"))).alias("sitemap"))
 
 
 #: Entries of a sitemap file, and files of an index, at most.
@@ -115,10 +122,42 @@ def c15(spark, sf_dir):
     return C.discover_sitemaps(spark, robots, maps.unionByName(indexes).unionByName(top)).select("loc")
 
 
-@query("c16_c17_crawl")
+# A site of all pages: page i links to 3 i + 1, 3 i + 2 and 3 i + 3, pages ending in 9 show the same, and robots bar those ending in 5.
+CRAWLED = """
+WITH RECURSIVE store AS (SELECT page_id AS id FROM pages),
+good AS (SELECT id, 0 AS depth FROM store WHERE id = 0
+  UNION ALL SELECT s.id, g.depth + 1 FROM good g, (VALUES (1), (2), (3)) AS k(k) JOIN store s ON s.id = 3 * g.id + k.k WHERE g.id % 10 <> 9 AND s.id % 10 <> 5),
+asked AS (SELECT 0 AS id, 0 AS depth FROM store WHERE id = 0 UNION ALL SELECT 3 * id + k, depth + 1 FROM good, (VALUES (1), (2), (3)) AS k(k) WHERE id % 10 <> 9),
+crawled AS (
+  SELECT 'https://h' || (id % 5)::VARCHAR || '.site.example/p/' || id::VARCHAR AS url, depth,
+         CASE WHEN id % 10 = 5 THEN 'blocked by robots' WHEN id NOT IN (SELECT id FROM store) THEN 'not found' WHEN id % 10 = 9 AND id > min(CASE WHEN id % 10 = 9 AND id IN (SELECT id FROM store) THEN id END) OVER () THEN 'duplicate content' END AS error, id
+  FROM asked
+)"""
+
+
+def _site(pages):
+    address = lambda i: F.concat(F.lit("https://h"), (i % 5).cast("string"), F.lit(".site.example/p/"), i.cast("string"))
+    i = F.col("page_id")
+    links = F.concat(*(F.concat(F.lit('<a href="'), address(3 * i + k), F.lit('">x</a>')) for k in (1, 2, 3)))
+    own = F.concat(F.lit("<title>T"), i.cast("string"), F.lit("</title>"), F.regexp_replace("html", r"(?is)<title>.*?</title>|<a\b[^>]*>", ""), links)
+    store = pages.select(address(i).alias("url"), F.when(i % 10 == 9, "<title>same</title><p>the same</p>").otherwise(own).alias("html"))
+    robots = pages.select(F.concat(F.lit("h"), (i % 5).cast("string"), F.lit(".site.example")).alias("host")).distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /p/*5$\n"))
+    return pages.where("page_id = 0").select(address(i).alias("url")), store, robots
+
+
+@query("c16_c17_crawl", CRAWLED + """
+SELECT url, depth, error, CASE WHEN error IS NOT NULL THEN '' WHEN id % 10 = 9 THEN 'same' ELSE 'T' || id::VARCHAR END AS title, CASE WHEN error IS NULL AND id % 10 <> 9 THEN 3 ELSE 0 END AS n_links FROM crawled""")
 def c17(spark, sf_dir):
-    store = load(spark, sf_dir, "pages").select("url", "html")
-    return C.crawl(spark, store.select("url"), store, config=C.CrawlConfig(max_pages=None, max_depth=None))
+    seeds, store, robots = _site(load(spark, sf_dir, "pages"))
+    found = C.crawl(spark, seeds, store, robots, config=C.CrawlConfig(max_pages=None, max_depth=None))
+    return found.select("url", "depth", "error", F.coalesce("title", F.lit("")).alias("title"), F.col("n_links").cast("int").alias("n_links"))
+
+
+@query("c18_crawl_summary", CRAWLED + """
+SELECT count(*) FILTER (WHERE error IS NULL) AS pages, count(*) FILTER (WHERE error IS NOT NULL) AS errors, coalesce(sum(CASE WHEN error IS NULL AND id % 10 <> 9 THEN 3 ELSE 0 END), 0)::BIGINT AS links, max(depth)::INTEGER AS depth FROM crawled""")
+def c18(spark, sf_dir):
+    seeds, store, robots = _site(load(spark, sf_dir, "pages"))
+    return C.crawl_summary(C.crawl(spark, seeds, store, robots, config=C.CrawlConfig(max_pages=None, max_depth=None)))
 
 
 @query("r01_fusion", """

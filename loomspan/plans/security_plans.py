@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta
 from ..functions.findings import rank
+from ..operators import pages, protection
 from ..operators import security as S
 from ..sources.tables import load, responses, responses_sql
 
@@ -94,13 +95,7 @@ def s11(spark, sf_dir):
 
 @query("s12_s15_body", r"""SELECT page_id, (len(list_filter(regexp_extract_all(html, '<!--((?s:.*?))-->', 1), lambda c: regexp_matches(c, '(?i)\b(TODO|FIXME|HACK|BUG|XXX)\b|(password|secret|api_key|token)\s*='))) > 0)::INTEGER AS n FROM pages""")
 def s12(spark, sf_dir):
-    return rows(spark, sf_dir).select("page_id", F.size(S.report(S.body_rules())).alias("n"))
-
-
-@query("s16_s17_scripts", "SELECT page_id, 0 AS libraries, 0 AS calls FROM pages")
-def s16(spark, sf_dir):
-    r = rows(spark, sf_dir).withColumn("r", S.resources())
-    return r.select("page_id", F.size(S.report(S.library_rules(F.col("r")))).alias("libraries"), F.size(S.report(S.dangerous_rules())).alias("calls"))
+    return pages.with_markup_risks(rows(spark, sf_dir)).select("page_id", F.size(S.report(S.body_rules())).alias("n"))
 
 
 @query("s18_redirect", "SELECT page_id, CASE WHEN url LIKE 'http://%' THEN -30 ELSE 0 END AS modifier FROM pages")
@@ -111,7 +106,7 @@ def s18(spark, sf_dir):
 
 @query("s19_protection", f"""{BASE} SELECT page_id, 'Cloudflare' AS name, 'waf' AS category, 60 AS confidence FROM r WHERE h_server = 'cloudflare' UNION ALL SELECT page_id, 'nginx', 'server', 30 FROM r WHERE h_server LIKE 'nginx%'""")
 def s19(spark, sf_dir):
-    return S.match_protection(rows(spark, sf_dir), spark.createDataFrame(S.PROTECTION_RULES, S.RULE_SCHEMA))
+    return protection.detections(protection.with_protection(rows(spark, sf_dir))).select("page_id", "name", "category", "confidence")
 
 
 SCORE = f"""{BASE}, p AS (SELECT page_id,

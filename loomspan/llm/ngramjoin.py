@@ -333,9 +333,9 @@ def _candidates(docs: DataFrame, scratch: Scratch, size: int) -> tuple[DataFrame
     sets = scratch.keep(full_sets(with_ids(docs, active.select("doc")), size), "sets")
     entries = sets.agg(F.sum("n")).head()[0] or 0
     told = scratch.keep(shared_tokens(sets.select("doc", "tokens"), int(entries), FREQUENT), "told")
-    # Shuffled once, and not again by the joins of each round.
+    # Shuffled once, into the buckets: the join with sizes keeps that partitioning, and so do the joins of each round.
     n = scratch.buckets("told")
-    alive = scratch.bucketed(ordered(told.join(active.select(F.col("s1").alias("doc"), "n"), "doc")).repartition(n, "doc"), "ngram_sets", n, "doc")
+    alive = scratch.bucketed(ordered(told.repartition(n, "doc").join(active.select(F.col("s1").alias("doc"), "n"), "doc")), "ngram_sets", n, "doc")
     scratch.drop("sets", "told")
     try:
         rows = scratch.keep(signatures(docs.sparkSession.table(alive)), "signatures")

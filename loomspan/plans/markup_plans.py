@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import css, dom, keyed, lens, pages, protection, sanitize, script, suffixes
+from ..operators import crawl, css, dom, fingerprint, keyed, lens, pages, payloads, protection, sanitize, script, suffixes
 from ..operators import security as S
+from ..operators.storage import Store
+from ..sources import saved
 from ..sources.tables import load
 from .case_plans import by_kernel
 from .case_plans import register as register_cases
-from .dom_plans import PLAIN, SPACED
+from .dom_plans import PLAIN, SPACED, TITLE
+from .page_plans import HOST
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -232,3 +235,63 @@ def k02(spark, sf_dir):
     t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     given = load(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), t.alias("ts"), F.when(F.col("event_id") % 50 == 7, t + 90000.0).alias("until"), F.when(F.col("user_id") % 3 == 0, 0.0).otherwise(3600.0 * (F.col("user_id") % 3)).alias("delay"))
     return keyed.schedule(given, key="user_id").select(F.col("seq").alias("event_id"), F.round("start", 3).alias("start"))
+
+
+# --- technologies by a rule table ---
+
+#: Rules and implications of our own making.
+TECH_RULES = [
+    ("Loomer", "cms", "meta", "generator", r"^Loomer(?: ([\d.]+))?\;version:\1"), ("Loomer", "cms", "html", None, r"class=\"loomer-\;confidence:50"), ("Weft", "framework", "script", None, r"/weft(?:-([\d.]+))?(?:\.min)?\.js\;version:\1"), ("Weft", "framework", "header", "x-weft", ""),
+    ("Shuttle", "server", "header", "server", r"shuttle(?:/([\d.]+))?\;version:\1"), ("Bobbin", "analytics", "cookie", "_bobbin", ""), ("Selvage", "cdn", "url", None, r"\.selvage\.example/\;confidence:30"), ("Heddle", "framework", "script", None, r"heddle@(\S+)\;version:\1"),
+]
+TECH_IMPLIES = [("Loomer", "Weft", 80), ("Weft", "Thread", 100), ("Thread", "Fibre", 60), ("Fibre", "Thread", 100), ("Bobbin", "Thread", 20)]
+
+
+@query("i14_fingerprint", f"""
+WITH RECURSIVE own AS (
+  SELECT page_id, 'Loomer' AS name, 100 AS confidence, CASE WHEN page_id % 12 = 0 THEN '4.' || page_id::VARCHAR END AS version FROM pages WHERE page_id % 6 = 0
+  UNION ALL SELECT page_id, 'Weft', 100, CASE WHEN page_id % 2 = 0 THEN '2.0.' || (page_id % 10)::VARCHAR END FROM pages WHERE page_id % 6 = 1 OR page_id % 6 = 2
+  UNION ALL SELECT page_id, 'Shuttle', 100, '1.2' FROM pages WHERE page_id % 4 = 3 UNION ALL SELECT page_id, 'Bobbin', 100, NULL FROM pages WHERE page_id % 5 = 4
+  UNION ALL SELECT page_id, 'Selvage', 30, NULL FROM pages WHERE page_id % 7 = 5 UNION ALL SELECT page_id, 'Heddle', 100, NULL FROM pages WHERE page_id % 6 = 3
+), imp(a, b, c) AS (VALUES {", ".join(f"('{a}', '{b}', {c})" for a, b, c in TECH_IMPLIES)}),
+chain AS (SELECT a, b, c FROM imp UNION SELECT chain.a, imp.b, least(chain.c, imp.c) FROM chain JOIN imp ON imp.a = chain.b WHERE imp.b <> chain.a),
+every AS (SELECT page_id, name, confidence, version, true AS seen FROM own UNION ALL SELECT page_id, b, least(confidence, c), NULL, false FROM own JOIN (SELECT a, b, max(c) AS c FROM chain GROUP BY a, b) ON a = name)
+SELECT page_id, name, max(confidence)::INTEGER AS confidence, max(version) AS version, NOT bool_or(seen) AS implied FROM every GROUP BY page_id, name""")
+def i14(spark, sf_dir):
+    i = F.col("page_id")
+    n = i.cast("string")
+    more = (
+        F.when(i % 12 == 0, F.concat(F.lit('<meta name="generator" content="Loomer 4.'), n, F.lit('"><p class="loomer-x">x</p>'))).when(i % 6 == 0, '<meta name="Generator" content="loomer">')
+        .when(i % 6 == 2, F.concat(F.lit('<script src="/js/weft-2.0.'), (i % 10).cast("string"), F.lit('.min.js"></script>'))).when(i % 6 == 3, '<script src="https://c.example/heddle@1.0/long/path.js"></script>').otherwise("")
+    )
+    pairs = F.array_compact(F.array(F.when(i % 6 == 1, F.struct(F.lit("X-Weft").alias("key"), F.lit("").alias("value"))), F.when(i % 4 == 3, F.struct(F.lit("server").alias("key"), F.lit("Shuttle/1.2").alias("value")))))
+    cookies = F.when(i % 5 == 4, F.array(F.lit("_bobbin=1; Path=/"))).otherwise(F.array().cast("array<string>"))
+    url = F.when(i % 7 == 5, "https://a.selvage.example/x").otherwise("https://plain.example/")
+    given = load(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.concat("html", more).alias("html"), F.map_from_entries(pairs).alias("headers"), cookies.alias("set_cookies"))
+    return fingerprint.detect(given, spark.createDataFrame(TECH_RULES, fingerprint.RULES), spark.createDataFrame(TECH_IMPLIES, fingerprint.IMPLIES))
+
+
+# --- saved pages and handlers ---
+
+
+@query("sk02_saved_pages", f"""
+SELECT regexp_replace({HOST}, '[^\\p{{L}}\\p{{N}}.-]', '_', 'g') AS domain, regexp_replace({HOST}, '[^\\p{{L}}\\p{{N}}.-]', '_', 'g') || '_' || left(sha256(url), 16) || '.html' AS file, md5(html) AS digest FROM pages""")
+def sk02(spark, sf_dir):
+    """Written to the shared folder by domain, and read back by the data source."""
+    saved.register(spark)
+    path = f"{Store(spark, 'saved').base}/html"
+    crawl.save_html(load(spark, sf_dir, "pages").select("url", "html"), path)
+    return spark.read.format("saved_pages").load(path).select("domain", "file", F.md5("html").alias("digest"))
+
+
+@query("e37_handlers", f"""
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'threads' ELSE 'page' END AS handler, CASE page_id % 3 WHEN 0 THEN 'r/s' ELSE {TITLE} END AS title, CASE page_id % 3 WHEN 0 THEN '[' || page_id::VARCHAR || '] T (by a)' END AS content FROM pages""")
+def e37(spark, sf_dir):
+    """Answers of a forum among pages: its handler reads them, pages go to the reader."""
+    i = F.col("page_id")
+    thread = F.concat(F.lit('{"data":{"children":[{"data":{"subreddit":"s","title":"T","score":'), i.cast("string"), F.lit(',"author":"a"}}]}}'))
+    given = load(spark, sf_dir, "pages").select("page_id", F.when(i % 3 == 0, "https://www.reddit.com/r/s.json").otherwise(F.col("url")).alias("url"), F.when(i % 3 == 0, thread).otherwise(F.col("html")).alias("html"))
+    text = payloads.thread_text(F.col("html"))
+    threads = saved.Handler("threads", lambda: F.col("url").rlike(r"^https://(?:www\.)?reddit\.com/.*\.json$"), lambda: (text["title"], F.array_join(text["lines"], "\n")))
+    read = saved.handled(given, [threads])
+    return read.select("page_id", "handler", "title", F.when(F.col("handler") != "page", F.col("content")).alias("content"))

@@ -11,8 +11,8 @@ them. Scores are computed for the languages of a word's script alone.
 
 Fitting counts n-grams over a sample of labelled rows, about ``train_rows``
 for each language (all rows where there are fewer), chosen by a hash; the
-model keeps all languages, and of each the ``model_grams`` most frequent
-n-grams. It is sparse: its size is that of the n-grams kept.
+model keeps all languages and all n-grams of the sample. It is sparse: its
+size is that of these n-grams, some 75,000 for a language.
 
 Defined results: a null text, or one without a letter, has the label ``und``
 with score 0; rows that repeat a doc_id each give their row; an empty training
@@ -39,8 +39,6 @@ from .shingles import tidy
 
 #: Labelled rows of a language that are learned from, about (``fit(train_rows=...)``).
 TRAIN_ROWS = 1_500
-#: N-grams of a language that the model keeps (``fit(model_grams=...)``).
-MODEL_GRAMS = 30_000
 SWITCH_PENALTY = 6.0
 #: A single word moves the balance between two languages by no more than this.
 WORD_LIMIT = 4.0
@@ -195,8 +193,12 @@ def viterbi(scores: np.ndarray, rows: np.ndarray, starts: np.ndarray, lengths: n
     return labels
 
 
-def fit(docs: DataFrame, *, train_rows: int = TRAIN_ROWS, model_grams: int = MODEL_GRAMS) -> Model:
-    """Learn from ``docs`` (doc_id, text, lang); rows with a null are left out."""
+def fit(docs: DataFrame, *, train_rows: int = TRAIN_ROWS, model_grams: int | None = None) -> Model:
+    """Learn from ``docs`` (doc_id, text, lang); rows with a null are left out.
+
+    All n-grams of the sample are kept; ``model_grams`` keeps so many of each
+    language's most frequent ones, for a smaller model.
+    """
     spark = docs.sparkSession
     ready_for_python(spark)
     known = docs.where("text is not null and lang is not null")
@@ -222,8 +224,10 @@ def fit(docs: DataFrame, *, train_rows: int = TRAIN_ROWS, model_grams: int = MOD
 
     counts = sample.mapInArrow(tidy(count), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     of_script = F.col("gram").startswith("\x00")
-    place = F.row_number().over(Window.partitionBy("lang", of_script).orderBy(F.col("n").desc(), "gram"))
-    kept = counts.withColumn("place", place).where(F.col("place") <= model_grams).select("lang", "gram", "n").toArrow()  # at most model_grams for each language
+    if model_grams is not None:
+        place = F.row_number().over(Window.partitionBy("lang", of_script).orderBy(F.col("n").desc(), "gram"))
+        counts = counts.withColumn("place", place).where(F.col("place") <= model_grams)
+    kept = counts.select("lang", "gram", "n").toArrow()  # of about train_rows texts for each language
     names = kept.column("lang").to_pylist()
     langs = sorted(set(names))
     at = {x: i for i, x in enumerate(langs)}
@@ -269,7 +273,7 @@ def predict(docs: DataFrame, model: Model, *carry: Column, penalty: float = SWIT
     """Returns doc_id, then ``carry`` columns, lang_pred and score (the share of letters in that language)."""
     ready_for_python(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *carry, F.col("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most model_grams n-grams for each language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of about train_rows texts for each language
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.text import truncate_bytes
 from ..session import ship
 
 RESULT = ("url", "thumbnail", "source", "title", "width", "height")
@@ -123,10 +124,36 @@ def tweet(body: Column) -> Column:
 
 def tweet_text(t: Column) -> Column:
     date = F.when(t["created_at"] != "", F.concat(F.lit(" · "), t["created_at"])).otherwise("")
-    counts = F.concat(*(x for icon, name in (("♥", "likes"), (" 🔁", "retweets"), (" 💬", "replies"), (" 👁", "views")) for x in (F.lit(icon + " "), t[name].cast("string"))))
+    counts = F.concat(*(x for icon, name in (("♥", "likes"), ("  🔁", "retweets"), ("  💬", "replies"), ("  👁", "views")) for x in (F.lit(icon + " "), t[name].cast("string"))))
     return F.concat(F.lit("@"), t["screen_name"], date, F.lit("\n\n"), t["text"], F.lit("\n\n"), counts)
 
 
+_PROFILE = "rest_id string, legacy struct<name:string,screen_name:string,description:string,followers_count:bigint,friends_count:bigint,statuses_count:bigint>"
+#: Fixed value: bytes of a recent message that a profile shows.
+SHOWN = 120
+
+
+def profile(body: Column) -> Column:
+    """A user result's fields; null without an id."""
+    t = F.from_json(body, _PROFILE)
+    low = t["legacy"]
+    text = lambda c: F.coalesce(c, F.lit(""))
+    count = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    made = F.struct(
+        text(low["screen_name"]).alias("screen_name"), text(low["name"]).alias("name"), text(low["description"]).alias("bio"), count(low["followers_count"]).alias("followers"),
+        count(low["friends_count"]).alias("following"), count(low["statuses_count"]).alias("messages"),
+    )
+    return F.when(t["rest_id"].isNotNull(), made)
+
+
+def profile_text(p: Column, recent: Column) -> Column:
+    """A profile and its ``recent`` messages (array of ``tweet``) as text."""
+    head = F.concat(F.lit("@"), p["screen_name"], F.lit(" · "), p["name"], F.when(p["bio"] != "", F.concat(F.lit("\n"), p["bio"])).otherwise(""))
+    counts = F.concat(F.lit("\n\nFollowers: "), p["followers"].cast("string"), F.lit(" · Following: "), p["following"].cast("string"), F.lit(" · Tweets: "), p["messages"].cast("string"))
+    rows = F.transform(recent, lambda t: F.concat(F.lit("\n[♥ "), t["likes"].cast("string"), F.lit("] "), F.when(F.octet_length(t["text"]) <= SHOWN, t["text"]).otherwise(F.regexp_replace(truncate_bytes(t["text"], SHOWN), "…$", ""))))
+    return F.concat(head, counts, F.when(F.size(recent) > 0, F.concat(F.lit("\n\n--- Recent tweets ---\n"), F.array_join(rows, ""))).otherwise(""))
+
+
 _PLAYER = "streamingData struct<formats:array<struct<url:string,height:int,bitrate:int,mimeType:string,signatureCipher:string>>,adaptiveFormats:array<struct<url:string,height:int,bitrate:int,mimeType:string,signatureCipher:string>>>, videoDetails struct<videoId:string,title:string,lengthSeconds:string>"
 
 

@@ -83,6 +83,13 @@ def e20(spark, sf_dir):
     return read.join(pages.page_links(given).select("page_id", "internal", "external"), "page_id")
 
 
+STORY = "Plain words of story {id} go on here. " * 8
+HEADED = [
+    (f"<body><h2>Lost {{id}}</h2><article><p>{STORY}</p></article></body>", f"## Lost {{id}}\n\n{STORY.strip()}"), (f"<body><div class='sidebar'><h2>Noise {{id}}</h2></div><article><p>{STORY}</p></article></body>", STORY.strip()),
+    (f"<body><article><h2>Kept {{id}}</h2><p>{STORY}</p></article></body>", f"## Kept {{id}}\n\n{STORY.strip()}"), (f"<body><h2>Alone {{id}}</h2><p>short</p><article><p>{STORY}</p></article></body>", f"## Alone {{id}}\n\n{STORY.strip()}"),
+]
+cases("e17_heading_cases", HEADED, by_kernel(lambda html: dom.extract(html, "https://site.example/a", "markdown")["content"]))
+
 # --- scripts ---
 
 SCRIPTS = {

@@ -65,12 +65,35 @@ def e41(spark, sf_dir):
     return answers(spark, sf_dir, body).select("id", payloads.thread_text(F.col("body")).alias("t")).select("id", "t.title", F.explode("t.lines").alias("line"))
 
 
-@query("e42_tweets", "SELECT page_id AS id, '@u' || chr(10) || chr(10) || 'hi' || chr(10) || chr(10) || '♥ ' || page_id::VARCHAR || ' 🔁 0 💬 0 👁 7' AS text FROM pages")
+@query("e42_tweets", "SELECT page_id AS id, '@u' || chr(10) || chr(10) || 'hi' || chr(10) || chr(10) || '♥ ' || page_id::VARCHAR || '  🔁 0  💬 0  👁 7' AS text FROM pages")
 def e42(spark, sf_dir):
     body = F.concat(F.lit('{"rest_id":"1","legacy":{"full_text":"hi","favorite_count":'), F.col("page_id").cast("string"), F.lit('},"core":{"user_results":{"result":{"legacy":{"screen_name":"u"}}}},"views":{"count":"7"}}'))
     return answers(spark, sf_dir, body).select("id", payloads.tweet_text(payloads.tweet(F.col("body"))).alias("text"))
 
 
+@query("e42_profiles", """
+SELECT page_id AS id, '@u' || page_id::VARCHAR || ' · N' || CASE WHEN page_id % 2 = 0 THEN chr(10) || 'bio' ELSE '' END || chr(10) || chr(10) || 'Followers: ' || page_id::VARCHAR || ' · Following: 2 · Tweets: 3'
+  || CASE WHEN page_id % 3 > 0 THEN chr(10) || chr(10) || '--- Recent tweets ---' || chr(10) || chr(10) || '[♥ 5] ' || repeat('é', 60) ELSE '' END AS text FROM pages""")
+def e42b(spark, sf_dir):
+    i = F.col("page_id").cast("string")
+    body = F.concat(F.lit('{"rest_id":"1","legacy":{"name":"N","screen_name":"u'), i, F.lit('","description":"'), F.when(F.col("page_id") % 2 == 0, "bio").otherwise(""), F.lit('","followers_count":'), i, F.lit(',"friends_count":2,"statuses_count":3}}'))
+    said = F.lit('{"rest_id":"2","legacy":{"full_text":"' + "é" * 61 + '","favorite_count":5}}')
+    recent = F.when(F.col("page_id") % 3 > 0, F.array(payloads.tweet(said))).otherwise(F.array())
+    rows = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), payloads.profile(body).alias("p"), recent.alias("recent"))
+    return rows.select("id", payloads.profile_text(F.col("p"), F.col("recent")).alias("text"))
+
+
+@query("e42_status_kind", "SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN 'tweet' WHEN 1 THEN 'profile' WHEN 4 THEN 'tweet' END AS kind FROM pages")
+def e42c(spark, sf_dir):
+    i = F.col("page_id")
+    name = i.cast("string")
+    url = (
+        F.when(i % 6 == 0, F.concat(F.lit("https://x.com/user/status/"), name, F.lit("?s=20"))).when(i % 6 == 1, F.concat(F.lit("https://www.twitter.com/u"), name)).when(i % 6 == 2, F.concat(F.lit("https://notx.com/u/status/"), name))
+        .when(i % 6 == 4, F.concat(F.lit("https://mobile.twitter.com/u/status/"), name)).when(i % 6 == 5, "https://x.com/")
+    )
+    return load(spark, sf_dir, "pages").select(i.alias("id"), payloads.status_kind(url).alias("kind"))
+
+
 @query("m05_streams", "SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN 'v720' ELSE 'c720' END AS video_url, CASE WHEN page_id % 2 = 0 THEN 'a' END AS audio_url FROM pages")
 def m05(spark, sf_dir):
     height = F.when(F.col("page_id") % 2 == 0, "360").otherwise("720")

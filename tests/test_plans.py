@@ -44,7 +44,8 @@ def test_sitemaps_hold_all_pages(spark, monkeypatch):
 
 def test_the_store_ends_the_crawl(spark, tmp_path):
     pages = [(i, f"https://s.x/p{i}", f"<title>{i}</title><a href='/p{i + 1}'>next</a>") for i in range(130)]
-    rows = catalog.QUERIES["c16_c17_crawl"](spark, write(spark, tmp_path, "pages", pages, "page_id long, url string, html string")).collect()
+    all_pages = spark.read.parquet(write(spark, tmp_path, "pages", pages, "page_id long, url string, html string") + "/pages.parquet")
+    rows = crawl.crawl(spark, all_pages.select("url"), all_pages.select("url", "html"), config=crawl.CrawlConfig(max_pages=None, max_depth=None)).collect()
     assert sorted(r.url for r in rows if r.error is None) == sorted(p[1] for p in pages)
     assert [(r.url, r.depth, r.error) for r in rows if r.error] == [("https://s.x/p130", 1, "not found")]
     store = spark.createDataFrame(pages[:6], "page_id long, url string, html string").select("url", "html")

@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import pytest
 
@@ -41,8 +42,11 @@ def restarted(spark, tmp_path, rows, schema, stream, name):
         part = rows[i * len(rows) // 2 : (i + 1) * len(rows) // 2]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
         frame = stream(spark.readStream.schema(schema).parquet(folder))
-        q = frame.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q = frame.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-cp").start()
+        began = time.time()
+        while sum(p["numInputRows"] for p in q.recentProgress) < len(part) and time.time() - began < 100 and q.isActive:
+            time.sleep(0.2)
+        q.stop()  # state that expires by the clock keeps a query running
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     return spark.read.parquet(out).collect()
 

@@ -140,7 +140,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
         pages = files.keep(pages, "store")  # once, not for each level
     start = seeds.select(urls.normalize(F.col("url")).alias("url")).where("url is not null").distinct()
     frontier = files.keep(files.placed(start, "start", "url").select("url", F.lit(0).alias("depth"), F.col("url").alias("seed"), (F.col("place") + 1).alias("seq")), "frontier0")
-    rules = robots_rules(robots, config.agent) if robots is not None else None
+    rules = files.keep(robots_rules(robots, config.agent), "rules") if robots is not None else None
     visited, bodies, results, good, next_seq = frontier.select("url"), None, [], 0, frontier.count() + 1
     for depth in count() if config.max_depth is None else range(config.max_depth + 1):
         room = None if config.max_pages is None else config.max_pages - good
@@ -159,19 +159,21 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
         found_new = firsts.where("__first is not null").select("__body")
         bodies = found_new if bodies is None else bodies.unionByName(found_new)
         judged = here.join(firsts, "__body").withColumn("error", F.when(F.col("__first").isNull() | (F.col("seq") > F.col("__first")), "duplicate content")).drop("__first")
-        done = judged.unionByName(fetched.where("lost is not null").withColumn("error", F.col("lost"))).drop("lost", "__body").withColumn("title", F.when(F.col("error").isNull(), meta.title(F.col("html"))))
-        done = files.keep(done, f"level{depth}")
-        fetched_well = done.where("error is null")
-        kept = files.keep((fetched_well if room is None else fetched_well.orderBy("seq").limit(room)).select("url", "seed", "seq", "html", "title"), f"kept{depth}")
-        found = links(kept).join(kept.select("url", "seed", F.col("seq").alias("from_seq")), "url")
+        done = judged.unionByName(fetched.where("lost is not null").withColumn("error", F.col("lost"))).select("url", "depth", "seed", "seq", "error")
+        fine = done.where("error is null").select("url", "seed", "seq")
+        if room is not None:
+            fine = files.keep(fine.orderBy("seq").limit(room), f"fine{depth}")
+            good += fine.count()
+        kept = fetched.join(fine.select("url"), "url", "left_semi")
+        found = links(kept).join(fine.select("url", "seed", F.col("seq").alias("from_seq")), "url")
+        found = files.keep(found.withColumn("url_wanted", urls.normalize(F.col("target"))), f"links{depth}")
         counts = found.groupBy("url").agg(F.count("*").alias("n_links"))
-        fine = done.join(kept.select("url").distinct(), "url", "left_semi")
-        results.append(fine.unionByName(done.where("error is not null")).join(counts, "url", "left").select("url", "depth", "seq", "title", F.coalesce("n_links", F.lit(0)).alias("n_links"), "error"))
-        good += kept.count()
+        titles = kept.select("url", meta.title(F.col("html")).alias("title"))
+        shown = done.join(titles, "url", "left").where("title is not null or error is not null").join(counts, "url", "left")
+        results.append(shown.select("url", "depth", "seq", "title", F.coalesce("n_links", F.lit(0)).alias("n_links"), "error"))
         if depth == config.max_depth:
             break
-        target = urls.normalize(F.col("target"))
-        wanted = found.select(target.alias("url"), "seed", "from_seq", "pos").where("url is not null").where(urls.host(F.col("url")).isNotNull() & F.col("url").rlike("^https?:"))
+        wanted = found.select(F.col("url_wanted").alias("url"), "seed", "from_seq", "pos").where("url is not null").where(urls.host(F.col("url")).isNotNull() & F.col("url").rlike("^https?:"))
         wanted = wanted.where(urls.in_scope(F.col("url"), F.col("seed"), config.scope, config.allow, config.block) & ~urls.is_cycle(F.col("url")))
         if config.budgets:
             numbered = files.placed(wanted, f"wanted{depth}", "from_seq", "pos").withColumnRenamed("place", "seq").withColumn("path", F.try_parse_url("url", F.lit("PATH")))

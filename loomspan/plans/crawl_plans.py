@@ -54,16 +54,14 @@ def c08(spark, sf_dir):
     return C.pop_frontier(rows, 25).select("page_id", "priority")
 
 
-def _robots(spark):
-    body = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*?page=\nCrawl-delay: 2.5\nSitemap: https://s.example/map.xml\n"
-    return spark.range(1).select(F.lit(body).alias("body"))
+ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/\nAllow: /en/1\nDisallow: /*?page=\nCrawl-delay: 2.5\nSitemap: https://s.example/map.xml\n"
 
 
 @query("c09_robots", """SELECT page_id, NOT ((regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) LIKE '/en/%' AND regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) NOT LIKE '/en/1%') OR regexp_extract(url, '^([^#]*)', 1) LIKE '%?page=%') AS allowed FROM pages""")
 def c09(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     hosts = pages.select(urls.host(F.col("url")).alias("host")).distinct()
-    return C.robots_allowed(pages, C.robots_rules(hosts.crossJoin(F.broadcast(_robots(spark))), "loomspan")).select("page_id", "allowed")
+    return C.robots_allowed(pages, C.robots_rules(hosts.withColumn("body", F.lit(ROBOTS)), "loomspan")).select("page_id", "allowed")
 
 
 @query("c10_c11_robots_lines", f"""

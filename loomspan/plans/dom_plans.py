@@ -69,14 +69,25 @@ def i07(spark, sf_dir):
     return pages.page_links(rows(spark, sf_dir).withColumn("html", away)).select("page_id", "internal", "external")
 
 
-@query("e39_forms", "SELECT page_id, 0 AS pos, '' AS action, '' AS method FROM pages WHERE contains(html, '<form')")
+@query("e39_forms", """
+SELECT page_id, k::INTEGER AS pos, '/s' || (page_id + k)::VARCHAR AS action, CASE WHEN page_id % 2 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN page_id % 2 = 0 THEN 'q=v+' || page_id::VARCHAR ELSE 'q=v+' || page_id::VARCHAR || '&off=' END AS body
+FROM pages, (VALUES (0), (1)) AS t(k) WHERE k < page_id % 3""")
 def e39(spark, sf_dir):
-    return pages.page_forms(rows(spark, sf_dir)).select("page_id", "pos", "action", "method")
+    """Pages with as many forms as page_id leaves over by three; a field is disabled on every other page."""
+    i = F.col("page_id")
+    form = lambda k: F.concat(F.lit('<form action="/s'), (i + k).cast("string"), F.when(i % 2 == 0, '" method="post">').otherwise('">'), F.lit('<input name="q" value="v '), i.cast("string"), F.when(i % 2 == 0, '"><input name="off" disabled>').otherwise('"><input name="off">'), F.lit("</form>"))
+    more = F.when(i % 3 == 1, form(0)).when(i % 3 == 2, F.concat(form(0), form(1))).otherwise("")
+    return pages.page_forms(rows(spark, sf_dir).withColumn("html", F.concat("html", more))).select("page_id", "pos", "action", "method", "body")
 
 
-@query("m01_m02_media", "SELECT page_id, 0 AS pos, '' AS media_url, '' AS kind FROM pages WHERE contains(html, '<img') OR contains(html, '<video')")
+@query("m01_m02_media", """
+SELECT page_id, 0 AS pos, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/p' || page_id::VARCHAR || '.jpg' AS media_url, 'image' AS kind FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END, 'https://v.example/' || page_id::VARCHAR || '.mp4', 'video' FROM pages WHERE page_id % 3 = 0""")
 def m01(spark, sf_dir):
-    return pages.page_media(rows(spark, sf_dir)).select("page_id", "pos", "media_url", "kind")
+    i = F.col("page_id")
+    image = F.when(i % 2 == 0, F.concat(F.lit('<img src="/p'), i.cast("string"), F.lit('.jpg" width="640" height="480"><img src="/logo.png">'))).otherwise("")
+    video = F.when(i % 3 == 0, F.concat(F.lit('<video src="https://v.example/'), i.cast("string"), F.lit('.mp4"></video>'))).otherwise("")
+    return pages.page_media(rows(spark, sf_dir).withColumn("html", F.concat("html", image, video))).select("page_id", "pos", "media_url", "kind")
 
 
 @query("i05_i06_accessibility", """
@@ -93,9 +104,18 @@ def i04(spark, sf_dir):
     return pages.performance(responses(rows(spark, sf_dir))).select("page_id", "compression", "score")
 
 
-@query("i09_i13_features", """SELECT page_id, '{"google": [], "adobe": false, "faces": []}' AS fonts, '{"manifest": false, "service_worker": false, "installable": false}' AS pwa, '{"declared": [], "registered": false}' AS tools FROM pages""")
+@query("i09_i13_features", """
+SELECT page_id, '{"google": [' || CASE WHEN page_id % 2 = 0 THEN '"F' || page_id::VARCHAR || '"' ELSE '' END || '], "adobe": false, "faces": []}' AS fonts,
+       CASE WHEN page_id % 3 = 0 THEN '{"manifest": true, "service_worker": false, "installable": false}' ELSE '{"manifest": false, "service_worker": false, "installable": false}' END AS pwa,
+       CASE WHEN page_id % 5 = 0 THEN '{"declared": [{"name": "t' || page_id::VARCHAR || '", "description": "d", "fields": ["a"]}], "registered": false}' ELSE '{"declared": [], "registered": false}' END AS tools FROM pages""")
 def i09(spark, sf_dir):
-    return pages.page_features(rows(spark, sf_dir)).select("page_id", "fonts", "pwa", "tools")
+    i = F.col("page_id")
+    n = i.cast("string")
+    more = F.concat(
+        F.when(i % 2 == 0, F.concat(F.lit('<link rel="stylesheet" href="https://fonts.googleapis.com/css?family=F'), n, F.lit('">'))).otherwise(""), F.when(i % 3 == 0, '<link rel="manifest" href="/m">').otherwise(""),
+        F.when(i % 5 == 0, F.concat(F.lit('<form toolname="t'), n, F.lit('" tooldescription="d"><input name="a"></form>'))).otherwise(""),
+    )
+    return pages.page_features(rows(spark, sf_dir).withColumn("html", F.concat("html", more))).select("page_id", "fonts", "pwa", "tools")
 
 
 A11Y_SCORE = "(CASE WHEN contains(html, 'lang=\"') THEN 20 ELSE 0 END + 20 + CASE WHEN len(regexp_extract_all(html, '<h1')) = 1 THEN 15 ELSE 0 END + CASE WHEN contains(html, '<h1') THEN 10 ELSE 0 END + CASE WHEN contains(html, '<nav') THEN 10 ELSE 0 END + 10)"

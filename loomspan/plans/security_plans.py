@@ -77,10 +77,15 @@ def s07(spark, sf_dir):
     return rows(spark, sf_dir).select("page_id", S.cors()[1].alias("score"))
 
 
-@query("s08_s09_resources", "SELECT page_id, 0 AS n, 0 AS sri FROM pages")
+@query("s08_s09_resources", """
+SELECT page_id, CASE page_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS n, CASE page_id % 4 WHEN 1 THEN 5 WHEN 2 THEN -5 WHEN 3 THEN -50 ELSE 0 END AS sri, CASE WHEN page_id % 4 = 2 THEN 2 WHEN page_id % 4 = 0 THEN 0 ELSE 1 END AS supply FROM pages""")
 def s08(spark, sf_dir):
-    r = rows(spark, sf_dir).withColumn("r", S.resources())
-    return r.select("page_id", F.size("r").alias("n"), S.sri(F.col("r"))[1].alias("sri"))
+    """Scripts of other hosts by page_id: checked, one of two checked and one from a host at risk, unchecked and unencrypted, none."""
+    i = F.col("page_id")
+    checked = '<script src="https://a.other.test/x.js" integrity="sha384-x"></script>'
+    more = F.when(i % 4 == 1, checked).when(i % 4 == 2, checked + '<script src="https://cdn.polyfill.io/v2.js"></script>').when(i % 4 == 3, '<script src="http://b.other.test/y.js"></script>').otherwise("")
+    r = rows(spark, sf_dir).withColumn("html", F.concat("html", more)).withColumn("r", S.resources())
+    return r.select("page_id", F.size(F.filter("r", lambda x: x["cross"])).alias("n"), S.sri(F.col("r"))[1].alias("sri"), F.size(S.report(S.supply_chain(F.col("r")))).alias("supply"))
 
 
 @query("s10_mixed_content", """SELECT page_id, (url LIKE 'https://%' AND regexp_matches(html, '(?is)<img\\b[^>]*\\ssrc\\s*=\\s*["'']http://'))::INTEGER AS n FROM pages""")

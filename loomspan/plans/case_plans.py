@@ -189,7 +189,7 @@ LINE_STEPS: dict[str, list[tuple[str, str]]] = {
     "dedup_dup_headings": [("## A {id}\none\n## B\n## A {id}\none\ntwo", "## A {id}\none\n## B\ntwo")],
     "strip_empty_headings": [("# ---\n## Footer\n## Real {id}", "## Real {id}")],
     "strip_asset_labels": [
-        ("Homepage | Fall {id} | Hero\n100M+ users | #1 rated | 99% up\nkept", "100M+ users | #1 rated | 99% up\nkept"), ("Scaling {id} > Cover Image\nour-page-slug-{id}\n| a | b | c |", "| a | b | c |"), ("oai Blog Art Card 1x1\n# SEO tips for {id}\nkept", "kept"),
+        ("garden | winter {id} | banner left\n14 hives | 3 lakes, 40% ice | 9+ owls\nkept", "14 hives | 3 lakes, 40% ice | 9+ owls\nkept"), ("birds > poster of {id}\nowls-of-the-north-{id}\n| x | y | z |", "| x | y | z |"), ("winter owls 1x1 left\n# Notes on owls {id}\nkept", "# Notes on owls {id}\nkept"),
     ],
     "strip_css_classes": [("flex px-4 mt-2 text-{id}\nPlain words {id} flex px-4", "Plain words {id}")],
     "collapse_ws": [("a {id}  \n\n\n\nb\t\n", "a {id}\n\nb")],

@@ -11,29 +11,84 @@ IDEMPOTENT = ("GET", "HEAD", "OPTIONS", "PUT", "DELETE", "TRACE")
 RETRYABLE = (429, 500, 502, 503, 504)
 
 
-def rate_limit(events: DataFrame, limit: int, seconds: float, *, key: str = "user_id", ts: str = "ts", seq: str = "event_id") -> DataFrame:
-    """``events`` and allowed: at most ``limit`` in a window that a key's first request opens; refused requests count too.
-
-    The fold over a key's events carries the window's start and count, one
-    key's events at a time: sort them once by key and time.
+#: Rows of a block: what one task's fold holds at a time.
+BLOCK = 262_144
+
+
+def _leave(table):
+    """Where the chain from each place of a block leaves the block, by doubling its steps."""
+    import numpy as np
+
+    rows = table.sort_by("place")
+    places, after = rows.column("place").to_numpy(), rows.column("after").to_numpy()
+    base, end = places[0], places[-1] + 1
+    while (inside := after < end).any():
+        after = np.where(inside, after[np.where(inside, after - base, 0)], after)
+    return rows.set_column(rows.schema.get_field_index("leaves"), "leaves", [after])
+
+
+def _starts(table):
+    """The last window's start at or before each place of a block (-1: before the block)."""
+    import numpy as np
+
+    rows = table.sort_by("place")
+    places, after = rows.column("place").to_numpy(), rows.column("after").to_numpy()
+    base, end, at = places[0], places[-1] + 1, rows.column("entry")[0].as_py()
+    start = np.full(len(places), -1, np.int64)
+    while at is not None and at < end:
+        start[at - base] = at
+        at = int(after[at - base])
+    return rows.set_column(rows.schema.get_field_index("start"), "start", [np.maximum.accumulate(start)])
+
+
+def _entered(files: Store, steps: DataFrame, blocks: int, block: int) -> DataFrame:
+    """``steps`` (place, after, block) with entry: where the chain from place 0 enters each block, null where it passes by."""
+    steps = files.keep(steps.withColumn("leaves", F.col("after")).groupBy("block").applyInArrow(_leave, "place bigint, after bigint, block bigint, leaves bigint"), "left")
+    first = steps.where("place = 0").select("place", "leaves")
+    ends = steps.select(F.col("leaves").alias("place")).distinct()
+    jumps = files.keep(steps.join(ends, "place", "left_semi").select("place", "leaves").unionByName(first).distinct(), "jumps")
+    reached = files.keep(first.select("place"), "reached")
+    for i in range((blocks - 1).bit_length()):
+        on = reached.join(jumps, "place").select(F.col("leaves").alias("place"))
+        reached = files.keep(reached.unionByName(on).distinct(), f"reached{i}")
+        far = jumps.select(F.col("place").alias("from"), F.col("leaves").alias("place"))
+        jumps = files.keep(far.join(jumps, "place").select(F.col("from").alias("place"), "leaves"), f"jumps{i}")
+    entries = reached.groupBy(F.floor(F.col("place") / block).alias("block")).agg(F.min("place").alias("entry"))
+    return steps.join(entries, "block", "left")
+
+
+def rate_limit(events: DataFrame, limit: int, seconds: float, *, key: str = "user_id", ts: str = "ts", seq: str = "event_id", block: int = BLOCK) -> DataFrame:
+    """``key``, ``seq`` and allowed of ``events``: at most ``limit`` in a window that a key's first request opens; refused requests count too.
+
+    The request that opens the next window is the first one at least
+    ``seconds`` later, or the next key's first: one chain through all requests
+    in order of key and time. Two range sorts give every request's step; blocks
+    of places shorten steps to those that leave them, and doubling over what
+    blocks are left for finds where the chain enters each. So a hot key is
+    many tasks, and no task holds more than a block.
+
+    Defined results: requests without a time are neither allowed nor counted
+    (null); a null key is a key; ties are ordered by ``seq``.
     """
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, {seq} bigint, allowed boolean"
-
-    def fold(table):
-        import pyarrow as pa
-
-        rows = table.sort_by([(ts, "ascending"), (seq, "ascending")])
-        times = rows.column(ts).cast(pa.int64()).to_numpy() if not pa.types.is_floating(rows.column(ts).type) else rows.column(ts).to_numpy()
-        unit = {"s": 1, "ms": 1e3, "us": 1e6, "ns": 1e9}.get(getattr(rows.column(ts).type, "unit", "s"), 1)
-        start, count, out = None, 0, []
-        for t in times:
-            if start is None or t - start >= seconds * unit:
-                start, count = t, 0
-            count += 1
-            out.append(count <= limit)
-        return pa.table({key: rows.column(key), seq: rows.column(seq), "allowed": pa.array(out, pa.bool_())})
-
-    return events.select(key, ts, F.col(seq).cast("bigint").alias(seq)).groupBy(key).applyInArrow(fold, schema)
+    files = Store(events.sparkSession, "limit")
+    kind = events.schema[ts].dataType.typeName()
+    time, span = (F.unix_micros(F.col(ts).cast("timestamp")), F.lit(round(seconds * 1e6))) if kind.startswith("timestamp") else (F.col(ts), F.lit(seconds))
+    asked = events.select(key, time.alias("__t"), F.col(seq).cast("bigint").alias(seq))
+    rows = files.placed(asked.where("__t is not null"), "requests", key, "__t", seq)
+    # Before a probe of time + seconds stand its place in probes and the requests that come too soon.
+    probes = rows.select(key, (F.col("__t") + span).alias("__t"), F.lit(0).alias("__is"), F.col("place").alias("__of"))
+    both = probes.unionByName(rows.select(key, "__t", F.lit(1).alias("__is"), F.col("place").alias("__of")))
+    steps = files.placed(both, "steps", key, "__t", "__is", "__of").where("__is = 0").select("__of", (F.col("place") - F.col("__of")).alias("after"), F.floor(F.col("__of") / block).alias("block"))
+    steps = steps.withColumnRenamed("__of", "place")
+    blocks = (rows.agg(F.max("place")).head()[0] or 0) // block + 1
+    entered = steps.withColumn("entry", F.lit(0).cast("bigint")) if blocks == 1 else _entered(files, steps, blocks, block)
+    opened = entered.select("place", "after", "block", "entry", F.col("place").alias("start")).groupBy("block").applyInArrow(_starts, "place bigint, after bigint, block bigint, entry bigint, start bigint")
+    opened = files.keep(opened.select("place", "block", "start"), "opened")
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    carried = opened.groupBy("block").agg(F.max("start").alias("__last")).select("block", F.max("__last").over(earlier).alias("__before"))
+    known = opened.join(carried, "block").select("place", (F.col("place") - F.when(F.col("start") >= 0, F.col("start")).otherwise(F.col("__before")) < limit).alias("allowed"))
+    found = rows.join(known, "place").select(key, seq, "allowed")
+    return found.unionByName(asked.where("__t is null").select(key, seq, F.lit(None).cast("boolean").alias("allowed")))
 
 
 def delay_rule(name: Column, rules: list[tuple[str, int]]) -> Column:
@@ -45,10 +100,6 @@ def delay_rule(name: Column, rules: list[tuple[str, int]]) -> Column:
     return out
 
 
-#: Requests in a block of the schedule.
-BLOCK = 65_536
-
-
 def schedule(requests: DataFrame, *, key: str = "domain", ts: str = "ts", seq: str = "seq", delay: str = "delay", until: str = "until", block: int = BLOCK) -> DataFrame:
     """``requests`` with ``start``: when each may begin, in order of time, ``delay`` seconds after the one before of its key, and not before any ``until`` that its key has been told by then.
 
@@ -156,22 +207,52 @@ def cache_reads(events: DataFrame, ttl: float, *, key: str = "key", ts: str = "t
     return events.withColumn("hit", F.when(F.col(kind) == "read", F.coalesce((F.col(ts) - written) < ttl, F.lit(False))))
 
 
-def live_until_evicted(events: DataFrame, ttl: float, capacity: int, *, key: str = "key", ts: str = "ts", kind: str = "kind", seq: str = "seq") -> DataFrame:
+def _held(ttl: float, capacity: int, key: str, ts: str, kind: str):
+    def fold(events, held):
+        import pyarrow as pa
+
+        cache = dict(zip(*(held.sort_by("__place").column(c).to_pylist() for c in (key, ts))))
+        rows = events.sort_by("place")
+        hits: list[bool | None] = []
+        for k, t, what in zip(*(rows.column(c).to_pylist() for c in (key, ts, kind))):
+            hits.append(k in cache and t is not None and cache[k] is not None and t - cache[k] < ttl if what == "read" else None)
+            if what == "write":
+                cache.pop(k, None)
+                cache[k] = t  # the last in order
+                if len(cache) > capacity:
+                    del cache[next(iter(cache))]
+        return rows.drop_columns(["place", "__block"]).append_column("hit", pa.array(hits, pa.bool_()))
+
+    return fold
+
+
+def live_until_evicted(events: DataFrame, ttl: float, capacity: int, *, key: str = "key", ts: str = "ts", kind: str = "kind", seq: str = "seq", block: int = BLOCK) -> DataFrame:
     """``cache_reads`` of a cache that holds ``capacity`` keys: a write of a further key pushes out the one written longest ago.
 
-    A key is still there if, since its last write, fewer than ``capacity``
-    other keys were written. That many distinct keys are counted within the
-    writes that follow; there are no more of them than within ``ttl``.
+    What the cache holds at any time are the ``capacity`` keys written last.
+    That state merges: of two stretches of events each gives its last writes,
+    and the latest of them are those of both. So events are cut into blocks in
+    order of time, states are carried over them by doubling, and each block is
+    folded alone from the state before it: a task holds a block and a state.
+
+    Defined results: a null key is a key; ties are ordered by ``seq``.
     """
-    found = cache_reads(events, ttl, key=key, ts=ts, kind=kind)
-    past = Window.partitionBy(key).orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, -1)
-    last = found.withColumn("__last", F.last(F.when(F.col(kind) == "write", F.col(seq)), ignorenulls=True).over(past))
-    writes = events.where(F.col(kind) == "write").select(F.col(seq).alias("__w"), F.col(ts).alias("__t"), F.col(key).alias("__k"), F.floor(F.col(ts) / ttl).alias("__slot"))
-    asked = last.where("hit").select(F.col(seq).alias("__read"), "__last", F.col(ts).alias("__now"), F.col(key).alias("__own"), F.explode(F.array(F.floor(F.col(ts) / ttl), F.floor(F.col(ts) / ttl) - 1)).alias("__slot"))
-    between = asked.join(writes, "__slot").where("__w > __last and __w < __read and __k <> __own")
-    gone = between.groupBy("__read").agg(F.count_distinct("__k").alias("__others")).where(F.col("__others") >= capacity).select("__read", F.lit(True).alias("__gone"))
-    joined = last.join(gone, last[seq] == gone["__read"], "left")
-    return joined.withColumn("hit", F.col("hit") & F.col("__gone").isNull()).select(*found.columns)
+    files = Store(events.sparkSession, "evict")
+    rows = files.placed(events, "events", ts, seq).withColumn("__block", F.floor(F.col("place") / block))
+    latest = Window.partitionBy("__block").orderBy(F.col("__w.place").desc())
+
+    def states(writes: DataFrame, name: str) -> DataFrame:
+        last = writes.groupBy("__block", key).agg(F.max("__w").alias("__w"))
+        return files.keep(last.withColumn("__n", F.row_number().over(latest)).where(F.col("__n") <= capacity).drop("__n"), name)
+
+    state = states(rows.where(F.col(kind) == "write").select("__block", key, F.struct(F.col("place").alias("place"), F.col(ts).alias("ts")).alias("__w")), "state")
+    blocks = (rows.agg(F.max("__block")).head()[0] or 0) + 1
+    for i in range((blocks - 1).bit_length()):
+        on = state.withColumn("__block", F.col("__block") + (1 << i)).where(F.col("__block") < blocks)
+        state = states(state.unionByName(on), f"state{i}")
+    before = state.select((F.col("__block") + 1).alias("__block"), key, F.col("__w.place").alias("__place"), F.col("__w.ts").alias(ts)).where(F.col("__block") < blocks)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema] + ["hit boolean"])
+    return rows.groupBy("__block").cogroup(before.groupBy("__block")).applyInArrow(_held(ttl, capacity, key, ts, kind), schema)
 
 
 def blocked(events: DataFrame, *, window: float, cooldown: float, threshold: int, key: str = "key", ts: str = "ts", seq: str = "seq", kind: str = "kind") -> DataFrame:

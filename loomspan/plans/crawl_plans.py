@@ -281,6 +281,9 @@ WITH e AS ({_CACHE}),
 w AS (SELECT *, max(CASE WHEN kind = 'write' THEN ts END) OVER p AS last, arg_max(seq, ts) FILTER (WHERE kind = 'write') OVER p AS last_seq FROM e WINDOW p AS (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT w.seq, CASE WHEN w.kind = 'read' THEN coalesce(w.ts - w.last < 86400.0, false) AND (SELECT count(DISTINCT o.key) FROM e o WHERE o.kind = 'write' AND o.key <> w.key AND o.seq > w.last_seq AND o.seq < w.seq) < 20 END AS hit FROM w""")
 def k07b(spark, sf_dir):
+    from ..session import ship
+
+    ship(spark)
     return keyed.live_until_evicted(_cache(spark, sf_dir), 86400.0, 20).select("seq", "hit")
 
 

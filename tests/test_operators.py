@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import cleanup, crawl, dom, fusion, keyed, pages, security
@@ -148,6 +149,39 @@ def test_rate_limit(spark):
     assert [got[i] for i in range(8)] == [True, True, False, False, True, True, False, True]
 
 
+@pytest.mark.parametrize("block", [7, 64, 262_144])
+def test_rate_limit_in_blocks_is_the_fold(spark, block):
+    rnd = random.Random(block)
+    rows = [(rnd.choice([1, 1, 1, 1, 2, 3, None]), i, float(rnd.randrange(300))) for i in range(400)] + [(1, 400, None), (9, 401, 5.0)]
+    want, state = {}, {}
+    for k, i, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1])):
+        start, n = state.get(k, (None, 0))
+        start, n = (t, 1) if start is None or t - start >= 11.0 else (start, n + 1)
+        state[k], want[i] = (start, n), n <= 3
+    want[400] = None
+    frame = spark.createDataFrame(rows, "user_id long, event_id long, ts double").repartition(3)
+    assert {r.event_id: r.allowed for r in keyed.rate_limit(frame, 3, 11.0, block=block).collect()} == want
+    assert keyed.rate_limit(frame.limit(0), 3, 11.0, block=block).collect() == []
+
+
+@pytest.mark.parametrize("block", [5, 50, 262_144])
+def test_evicting_cache_in_blocks_is_the_fold(spark, block):
+    rnd = random.Random(block)
+    rows = [(rnd.choice([None, *"aaaabcdefgh"]), float(i // 2), i, rnd.choice(["read", "write"]), i * 2) for i in range(300)]
+    want, cache = {}, {}
+    for k, t, i, kind, _ in rows:
+        want[i] = None if kind == "write" else k in cache and t - cache[k] < 12.0
+        if kind == "write":
+            cache.pop(k, None)
+            cache[k] = t
+            if len(cache) > 4:
+                del cache[next(iter(cache))]
+    frame = spark.createDataFrame(rows, "key string, ts double, seq long, kind string, extra long").repartition(3)
+    got = keyed.live_until_evicted(frame, 12.0, 4, block=block)
+    assert got.columns == [*frame.columns, "hit"] and {r.seq: r.hit for r in got.collect()} == want
+    assert all(r.extra == 2 * r.seq for r in got.collect()) and keyed.live_until_evicted(frame.limit(0), 12.0, 4).collect() == []
+
+
 def test_scan_has_all_parts(spark):
     rows = responses(load(spark, SMALL, "pages"))
     got = security.scan(rows).select("page_id", "score", "grade", "csp_grade", "counts").collect()

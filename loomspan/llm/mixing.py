@@ -129,16 +129,16 @@ def place(sized: DataFrame, schedules=cycle_schedules, *, repeats: int = REPEATS
     return both.select("doc_id", "source", "draw", "size", "copies", "source_size", "target", "weight", "schedule", (F.col("start") + F.col("ahead")).alias("offset"))
 
 
-def _rounds(offset: Column, repeats: int) -> Column:
-    """Of each round the document's offset, its position, and the words of it that have one."""
-    size, target = F.col("size"), F.col("target")
+def _rounds(offset: Column, repeats: int, known=F.col) -> Column:
+    """Of each round the document's offset, its position, and the words of it that have one; ``known`` names size, target and what belongs to them."""
+    size, target = known("size"), known("target")
     goal = F.round(target)  # whole words
 
     def one(r: Column) -> Column:
-        start = offset + r * F.col("source_size")
-        inverse = lambda x: position(x, goal, F.col("weight"), F.col("schedule"))
+        start = offset + r * known("source_size")
+        inverse = lambda x: position(x, goal, known("weight"), known("schedule"))
         words = F.when(inverse(start + size).isNotNull(), size).when(inverse(start).isNotNull(), goal.cast("bigint") - start).otherwise(F.lit(0))
-        return F.struct(start.alias("start"), position(start, target, F.col("weight"), F.col("schedule")).alias("position"), words.cast("bigint").alias("words"))
+        return F.struct(start.alias("start"), position(start, target, known("weight"), known("schedule")).alias("position"), words.cast("bigint").alias("words"))
 
     return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(repeats - 1).cast("bigint")), one)
 
@@ -160,16 +160,14 @@ def mix_documents(docs: DataFrame, schedules=cycle_schedules, *, repeats: int =
     lies before the target. ``docs`` needs doc_id, source and text.
     """
     missing = F.lit("\x00null")
-    placed = place(_sized(docs), schedules, repeats=repeats).where("size > 0")
-    offset = lambda copy: F.col("offset") + copy * F.col("size")
-    times = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1),
-        lambda copy: F.transform(F.filter(_rounds(offset(copy), repeats), lambda r: r["start"] + F.col("size") / 2 < F.col("target")), lambda r: r["position"]),
-    )
-    mine = placed.select(F.col("draw").alias("__draw"), F.coalesce("source", missing).alias("__source"), F.col("copies").alias("__copies"), times.alias("__times")).where(F.exists("__times", lambda x: F.size(x) > 0))
+    placed = place(_sized(docs), schedules, repeats=repeats).where((F.col("size") > 0) & (F.col("offset") + F.col("size") / 2 < F.col("target")))
+    mine = placed.select(F.col("draw").alias("__draw"), F.coalesce("source", missing).alias("__source"), F.struct("offset", "size", "source_size", "target", "weight", "schedule").alias("__mix"))
     keyed = docs.select("*", draw(docs).alias("__draw"), F.coalesce(F.col("source").cast("string"), missing).alias("__source"))
-    joined = keyed.join(mine, ["__draw", "__source"])
-    # Rows alike in doc_id, text and source are told apart by their turn.
-    turn = F.row_number().over(Window.partitionBy("__draw", "__source").orderBy("__draw"))
-    timed = joined.withColumn("__turn", turn).withColumn("__at", F.explode(F.element_at("__times", F.col("__turn"))))
+    # Rows alike in doc_id, text and source are told apart by their turn, counted as they pass.
+    turn = F.row_number().over(Window.partitionBy("__draw", "__source").orderBy("__draw")) - 1
+    every = keyed.join(mine, ["__draw", "__source"]).withColumn("__turn", turn.cast("bigint"))
+    mix = lambda c: F.col("__mix")[c]
+    rounds = _rounds(mix("offset") + F.col("__turn") * mix("size"), repeats, mix)
+    taken = F.transform(F.filter(rounds, lambda r: r["start"] + mix("size") / 2 < mix("target")), lambda r: r["position"])
+    timed = every.withColumn("__at", F.explode(taken))
     return timed.repartitionByRange("__at").sortWithinPartitions("__at", "__draw").select(*docs.columns)

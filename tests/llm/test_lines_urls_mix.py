@@ -171,6 +171,17 @@ def test_mix(spark, monkeypatch):
     assert mixing.plan(docs.limit(0)).collect() == [] and mixing.mix_documents(docs.limit(0)).collect() == []
 
 
+def test_mix_of_a_row_that_repeats_often(spark):
+    """Each of 30,000 like rows is taken as often as its own place in the source says; extra columns stay with their rows."""
+    docs = spark.range(30_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("two words").alias("text"), F.col("id").alias("extra"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "b", "w " * 20_000, -1)], docs.schema))
+    got = mixing.mix_documents(docs).groupBy("source", "extra").count().collect()
+    goal = {r.source: r.target for r in mixing.plan(docs).select("source", "target").distinct().collect()}
+    mine = [r["count"] for r in got if r.source == "a"]
+    assert sum(mine) * 2 == 2 * round(goal["a"] / 2) and max(mine) - min([*mine, *([0] * (30_000 - len(mine)))]) <= 1
+    assert len({r.extra for r in got if r.source == "a"}) == len(mine)
+
+
 def test_positions_follow_the_schedules(spark):
     """Words up to time t are the source's demand until then: rising sources come late, falling ones early."""
     docs = spark.createDataFrame([(i, "ab"[i % 2], "w " * (1 + i % 3)) for i in range(3000)], "doc_id long, source string, text string")

@@ -29,9 +29,13 @@ def fuse(ranked: DataFrame, *, limit: int | None = None) -> DataFrame:
     return (ordered.limit(limit) if limit is not None else ordered).drop("first")
 
 
-def merge_matches(matches: DataFrame, *, limit: int | None = None) -> DataFrame:
-    """Matches of several engines (engine_no, pos, page_url) once each, the first first, with domain and whether it sells stock images."""
-    place = F.row_number().over(Window.partitionBy("page_url").orderBy("engine_no", "pos"))
+def merge_matches(matches: DataFrame, *searches: str, limit: int | None = None) -> DataFrame:
+    """Matches of several engines (engine_no, pos, page_url) once each, the first first, with domain and whether it sells stock images.
+
+    ``searches`` names the columns that tell searches apart: what one search
+    found is no repetition of what another did. ``limit`` is for all rows.
+    """
+    place = F.row_number().over(Window.partitionBy(*searches, "page_url").orderBy("engine_no", "pos"))
     once = matches.withColumn("__place", place).where("__place = 1").drop("__place")
     domain = F.coalesce(urls.host(F.col("page_url")), F.lit(""))
     stock = F.exists(F.array(*(F.lit(s) for s in STOCK_NAMES)), lambda s: F.contains(F.lower(domain), s))

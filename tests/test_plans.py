@@ -2,7 +2,7 @@
 
 import duckdb
 
-from loomspan.operators import crawl
+from loomspan.operators import crawl, fusion
 from loomspan.plans import catalog, crawl_plans
 
 from .conftest import SMALL
@@ -59,3 +59,16 @@ def test_fusion_ranks_whole_lists(spark):
     got = dict(in_spark(spark, "r01_fusion", LARGER))
     assert len(got) > 120 and got.keys() == want.keys()
     assert all(abs(got[u] - want[u]) < 2e-12 for u in want)
+
+
+def pages_of_one_url(spark, folder):
+    pages = [(i, f"https://s.x/p{i % 3}", f"<p>text {i % 5}</p>\n") for i in range(14)]
+    return write(spark, folder, "pages", pages, "page_id long, url string, html string")
+
+
+def test_searches_keep_their_own_matches(spark, tmp_path):
+    folder = pages_of_one_url(spark, tmp_path)
+    assert in_spark(spark, "r03_merge", folder) == in_sql(folder, "pages", catalog.SQL["r03_merge"])
+    rows = [(s, e, p, u) for s in (1, 2) for e in (0, 1) for p, u in enumerate(("https://a.x/", "https://a.x/", f"https://b{e}.x/"))]
+    got = fusion.merge_matches(spark.createDataFrame(rows, "search int, engine_no int, pos int, page_url string"), "search").collect()
+    assert sorted((r.search, r.engine_no, r.pos, r.page_url) for r in got) == [(s, *x) for s in (1, 2) for x in ((0, 0, "https://a.x/"), (0, 2, "https://b0.x/"), (1, 2, "https://b1.x/"))]

@@ -253,9 +253,10 @@ def file_name(url: Column) -> Column:
 
 
 def save_html(pages: DataFrame, path: str) -> None:
-    """Markup of pages (url, html) as text, in a folder for each domain and in it one for each file's name."""
+    """Markup of pages (url, html) as text, in a folder for each domain and in it one for each file's name, with one for each copy: pages of one URL are all kept, each by itself."""
     rows = pages.where("html is not null").select(domain_name(F.col("url")).alias("domain"), file_name(F.col("url")).alias("file"), F.col("html").alias("value"))
-    rows.write.mode("overwrite").option("lineSep", "\n").partitionBy("domain", "file").text(path)
+    copy = F.row_number().over(Window.partitionBy("domain", "file").orderBy(F.sha2("value", 256)))
+    rows.withColumn("copy", copy).write.mode("overwrite").option("lineSep", "\n").partitionBy("domain", "file", "copy").text(path)
 
 
 def page_files(pages: DataFrame, *order: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import crawl, css, dom, keyed, lens, pages, protection, sanitize, script, suffixes
+from loomspan.sources import saved
 
 BITS = [
     "<a href='http://[x'>", "<img src='http://[y' alt=a>", "<![foo]>", "<!", "<script>", "</script>", "<div ", "class='a b'", "id=i", ">", "<ul><li>", "&#xD800;", "\ud800", "<p>text ", "<table><tr><td>", "<form action='http://[::1'>", "<video src='//['>", "</p>",
@@ -189,3 +190,11 @@ def test_sanitizer_leaves_no_risk():
         doc = dom.parse(odd_page(draw))
         clean = dom.parse(sanitize.sanitized(doc))
         assert sanitize.lost(clean) == (0, 0) and not clean.find("script", "style", "form")
+
+
+def test_copies_of_a_url_are_saved_apart(spark, tmp_path):
+    rows = [("https://h.x/p", f"<p>{i // 2}</p>\n") for i in range(8)] + [("https://h.x/q", "q")]
+    crawl.save_html(spark.createDataFrame(rows, "url string, html string").coalesce(1), f"{tmp_path}/html")
+    saved.register(spark)
+    got = spark.read.format("saved_pages").load(f"{tmp_path}/html").collect()
+    assert sorted(r.html for r in got) == sorted(h for _, h in rows) and len({r.file for r in got}) == 2

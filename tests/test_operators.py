@@ -199,3 +199,21 @@ def test_read_pages(spark):
     rows = spark.createDataFrame([(1, "https://e.x/p", ARTICLE), (2, "https://e.x/q", "")], "page_id long, url string, html string")
     got = {r.page_id: r for r in pages.read_pages(rows, "llm", max_bytes=200).collect()}
     assert got[1].length <= 203 and got[1].content.startswith("> URL: https://e.x/p") and got[1].title == "T" and got[2].title == ""
+
+
+def test_steps_that_are_skipped_change_nothing():
+    """Triggers and quick ways out against the steps themselves."""
+    import random
+
+    draw = random.Random(3)
+    words = ["a", "b", "S", "t", "close", "Search", "←", "x.PNG", "an image of ", "*i*", "**b**", "_u_", "prose", "the", "İx", "ΑΣ", "your browser does not support", "```", "# H", "\n", "\n", ","]
+    for _ in range(1500):
+        text = " ".join(draw.choice(words) for _ in range(draw.randrange(30)))
+        for name in cleanup.TRIGGERS:
+            if not cleanup.TRIGGERS[name](text):
+                assert cleanup.STEPS[name](text) == text, (name, text)
+    assert {"collapse_spaced", "strip_bare_image_refs", "strip_ui_controls", "strip_ui_controls_again", "strip_long_alt"} <= cleanup.TRIGGERS.keys()
+    phrase = " ".join(f"w{i}" for i in range(7))
+    assert cleanup._phrases(f"one {phrase} {phrase} two") == f"one {phrase} two"
+    plain = " ".join(f"v{i % 50}{'x' * (i // 50)}" for i in range(400))
+    assert cleanup._phrases(plain) == plain

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bytes after a meta's name in which its content is looked for; the head of <html>.
 WINDOW, HEAD = 300, 200
+#: Characters of names that ``names`` keeps, with a quote.
+LONGEST_NAME = 40
 
 
 def _filled(x: Column) -> Column:
@@ -14,9 +16,11 @@ def _filled(x: Column) -> Column:
 
 
 def _after(html: Column, needle: str, size: int) -> Column:
-    """Up to ``size`` characters from the first ``needle``; null where there is none."""
-    at = F.instr(html, needle)
-    return F.when(at > 0, F.substring(html, at, F.lit(size)))
+    """Up to ``size`` characters from the first ``needle``; null where there is none.
+
+    ``contains`` compares bytes; ``instr`` counts characters, which takes many times as long on markup that lacks the needle.
+    """
+    return F.when(F.contains(html, F.lit(needle)), F.substring(html, F.instr(html, needle), F.lit(size)))
 
 
 def _content(part: Column) -> Column:
@@ -24,10 +28,22 @@ def _content(part: Column) -> Column:
     return F.coalesce(_filled(F.regexp_extract(part, 'content="([^"]*)"', 1)), _filled(F.regexp_extract(part, "content='([^']*)'", 1)))
 
 
-def meta(html: Column, name: str) -> Column:
-    """Content of the first meta with this property or name, wherever within the window after it."""
-    needles = [f"{a}={q}{name}{q}" for a in ("property", "name") for q in ('"', "'")]
-    return F.coalesce(*(_content(_after(html, n, WINDOW)) for n in needles))
+def names(html: Column) -> Column:
+    """What stands after ``property=`` and ``name=`` with a quote: as many characters as names have that are looked for here, each once."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(rf"""(?s)(?:property|name)=(?=(["'].{{0,{LONGEST_NAME}}}))"""), F.lit(1)))
+
+
+def meta(html: Column, name: str, found: Column | None = None) -> Column:
+    """Content of the first meta with this property or name, wherever within the window after it.
+
+    ``found``, a column of ``names``, saves the search for what a page lacks.
+    """
+    if len(name) >= LONGEST_NAME:
+        found = None
+    needles = [(a, f"{q}{name}{q}") for a in ("property", "name") for q in ('"', "'")]
+    parts = [(n, _content(_after(html, f"{a}={n}", WINDOW))) for a, n in needles]
+    there = lambda n: F.exists(found, lambda x: x.startswith(n))
+    return F.coalesce(*(c if found is None else F.when(there(n), c) for n, c in parts))
 
 
 def meta_all(html: Column, name: str) -> Column:
@@ -48,40 +64,40 @@ def _ld(blocks: Column, *paths: str) -> Column:
     return F.try_element_at(F.filter(per, lambda v: v.isNotNull()), F.lit(1))
 
 
-def title(html: Column) -> Column:
+def title(html: Column, found: Column | None = None) -> Column:
     tag = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1))
-    return F.coalesce(meta(html, "og:title"), meta(html, "twitter:title"), _filled(tag), F.lit(""))
+    return F.coalesce(meta(html, "og:title", found), meta(html, "twitter:title", found), _filled(tag), F.lit(""))
 
 
 def html_lang(html: Column) -> Column:
     return _filled(F.regexp_extract(_after(html, "<html", HEAD), 'lang="([^"]*)"', 1))
 
 
-def author(html: Column) -> Column:
-    return F.coalesce(_ld(json_ld(html), "$.author.name", "$.author[0].name", "$.author"), meta(html, "author"), meta(html, "article:author"), F.lit(""))
+def author(html: Column, found: Column | None = None) -> Column:
+    return F.coalesce(_ld(json_ld(html), "$.author.name", "$.author[0].name", "$.author"), meta(html, "author", found), meta(html, "article:author", found), F.lit(""))
 
 
-def excerpt(html: Column) -> Column:
-    return F.coalesce(meta(html, "description"), meta(html, "og:description"), _ld(json_ld(html), "$.description"), F.lit(""))
+def excerpt(html: Column, found: Column | None = None) -> Column:
+    return F.coalesce(meta(html, "description", found), meta(html, "og:description", found), _ld(json_ld(html), "$.description"), F.lit(""))
 
 
 def image(html: Column) -> Column:
     return F.coalesce(_content(_after(html, "og:image", 200)), F.lit(""))
 
 
-def article(html: Column) -> Column:
+def article(html: Column, found: Column | None = None) -> Column:
     """published, modified, section, site_name, tags and language; empty where nothing says."""
     ld = json_ld(html)
     time = F.regexp_extract(html, 'datetime="([^"]*)"', 1)
-    published = F.coalesce(*(meta(html, n) for n in ("article:published_time", "date", "pubdate", "dc.date", "sailthru.date")), F.when(F.octet_length(time) >= 10, time), _ld(ld, "$.datePublished"))
-    words = F.coalesce(_ld(ld, "$.keywords"), meta(html, "keywords"), F.lit(""))
+    published = F.coalesce(*(meta(html, n, found) for n in ("article:published_time", "date", "pubdate", "dc.date", "sailthru.date")), F.when(F.octet_length(time) >= 10, time), _ld(ld, "$.datePublished"))
+    words = F.coalesce(_ld(ld, "$.keywords"), meta(html, "keywords", found), F.lit(""))
     listed = F.filter(F.transform(F.split(F.regexp_replace(words, r'^\[|\]$|"', ""), ","), lambda x: F.trim(x)), lambda w: w != "")
     tags = meta_all(html, "article:tag")
     empty = F.lit("")
     return F.struct(
-        F.coalesce(published, empty).alias("published_at"), F.coalesce(meta(html, "article:modified_time"), _ld(ld, "$.dateModified"), empty).alias("modified_at"),
-        F.coalesce(meta(html, "article:section"), _ld(ld, "$.articleSection"), empty).alias("section"), F.coalesce(meta(html, "og:site_name"), _ld(ld, "$.publisher.name", "$.publisher"), empty).alias("site_name"),
-        F.when(F.size(tags) > 0, tags).otherwise(listed).alias("tags"), F.coalesce(meta(html, "og:locale"), html_lang(html), meta(html, "content-language"), _ld(ld, "$.inLanguage"), empty).alias("language"),
+        F.coalesce(published, empty).alias("published_at"), F.coalesce(meta(html, "article:modified_time", found), _ld(ld, "$.dateModified"), empty).alias("modified_at"),
+        F.coalesce(meta(html, "article:section", found), _ld(ld, "$.articleSection"), empty).alias("section"), F.coalesce(meta(html, "og:site_name", found), _ld(ld, "$.publisher.name", "$.publisher"), empty).alias("site_name"),
+        F.when(F.size(tags) > 0, tags).otherwise(listed).alias("tags"), F.coalesce(meta(html, "og:locale", found), html_lang(html), meta(html, "content-language", found), _ld(ld, "$.inLanguage"), empty).alias("language"),
     )
 
 

@@ -76,11 +76,12 @@ _TEXTS = pa.list_(_TEXT)
 INFO = ("title", "author", "excerpt", "image", "article", "json_ld", "needs_scripts")
 
 
-def page_info(names: tuple[str, ...] = INFO) -> dict[str, Column]:
-    """Metadata of ``html`` by name, as column expressions."""
+def page_info(names: tuple[str, ...] = INFO, found: Column | None = None) -> dict[str, Column]:
+    """Metadata of ``html`` by name, as column expressions; ``found`` as in ``meta.meta``."""
     html = F.col("html")
-    every = {"title": meta.title, "author": meta.author, "excerpt": meta.excerpt, "image": meta.image, "article": meta.article, "json_ld": meta.json_ld, "needs_scripts": text.needs_scripts}
-    return {n: every[n](html) for n in names}
+    of_metas = {"title": meta.title, "author": meta.author, "excerpt": meta.excerpt, "article": meta.article}
+    every = {"image": meta.image, "json_ld": meta.json_ld, "needs_scripts": text.needs_scripts}
+    return {n: of_metas[n](html, found) if n in of_metas else every[n](html) for n in names}
 
 
 def read_pages(pages: DataFrame, fmt: str = "text", *, max_bytes: int | None = None, info: tuple[str, ...] = INFO) -> DataFrame:
@@ -92,11 +93,13 @@ def read_pages(pages: DataFrame, fmt: str = "text", *, max_bytes: int | None = N
     ``info`` names the metadata wanted. Nothing is joined or shuffled: a row
     of ``pages`` is a row of the result, without html and with what was read.
     """
-    frame = pages.withColumns(page_info(info))
+    found = F.col("__names")
+    frame = pages.withColumn("__names", meta.names(F.col("html"))) if info or fmt == "llm" else pages
+    frame = frame.withColumns(page_info(info, found))
     needs = ["url", "html"]
     header: dict[str, Column] = {}
     if fmt == "llm":
-        about = page_info(("title", "author", "excerpt", "article"))
+        about = page_info(("title", "author", "excerpt", "article"), found)
         header = {"Title": about["title"], "Description": about["excerpt"], "Author": about["author"], "Published": about["article"]["published_at"], "Site": about["article"]["site_name"], "Language": about["article"]["language"]}
         frame = frame.withColumns({"__header": F.array(*header.values()), "__data": meta.json_ld(F.col("html"))})
         needs += ["__header", "__data"]
@@ -111,7 +114,7 @@ def read_pages(pages: DataFrame, fmt: str = "text", *, max_bytes: int | None = N
         return content, found["h1"], found["note"]
 
     fields = [("content", "string", _TEXT), ("h1", "string", _TEXT), ("note", "string", _TEXT)]
-    read = _beside(frame, needs, ["html", "__header", "__data"], fields, make)
+    read = _beside(frame.drop("__names"), needs, ["html", "__header", "__data"], fields, make)
     return read.withColumn("content", text.truncate_bytes(F.col("content"), max_bytes) if max_bytes else F.col("content")).withColumn("length", F.octet_length("content"))
 
 

@@ -65,3 +65,16 @@ def test_metadata(spark):
 def test_grades(spark):
     got = [r[0] for r in spark.createDataFrame([(s,) for s in (100, 93, 90, 59, 60)], "s int").select(meta.audit_grade(F.col("s"))).collect()]
     assert got == ["A+", "A", "A-", "F", "D-"]
+
+
+def test_names_found_first_change_no_metadata(spark):
+    """Metas looked up through the names that a page has, against a search for each."""
+    import random
+
+    draw = random.Random(6)
+    bits = ["<meta ", "name=", "property=", '"og:title"', "'og:title'", '"author"', "'date'", '"description"', ' content="A é"', " content='B'", "name='property=", "\n", "x" * 290, "𝒳", '"article:published_time"', ">", '"', "og:title", '"og:titles"']
+    rows = [(i, "".join(draw.choice(bits) for _ in range(draw.randrange(14)))) for i in range(3000)] + [(-1, None)]
+    given = spark.createDataFrame(rows, "id int, html string").withColumn("found", meta.names(F.col("html")))
+    for name in ("og:title", "author", "date", "description", "article:published_time"):
+        plain, quick = meta.meta(F.col("html"), name), meta.meta(F.col("html"), name, F.col("found"))
+        assert given.where(~plain.eqNullSafe(quick)).count() == 0 and given.where(plain.isNotNull()).count() > 20

@@ -110,10 +110,15 @@ def robots_sitemaps(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1))
 
 
+def hrefs(html: Column) -> Column:
+    """Addresses of links as written, in order."""
+    return F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""), F.lit(1)), lambda x: F.trim(x))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """url, pos, target: the links of pages, resolved where absolute, root-relative or beside the page."""
-    hrefs = F.regexp_extract_all(F.col("html"), F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    flat = pages.select("url", F.posexplode(F.transform(hrefs, lambda x: F.trim(x))).alias("pos", "href")).where("href <> ''")
+    """url, pos, target: the links of pages (url, and html or its ``hrefs``), resolved where absolute, root-relative or beside the page."""
+    written = F.col("hrefs") if "hrefs" in pages.columns else hrefs(F.col("html"))
+    flat = pages.select("url", F.posexplode(written).alias("pos", "href")).where("href <> ''")
     root = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     base = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"(?<![:/])/[^/]*$", "")
     scheme = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
@@ -136,8 +141,11 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
     ship(spark)
     files = Store(spark, "crawl")
     pages = store.select(urls.normalize(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
+    # What a crawl reads of a page, once; levels join this and carry no markup.
+    html = F.col("html")
+    pages = pages.where(html.isNotNull()).select("url", F.sha2(html, 256).alias("__body"), meta.title(html).alias("title"), hrefs(html).alias("hrefs"))
     if config.max_depth != 0:
-        pages = files.keep(pages, "store")  # once, not for each level
+        pages = files.keep(pages, "store")
     start = seeds.select(urls.normalize(F.col("url")).alias("url")).where("url is not null").distinct()
     frontier = files.keep(files.placed(start, "start", "url").select("url", F.lit(0).alias("depth"), F.col("url").alias("seed"), (F.col("place") + 1).alias("seq")), "frontier0")
     rules = files.keep(robots_rules(robots, config.agent), "rules") if robots is not None else None
@@ -148,8 +156,8 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
             break
         level = robots_allowed(frontier, rules) if rules is not None else frontier.withColumn("allowed", F.lit(True))
         fetched = level.join(pages, "url", "left")
-        lost = F.when(~F.col("allowed"), "blocked by robots").when(F.col("html").isNull(), "not found")
-        fetched = files.keep(fetched.withColumn("lost", lost).withColumn("__body", F.when(lost.isNull(), F.sha2("html", 256))), f"fetched{depth}")
+        lost = F.when(~F.col("allowed"), "blocked by robots").when(F.col("__body").isNull(), "not found")
+        fetched = files.keep(fetched.withColumn("lost", lost), f"fetched{depth}")
         # Of the pages that were fetched, the first of the crawl to have a body keeps it.
         here = fetched.where("lost is null")
         firsts = here.groupBy("__body").agg(F.min("seq").alias("__first"))
@@ -165,10 +173,10 @@ def crawl(spark: SparkSession, seeds: DataFrame, store: DataFrame, robots: DataF
             fine = files.keep(fine.orderBy("seq").limit(room), f"fine{depth}")
             good += fine.count()
         kept = fetched.join(fine.select("url"), "url", "left_semi")
-        found = links(kept).join(fine.select("url", "seed", F.col("seq").alias("from_seq")), "url")
+        found = links(kept.select("url", "hrefs")).join(fine.select("url", "seed", F.col("seq").alias("from_seq")), "url")
         found = files.keep(found.withColumn("url_wanted", urls.normalize(F.col("target"))), f"links{depth}")
         counts = found.groupBy("url").agg(F.count("*").alias("n_links"))
-        titles = kept.select("url", meta.title(F.col("html")).alias("title"))
+        titles = kept.select("url", "title")
         shown = done.join(titles, "url", "left").where("title is not null or error is not null").join(counts, "url", "left")
         results.append(shown.select("url", "depth", "seq", "title", F.coalesce("n_links", F.lit(0)).alias("n_links"), "error"))
         if depth == config.max_depth:

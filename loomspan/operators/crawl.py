@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import meta, urls
 from ..session import ship
+from ..sources import saved
 from .payloads import inflate
 from .storage import Store
 
@@ -261,10 +262,11 @@ def file_name(url: Column) -> Column:
 
 
 def save_html(pages: DataFrame, path: str) -> None:
-    """Markup of pages (url, html) as text, in a folder for each domain and in it one for each file's name, with one for each copy: pages of one URL are all kept, each by itself."""
-    rows = pages.where("html is not null").select(domain_name(F.col("url")).alias("domain"), file_name(F.col("url")).alias("file"), F.col("html").alias("value"))
-    copy = F.row_number().over(Window.partitionBy("domain", "file").orderBy(F.sha2("value", 256)))
-    rows.withColumn("copy", copy).write.mode("overwrite").option("lineSep", "\n").partitionBy("domain", "file", "copy").text(path)
+    """Markup of pages (url, html) as text, each page by itself in a folder for its domain and in it one for its file's name; copies of one URL are numbered files or in different parts.
+
+    The driver gets a name for each task, none for a page (see ``sources.saved``).
+    """
+    saved.save(pages.where("html is not null").select(domain_name(F.col("url")).alias("domain"), file_name(F.col("url")).alias("file"), "html"), path)
 
 
 def page_files(pages: DataFrame, *order: str) -> DataFrame:
@@ -280,5 +282,5 @@ def page_files(pages: DataFrame, *order: str) -> DataFrame:
 def save_markdown(pages: DataFrame, path: str, *order: str) -> None:
     """Pages (url, status, markdown) as text below ``pages/file=<name>``, and ``index``: JSON lines of url, file and status."""
     files = page_files(pages, *order)
-    files.select("file", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("file").text(f"{path}/pages")
+    saved.save(files.select("file", "markdown"), f"{path}/pages")
     files.select("url", "file", "status").write.mode("overwrite").json(f"{path}/index")

@@ -1,5 +1,6 @@
 """Selectors, scripts, sanitizing, protection, suffixes, schedules and crawls, against brute force and on odd inputs."""
 
+import pickle
 import random
 import re
 
@@ -198,3 +199,37 @@ def test_copies_of_a_url_are_saved_apart(spark, tmp_path):
     saved.register(spark)
     got = spark.read.format("saved_pages").load(f"{tmp_path}/html").collect()
     assert sorted(r.html for r in got) == sorted(h for _, h in rows) and len({r.file for r in got}) == 2
+
+
+def test_driver_knows_parts_of_saved_pages_not_pages(spark, tmp_path):
+    rows = [(f"https://h{i}.x/p", f"<p>{i}</p>") for i in range(1100)] + [("https://hot.x/p", "same")] * 900 + [(None, "no address")]
+    given = spark.createDataFrame(rows, "url string, html string").repartition(2)
+    saved.register(spark)
+    for _ in range(2):  # the second time overwrites the first
+        crawl.save_html(given, f"{tmp_path}/html")
+        read = spark.read.format("saved_pages").load(f"{tmp_path}/html")
+        assert read.rdd.getNumPartitions() <= 6  # about 1,000 pages of each task, by 500
+        assert sorted(r.html for r in read.collect()) == sorted(h for _, h in rows)
+    assert read.where("domain = 'unknown'").collect() == [("unknown", None, "no address")]
+    assert read.select("domain", "file").distinct().count() == 1102
+    parts = saved._Reader(f"{tmp_path}/html").partitions()
+    assert len(pickle.dumps(parts)) < 2000
+    given.limit(0).select(F.lit("d").alias("domain"), F.lit("f").alias("file"), "html").write.format("saved_pages").mode("overwrite").save(f"{tmp_path}/html")
+    assert read.sparkSession.read.format("saved_pages").load(f"{tmp_path}/html").count() == 0
+
+
+def test_saved_pages_leave_nothing_of_failed_attempts(spark, tmp_path):
+    saved.register(spark)
+    given = spark.createDataFrame([("a/b", "x=%", "one"), ("", "y", "two")], "domain string, file string, html string")
+    given.write.format("saved_pages").mode("append").save(f"{tmp_path}/html")
+    broken = F.when(F.col("html") == "two", F.raise_error(F.lit("broken"))).otherwise(F.col("html"))
+    with pytest.raises(Exception, match="broken"):
+        given.coalesce(1).withColumn("html", broken).write.format("saved_pages").mode("overwrite").save(f"{tmp_path}/html")
+    given.write.format("saved_pages").mode("append").save(f"{tmp_path}/html")
+    got = spark.read.format("saved_pages").load(f"{tmp_path}/html").collect()
+    assert sorted((r.file, r.html, r.domain) for r in got) == [("x=%", "one", "a/b")] * 2 + [("y", "two", None)] * 2
+    writer = saved._Writer(f"{tmp_path}/html", ["domain", "file"], True)
+    left = tmp_path / "html" / f"task={writer.job}-0-7" / "part=0"
+    left.mkdir(parents=True)
+    writer.commit([saved.Written(f"task={writer.job}-0-8")])
+    assert [x.name for x in (tmp_path / "html").iterdir()] == ["_SUCCESS"]

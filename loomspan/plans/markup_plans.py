@@ -286,7 +286,7 @@ SELECT regexp_replace({HOST}, '[^\\p{{L}}\\p{{N}}.-]', '_', 'g') AS domain, rege
 def sk02(spark, sf_dir):
     """Written to the shared folder by domain, and read back by the data source."""
     saved.register(spark)
-    path = f"{Store(spark, 'saved').base}/html"
+    path = saved.located(spark, f"{Store(spark, 'saved').base}/html")
     crawl.save_html(load(spark, sf_dir, "pages").select("url", "html"), path)
     return spark.read.format("saved_pages").load(path).select("domain", "file", F.md5("html").alias("digest"))
 

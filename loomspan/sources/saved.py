@@ -49,10 +49,10 @@ def _opened(path: str):
     return store, root.rstrip("/")
 
 
-def _listed(store, path: str, recursive: bool = False) -> list:
+def _listed(store, path: str, recursive: bool = False, missing: bool = False) -> list:
     from pyarrow import fs
 
-    found = store.get_file_info(fs.FileSelector(path, recursive=recursive, allow_not_found=True))
+    found = store.get_file_info(fs.FileSelector(path, recursive=recursive, allow_not_found=missing))
     return sorted((x for x in found if not x.base_name.startswith(("_", "."))), key=lambda x: x.path)
 
 
@@ -150,7 +150,7 @@ class _Writer(DataSourceArrowWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = _opened(self.path)
-        for x in _listed(store, root):
+        for x in _listed(store, root, missing=True):
             if self.job in x.base_name:
                 _remove(store, x)
 
@@ -177,12 +177,18 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SavedPages)
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """``path`` with Spark's default store where it names none; Arrow would take the local disk."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toString()
+
+
 def save(frame: DataFrame, path: str) -> None:
     """``frame`` as files in ``path``, which is overwritten: the last column's text, in folders named by the columns before it."""
     register(frame.sparkSession)
     pages._ready(frame)
     *names, text = frame.columns
-    frame.select(*names, F.col(text).cast("binary").alias(text)).write.format("saved_pages").mode("overwrite").save(path)
+    frame.select(*names, F.col(text).cast("binary").alias(text)).write.format("saved_pages").mode("overwrite").save(located(frame.sparkSession, path))
 
 
 @dataclass(frozen=True)

@@ -233,3 +233,6 @@ def test_saved_pages_leave_nothing_of_failed_attempts(spark, tmp_path):
     left.mkdir(parents=True)
     writer.commit([saved.Written(f"task={writer.job}-0-8")])
     assert [x.name for x in (tmp_path / "html").iterdir()] == ["_SUCCESS"]
+    with pytest.raises(Exception, match="not|No such"):
+        spark.read.format("saved_pages").load(f"{tmp_path}/gone").collect()
+    assert saved.located(spark, f"{tmp_path}/html") == f"file:{tmp_path}/html" and saved.located(spark, "file:///a") == "file:/a"
